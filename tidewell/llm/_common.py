@@ -139,3 +139,35 @@ def slabs(column, most: int = 4_000_000):
         size += len(t)
     if texts:
         yield begin, texts[begin:]
+
+
+#: Lower-case ASCII letters, digits and every byte of a non-ASCII character stand for themselves; all else separates terms.
+TERM_BYTE = np.zeros(256, np.uint8)
+TERM_BYTE[128:] = np.arange(128, 256)
+for _a, _b, _to in ((48, 57, 48), (97, 122, 97), (65, 90, 97)):
+    TERM_BYTE[_a : _b + 1] = np.arange(_to, _to + _b - _a + 1)
+
+
+class Terms:
+    """Terms (runs of letters and digits, A-Z folded) of some texts laid end to end."""
+
+    def __init__(self, texts: list[bytes]):
+        self.buf, self.at = joined(texts)
+        folded = TERM_BYTE[self.buf]
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], folded != 0, [0])).astype(np.int8)))
+        self.begin, self.end = edge[0::2], edge[1::2]
+        self.hash = Spans(folded.astype(np.uint64), BYTE_BASE)(self.begin, self.end)
+        self.first = np.searchsorted(self.begin, self.at)
+        self.count = np.diff(self.first)
+        self.doc = np.repeat(np.arange(len(texts)), self.count)
+
+
+def ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, .. (count[0] of them), begin[1], .."""
+    total = int(count.sum())
+    shift = np.concatenate(([0], np.cumsum(count)[:-1])) if len(count) else count
+    return np.repeat(begin - shift, count) + np.arange(total)
+
+
+def sigmoid(x):
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -35.0, 35.0)))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ._common import stored, words
 
 #: Rows that one bucket of a source holds on average; a bucket is the unit that one task sorts.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def source_targets(sizes: DataFrame, weights=(3, 1, 2), budget: float = 1.5, most: float = 2.0) -> DataFrame:

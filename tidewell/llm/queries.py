@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing, quality_rules, simhash, substring_dedup
+from . import chat_format, cotraining, decontamination, mixing, quality_rules, simhash, substring_dedup, toxicity
 from ._common import table
 
 QUERIES = {
     "op1_quality_rules": lambda spark, d: quality_rules.op1(table(spark, d, "documents")),
+    "op2_quality_cotraining": lambda spark, d: cotraining.op2(table(spark, d, "documents"), table(spark, d, "labels")),
     "op3_substring_dedup": lambda spark, d: substring_dedup.op3(table(spark, d, "documents")),
+    "op4_benchmark_decontamination": lambda spark, d: decontamination.op4(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op5_simhash_dedup": lambda spark, d: simhash.op5(table(spark, d, "documents")),
+    "op8_toxicity": lambda spark, d: toxicity.op8(table(spark, d, "documents"), table(spark, d, "labels")),
     "op9_source_mixing": lambda spark, d: mixing.op9(table(spark, d, "documents")),
     "op10_chat_formatting": lambda spark, d: chat_format.op10(table(spark, d, "conversations")),
 }
