@@ -39,11 +39,9 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), budget: float = 1.5, mos
     rest = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     level = (F.col("_mix_budget") - F.coalesce(F.sum("_mix_cap").over(before), F.lit(0.0))) / F.sum("_mix_weight").over(rest)
     s = s.withColumn("_mix_try", level)
-    fits = F.min(F.when(F.col("_mix_try") * F.col("_mix_weight") <= F.col("_mix_cap"), F.col("_mix_try"))).over(every)
-    s = s.withColumn("_mix_level", fits)
-    return s.withColumn(
-        "_mix_target", F.coalesce(F.least(F.col("_mix_level") * F.col("_mix_weight"), F.col("_mix_cap")), F.col("_mix_cap"))
-    ).select("_mix_source", "_mix_rows", "_mix_total", "_mix_target")
+    # trying one source after another as capped raises the level until it is right, and lowers it from there
+    s = s.withColumn("_mix_level", F.max("_mix_try").over(every))
+    return s.withColumn("_mix_target", F.least(F.col("_mix_level") * F.col("_mix_weight"), F.col("_mix_cap"))).select("_mix_source", "_mix_rows", "_mix_total", "_mix_target")
 
 
 def _row_hash(docs, *names):
@@ -115,8 +113,8 @@ r AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORD
              (sum(total) OVER ())::DOUBLE * 1.5::DOUBLE AS budget FROM s),
 t AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / w, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
              / sum(w) OVER (ORDER BY cap / w, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS try FROM r),
-u AS (SELECT *, min(CASE WHEN try * w <= cap THEN try END) OVER () AS lv FROM t),
-g AS (SELECT source, total, coalesce(least(lv * w, cap), cap) AS target FROM u),
+u AS (SELECT *, max(try) OVER () AS lv FROM t),
+g AS (SELECT source, total, least(lv * w, cap) AS target FROM u),
 p AS (SELECT d.doc_id, d.size, g.total, g.target,
              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY key, doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)

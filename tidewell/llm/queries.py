@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, cotraining, decontamination, mixing, quality_rules, simhash, substring_dedup, toxicity
+from . import chat_format, cotraining, decontamination, html_extract, license_scan, mixing, quality_rules, simhash, substring_dedup, toxicity
 from ._common import table
 
 QUERIES = {
@@ -11,6 +11,8 @@ QUERIES = {
     "op3_substring_dedup": lambda spark, d: substring_dedup.op3(table(spark, d, "documents")),
     "op4_benchmark_decontamination": lambda spark, d: decontamination.op4(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op5_simhash_dedup": lambda spark, d: simhash.op5(table(spark, d, "documents")),
+    "op6_license_scan": lambda spark, d: license_scan.op6(table(spark, d, "documents")),
+    "op7_html_extraction": lambda spark, d: html_extract.op7(table(spark, d, "pages")),
     "op8_toxicity": lambda spark, d: toxicity.op8(table(spark, d, "documents"), table(spark, d, "labels")),
     "op9_source_mixing": lambda spark, d: mixing.op9(table(spark, d, "documents")),
     "op10_chat_formatting": lambda spark, d: chat_format.op10(table(spark, d, "conversations")),
@@ -19,6 +21,7 @@ QUERIES = {
 SQL = {
     "op1_quality_rules": quality_rules.SQL,
     "op3_substring_dedup": substring_dedup.SQL,
+    "op6_license_scan": license_scan.SQL,
     "op9_source_mixing": mixing.SQL,
     "op10_chat_formatting": chat_format.SQL,
 }
