@@ -52,6 +52,9 @@ NOTICES = [
     ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
 ]
 
+#: Words that prose has everywhere: taken as essential last of all.
+COMMON = frozenset("the a an and or of to in on is it that this these by for with not are be may only any as at under either without from you no use sa la le de un une et en el mit der die das und".split())
+
 FILE_NAME = r"(?i)^(licen[sc]e|copying|copyright|notice)([._-].*)?$"
 
 
@@ -74,14 +77,18 @@ def vectors() -> tuple[dict[str, float], float, list[tuple[str, dict[str, float]
 
 
 def essential(notices: list[tuple[str, dict[str, float]]], least: float = THRESHOLD) -> list[str]:
-    """Terms of which a unit must hold one to reach ``least`` with any notice."""
+    """Terms of which a unit must hold one to reach ``least`` with any notice.
+
+    A unit that shares only terms whose weights come, together, to less than ``least`` cannot reach it; any choice of the
+    others does.  Terms that prose has least often are chosen first: long words, then numbers, then common words."""
     found = set()
     for _, v in notices:
-        rest = 0.0
-        for t, x in sorted(v.items(), key=lambda p: (p[1], p[0])):
-            rest += x * x
-            if rest >= (least - 1e-6) ** 2:
-                found.add(t)
+        rest = 1.0
+        for t in sorted(v, key=lambda t: (t in COMMON, t.isdigit(), -len(t), t)):
+            if rest < (least - 1e-6) ** 2:
+                break
+            found.add(t)
+            rest -= v[t] ** 2
     return sorted(found)
 
 
