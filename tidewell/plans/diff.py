@@ -9,6 +9,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -303,7 +304,9 @@ def regressions(found: DataFrame, worse: bool = True, limit: int = ITEMS) -> Dat
 
 
 def access_changes(found: DataFrame) -> DataFrame:
-    said = F.lit(False)
-    for w in ACCESS_WORDS:
-        said = said | F.exists("notes", lambda n, w=w: F.contains(n, F.lit(w)))
-    return found.where(said)
+    said = [F.exists("notes", _holding(w)) for w in ACCESS_WORDS]
+    return found.where(reduce(lambda a, b: a | b, said))
+
+
+def _holding(word: str):
+    return lambda note: F.contains(note, F.lit(word))
