@@ -49,14 +49,14 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (bigint, the fingerprint's bits)."""
+    """doc_id, th (hash of the text), fp (bigint, the fingerprint's bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t) for t in text_bytes(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t) for t in text_bytes(b.column(2))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], ["doc_id", "th", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id bigint, th bigint, fp bigint")
 
 
 def masks(blocks: int) -> list[int]:
@@ -67,13 +67,18 @@ def masks(blocks: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in sums]
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances; of signed numbers numpy would count the bits of the absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def forest(f: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links of a bucket: each member but one of a linked set, with that one."""
     out, left = [], f
     while len(left) > 1:
         seed, left, front = left[0], left[1:], [left[0]]
         while front and len(left):
-            near = np.bitwise_count(left ^ front.pop()) <= DISTANCE
+            near = apart(left, front.pop()) <= DISTANCE
             if near.any():
                 got, left = left[near], left[~near]
                 out.append((np.full(len(got), seed), got))
@@ -126,7 +131,7 @@ def _rows(a, b, hot) -> pa.RecordBatch:
 def _closed(f, begin, end, most):
     size = end - begin
     two = begin[size == 2]
-    near = np.bitwise_count(f[two] ^ f[two + 1]) <= DISTANCE
+    near = apart(f[two], f[two + 1]) <= DISTANCE
     a, b, hot = [f[two[near]]], [f[two[near] + 1]], []
     for x, y in zip(begin[size > 2], end[size > 2], strict=True):
         if most and y - x > most:
@@ -160,21 +165,25 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id: one row per input row."""
+    """doc_id, th, fp, root (a fingerprint of the component), component_id: one row per input row."""
     docs_fp = stored(fingerprints(docs))
     fps = stored(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("least")))
     root = components(links(fps.select("fp")))
     own = stored(fps.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = stored(own.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = stored(own.join(least, "root").select("fp", "component_id"))
-    return docs_fp.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = stored(own.join(least, "root").select("fp", "root", "component_id"))
+    return docs_fp.join(named, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest doc_id (of rows equal in it, one); a group without doc_id keeps one row of each text."""
-    keep = classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.join(stored(keep), F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return named
+    """``docs`` with one document of each group: that with the smallest doc_id (of rows equal in it, one); a group without any doc_id keeps one row."""
+    found = stored(classes(docs))
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("keep")).distinct()
+    named = packed.join(keep, F.col("id") == F.col("keep"), "left_semi").dropDuplicates(["id"])
+    bare = found.where("component_id is null").groupBy("root").agg(F.min("th").alias("keep")).select("keep").distinct()
+    unnamed = packed.where("id is null").join(bare, F.col("hash") == F.col("keep"), "left_semi").dropDuplicates(["hash"])
+    return named.unionByName(unnamed).select("row.*")
 
 
 def op5(docs: DataFrame) -> DataFrame:
