@@ -187,7 +187,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 
 def scored(docs: DataFrame, model: Model | None, only_kept: bool = False) -> DataFrame:
-    """All columns, and _text_score, _meta_score, _score, _kept (with ``only_kept``: kept rows, columns unchanged); rows pass where they are read."""
+    """All columns, and _text_score, _meta_score, _score, _kept, instead of any of these names (with ``only_kept``: kept rows, columns unchanged); rows pass where they are read."""
+    if not only_kept:
+        docs = docs.drop("_text_score", "_meta_score", "_score", "_kept")
     names = docs.columns
     at = [names.index(c) for c in ("text", "lang", "source", "n_chars")]
     extra = [("_text_score", pa.float64()), ("_meta_score", pa.float64()), ("_score", pa.float64()), ("_kept", pa.bool_())]

@@ -87,16 +87,20 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     cut to that many words, joined by one space.  Rows equal in id, source and text are numbered, so that
     each takes its own share."""
     plan = stored(plan_mix(docs, id_col, text_col, source_col, **options).where("taken > 0"))
-    kept = plan.groupBy("_mix_hash", "_mix_id").agg(F.max("size").alias("_mix_size"), F.sort_array(F.collect_list("taken"), asc=False).alias("_mix_takes"))
-    left = docs.withColumn("_mix_hash0", _row_hash(docs, id_col, text_col, source_col))
-    left = left.withColumn("_mix_no", F.row_number().over(Window.partitionBy("_mix_hash0").orderBy(F.col(id_col))) - F.rank().over(Window.partitionBy("_mix_hash0").orderBy(F.col(id_col))))
-    same = (F.col(id_col) == F.col("_mix_id")) | (F.col(id_col).isNull() & F.col("_mix_id").isNull())
-    out = left.join(kept, (F.col("_mix_hash0") == F.col("_mix_hash")) & same, "inner")
-    out = out.withColumn("_mix_taken", F.get(F.col("_mix_takes"), F.col("_mix_no"))).where("_mix_taken > 0")
-    out = out.withColumn("_mix_epoch", F.explode(F.sequence(F.lit(0), F.expr("int((_mix_taken - 1) div _mix_size)"))))
-    out = out.withColumn("_mix_words", F.least(F.col("_mix_size"), F.col("_mix_taken") - F.col("_mix_epoch") * F.col("_mix_size")))
-    cut = F.when(F.col("_mix_words") < F.col("_mix_size"), F.array_join(F.slice(words(F.col(text_col)), F.lit(1), F.col("_mix_words").cast("int")), " ")).otherwise(F.col(text_col))
-    return out.withColumn(text_col, cut).select(*docs.columns, "_mix_epoch", "_mix_words")
+    kept = plan.groupBy("_mix_hash", "_mix_id").agg(F.max("size").alias("size"), F.sort_array(F.collect_list("taken"), asc=False).alias("takes"))
+    left = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), _row_hash(docs, id_col, text_col, source_col).alias("hash"))
+    same = Window.partitionBy("hash").orderBy("id")
+    left = left.withColumn("no", F.row_number().over(same) - F.rank().over(same))
+    equal = (F.col("id") == F.col("_mix_id")) | (F.col("id").isNull() & F.col("_mix_id").isNull())
+    out = left.join(kept, (F.col("hash") == F.col("_mix_hash")) & equal, "inner")
+    out = out.withColumn("taken", F.get(F.col("takes"), F.col("no"))).where("taken > 0")
+    out = out.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.expr("int((taken - 1) div size)"))))
+    out = out.withColumn("n", F.least(F.col("size"), F.col("taken") - F.col("epoch") * F.col("size")))
+    text = F.col("row").getField(text_col)
+    cut = F.when(F.col("n") < F.col("size"), F.array_join(F.slice(words(text), F.lit(1), F.col("n").cast("int")), " ")).otherwise(text)
+    ours = ("_mix_epoch", "_mix_words")
+    out = out.select(F.col("row").withField(text_col, cut).alias("row"), "epoch", "n")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ours], F.col("epoch").alias(ours[0]), F.col("n").alias(ours[1]))
 
 
 def op9(docs: DataFrame) -> DataFrame:
