@@ -190,9 +190,13 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # 50 words
     runs = stored(_runs(second))
     kinds = stored(runs.groupBy("anchor", "whole").agg(F.min("doc_id").alias("least")))
-    mixed = stored(kinds.groupBy("anchor").agg(F.min("whole").alias("x"), F.max("whole").alias("y")).where("x <> y").select("anchor"))
-    settled = runs.drop("hashes").join(kinds, ["anchor", "whole"]).where("least < doc_id").select("doc_id", "th", "start", "n")
-    opened = runs.join(kinds, ["anchor", "whole"]).where("least = doc_id").join(mixed, "anchor", "left_semi")
+    mixed = kinds.groupBy("anchor").agg((F.min("whole") != F.max("whole")).alias("mixed"))
+    kinds = stored(kinds.join(mixed, "anchor"))
+    # one row per run: its kind's least doc_id, and its windows if it is the first of a kind to be opened
+    first_of = (F.col("least") == F.col("doc_id")) & F.col("mixed")
+    told = stored(runs.join(kinds, ["anchor", "whole"]).select("doc_id", "th", "start", "n", "anchor", "least", F.when(first_of, F.col("hashes")).alias("hashes")))
+    settled = told.where("least < doc_id").select("doc_id", "th", "start", "n")
+    opened = told.where("hashes is not null")
     windows = stored(opened.select("doc_id", "th", "anchor", "start", F.posexplode("hashes").alias("o", "hash")).select("doc_id", "th", "anchor", "hash", (F.col("start") + F.col("o")).alias("start")))
     least = stored(_repeated(windows, "anchor", "hash"))
     single = windows.join(least, ["anchor", "hash"]).where("least < doc_id").select("doc_id", "th", "start", F.lit(1).alias("n"))
@@ -211,10 +215,10 @@ def op3(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the words removed from ``text`` (the rest joined by one space); texts that lose nothing stay as they are."""
     _, lost = repeats(docs)
-    lost = lost.select(F.col("doc_id").alias("_lost_id"), F.col("th").alias("_lost_th"), F.col("kept_text").alias("_lost_text"))
-    keyed = docs.withColumn("_th", F.xxhash64("text"))
-    out = keyed.join(lost, (F.col("doc_id") == F.col("_lost_id")) & (F.col("_th") == F.col("_lost_th")), "left")
-    return out.withColumn("text", F.coalesce("_lost_text", "text")).select(*docs.columns)
+    lost = lost.select(F.col("doc_id").alias("lost_id"), F.col("th").alias("lost_th"), "kept_text")
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    out = packed.join(lost, (F.col("id") == F.col("lost_id")) & (F.col("hash") == F.col("lost_th")), "left")
+    return out.select(F.col("row").withField("text", F.coalesce("kept_text", "row.text")).alias("row")).select("row.*")
 
 
 SQL = r"""
