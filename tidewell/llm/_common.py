@@ -15,6 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 _written: list[tuple[SparkSession, str]] = []
+_own: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where that is unset (tests) one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="tidewell-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="tidewell-"))
+        at = _own[0]
     return at.rstrip("/")
 
 

@@ -201,6 +201,38 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op4(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return contaminated(docs, benchmark)
-
-
+    shares = ("score", "question_overlap", "answer_overlap")
+    return contaminated(docs, benchmark).withColumns({c: F.round(c, 6) for c in shares})
+
+
+
+
+#: The same scores and shares for every passage and item, without an index.
+SQL = r"""
+WITH raw AS (SELECT row_number() OVER () AS i, item_id, coalesce(text, '') AS text FROM benchmark),
+it AS (SELECT *, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ts FROM raw),
+items AS (SELECT *, len(ts) AS n FROM it WHERE len(ts) > 0),
+st AS (SELECT count(*)::DOUBLE AS n, avg(n::DOUBLE) AS mean, greatest(64, max(n)) AS stride FROM items),
+tf AS (SELECT i, n, term, count(*) AS tf FROM (SELECT i, n, unnest(ts) AS term FROM items) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+im AS (SELECT i, term, ln(1 + (st.n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * tf.n / st.mean)) AS w FROM tf JOIN df USING (term), st),
+nm AS (SELECT i, term, w / sum(w) OVER (PARTITION BY i) AS w FROM im),
+cuts AS (SELECT i, text, k, substr(text, k, 1) = '?' AND NOT contains(substr(text, k + 1), '?') AS asked,
+                contains('.!?' || chr(10), substr(text, k, 1)) AND regexp_matches(substr(text, k + 1, 1), '^(\s|$)') AS ends FROM (SELECT i, text, unnest(range(1, length(text) + 1)) AS k FROM items)),
+good AS (SELECT i, max(k) FILTER (WHERE asked) AS a, max(k) FILTER (WHERE ends) AS e FROM cuts
+         WHERE (asked OR ends) AND len(regexp_extract_all(left(text, k), '\S+')) >= 5 AND len(regexp_extract_all(substr(text, k + 1), '\S+')) >= 5 GROUP BY i),
+cutat AS (SELECT items.i, items.item_id, items.text, coalesce(a, e) AS k FROM items LEFT JOIN good USING (i)),
+halves AS (SELECT i, 'q' AS part, CASE WHEN k IS NULL THEN text ELSE left(text, k) END AS t FROM cutat UNION ALL SELECT i, 'a', CASE WHEN k IS NULL THEN text ELSE substr(text, k + 1) END FROM cutat),
+ht AS (SELECT i, part, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ts FROM halves),
+sh AS (SELECT DISTINCT i, part, array_to_string(ts[j:j + m - 1], ' ') AS s FROM (SELECT i, part, ts, least(5, len(ts)) AS m, unnest(range(1, len(ts) - least(5, len(ts)) + 2)) AS j FROM ht WHERE len(ts) > 0)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ts FROM documents),
+p AS (SELECT rid, doc_id, p, ts[(p * stride + 1)::BIGINT:((p + 2) * stride)::BIGINT] AS ts
+      FROM (SELECT rid, doc_id, ts, stride, unnest(range(greatest((len(ts) + stride - 1) // stride - 1, least(len(ts), 1)))) AS p FROM d, st)),
+pt AS (SELECT DISTINCT rid, p, term FROM (SELECT rid, p, unnest(ts) AS term FROM p)),
+sc AS (SELECT rid, p, i, sum(w) AS score FROM pt JOIN nm USING (term) GROUP BY rid, p, i HAVING sum(w) >= 0.5::DOUBLE - 1e-9::DOUBLE),
+ov AS (SELECT sc.rid, sc.p, sc.i, any_value(p.doc_id) AS doc_id, any_value(score) AS score, coalesce(avg(contains(' ' || array_to_string(p.ts, ' ') || ' ', ' ' || s || ' ')::INTEGER) FILTER (WHERE part = 'q'), 0) AS q,
+              coalesce(avg(contains(' ' || array_to_string(p.ts, ' ') || ' ', ' ' || s || ' ')::INTEGER) FILTER (WHERE part = 'a'), 0) AS a
+       FROM sc JOIN p ON p.rid = sc.rid AND p.p = sc.p JOIN sh ON sh.i = sc.i GROUP BY sc.rid, sc.p, sc.i)
+SELECT doc_id, item_id, count(DISTINCT p) AS n_passages, round(max(score), 6) AS score, round(max(q), 6) AS question_overlap, round(max(a), 6) AS answer_overlap
+FROM ov JOIN items USING (i) WHERE q >= 0.8::DOUBLE AND a >= 0.8::DOUBLE GROUP BY doc_id, item_id
+"""

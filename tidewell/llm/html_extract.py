@@ -261,3 +261,12 @@ def extract(pages: DataFrame) -> DataFrame:
 
 def op7(pages: DataFrame) -> DataFrame:
     return extract(pages).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+#: What the query gives on pages whose article element is whole and holds headings, paragraphs and inline markup alone.
+SQL = r"""
+WITH a AS (SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:h1|p|br)>') AS parts FROM pages),
+b AS (SELECT page_id, url, [trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]+>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))
+  FOR x IN parts] AS blocks FROM a)
+SELECT page_id, url, array_to_string([x FOR x IN blocks IF x <> ''], chr(10)) AS text, length(array_to_string([x FOR x IN blocks IF x <> ''], chr(10)))::BIGINT AS n_chars FROM b
+"""

@@ -25,7 +25,7 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), budget: float = 1.5, mos
     """``sizes``: one row per source (_mix_source, _mix_rows, _mix_total).  Adds _mix_target.
 
     Weights repeat over sources by code point, null last.  A target over ``most`` times its source is set to
-    that and the excess reshared by weight; that is the level at which sum(min(level * weight, cap)) meets
+    that and the excess reshared by weight (targets are given to six places); that is the level at which sum(min(level * weight, cap)) meets
     the budget, found from prefix sums in order of cap / weight.  One row per source meets in one task here."""
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("_mix_rank") % len(weights) + 1).cast("int"))
     order = Window.orderBy(F.col("_mix_source").isNull(), F.col("_mix_source"))
@@ -41,7 +41,7 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), budget: float = 1.5, mos
     s = s.withColumn("_mix_try", level)
     # trying one source after another as capped raises the level until it is right, and lowers it from there
     s = s.withColumn("_mix_level", F.max("_mix_try").over(every))
-    return s.withColumn("_mix_target", F.least(F.col("_mix_level") * F.col("_mix_weight"), F.col("_mix_cap"))).select("_mix_source", "_mix_rows", "_mix_total", "_mix_target")
+    return s.withColumn("_mix_target", F.round(F.least(F.col("_mix_level") * F.col("_mix_weight"), F.col("_mix_cap")), 6)).select("_mix_source", "_mix_rows", "_mix_total", "_mix_target")
 
 
 def _row_hash(docs, *names):
@@ -118,7 +118,7 @@ r AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORD
 t AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / w, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
              / sum(w) OVER (ORDER BY cap / w, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS try FROM r),
 u AS (SELECT *, max(try) OVER () AS lv FROM t),
-g AS (SELECT source, total, least(lv * w, cap) AS target FROM u),
+g AS (SELECT source, total, round(least(lv * w, cap), 6) AS target FROM u),
 p AS (SELECT d.doc_id, d.size, g.total, g.target,
              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY key, doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)

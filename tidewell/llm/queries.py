@@ -21,7 +21,9 @@ QUERIES = {
 SQL = {
     "op1_quality_rules": quality_rules.SQL,
     "op3_substring_dedup": substring_dedup.SQL,
+    "op4_benchmark_decontamination": decontamination.SQL,
     "op6_license_scan": license_scan.SQL,
+    "op7_html_extraction": html_extract.SQL,
     "op9_source_mixing": mixing.SQL,
     "op10_chat_formatting": chat_format.SQL,
 }
