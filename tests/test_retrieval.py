@@ -103,3 +103,19 @@ def test_evaluation(spark):
     assert E.verdict(good, E.Gates()) == (0, []) and E.verdict(good, E.Gates(min_mrr=0.9))[0] == 2 and E.verdict(good, E.Gates(), nav_top1=1)[0] == 2 and E.verdict(good, E.Gates(), broken_cases=1)[0] == 3
     assert E.needs_vectors("hybrid") and not E.needs_vectors("sparse") and "hit_at_k: 0.8" in E.render(good)
     assert spark.range(1).select(E.source_label(F.array(F.lit("b"), F.lit("a"))).alias("x")).first().x == "a+b" and T.passage is not None
+
+
+def test_stored_postings(spark, tmp_path, monkeypatch):
+    from tidewell.operators import postings
+
+    chunks = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 17}" for k in range(1, 12))) for i in range(60)] + [(99, None), (98, "")], "pk bigint, text string")
+    queries = spark.createDataFrame([(1, "w1 w2 W3"), (2, "none"), (3, "w5 w5")], "query_id bigint, query string")
+    postings.build(chunks, str(tmp_path / "p"), buckets=4)
+    want = sorted(R.sparse_route(chunks, queries).collect())
+    found = postings.search(spark, str(tmp_path / "p"), queries)
+    assert want and sorted(found.collect()) == want
+    plan = postings.postings(spark, str(tmp_path / "p"), spark.createDataFrame([("w1",)], "term string"))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters:")[1][:60]
+    assert "EqualTo(term,w1)" in plan or "In(term" in plan
+    monkeypatch.setattr(postings, "PUSHED", 1)
+    assert sorted(postings.search(spark, str(tmp_path / "p"), queries).collect()) == want

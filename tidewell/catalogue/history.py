@@ -15,7 +15,7 @@ TYPES = ["click", "error", "purchase", "signup", "view"]
 
 def messages(spark, d):
     c = table(spark, d, "conversations")
-    at = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 1000 + F.col("turn")).cast("timestamp_ntz")
+    at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, conv_id * 1000 + turn)")
     return c.select(F.col("conv_id").cast("string").alias("thread_id"), F.col("turn").alias("id"), "role", F.col("text").alias("content"), at.alias("created_at"))
 
 

@@ -220,3 +220,47 @@ SQL = {
         SELECT q, value FROM s, (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) x(q) WHERE i = round_even((n - 1) * q, 0)""",
     "expired_cases": f"""WITH {_CASES}, e AS (SELECT DISTINCT case_id, unnest(expect) AS expect FROM cs) SELECT case_id, expect FROM e WHERE NOT EXISTS (SELECT 1 FROM documents WHERE contains('d/' || doc_id || '.md', expect))""",
 }
+
+
+def hybrid_search(spark, d):
+    """The whole search for every question at once: documents are index rows with the vector of the same id, a question's vector is that of its id."""
+    from ..operators.search import search
+
+    index = chunks(spark, d).join(vectors(spark, d), "pk", "left").drop("body").withColumn("text", F.concat(F.lit("head | "), F.col("text")))
+    asked = lambda q: q.select("query_id").join(vectors(spark, d), F.col("query_id") == F.col("pk")).select("query_id", "vector")
+    out, _ = search(index, questions(spark, d), retriever="hybrid", embed_query=asked)
+    return out.select("query_id", "position", "pk", "source", "sparse_rank", "dense_rank")
+
+
+QUERIES["hybrid_search"] = hybrid_search
+_FULL = f"""{_C}, k AS (SELECT pk, 'head | ' || text AS text, title, keywords, section, body, kind, path, version FROM c WHERE kind = 'doc'), {_B}, {_bm25("r", "k", "b")},
+sh AS (SELECT r.query_id, r.score, k.* EXCLUDE (text) FROM r JOIN k USING (pk) WHERE r.rank <= 50),
+sn AS (SELECT *, round((score - min(score) OVER w) / CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE max(score) OVER w - min(score) OVER w END - CASE WHEN section LIKE '%相关文档' THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END, 6) AS base FROM sh WINDOW w AS (PARTITION BY query_id)),
+qt AS (SELECT DISTINCT query_id, term AS t FROM r_q WHERE NOT regexp_matches(term, '^[\\x00-\\x7F]$')),
+ov AS (SELECT query_id, pk, base, coalesce((SELECT sum(CASE WHEN contains(title, t) THEN 10.0::DOUBLE WHEN contains(keywords, t) THEN 6.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN contains(section, t) THEN 4.0::DOUBLE ELSE 0.0::DOUBLE END
+  + CASE WHEN contains(body, t) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FROM qt WHERE qt.query_id = sn.query_id), 0.0::DOUBLE) / 21.0::DOUBLE AS ov FROM sn),
+sr AS (SELECT query_id, pk, row_number() OVER (PARTITION BY query_id ORDER BY round(0.5::DOUBLE * base + 0.5::DOUBLE * ov, 6) DESC, base DESC, pk) AS rank FROM ov),
+dv AS (SELECT b.query_id, k.pk, k.section, round(list_dot_product(e.embedding::DOUBLE[], a.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]))), 6) AS score
+  FROM k JOIN embeddings e ON e.vec_id = k.pk, b JOIN embeddings a ON a.vec_id = b.query_id),
+dh AS (SELECT * FROM dv QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pk) <= 50),
+dn AS (SELECT query_id, pk, round((score - min(score) OVER w) / CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE max(score) OVER w - min(score) OVER w END - CASE WHEN section LIKE '%相关文档' THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END, 6) AS base FROM dh WINDOW w AS (PARTITION BY query_id)),
+dk AS (SELECT query_id, pk, row_number() OVER (PARTITION BY query_id ORDER BY base DESC, pk) AS rank FROM dn),
+fu AS (SELECT coalesce(sr.query_id, dk.query_id) AS query_id, coalesce(sr.pk, dk.pk) AS pk, sr.rank AS sparse_rank, dk.rank AS dense_rank FROM sr FULL JOIN dk ON sr.query_id = dk.query_id AND sr.pk = dk.pk),
+fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(1.0::DOUBLE / (60 + sparse_rank), 0.0::DOUBLE) + coalesce(1.0::DOUBLE / (60 + dense_rank), 0.0::DOUBLE), 6) DESC, pk) AS f FROM fu),
+cp AS (SELECT fr.*, row_number() OVER (PARTITION BY query_id, path ORDER BY f) AS i FROM fr JOIN k USING (pk) QUALIFY i <= 2)"""
+SQL["hybrid_search"] = f"""WITH {_FULL} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY f) AS position, pk,
+    CASE WHEN sparse_rank IS NULL THEN 'dense' WHEN dense_rank IS NULL THEN 'sparse' ELSE 'dense+sparse' END AS source, sparse_rank, dense_rank FROM cp QUALIFY position <= 5"""
+
+
+def sparse_topk_stored(spark, d):
+    """The same lists from a stored inverted index."""
+    from ..operators import postings
+    from ..sources.scratch import scratch
+
+    path = scratch(spark, "postings")
+    postings.build(chunks(spark, d), path, buckets=16)
+    return postings.search(spark, path, questions(spark, d), 5)
+
+
+QUERIES["sparse_topk_stored"] = sparse_topk_stored
+SQL["sparse_topk_stored"] = SQL["sparse_topk_batch"]

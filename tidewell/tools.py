@@ -15,8 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Settings
-from .functions import text as T
-from .operators import bounded, chunks, ddl, errors, filters, rerank, retrieval
+from .operators import bounded, chunks, ddl, errors, rerank, search
 from .operators import metadata as M
 from .operators.errors import DocumentError, failed, fail, ok
 from .plans import diff, normalise
@@ -73,8 +72,8 @@ def items(df: DataFrame, most: int = 500) -> list[dict]:
 
 
 class Tools:
-    def __init__(self, spark: SparkSession, provider: Provider, settings: Settings | None = None, scorer: rerank.Scorer | None = None):
-        self.spark, self.provider, self.settings, self.scorer = spark, provider, settings or Settings(), scorer
+    def __init__(self, spark: SparkSession, provider: Provider, settings: Settings | None = None, scorer: rerank.Scorer | None = None, embed_query: Callable[[DataFrame], DataFrame] | None = None):
+        self.spark, self.provider, self.settings, self.scorer, self.embed_query = spark, provider, settings or Settings(), scorer, embed_query
 
     def names(self) -> list[str]:
         return list(LABELS)
@@ -171,30 +170,12 @@ class Tools:
     def search_docs(self, query: str, limit: int = 5, mode: str | None = None, version: str | None = None, include_index: bool = False) -> str:
         if not (query or "").strip():
             return fail("a query is needed")
-        index = self.provider.chunks()
-        if index is None:
-            return ok(query=query, hits=[], hit_count=0, degraded="index_missing", hint=dict(errors.HINTS)["index_missing"])
-        guessed = self.spark.range(1).select(T.mode_of(F.lit(query)).alias("m"), T.version_of(F.lit(query)).alias("v")).first()
-        explicit = bool(mode or version)
-        m, v = (mode or "", version or "") if explicit else (guessed.m, guessed.v)
-        own = index.where(filters.scalar(F.col("kind"), F.col("mode"), F.col("version"), m, v, include_index))
-        every = index.where(filters.scalar(F.col("kind"), F.col("mode"), F.col("version"), "", "", include_index))
-        hits = items(self._search(own, query, v, include_index, limit))
-        if not hits and not explicit and (m or v):
-            hits = items(self._search(every, query, "", include_index, limit))
-        return ok(query=query, hits=hits, hit_count=len(hits))
-
-    def _search(self, index: DataFrame, query: str, version: str, include_index: bool, limit: int) -> DataFrame:
-        q = self.spark.createDataFrame([(0, query)], "query_id bigint, query string")
-        scores = retrieval.sparse_route(index, q, self.settings.pool_k, expand=True).drop("rank")
-        if "body" not in index.columns:
-            index = index.withColumn("body", F.regexp_replace("text", r"(?s)^.*? \| ", ""))
-        hits = retrieval.adjusted(scores.join(index, "pk"), version, include_index, T.query_terms(F.lit(query))).withColumn("query", F.lit(query)).withColumnRenamed("rank", "fused_rank")
-        order = "fused_rank"
-        if self.scorer and rerank.mode("", self.settings.rerank_mode) != "off":
-            hits, order = rerank.apply(hits, self.scorer, self.settings.rerank_top_n, self.settings.rerank_passage_chars).withColumnRenamed("position", "_place"), "_place"
-        out = retrieval.capped(hits, order, limit=limit)
-        return out.orderBy("position").select("path", "section", "title", "mode", "version", F.round("final", 5).alias("score"), F.lit("sparse").alias("source"), T.excerpt(F.col("body"), T.query_terms(F.lit(query))).alias("snippet"))
+        out, ledger = search.ask(
+            self.provider.chunks(), query, self.spark, mode=mode, version=version, limit=limit, include_index=include_index, settings=self.settings, scorer=self.scorer, embed_query=self.embed_query,
+        )
+        hits = [] if out is None else items(out.orderBy("position").drop("query_id", "pk", "kind"))
+        more = {"degraded": ledger.degraded, "hint": dict(errors.HINTS)[ledger.degraded]} if ledger.degraded else {}
+        return ok(query=query, hits=hits, hit_count=len(hits), **more)
 
     def read_doc(self, path: str, section: str | None = None, max_chars: int = 6000) -> str:
         index = self.provider.chunks()
