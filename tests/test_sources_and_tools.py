@@ -71,7 +71,7 @@ def test_unpack(tmp_path):
 
 class Server(BaseHTTPRequestHandler):
     answers = {
-        "/ob/tenants": (200, {"successful": True, "data": {"contents": [{"id": 1, "name": "t"}, {"id": 2}]}}), "/ob/clusters/7/stats": (200, {"successful": True, "data": {"cpuTotal": 4}}), "/bad": (200, {"successful": False}), "/gone": (500, {}),
+        "/api/v2/ob/tenants": (200, {"successful": True, "data": {"contents": [{"id": 1, "name": "t"}, {"id": 2}]}}), "/api/v2/ob/clusters/7/stats": (200, {"successful": True, "data": {"cpuTotal": 4}}), "/bad": (200, {"successful": False}), "/gone": (500, {}),
         "/vec": (200, {"data": [{"index": 1, "embedding": [0, 1]}, {"index": 0, "embedding": [1, 0]}]}), "/rank": (200, {"output": {"results": [{"index": 0, "relevance_score": 0.1}, {"index": 1, "score": 0.9}, {"index": 9, "score": 1}]}}),
     }
 
@@ -137,6 +137,8 @@ def test_settings(tmp_path):
     (tmp_path / "s.json").write_text('{"pool_k": 7, "max_rows": 9}')
     s = config.load(str(tmp_path / "s.json"), {"TIDEWELL_POOL_K": "8", "TIDEWELL_SEND_ROW_DATA": "off", "TIDEWELL_RRF_K": "  "})
     assert (s.pool_k, s.max_rows, s.send_row_data, s.rrf_k) == (8, 9, False, 60)
+    (tmp_path / "s.yaml").write_text("pool_k: 6\n")
+    assert config.load(str(tmp_path / "s.yaml"), {}).pool_k == 6
     for bad in ({"TIDEWELL_MAX_ROWS": "0"}, {"TIDEWELL_SEND_ROW_DATA": "maybe"}, {"TIDEWELL_DEFAULT_RETRIEVER": "x"}, {"TIDEWELL_WEIGHT_SPARSE": "-1"}):
         with pytest.raises(ValueError):
             config.load(None, bad)

@@ -48,14 +48,24 @@ def boolean(text: str) -> bool:
     raise ValueError(f"not a truth value: {text!r}")
 
 
+def _read(path: str) -> dict:
+    with open(path) as f:
+        if not path.endswith((".yaml", ".yml")):
+            return json.load(f)
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError("YAML settings need the yaml package; JSON does without") from e
+        return yaml.safe_load(f) or {}
+
+
 def load(path: str | None = None, env: dict[str, str] | None = None, prefix: str = "TIDEWELL_") -> Settings:
-    """A JSON file's values, then the environment's (blank ones are ignored)."""
+    """Values of a JSON or YAML file, then the environment's (blank ones are ignored)."""
     env = dict(os.environ) if env is None else env
     out = Settings()
     given: dict = {}
     if path:
-        with open(path) as f:
-            given |= json.load(f)
+        given |= _read(path)
     for f in fields(Settings):
         raw = env.get(prefix + f.name.upper(), "").strip()
         if raw:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.errors import DocumentPathError
 
+# Fixed value: the folder that paths of the corpus are given under.
 PREFIX = "ob_wiki/"
 
 

@@ -76,17 +76,17 @@ class _Reader(DataSourceReader):
             yield (json.dumps(item, ensure_ascii=False),)
 
 
-#: call: (path under the control plane, whether it is a list); ids stand in braces
+# Paths of the control plane, and whether a call gives a list; ids stand in braces.
 CALLS = {
-    "tenants": ("/ob/tenants", True),
-    "tenant": ("/ob/clusters/{cluster_id}/tenants/{tenant_id}", False),
-    "clusters": ("/ob/clusters", True),
-    "cluster_stats": ("/ob/clusters/{cluster_id}/stats", False),
-    "server_stats": ("/ob/clusters/{cluster_id}/serverStats", True),
-    "slow_sql": ("/ob/clusters/{cluster_id}/tenants/{tenant_id}/slowSql", True),
-    "sql_text": ("/ob/clusters/{cluster_id}/tenants/{tenant_id}/sqls/{sql_id}/text", False),
-    "top_plans": ("/ob/clusters/{cluster_id}/tenants/{tenant_id}/sqls/{sql_id}/topPlan", True),
-    "plan": ("/ob/clusters/{cluster_id}/tenants/{tenant_id}/plans/{uid}/explain", False),
+    "tenants": ("/api/v2/ob/tenants", True),
+    "tenant": ("/api/v2/ob/clusters/{cluster_id}/tenants/{tenant_id}", False),
+    "clusters": ("/api/v2/ob/clusters", True),
+    "cluster_stats": ("/api/v2/ob/clusters/{cluster_id}/stats", False),
+    "server_stats": ("/api/v2/ob/clusters/{cluster_id}/serverStats", True),
+    "slow_sql": ("/api/v2/ob/clusters/{cluster_id}/tenants/{tenant_id}/slowSql", True),
+    "sql_text": ("/api/v2/ob/clusters/{cluster_id}/tenants/{tenant_id}/sqls/{sql_id}/text", False),
+    "top_plans": ("/api/v2/ob/clusters/{cluster_id}/tenants/{tenant_id}/sqls/{sql_id}/topPlan", True),
+    "plan": ("/api/v2/ob/clusters/{cluster_id}/tenants/{tenant_id}/plans/{uid}/explain", False),
 }
 
 
