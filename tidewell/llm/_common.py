@@ -151,14 +151,18 @@ for _a, _b, _to in ((48, 57, 48), (97, 122, 97), (65, 90, 97)):
 
 
 class Terms:
-    """Terms (runs of letters and digits, A-Z folded) of some texts laid end to end."""
+    """Terms (runs of letters and digits, A-Z folded, with ``latin`` also À-Þ) of some texts laid end to end."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], latin: bool = False):
         self.buf, self.at = joined(texts)
         folded = TERM_BYTE[self.buf]
+        if latin:  # C3 80 .. C3 9E but for the times sign, C3 97
+            low = self.buf[1:]
+            folded[1:] += ((self.buf[:-1] == 0xC3) & (low >= 0x80) & (low <= 0x9E) & (low != 0x97)).astype(np.uint8) * np.uint8(0x20)
         edge = np.flatnonzero(np.diff(np.concatenate(([0], folded != 0, [0])).astype(np.int8)))
         self.begin, self.end = edge[0::2], edge[1::2]
-        self.hash = Spans(folded.astype(np.uint64), BYTE_BASE)(self.begin, self.end)
+        self.spans = Spans(folded.astype(np.uint64), BYTE_BASE)
+        self.hash = self.spans(self.begin, self.end)
         self.first = np.searchsorted(self.begin, self.at)
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(texts)), self.count)

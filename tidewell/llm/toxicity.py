@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BYTE_BASE, TERM_BYTE, Spans, Terms, sigmoid, slabs, stored
+from ._common import Terms, sigmoid, slabs, stored
 
 SAMPLE, FEATURES = 4000, 4000
 LEAST_DOCS, LEAST_RATIO = 5, 12.0
@@ -36,8 +36,7 @@ class Bags:
     """Terms of some texts with the sentence of each; a sentence is a stretch with terms and without an end mark."""
 
     def __init__(self, texts: list[bytes]):
-        self.t = Terms(texts)
-        self.spans = Spans(TERM_BYTE[self.t.buf].astype(np.uint64), BYTE_BASE)
+        self.t = Terms(texts, latin=True)
         mark = np.concatenate(([0], np.cumsum(_ENDS[self.t.buf])))[self.t.begin] + self.t.doc
         self.sentence = np.concatenate(([0], np.cumsum(np.diff(mark) != 0))) if len(mark) else mark
         n = self.sentence[-1] + 1 if len(mark) else 0
@@ -49,7 +48,7 @@ class Bags:
         size = self.t.end - self.t.begin
         for n in PREFIXES:
             at = np.flatnonzero(size > n)
-            yield self.spans(self.t.begin[at], self.t.begin[at] + n) ^ np.uint64(n), at
+            yield self.t.spans(self.t.begin[at], self.t.begin[at] + n) ^ np.uint64(n), at
 
 
 class Lexicon:
