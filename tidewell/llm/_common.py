@@ -131,16 +131,25 @@ def text_bytes(column) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.large_binary()).to_pylist()]
 
 
-def slabs(column, most: int = 4_000_000):
-    """Runs of rows of a batch whose texts come to about ``most`` bytes (a longer text is a run of its own)."""
-    texts, begin, size = text_bytes(column), 0, 0
-    for i, t in enumerate(texts):
-        if i > begin and size + len(t) > most:
-            yield begin, texts[begin:i]
-            begin, size = i, 0
-        size += len(t)
-    if texts:
-        yield begin, texts[begin:]
+#: Bytes of text that are worked on at once; the arrays made of them take some sixty times as much.
+SLAB = 1_000_000
+
+
+def slabs(column, most: int = SLAB):
+    """Runs of rows of a batch whose texts come to about ``most`` bytes (a longer text is a run of its own): where each begins, and its texts.
+
+    Only one run is held beside the batch."""
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    begin = held = 0
+    for i, n in enumerate(size.tolist()):
+        if i > begin and held + n > most:
+            yield begin, text_bytes(column.slice(begin, i - begin))
+            begin, held = i, 0
+        held += n
+    if len(size):
+        yield begin, text_bytes(column.slice(begin))
 
 
 #: Lower-case ASCII letters, digits and every byte of a non-ASCII character stand for themselves; all else separates terms.

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored, text_bytes
+from ._common import slabs, stored
 from .components import components
 
 DISTANCE, SHINGLE, SEED = 4, 4, 42
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t) for t in text_bytes(b.column(2))], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t) for _, part in slabs(b.column(2)) for t in part], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], ["doc_id", "th", "fp"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id bigint, th bigint, fp bigint")

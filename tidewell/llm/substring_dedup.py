@@ -68,7 +68,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in slabs(batch.column(2), 1_500_000):
+            for at, texts in slabs(batch.column(2)):
                 s = Slab(texts)
                 i, p = s.anchors()
                 p = np.unique(p)
@@ -99,7 +99,7 @@ def _extended(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in slabs(batch.column(2), 1_500_000):
+            for at, texts in slabs(batch.column(2)):
                 s = Slab(texts)
                 kept = batch.column(3).slice(at, len(texts))
                 doc = np.repeat(np.arange(len(texts)), [len(x) for x in kept])
@@ -124,7 +124,7 @@ def _runs(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in slabs(batch.column(2), 1_500_000):
+            for at, texts in slabs(batch.column(2)):
                 s = Slab(texts)
                 kept = batch.column(3).slice(at, len(texts))
                 doc = np.repeat(np.arange(len(texts)), [len(x) for x in kept])
@@ -156,8 +156,8 @@ def _cut(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, cuts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                found = (text or "").encode().split()
+            for text, cuts in ((t, c) for at, part in slabs(batch.column(2)) for t, c in zip(part, batch.column(3).slice(at, len(part)).to_pylist(), strict=True)):
+                found = text.split()
                 edge = np.zeros(len(found) + 1, np.int64)
                 begin = np.array([c["start"] for c in cuts])
                 np.add.at(edge, begin, 1)
@@ -190,7 +190,8 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # 50 words
     runs = stored(_runs(second))
     kinds = stored(runs.groupBy("anchor", "whole").agg(F.min("doc_id").alias("least")))
-    mixed = kinds.groupBy("anchor").agg((F.min("whole") != F.max("whole")).alias("mixed"))
+    # written first: a join of two plain exchanges is split where an anchor is hot
+    mixed = stored(kinds.groupBy("anchor").agg((F.min("whole") != F.max("whole")).alias("mixed")))
     kinds = stored(kinds.join(mixed, "anchor"))
     # one row per run: its kind's least doc_id, and its windows if it is the first of a kind to be opened
     first_of = (F.col("least") == F.col("doc_id")) & F.col("mixed")
