@@ -51,6 +51,21 @@ def test_templates_without_an_article_element(spark):
     assert prose(77, 60) in got[200]
 
 
+def test_the_template_decides_on_pages_with_article_elements(spark):
+    """Template text inside articles is dropped; teasers in article elements give way to the template's slot with more text."""
+    def plain(i):
+        return f"<html><body><article><p>Read us daily</p><p>{prose(i, 40)}</p><div class=by>From our desk</div></article></body></html>"
+
+    def teasers(i):
+        return f"<html><body><div class=body><h1>{prose(i + 900, 4)}</h1><p>{prose(i, 60)}</p></div><article><p>{prose(i + 300, 9)}</p></article></body></html>"
+
+    rows = [(i, f"http://a.example/{i}", plain(i)) for i in range(8)] + [(100 + i, f"http://b.example/{i}", teasers(i)) for i in range(8)]
+    got = {r.page_id: r.text for r in html_extract.op7(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()}
+    for i in range(8):
+        assert got[i] == prose(i, 40)
+        assert got[100 + i] == f"{prose(i + 900, 4)}\n{prose(i, 60)}"
+
+
 def test_pages_on_odd_input(spark):
     schema = "page_id bigint, url string, html string, host string, drop string, elements string, text string, n_chars string"
     rows = [(1, None, None), (1, "x", ""), (None, "http://a/", "<p>a</p>"), (2, "http://a/", "<p>" + "w " * 200_000 + "</p>"), (2, "http://a/", "<p>a</p>")]

@@ -1,16 +1,18 @@
 """HTML extraction by equivalence-class template deduction.
 
 A page is a row of tokens: its block-level elements, each named by its path of tags with class and id, and its stretches of
-text outside article elements, each named by path and words.  For every host, the tokens' occurrence vectors over its pages are summed into
+text, inside article elements too, each named by path and words.  For every host, the tokens' occurrence vectors over its pages are summed into
 signatures (a hash of page and count, added up, so vectors are never gathered); tokens with one signature are an
 equivalence class.  The class with one occurrence on every page is valid at the root of the template; other classes
 of two tokens or more on a third of the pages at least are valid if they lie inside it, and nest there.
-Text of valid classes is the template's own and is dropped; what stands between the tokens of the template is its slots.
+Text of valid classes is the template's own and is dropped wherever it stands; what stands between the tokens of the template
+is its slots, and what they hold is their text without the template's.
 A token counts towards a class only if it stands on ``PAGES`` different pages, so copies of one page are no template.
 Slots inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments, told by their elements'
-names, classes and roles, are none of the article.  The article is the slot of the page's article or main element; a page
-without one takes that template element which holds most of the host's free text (at least ``MASS`` of it, the innermost), or
-else all of its slots.  A host of fewer than ``PAGES`` pages has no vectors to compare and gives its elements alone.
+names, classes and roles, are none of the article.  A page's article and main elements are one slot, set against the host's
+others: if, over the pages that have them, one template element beside them holds more than they do, that element is the
+article (the innermost with ``MASS`` of the largest), else they are.  A page without any of these
+takes that template element which holds most of the host's free text (at least ``MASS`` of it, the innermost), or else all of its slots.  A host of fewer than ``PAGES`` pages has no vectors to compare and gives its elements alone.
 
 Defined results: null or empty html gives empty text; a null or odd url is a host of its own kind; rows that share a
 page_id are pages of their own; an empty table gives an empty result; other columns are left aside."""
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from ._common import stored
 
 PAGES, MASS = 4, 0.6
+PAGE = 0
 #: Numbers in all templates up to which they are sent to every executor; beyond it pages and templates are shuffled by host.
 BROADCAST = 2_000_000
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
@@ -42,6 +45,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 RAW = frozenset("script style noscript template textarea iframe svg math object".split())
 NOT_ARTICLE = frozenset("head nav footer aside form menu dialog button select option".split())
 SECTION = frozenset("article main".split())
+#: Elements that are one paragraph, heading or cell: no slot for an article, whose other paragraphs stand beside them.
+LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre caption figcaption summary address".split())
 CLOSES = {"li": frozenset(["li"]), "p": frozenset(["p"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"])}
 ROLES = frozenset("navigation banner contentinfo complementary search menu dialog alert form".split())
 WORDS = frozenset(
@@ -154,18 +159,30 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def tokens(blocks: list[Block], paths: Counter) -> dict[int, tuple[int, int]]:
-    """Of each token of a page: how often it occurs, and (for elements) the free text inside."""
-    mass: Counter = Counter()
-    texts: Counter = Counter()
+def tag_token(path: str) -> int:
+    return _signed(_hash("tag", path))
+
+
+def text_token(b: Block) -> int:
+    return _signed(_hash("text", b.path, b.text, f"{b.free:d}{b.own >= 0:d}"))
+
+
+def tokens(blocks: list[Block], paths: Counter) -> dict[int, tuple[int, tuple[int, int, int], list[int] | None]]:
+    """Of each token of a page: how often it occurs, its free text (in all, in article and main elements, beside them on a page
+    that has them), and for a stretch of text the elements around it that can be slots.  The page itself is a token, ``PAGE``."""
+    has = any(b.own >= 0 and b.free for b in blocks)
+    keys = {p: tag_token(p) for p in paths}
+    slots = {p for p in paths if p.rsplit("/", 1)[-1].split(".")[0] not in LEAF}
+    out: dict[int, list] = {PAGE: [1, 0, 0, 0, None]} | {keys[p]: [n, 0, 0, 0, None] for p, n in paths.items()}
     for b in blocks:
-        if b.own < 0:
-            texts[_hash("text", b.path, b.text)] += 1
+        around = [PAGE, *dict.fromkeys(keys[p] for p in b.named if p in slots)]
+        own = out.setdefault(text_token(b), [0, 0, 0, 0, around])
+        own[0] += 1
         if b.free:
-            for p in b.named:
-                mass[p] += len(b.text)
-    out = {_hash("tag", p): (n, mass[p]) for p, n in paths.items()}
-    return out | {k: (n, 0) for k, n in texts.items()}
+            for s in (own, *(out[t] for t in around)):
+                s[1] += len(b.text)
+                s[2 if b.own >= 0 else 3] += len(b.text) if has else 0
+    return {k: (n, (a, s, o), around) for k, (n, a, s, o, around) in out.items()}
 
 
 def host(url):
@@ -173,90 +190,103 @@ def host(url):
 
 
 def vectors(pages: DataFrame) -> DataFrame:
-    """host, token, pages (that have it), signature of its occurrence vector, mass; tokens on ``PAGES`` different pages or more.
+    """host, token, pages (that have it), signature of its occurrence vector, mass, inside, beside, around (see ``tokens``); tokens
+    on ``PAGES`` different pages or more.
 
     Sums per batch, then in all.  Different pages are counted by a 64-bit table that is or-ed together: its bits never outnumber them."""
+    sums_of = ["pages", "part", "seen", "total", "mass", "inside", "beside"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+            sums: dict[tuple[str, int], list] = defaultdict(lambda: [0, 0, 0, 0, 0, 0, 0, None])
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = _hash(page)
-                for token, (n, mass) in [*tokens(*parse(page)).items(), (0, (1, 0))]:
+                for token, (n, (mass, inside, beside), around) in tokens(*parse(page)).items():
                     s = sums[name, token]
                     s[0] += 1
                     s[1] += _hash(str(own), str(n)) >> 16  # 48 bits: sums of 32768 pages fit in a signed number
                     s[2] |= 1 << own % 64
-                    s[3] += mass
+                    s[3] += n
+                    s[4] += mass
+                    s[5] += inside
+                    s[6] += beside
+                    s[7] = around
             keys = list(sums)
-            cols = [pa.array([k[0] for k in keys], pa.string()), pa.array([_signed(k[1]) for k in keys], pa.int64())]
-            cols += [pa.array([_signed(sums[k][i]) for k in keys], pa.int64()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays(cols, ["host", "token", "pages", "part", "seen", "mass"])
+            cols = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64())]
+            cols += [pa.array([_signed(sums[k][i]) for k in keys], pa.int64()) for i in range(7)] + [pa.array([sums[k][7] for k in keys], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["host", "token", *sums_of, "around"])
 
     whole = pages.select(host(F.col("url")).alias("host"), F.col("html").alias("page")).where("page is not null")
-    got = whole.mapInArrow(run, "host string, token bigint, pages bigint, part bigint, seen bigint, mass bigint")
+    got = whole.mapInArrow(run, "host string, token bigint, " + ", ".join(f"{c} bigint" for c in sums_of) + ", around array<bigint>")
+    # a text's elements follow from its path, so any row's are right
     summed = got.groupBy("host", "token").agg(
-        F.sum("pages").alias("pages"), F.sum(F.col("part").cast("decimal(38,0)")).alias("signature"), F.bit_or("seen").alias("seen"), F.sum("mass").alias("mass")
+        F.sum(F.col("part").cast("decimal(38,0)")).alias("signature"), F.bit_or("seen").alias("seen"), F.max("around").alias("around"), *[F.sum(c).alias(c) for c in sums_of if c not in ("part", "seen")]
     )
     return summed.where(F.bit_count("seen") >= PAGES).drop("seen")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """One row per host with ``PAGES`` different pages or more: drop (tokens of valid classes), elements (root elements that hold MASS of the free text, the innermost first)."""
+    """One row per host with ``PAGES`` different pages or more: drop (texts of valid classes), elements (root elements that hold
+    MASS of the free text, the innermost first), rivals (template elements beside articles that hold more than these, likewise)."""
     v = stored(vectors(pages))
-    # the page itself is a token (0) with one occurrence: its vector is that of the root class
-    whole = v.where("token = 0").select(F.col("host").alias("_host"), F.col("pages").alias("_pages"), F.col("signature").alias("_root"))
-    v = v.where("token <> 0").join(whole, F.col("host") == F.col("_host"))
+    # the vector of the page itself is that of the root class
+    whole = v.where(F.col("token") == PAGE).select(F.col("host").alias("_host"), F.col("pages").alias("_pages"), F.col("signature").alias("_root"))
+    v = v.join(whole, F.col("host") == F.col("_host"))
     # a class has one vector, so no more members than one page has tokens
     classes = v.groupBy("host", "signature").agg(
-        F.count(F.lit(1)).alias("size"), F.min("pages").alias("pages"), F.first("_pages").alias("_pages"), F.first("_root").alias("_root"), F.collect_list(F.struct("token", "mass")).alias("members")
-    )
+        F.count(F.lit(1)).alias("size"), F.min("pages").alias("pages"), F.first("_pages").alias("_pages"), F.first("_root").alias("_root"),
+        F.collect_list(F.struct("token", "around", (F.col("total") == F.col("pages")).alias("once"), "mass", "inside", "beside")).alias("members"),
+    )
     root = F.col("signature") == F.col("_root")
     valid = classes.where(root | ((F.col("size") >= 2) & (F.col("pages") * 3 >= F.col("_pages"))))
-    rows = valid.select("host", root.alias("root"), F.explode("members").alias("m")).select("host", "root", "m.token", "m.mass")
-    return rows.groupBy("host").agg(
-        F.sort_array(F.collect_set("token")).alias("drop"), F.max("mass").alias("most"), F.collect_list(F.when(F.col("root") & (F.col("mass") > 0), F.struct("mass", "token"))).alias("holders")
-    ).select(
-        F.col("host").alias("_host"), "drop",
-        F.transform(F.array_sort(F.filter("holders", lambda h: h["mass"] >= F.col("most") * MASS)), lambda h: h["token"]).alias("elements"),
+    rows = stored(valid.select("host", root.alias("root"), F.explode("members").alias("m")).select("host", "root", "m.*"))
+    own = rows.where("around is not null").select(F.col("host").alias("_h"), F.explode("around").alias("_t"), "mass", "inside", "beside")
+    own = own.groupBy("_h", "_t").agg(*[F.sum(c).alias(f"_{c}") for c in ("mass", "inside", "beside")])
+    held = rows.join(own, (F.col("host") == F.col("_h")) & (F.col("token") == F.col("_t")), "left").select(
+        "host", "root", "token", "once", (F.col("token") == PAGE).alias("page"), F.col("around").isNotNull().alias("text"), F.col("inside").alias("all_inside"),
+        *[(F.col(c) - F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in ("mass", "inside", "beside")],
+    )
+    slot = lambda size, which: F.collect_list(F.when(~F.col("page") & ~F.col("text") & which & (F.col(size) > 0), F.struct(F.col(size).alias("mass"), "token")))
+    got = held.groupBy("host").agg(
+        F.sort_array(F.collect_set(F.when(F.col("text"), F.col("token")))).alias("drop"), F.max(F.when(F.col("page"), F.col("inside"))).alias("inside"),
+        slot("mass", F.col("root")).alias("holders"), slot("beside", F.col("once") & (F.col("all_inside") == 0)).alias("others"),
+    )
+    most = lambda slots: F.array_max(F.transform(slots, lambda h: h["mass"]))
+    inner = lambda slots: F.transform(F.array_sort(F.filter(slots, lambda h: h["mass"] >= most(slots) * MASS)), lambda h: h["token"])
+    return got.select(
+        F.col("host").alias("_host"), "drop", inner(F.col("holders")).alias("elements"),
+        F.when(most(F.col("others")) > F.col("inside"), inner(F.col("others"))).otherwise(F.array().cast("array<bigint>")).alias("rivals"),
     )
 
 
-def article(page: str, drop: frozenset[int] = frozenset(), elements: list[int] | tuple = ()) -> str:
+def article(page: str, drop: frozenset[int] = frozenset(), elements: list[int] | tuple = (), rivals: list[int] | tuple = ()) -> str:
     blocks, _ = parse(page)
     blocks = [b for b in blocks if b.free]
-    own = Counter()
-    for b in blocks:
-        if b.own >= 0:
-            own[b.own] += len(b.text)
-    if own:
-        kept = [b for b in blocks if b.own >= 0]
-    else:
-        kept = blocks
-        for e in elements:
-            inside = [b for b in blocks if any(_signed(_hash("tag", p)) == e for p in b.named)]
-            if inside:
-                kept = inside
-                break
-    return "\n".join(b.text for b in kept if b.own >= 0 or not drop or _signed(_hash("text", b.path, b.text)) not in drop)
+    kept = [b for b in blocks if b.own >= 0]
+    for e in rivals if kept else elements:
+        inside = [b for b in blocks if any(tag_token(p) == e for p in b.named)]
+        if inside:
+            kept = inside
+            break
+    return "\n".join(b.text for b in kept or blocks if not drop or text_token(b) not in drop)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text."""
     template = stored(templates(pages))
-    size = template.agg(F.sum(F.size("drop") + F.size("elements") + 8)).first()[0] or 0
+    size = template.agg(F.sum(F.size("drop") + F.size("elements") + F.size("rivals") + 8)).first()[0] or 0
     if size <= BROADCAST:
         template = F.broadcast(template)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for page, drop, elements in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                out.append(article(page or "", frozenset(drop or ()), elements or ()))
+            for page, drop, elements, rivals in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+                out.append(article(page or "", frozenset(drop or ()), elements or (), rivals or ()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(template, F.col("host") == F.col("_host"), "left")
-    return rows.select("page_id", "url", "html", "drop", "elements").mapInArrow(run, "page_id bigint, url string, text string")
+    return rows.select("page_id", "url", "html", "drop", "elements", "rivals").mapInArrow(run, "page_id bigint, url string, text string")
 
 
 def op7(pages: DataFrame) -> DataFrame:
