@@ -1,7 +1,9 @@
 """Quality rules, co-training, toxicity, licences."""
 
+import json
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -133,6 +135,56 @@ def test_licences_by_hand(spark):
     assert by["r/c/d/w.py"] == ("CC-BY-NC-4.0", "r/c") and by["q/v.py"] == (None, None) and by[None] == (None, None) and by["top.py"] == (None, None)
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_wrapped_headers_and_whole_licence_texts(spark):
+    gpl = """# mod.py - {}
+#
+# This {} is free software: you can redistribute it and/or modify
+# it under the terms of the GNU {}General Public License as published by
+# the Free Software Foundation, either version {} of the License, or
+# (at your option) any later version.
+
+import os
+"""
+    bsd = "/* Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:\n */\nint x;"
+    # full texts by their counts of terms: order has no weight
+    full = {n: " ".join(f"{t} " * c for t, c in v.items()) for n, v in json.loads(Path(license_scan.__file__).with_name("licence_texts.json").read_text()).items()}
+    rows = [("a/m.py", gpl.format("a tool", "program", "", "3")), ("a/n.py", gpl.format("a tool", "program", "", "2")), ("a/l.py", gpl.format("a tool", "library", "Lesser ", "2.1")), ("b/x.c", bsd), ("c/LICENSE", MIT), ("c/d/x.txt", "hello")]
+    rows += [(f"{n}/COPYING", t) for n, t in full.items()]
+    got = {r.path: r.licence for r in license_scan.inherit(license_scan.scan(spark.createDataFrame(rows, "path string, text string"))).collect()}
+    assert [got[p] for p in ("a/m.py", "a/n.py", "a/l.py", "b/x.c", "c/LICENSE", "c/d/x.txt")] == ["GPL-3.0", "GPL-2.0", "LGPL-2.1", "BSD-3-Clause", "MIT", "MIT"]
+    assert all(got[f"{n}/COPYING"] == n for n in full)
+
+
+def test_a_full_licence_text_is_a_licence_file(spark):
+    docs = spark.createDataFrame([(1, MIT, "en", "a", 1), (70, "hello there", "en", "a", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r for r in license_scan.op6(docs).collect()}
+    assert got[1].path == "a/en/0/LICENSE.1" and got[1].licence == "MIT" and (got[70].licence, got[70].inherited_from) == ("MIT", "a/en/0")
+
+
 def test_licences_on_odd_input(empty, clashing, odd):
     assert license_scan.op6(empty).count() == 0
     assert license_scan.op6(clashing).count() == odd.count()

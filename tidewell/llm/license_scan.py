@@ -1,9 +1,11 @@
 r"""Licence scans, in DataFrame functions only.
 
-Every line of a text is a possible header, and the whole text of a licence file (named LICENSE, LICENCE, COPYING, COPYRIGHT or
+Every line of a text is a possible header, and so is every run of 2 to ``LINES`` adjacent lines that are made of the notices' words,
+as headers are wrapped (comment marks are no terms).  The whole text of a licence file (named LICENSE, LICENCE, COPYING, COPYRIGHT or
 NOTICE) is one unit more.  A unit is compared with the notices of known licences by the cosine of TF-IDF vectors (terms are
-runs of ASCII letters and digits, case folded; inverse frequencies are counted over the notices, and a term that no notice
-has weighs as one found in none).  Lines that hold none of a notice's essential terms cannot reach the threshold, so only
+runs of ASCII letters and digits, case folded; inverse frequencies are counted over ``NOTICES``, and a term that none of them
+has weighs as one found in none).  The whole of a licence file is compared with the full texts of licences too, with inverse
+frequencies counted over these; their terms are kept in licence_texts.json.  Lines that hold none of a notice's essential terms cannot reach the threshold, so only
 the others are scored: a notice's terms that are not essential have, together, less than the threshold of its length.
 
 A file takes the licence of its best unit.  A file without one inherits: directories that hold a licence file with a known
@@ -16,9 +18,12 @@ are left aside."""
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +57,32 @@ NOTICES = [
     ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
 ]
 
+#: Further notices: they are weighed by the inverse frequencies of those above, whose scores so stay the same.
+FURTHER = [
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."),
+    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-only"),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-only"),
+]
+
+#: A wrapped header has at most so many lines and, in all, characters: over three times the longest notice, which a run that long
+#: can be near only by holding it more than once, and then a shorter run holds it.
+LINES, CHARS = 12, 1000
+
+#: A whole text without any of these is no licence's.
+SPEAKS = "(?i)licen[sc]|permission|permitted|warrant"
+
 #: Words that prose has everywhere: taken as essential last of all.
 COMMON = frozenset("the a an and or of to in on is it that this these by for with not are be may only any as at under either without from you no use sa la le de un une et en el mit der die das und".split())
 
@@ -76,6 +107,28 @@ def vectors() -> tuple[dict[str, float], float, list[tuple[str, dict[str, float]
     return idf, math.log(n + 1) + 1, out
 
 
+def headers() -> list[tuple[str, dict[str, float]]]:
+    """Unit vectors of all notices, the further ones too."""
+    idf, unknown, notices = vectors()
+    return notices + [(name, _unit(Counter(_terms(t)), idf, unknown)) for name, t in FURTHER]
+
+
+def _unit(counts: dict[str, int], idf: dict[str, float], unknown: float) -> dict[str, float]:
+    raw = {t: c * idf.get(t, unknown) for t, c in counts.items()}
+    size = math.sqrt(sum(x * x for x in raw.values()))
+    return {t: x / size for t, x in sorted(raw.items())}
+
+
+@cache
+def full_texts() -> tuple[dict[str, float], float, list[tuple[str, dict[str, float]]]]:
+    """The same as ``vectors`` for full texts of licences."""
+    sets = json.loads(Path(__file__).with_name("licence_texts.json").read_text())
+    df = Counter(t for s in sets.values() for t in s)
+    idf = {t: math.log((len(sets) + 1) / (d + 1)) + 1 for t, d in sorted(df.items())}
+    unknown = math.log(len(sets) + 1) + 1
+    return idf, unknown, [(name, _unit(s, idf, unknown)) for name, s in sets.items()]
+
+
 def essential(notices: list[tuple[str, dict[str, float]]], least: float = THRESHOLD) -> list[str]:
     """Terms of which a unit must hold one to reach ``least`` with any notice.
 
@@ -92,43 +145,90 @@ def essential(notices: list[tuple[str, dict[str, float]]], least: float = THRESH
     return sorted(found)
 
 
-def best(unit: Column) -> Column:
-    """struct(score, licence) of the notice nearest to a text, null score below the threshold."""
-    idf, unknown, notices = vectors()
-    pairs = lambda d: F.create_map(*[x for t, v in d.items() for x in (F.lit(t), F.lit(v))])
-    weights = F.array(*[F.struct(F.lit(name).alias("name"), pairs(v).alias("v")) for name, v in notices])
-    terms = F.array_sort(F.filter(F.split(F.lower(unit), "[^a-z0-9]+"), lambda t: t != ""))
+def _weights(idf: dict[str, float], unknown: float, notices: list[tuple[str, dict[str, float]]]) -> Column:
+    """A fixed map: of each term its inverse frequency and its weight in each notice."""
+    every = sorted(set(idf).union(*[v for _, v in notices]))
+    table = {t: [idf.get(t, unknown), *[v.get(t, 0.0) for _, v in notices]] for t in every}
+    return F.from_json(F.lit(json.dumps(table)), "map<string,array<double>>")
+
+
+def _terms_of(unit: Column) -> Column:
+    return F.filter(F.split(F.lower(unit), "[^a-z0-9]+"), lambda t: t != "")
+
+
+def nearest(unit: Column, idf: dict[str, float], unknown: float, notices: list[tuple[str, dict[str, float]]]) -> Column:
+    """struct(score, licence) of the notice nearest to a text."""
+    weights = _weights(idf, unknown, notices)
+    names = F.array(*[F.lit(name) for name, _ in notices])
+    zeros = F.array_repeat(F.lit(0.0), len(notices) + 1)
 
     def scored(counted):
         size = F.sqrt(F.aggregate(counted, F.lit(0.0), lambda a, c: a + c["x"] * c["x"]))
-        dot = lambda v: F.aggregate(counted, F.lit(0.0), lambda a, c: a + c["x"] * F.coalesce(F.try_element_at(v, c["t"]), F.lit(0.0)))
-        cosine = lambda n: F.when(size > 0, F.round(dot(n["v"]) / size, 9)).otherwise(0.0)
-        every = F.transform(weights, lambda n: F.struct((-cosine(n)).alias("less"), n["name"].alias("licence")))
+        dots = F.aggregate(F.filter(counted, lambda c: c["w"].isNotNull()), zeros, lambda a, c: F.zip_with(a, c["w"], lambda y, w: y + c["x"] * w))
+        one = lambda dot, name, size: F.struct((-F.when(size > 0, F.round(dot / size, 9)).otherwise(0.0)).alias("less"), name.alias("licence"))
+        every = let(F.struct(size.alias("size"), dots.alias("dots")), lambda d: F.zip_with(F.slice(d["dots"], 2, len(notices)), names, lambda dot, name: one(dot, name, d["size"])))
         return let(F.array_min(every), lambda m: F.struct((-m["less"]).alias("score"), m["licence"].alias("licence")))
 
     def of(ts):
         at = F.filter(F.sequence(F.lit(0), F.size(ts)), lambda i: (i == F.size(ts)) | (i == 0) | (F.get(ts, i) != F.get(ts, i - 1)))
         runs = lambda at: F.transform(
             F.filter(F.sequence(F.lit(0), F.size(at) - 2), lambda k: F.size(at) > 1),
-            lambda k: F.struct(
-                F.get(ts, F.get(at, k)).alias("t"),
-                ((F.get(at, k + 1) - F.get(at, k)) * F.coalesce(F.try_element_at(pairs(idf), F.get(ts, F.get(at, k))), F.lit(unknown))).alias("x"),
+            lambda k: let(
+                F.struct((F.get(at, k + 1) - F.get(at, k)).alias("c"), F.try_element_at(weights, F.get(ts, F.get(at, k))).alias("w")),
+                lambda p: F.struct((p["c"] * F.coalesce(F.get(p["w"], F.lit(0)), F.lit(unknown))).alias("x"), p["w"].alias("w")),
             ),
         )
         return let(let(at, runs), scored)
 
-    return F.when(F.lit(True), let(terms, of))
+    return F.when(F.lit(True), let(F.array_sort(_terms_of(unit)), of))
+
+
+def best(unit: Column) -> Column:
+    """struct(score, licence) of the notice nearest to a text."""
+    idf, unknown, _ = vectors()
+    return nearest(unit, idf, unknown, headers())
+
+
+def whole(text: Column) -> Column:
+    """struct(score, licence) of the full licence text nearest to a text, null for a text that speaks of no licence."""
+    return F.when(text.rlike(SPEAKS), nearest(text, *full_texts()))
+
+
+def _hint() -> str:
+    return "(?i)(^|[^a-z0-9])(" + "|".join(essential(headers())) + ")([^a-z0-9]|$)"
+
+
+def wrapped(lines: Column) -> Column:
+    """Runs of 2 to ``LINES`` adjacent lines that can be one header: a third of each line's terms at least are those of notices."""
+    idf, unknown, _ = vectors()
+    known = _weights(idf, unknown, headers())
+    fits = lambda s: let(_terms_of(s), lambda ts: F.size(F.filter(ts, lambda t: F.try_element_at(known, t).isNotNull())) * 3 >= F.size(ts))
+
+    def runs(d):
+        ls, ok, n = d["lines"], d["ok"], F.size(d["lines"])
+        ends = lambda s: F.filter(F.sequence(s + 2, F.greatest(F.least(s + LINES, n), s + 2)), lambda e: (e <= n) & F.forall(F.slice(ok, s + 1, e - s), lambda x: x))
+        of = lambda s: F.transform(F.when(F.get(ok, s), ends(s)).otherwise(F.array().cast("array<int>")), lambda e: F.array_join(F.slice(ls, s + 1, e - s), " "))
+        return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), of)), lambda u: (F.length(u) <= CHARS) & u.rlike(_hint()))
+
+    lined = F.struct(lines.alias("lines"), F.transform(lines, lambda s: F.when(F.length(s) <= CHARS, fits(s)).otherwise(F.lit(False))).alias("ok"))
+    return F.when(F.exists(lines, lambda s: s.rlike(_hint())), let(lined, runs)).otherwise(F.array().cast("array<string>"))
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """``files``: path, text.  Adds own_licence, own_score: of its best line, or of the whole of a licence file."""
-    hint = "(?i)(^|[^a-z0-9])(" + "|".join(essential(vectors()[2])) + ")([^a-z0-9]|$)"
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda s: s.rlike(hint))
-    name = F.substring_index("path", "/", -1)
-    whole = F.when(name.rlike(FILE_NAME), F.array(F.coalesce("text", F.lit("")))).otherwise(F.array().cast("array<string>"))
+    """``files``: path, text.  Adds own_licence, own_score: of its best line or header, or of the whole of a licence file."""
+    text = F.coalesce("text", F.lit(""))
+    none = F.array().cast("array<string>")
+    named = F.substring_index("path", "/", -1).rlike(FILE_NAME)
     order = lambda b: F.struct((-b["score"]).alias("less"), b["licence"].alias("licence"))
-    top = F.array_min(F.transform(F.filter(F.transform(F.concat(lines, whole), best), lambda b: b["score"] >= THRESHOLD), order))
-    out = files.withColumn("_top", top)
+    near = lambda units: F.transform(F.filter(F.transform(units, best), lambda b: b["score"] >= THRESHOLD), order)
+
+    def tops(d):
+        # the wrapped headers inside a full licence text are its own
+        units = F.concat(F.filter(d["lines"], lambda s: s.rlike(_hint())), F.when(d["full"]["score"] >= THRESHOLD, none).otherwise(wrapped(d["lines"])), F.when(d["named"], F.array(d["text"])).otherwise(none))
+        return F.concat(near(units), F.when(d["full"]["score"] >= THRESHOLD, F.array(order(d["full"]))).otherwise(F.array().cast("array<struct<less:double,licence:string>>")))
+
+    parts = F.struct(text.alias("text"), F.split(text, "\n", -1).alias("lines"), F.coalesce(named, F.lit(False)).alias("named"), F.when(named, whole(text)).alias("full"))
+    out = files.withColumn("_top", F.array_min(let(parts, tops)))
     return out.withColumn("own_licence", F.col("_top.licence")).withColumn("own_score", -F.col("_top.less")).drop("_top")
 
 
@@ -158,13 +258,15 @@ def inherit(scanned: DataFrame) -> DataFrame:
 def document_paths(docs: DataFrame) -> DataFrame:
     """Documents carry no path: each is placed at source/lang/(id by 4096)/(id by 64)/id.txt.
 
-    A document of fewer than 60 words that names a licence in a line of its own is the licence file LICENSE.id of the
-    directory one level up."""
+    A document of fewer than 60 words that names a licence in a line of its own, or whose whole text, of any length, is near a
+    notice or a full licence text, is the licence file LICENSE.id of the directory one level up."""
+    text = F.coalesce("text", F.lit(""))
+    match = F.coalesce(F.when(text.rlike(SPEAKS), F.greatest(best(text)["score"], whole(text)["score"]) >= THRESHOLD), F.lit(False))
     short = F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+")) < 60
     notice = F.exists(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda s: s.rlike(r"(?i)^(licensed|released|this work is licensed) under "))
     base = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.expr("string(doc_id div 4096)"))
     inner = F.concat(base, F.lit("/"), F.expr("string(doc_id div 64)"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return docs.select("doc_id", "text", F.when(short & notice, F.concat(base, F.lit("/LICENSE."), F.col("doc_id").cast("string"))).otherwise(inner).alias("path"))
+    return docs.select("doc_id", "text", F.when((short & notice) | match, F.concat(base, F.lit("/LICENSE."), F.col("doc_id").cast("string"))).otherwise(inner).alias("path"))
 
 
 def op6(docs: DataFrame) -> DataFrame:
@@ -199,4 +301,5 @@ SELECT doc_id, path, own_licence, round(own_score, 6) AS own_score, coalesce(own
 """
 
 
+#: What the query gives where notices stand in one line each, are those of ``NOTICES``, and no full licence text is among the documents.
 SQL = _sql()
