@@ -66,6 +66,25 @@ def test_the_template_decides_on_pages_with_article_elements(spark):
         assert got[100 + i] == f"{prose(i + 900, 4)}\n{prose(i, 60)}"
 
 
+def test_classes_must_nest_and_keep_their_order(spark):
+    """Of texts on half the pages of a host, a box in its place is template; two paragraphs, and boxes in changing order, are not."""
+    def page(i):
+        box = "<div class=box>Our newest box</div>" if i % 2 else ""
+        pair = ["<div class=a>First of two</div>", "<div class=b>Second of two</div>"][:: 1 if i % 4 else -1] if i % 2 == 0 else []
+        said = "<p>Once upon a time</p><p>The end of it</p>" if i % 3 == 0 else ""
+        return f"<html><body><div class=body><p>{prose(i, 40)}</p>{said}</div>{box}<div class=low>{''.join(pair)}</div></body></html>"
+
+    # four pages and eight hosts: with copies, which count once
+    few = [(1000 + 10 * h + i, f"http://f{h}.example/", f"<div class=top>Same frame {h}</div><div class=x><p>{prose(5000 + 10 * h + i % 4, 20)}</p></div>") for h in range(40) for i in range(6)]
+    rows = [(i, "http://n.example/", page(i)) for i in range(12)] + few
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    tokens = {r.token for r in html_extract.templates(df).where("_host = 'n.example'").selectExpr("explode(drop) as token").collect()}
+    is_template = {b.text: html_extract.text_token(b) in tokens for i in range(12) for b in html_extract.parse(page(i))[0]}
+    assert [t for t, x in is_template.items() if x] == ["Our newest box"]
+    got = {r.page_id: r.text for r in html_extract.op7(df).collect()}
+    assert all(got[1000 + 10 * h + i] == prose(5000 + 10 * h + i % 4, 20) for h in range(40) for i in range(6))
+
+
 def test_pages_on_odd_input(spark):
     schema = "page_id bigint, url string, html string, host string, drop string, elements string, text string, n_chars string"
     rows = [(1, None, None), (1, "x", ""), (None, "http://a/", "<p>a</p>"), (2, "http://a/", "<p>" + "w " * 200_000 + "</p>"), (2, "http://a/", "<p>a</p>")]

@@ -3,11 +3,12 @@
 A page is a row of tokens: its block-level elements, each named by its path of tags with class and id, and its stretches of
 text, inside article elements too, each named by path and words.  For every host, the tokens' occurrence vectors over its pages are summed into
 signatures (a hash of page and count, added up, so vectors are never gathered); tokens with one signature are an
-equivalence class.  The class with one occurrence on every page is valid at the root of the template; other classes
-of two tokens or more on a third of the pages at least are valid if they lie inside it, and nest there.
+equivalence class.  The class with one occurrence on every page is valid at the root of the template.  Of the others, tokens
+that stand in one gap between the root's tokens, always the same, are a class of their own; it is valid if it has two tokens or more,
+an element among them, is on a third of the pages at least, and its tokens take turns in one order on all of them.
 Text of valid classes is the template's own and is dropped wherever it stands; what stands between the tokens of the template
 is its slots, and what they hold is their text without the template's.
-A token counts towards a class only if it stands on ``PAGES`` different pages, so copies of one page are no template.
+Equal pages of a host count once, and a token counts only if it stands on ``PAGES`` pages, so copies of one page are no template.
 Slots inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments, told by their elements'
 names, classes and roles, are none of the article.  A page's article and main elements are one slot, set against the host's
 others: if, over the pages that have them, one template element beside them holds more than they do, that element is the
@@ -58,10 +59,10 @@ WORDS = frozenset(
 
 
 class Block:
-    __slots__ = ("text", "path", "named", "own", "free")
+    __slots__ = ("text", "path", "named", "own", "free", "place")
 
-    def __init__(self, text, path, named, own, free):
-        self.text, self.path, self.named, self.own, self.free = text, path, named, own, free
+    def __init__(self, text, path, named, own, free, place):
+        self.text, self.path, self.named, self.own, self.free, self.place = text, path, named, own, free, place
 
 
 def _away(name: str, attrs: str, inside: bool) -> bool:
@@ -79,26 +80,29 @@ def _away(name: str, attrs: str, inside: bool) -> bool:
     return False
 
 
-def parse(page: str) -> tuple[list[Block], Counter]:
-    """Blocks of text in order, and how often each element path occurs.
+def parse(page: str) -> tuple[list[Block], dict[str, list[int]]]:
+    """Blocks of text in order, and where each element path occurs: positions count elements and blocks together.
 
     A block knows its path, the element paths around it, the article or main element it lies in (by number, -1 for none),
     and whether it is free of what is none of an article."""
     blocks: list[Block] = []
-    paths: Counter = Counter()
+    paths: dict[str, list[int]] = defaultdict(list)
+    place = 0
     # open elements: name, path, away, section, inline
     stack: list[tuple[str, str, bool, int, bool]] = [("", "", False, -1, False)]
     held: list[str] = []
     sections, end, at = 0, len(page), 0
 
     def flush():
+        nonlocal place
         if held:
             text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
             held.clear()
             if text:
                 around = [p for _, p, _, _, inline in stack if not inline]
                 _, path, away, own, _ = stack[-1]
-                blocks.append(Block(text, path, around, own, not away))
+                blocks.append(Block(text, path, around, own, not away, place))
+                place += 1
 
     while at < end:
         m = _TAG.search(page, at)
@@ -144,7 +148,8 @@ def parse(page: str) -> tuple[list[Block], Counter]:
         if name in SECTION and not away:
             sections += 1
             own = sections if own < 0 or name == "article" else own
-        paths[path] += 1
+        paths[path].append(place)
+        place += 1
         stack.append((name, path, away or _away(name, attrs, own >= 0), own, False))
     flush()
     return blocks, paths
@@ -167,79 +172,91 @@ def text_token(b: Block) -> int:
     return _signed(_hash("text", b.path, b.text, f"{b.free:d}{b.own >= 0:d}"))
 
 
-def tokens(blocks: list[Block], paths: Counter) -> dict[int, tuple[int, tuple[int, int, int], list[int] | None]]:
-    """Of each token of a page: how often it occurs, its free text (in all, in article and main elements, beside them on a page
+def tokens(blocks: list[Block], paths: dict[str, list[int]]) -> dict[int, tuple[list[int], tuple[int, int, int], list[int] | None]]:
+    """Of each token of a page: where it occurs, its free text (in all, in article and main elements, beside them on a page
     that has them), and for a stretch of text the elements around it that can be slots.  The page itself is a token, ``PAGE``."""
     has = any(b.own >= 0 and b.free for b in blocks)
     keys = {p: tag_token(p) for p in paths}
     slots = {p for p in paths if p.rsplit("/", 1)[-1].split(".")[0] not in LEAF}
-    out: dict[int, list] = {PAGE: [1, 0, 0, 0, None]} | {keys[p]: [n, 0, 0, 0, None] for p, n in paths.items()}
+    out: dict[int, list] = {PAGE: [[-1], 0, 0, 0, None]} | {keys[p]: [at, 0, 0, 0, None] for p, at in paths.items()}
     for b in blocks:
         around = [PAGE, *dict.fromkeys(keys[p] for p in b.named if p in slots)]
-        own = out.setdefault(text_token(b), [0, 0, 0, 0, around])
-        own[0] += 1
+        own = out.setdefault(text_token(b), [[], 0, 0, 0, around])
+        own[0].append(b.place)
         if b.free:
             for s in (own, *(out[t] for t in around)):
                 s[1] += len(b.text)
                 s[2 if b.own >= 0 else 3] += len(b.text) if has else 0
-    return {k: (n, (a, s, o), around) for k, (n, a, s, o, around) in out.items()}
+    return {k: (at, (a, s, o), around) for k, (at, a, s, o, around) in out.items()}
 
 
 def host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][-+.\w]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-def vectors(pages: DataFrame) -> DataFrame:
-    """host, token, pages (that have it), signature of its occurrence vector, mass, inside, beside, around (see ``tokens``); tokens
-    on ``PAGES`` different pages or more.
-
-    Sums per batch, then in all.  Different pages are counted by a 64-bit table that is or-ed together: its bits never outnumber them."""
-    sums_of = ["pages", "part", "seen", "total", "mass", "inside", "beside"]
+def occurrences(pages: DataFrame) -> DataFrame:
+    """host, token, page (its hash: equal pages of a host are one), places, mass, inside, beside, around (see ``tokens``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[str, int], list] = defaultdict(lambda: [0, 0, 0, 0, 0, 0, 0, None])
+            done, rows = set(), []
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = _hash(page)
-                for token, (n, (mass, inside, beside), around) in tokens(*parse(page)).items():
-                    s = sums[name, token]
-                    s[0] += 1
-                    s[1] += _hash(str(own), str(n)) >> 16  # 48 bits: sums of 32768 pages fit in a signed number
-                    s[2] |= 1 << own % 64
-                    s[3] += n
-                    s[4] += mass
-                    s[5] += inside
-                    s[6] += beside
-                    s[7] = around
-            keys = list(sums)
-            cols = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64())]
-            cols += [pa.array([_signed(sums[k][i]) for k in keys], pa.int64()) for i in range(7)] + [pa.array([sums[k][7] for k in keys], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["host", "token", *sums_of, "around"])
-
+                own = _signed(_hash(page))
+                if (name, own) in done:
+                    continue
+                done.add((name, own))
+                rows += [(name, t, own, at, *masses, around) for t, (at, masses, around) in tokens(*parse(page)).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+    names = ["host", "token", "page", "places", "mass", "inside", "beside", "around"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), *[pa.int64()] * 3, pa.list_(pa.int64())]
     whole = pages.select(host(F.col("url")).alias("host"), F.col("html").alias("page")).where("page is not null")
-    got = whole.mapInArrow(run, "host string, token bigint, " + ", ".join(f"{c} bigint" for c in sums_of) + ", around array<bigint>")
+    got = whole.mapInArrow(run, "host string, token bigint, page bigint, places array<int>, mass bigint, inside bigint, beside bigint, around array<bigint>")
+    return got.dropDuplicates(["host", "token", "page"])
+
+
+def vectors(found: DataFrame) -> DataFrame:
+    """host, token, pages (that have it), signature of its occurrence vector, total (occurrences), mass, inside, beside, around; tokens on ``PAGES`` pages or more."""
     # a text's elements follow from its path, so any row's are right
-    summed = got.groupBy("host", "token").agg(
-        F.sum(F.col("part").cast("decimal(38,0)")).alias("signature"), F.bit_or("seen").alias("seen"), F.max("around").alias("around"), *[F.sum(c).alias(c) for c in sums_of if c not in ("part", "seen")]
+    summed = found.groupBy("host", "token").agg(
+        F.sum(F.xxhash64("page", F.size("places")).cast("decimal(38,0)")).alias("signature"), F.count(F.lit(1)).alias("pages"), F.max("around").alias("around"),
+        F.sum(F.size("places")).alias("total"), *[F.sum(c).alias(c) for c in ("mass", "inside", "beside")],
+    )
+    return summed.where(F.col("pages") >= PAGES)
+
+
+def nested(found: DataFrame, v: DataFrame) -> DataFrame:
+    """host, token of valid classes but the root's.  ``v``: vectors with _pages and _root of the host."""
+    root = F.col("signature") == F.col("_root")
+    share = v.where(root | (F.col("pages") * 3 >= F.col("_pages"))).select("host", "token", "signature", root.alias("root"), F.col("around").isNull().alias("element"))
+    at = found.select("host", "token", "page", "places").join(share, ["host", "token"])
+    roots = at.where("root").groupBy("host", "page").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("_roots"))
+    others = at.where("not root").select("host", "page", "token", "signature", "element", F.explode("places").alias("place")).join(roots, ["host", "page"])
+    others = others.withColumn("gap", F.size(F.filter("_roots", lambda r: r < F.col("place")))).drop("_roots")
+    one = others.groupBy("host", "token").agg(F.min("gap").alias("gap"), F.max("gap").alias("_last"), F.min("signature").alias("signature"), F.first("element").alias("element")).where("gap = _last")
+    size = one.groupBy("host", "signature", "gap").agg(F.count(F.lit(1)).alias("size"), F.max("element").alias("has")).where("size >= 2 and has")
+    members = one.join(size, ["host", "signature", "gap"]).select("host", "token", "signature", "gap", "size")
+    turns = others.select("host", "page", "token", "place").join(members, ["host", "token"]).groupBy("host", "signature", "gap", "page").agg(
+        F.max("size").cast("int").alias("size"), F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("said")
     )
-    return summed.where(F.bit_count("seen") >= PAGES).drop("seen")
+    first = F.slice("said", F.lit(1), F.col("size"))
+    same = F.col("said") == F.flatten(F.array_repeat(first, (F.size("said") / F.col("size")).cast("int")))
+    ordered = turns.groupBy("host", "signature", "gap").agg(F.min(same).alias("same"), F.min(first).alias("a"), F.max(first).alias("b")).where("same and a = b")
+    return members.join(ordered.select("host", "signature", "gap"), ["host", "signature", "gap"]).select("host", "token")
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """One row per host with ``PAGES`` different pages or more: drop (texts of valid classes), elements (root elements that hold
     MASS of the free text, the innermost first), rivals (template elements beside articles that hold more than these, likewise)."""
-    v = stored(vectors(pages))
+    found = stored(occurrences(pages))
+    v = stored(vectors(found))
     # the vector of the page itself is that of the root class
     whole = v.where(F.col("token") == PAGE).select(F.col("host").alias("_host"), F.col("pages").alias("_pages"), F.col("signature").alias("_root"))
     v = v.join(whole, F.col("host") == F.col("_host"))
-    # a class has one vector, so no more members than one page has tokens
-    classes = v.groupBy("host", "signature").agg(
-        F.count(F.lit(1)).alias("size"), F.min("pages").alias("pages"), F.first("_pages").alias("_pages"), F.first("_root").alias("_root"),
-        F.collect_list(F.struct("token", "around", (F.col("total") == F.col("pages")).alias("once"), "mass", "inside", "beside")).alias("members"),
-    )
+    inner_classes = nested(found, v).withColumn("_valid", F.lit(True))
     root = F.col("signature") == F.col("_root")
-    valid = classes.where(root | ((F.col("size") >= 2) & (F.col("pages") * 3 >= F.col("_pages"))))
-    rows = stored(valid.select("host", root.alias("root"), F.explode("members").alias("m")).select("host", "root", "m.*"))
+    valid = v.join(inner_classes, ["host", "token"], "left").where(root | F.col("_valid"))
+    rows = stored(valid.select("host", root.alias("root"), "token", "around", (F.col("total") == F.col("pages")).alias("once"), "mass", "inside", "beside"))
     own = rows.where("around is not null").select(F.col("host").alias("_h"), F.explode("around").alias("_t"), "mass", "inside", "beside")
     own = own.groupBy("_h", "_t").agg(*[F.sum(c).alias(f"_{c}") for c in ("mass", "inside", "beside")])
     held = rows.join(own, (F.col("host") == F.col("_h")) & (F.col("token") == F.col("_t")), "left").select(
