@@ -174,6 +174,17 @@ def test_each_reply_is_an_example(spark):
     assert got[1].context.startswith(got[0].context + got[0].reply) and got[1].context.endswith("<|im_start|>assistant\n") and got[1].reply == "tail \\\\"
 
 
+def test_the_query_reads_its_columns_from_the_examples(spark, monkeypatch):
+    """With replies cut from the examples, the query's loss is empty."""
+    df = spark.createDataFrame(HARD, CHAT)
+    assert any(r.loss_chars for r in chat_format.op10(df).collect())
+    plain = chat_format._expanded
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(chat_format, "_expanded", lambda formatted: plain(formatted).withColumn("reply", F.lit("")))
+    assert not any(r.loss_chars for r in chat_format.op10(df).collect())
+
+
 def test_chat_on_odd_input(spark):
     df = spark.createDataFrame(HARD, CHAT)
     from pyspark.sql import functions as F

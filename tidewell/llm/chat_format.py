@@ -5,7 +5,7 @@ texts ``\`` becomes ``\\`` and ``<|`` becomes ``<\|`` (a line break in a role be
 can close or open a turn, and taking one backslash off each pair gives the text back.  Every assistant turn is
 an example of its own: its context is the rendered conversation up to that reply, and its loss mask is the span of
 that reply alone.  Examples of a conversation share the one rendered string and carry spans into it, so a
-conversation of n turns costs its own length, not n times that; ``examples`` renders them one by one.
+table of conversations costs its own length; ``examples`` renders them one by one, and the query reads its columns back from these.
 
 Defined results: a null text or role is empty; turns are ordered by turn, role, text, nulls first, and repeated
 rows are turns of their own; a null conv_id is a conversation of its own; a conversation without an assistant
@@ -62,22 +62,44 @@ def format_conversations(rows: DataFrame, target_role: str = "assistant") -> Dat
 
 
 def examples(formatted: DataFrame) -> DataFrame:
-    """One row per assistant turn: example_no (from 0), context and reply as they stand in the output, escaped."""
-    one = formatted.select("conv_id", "formatted", F.posexplode("spans").alias("example_no", "span"))
+    """One row per assistant turn: example_no (from 0), context, reply and rest (what follows it), as they stand in the output, escaped."""
+    return _expanded(formatted).where("example_no is not null")
+
+
+def _expanded(formatted: DataFrame) -> DataFrame:
+    """The same, and for a conversation without an assistant turn one row with nulls but for rest, the whole of it."""
+    one = formatted.select("conv_id", "formatted", F.posexplode_outer("spans").alias("example_no", "span"))
     cut = lambda a, b: F.substring("formatted", (a + 1).cast("int"), (b - a).cast("int"))
+    zero, end = F.lit(0).cast("bigint"), F.length("formatted").cast("bigint")
     return one.select(
-        "conv_id", "example_no", cut(F.lit(0).cast("bigint"), F.col("span.begin")).alias("context"), cut(F.col("span.begin"), F.col("span.end")).alias("reply")
-    )
+        "conv_id", "example_no", cut(zero, F.col("span.begin")).alias("context"), cut(F.col("span.begin"), F.col("span.end")).alias("reply"),
+        cut(F.coalesce(F.col("span.end"), zero), end).alias("rest"),
+    )
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns: array of (role, text), loss: array of reply texts, both parsed from the output alone."""
-    pieces = F.filter(F.split("formatted", r"<\|im_start\|>"), lambda p: p != "")
+def regathered(expanded: DataFrame) -> DataFrame:
+    """conv_id, turns, loss, formatted_chars, as ``read_back`` has them, from the examples: each reply from its own, the turns from the last.
+
+    Examples lie where their conversation does, so this needs no shuffle."""
+    whole = F.concat(F.coalesce("context", F.lit("")), F.coalesce("reply", F.lit("")), "rest")
+    last = expanded.groupBy("conv_id").agg(
+        F.max(F.struct(F.coalesce("example_no", F.lit(-1)).alias("no"), whole.alias("formatted")))["formatted"].alias("formatted"),
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("reply").isNotNull(), F.struct("example_no", "reply")))), lambda r: unescape(r["reply"])).alias("loss"),
+    )
+    return last.select("conv_id", _turns("formatted").alias("turns"), "loss", F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+def _turns(formatted: str) -> Column:
+    pieces = F.filter(F.split(formatted, r"<\|im_start\|>"), lambda p: p != "")
     body = lambda p: F.substring(p, F.lit(1), F.length(p) - len(CLOSE))
     cut = lambda b: F.struct(_unescape_role(F.substring_index(b, "\n", 1)).alias("role"), unescape(F.substring(b, F.locate("\n", b) + 1, F.length(b))).alias("text"))
-    turns = F.transform(pieces, lambda p: cut(body(p)))
+    return F.transform(pieces, lambda p: cut(body(p)))
+
+
+def read_back(formatted: DataFrame) -> DataFrame:
+    """conv_id, turns: array of (role, text), loss: array of reply texts, both parsed from the output alone."""
     loss = F.transform("spans", lambda s: unescape(F.substring("formatted", (s["begin"] + 1).cast("int"), (s["end"] - s["begin"]).cast("int"))))
-    return formatted.select("conv_id", turns.alias("turns"), loss.alias("loss"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+    return formatted.select("conv_id", _turns("formatted").alias("turns"), loss.alias("loss"), F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
 def op10(conversations: DataFrame) -> DataFrame:
@@ -87,7 +109,7 @@ def op10(conversations: DataFrame) -> DataFrame:
         F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
     )
     rows = conversations.select("conv_id", "turn", "role", "text").unionByName(extra)
-    back = read_back(format_conversations(rows))
+    back = regathered(_expanded(format_conversations(rows)))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("loss", "")
     return back.select(
