@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests) one of our own."""
+    """The folder in spark.checkpoint.dir; only where that is unset and all runs in one process (tests) one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="tidewell-"))
         at = _own[0]
@@ -94,9 +96,10 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Spans:
-    """Hashes of spans of a sequence: the polynomial sum over [a, b) moved to a common power, then mixed.
+    """Hashes of short spans of a sequence of well-mixed values: the polynomial sum over [a, b) moved to a common power, then mixed.
 
-    With B odd, B**-a exists modulo 2**64, so equal content hashes equally wherever it stands."""
+    With B odd, B**-a exists modulo 2**64, so equal content hashes equally wherever it stands.  Long sequences that alternate
+    two values after the pattern of Thue and Morse collide here: spans of hundreds of values are to be told apart by other means."""
 
     def __init__(self, values: np.ndarray, base: int):
         n = len(values)
@@ -116,6 +119,45 @@ def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
+def _placed(byte: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A mixed value of each byte and its place in its word."""
+    return mix((place.astype(np.uint64) << np.uint64(8) | byte) * np.uint64(BYTE_BASE) + np.uint64(WORD_BASE))
+
+
+def _named(total: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return mix(total + size.astype(np.uint64) * np.uint64(MIX_2))
+
+
+def word_hashes(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of words, [begin, end) of a byte buffer: sums over a word's bytes of a mixed value of (byte, place in the word).
+
+    Values of different places have nothing in common, so no pattern within a word makes sums equal but by chance.
+    Bytes are worked on in pieces of ``SLAB``."""
+    total = np.zeros(len(begin), np.uint64)
+    k = 0
+    while k < len(begin):
+        upto = max(k + 1, int(np.searchsorted(end, begin[k] + SLAB, side="right")))
+        for lo in range(int(begin[k]), int(end[upto - 1]), SLAB):  # more than one piece only for a word beyond it
+            hi = min(lo + SLAB, int(end[upto - 1]))
+            first = np.zeros(hi - lo, np.int64)
+            own = begin[k:upto] - lo
+            first[own[own > 0]] = own[own > 0]
+            place = np.arange(hi - lo) - np.maximum.accumulate(first) + (lo - int(begin[k]) if upto == k + 1 else 0)
+            sums = np.zeros(hi - lo + 1, np.uint64)
+            np.cumsum(_placed(buf[lo:hi], place), dtype=np.uint64, out=sums[1:])
+            total[k:upto] += sums[np.minimum(end[k:upto] - lo, hi - lo)] - sums[np.maximum(own, 0)]
+        k = upto
+    return _named(total, end - begin)
+
+
+def prefix_hashes(buf: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the words that are the first ``n`` bytes from each ``begin``."""
+    total = np.zeros(len(begin), np.uint64)
+    for k in range(n):
+        total += _placed(buf[begin + k], np.full(len(begin), k))
+    return _named(total, np.full(len(begin), n))
+
+
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """One buffer of all texts, a space after each, and where each begins."""
     buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
@@ -170,8 +212,8 @@ class Terms:
             folded[1:] += ((self.buf[:-1] == 0xC3) & (low >= 0x80) & (low <= 0x9E) & (low != 0x97)).astype(np.uint8) * np.uint8(0x20)
         edge = np.flatnonzero(np.diff(np.concatenate(([0], folded != 0, [0])).astype(np.int8)))
         self.begin, self.end = edge[0::2], edge[1::2]
-        self.spans = Spans(folded.astype(np.uint64), BYTE_BASE)
-        self.hash = self.spans(self.begin, self.end)
+        self.folded = folded
+        self.hash = word_hashes(folded, self.begin, self.end)
         self.first = np.searchsorted(self.begin, self.at)
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(texts)), self.count)

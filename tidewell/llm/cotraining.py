@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import WORD_BASE, BYTE_BASE, Spans, joined, sigmoid, slabs, stored, word_bounds
+from ._common import WORD_BASE, Spans, joined, sigmoid, slabs, stored, word_bounds, word_hashes
 
 LABELLED, POOL = 12_000, 12_000
 ROUNDS, PER_ROUND = 5, 400
@@ -50,7 +50,7 @@ def text_view(texts: list[bytes]) -> np.ndarray:
     first = np.searchsorted(begin, at)
     words = np.diff(first)
     doc = np.repeat(np.arange(n), words)
-    h = Spans(buf.astype(np.uint64) + np.uint64(1), BYTE_BASE)(begin, end)
+    h = word_hashes(buf, begin, end)
     many = np.maximum(words, 1).astype(float)
 
     def distinct(h, doc):

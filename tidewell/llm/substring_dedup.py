@@ -11,7 +11,9 @@ levels are 13, 25 and 50 words (50 halved, rounded up).
   settled together by their least doc_id.  Where one anchor has different runs, one run of each kind is opened into
   its 50-word windows, which are settled each by its own least doc_id.
 
-Hashes are of 64 bits, and a decision rests on two of them (anchor and run, anchor and window).
+The hashes of the levels 13 and 25 only choose what is looked at: values that fall together by chance or design add
+candidates and take none away.  What is removed is settled by XXH3 digests of the words themselves, of 64 bits, among windows
+of one anchor.
 
 Defined results: null or blank text has no words; a text of under 50 words loses none; rows with null doc_id
 lose nothing and cost nothing to others; rows that share a doc_id are judged each on its own text, and do not
@@ -24,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD_BASE, BYTE_BASE, Spans, joined, slabs, stored, word_bounds
+from ._common import WORD_BASE, Spans, joined, slabs, stored, word_bounds, word_hashes
 
 WINDOW = 50
 HALF, START = 25, 13
@@ -36,12 +39,13 @@ CHOICE = WINDOW - START + 1
 
 
 class Slab:
-    """Words of some texts laid end to end: their bounds, hashes and the document of each."""
+    """Words of some texts laid end to end, one space between them: their bounds, hashes and the document of each."""
 
     def __init__(self, texts: list[bytes]):
-        self.buf, self.at = joined(texts)
+        self.texts = [b" ".join(t.split()) for t in texts]
+        self.buf, self.at = joined(self.texts)
         self.begin, self.end = word_bounds(self.buf)
-        self.hash = Spans(Spans(self.buf.astype(np.uint64) + np.uint64(1), BYTE_BASE)(self.begin, self.end), WORD_BASE)
+        self.hash = Spans(word_hashes(self.buf, self.begin, self.end), WORD_BASE)
         self.first = np.searchsorted(self.begin, self.at)  # of each document's words, and of none after the last
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
         self.stop = self.first[1:][self.doc]  # where the document of a word ends
@@ -57,14 +61,27 @@ class Slab:
         offset = np.concatenate([view[i[k : k + 32768]].argmin(axis=1) for k in range(0, len(i), 32768)])
         return i, i + offset
 
+    def extended(self, p: np.ndarray, side: int) -> pa.Array:
+        """Hashes of the 25 words from each anchor's start (side 0) or up to its end (side 1); null where the document has none."""
+        a = p if side == 0 else p + START - HALF
+        ok = (a >= self.first[:-1][self.doc[p]]) & (a + HALF <= self.stop[p])
+        a = np.where(ok, a, 0)
+        return pa.array(self.hash(a, np.minimum(a + HALF, len(self.begin))).view(np.int64), mask=~ok)
 
-def _lists(values: list[np.ndarray] | np.ndarray, count: np.ndarray, kind) -> pa.ListArray:
+    def digests(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """XXH3 of the words [a, b) themselves."""
+        flat = memoryview(self.buf)
+        cuts = map(flat.__getitem__, map(slice, self.begin[a].tolist(), self.end[b - 1].tolist()))
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, cuts), np.uint64, len(a)).view(np.int64)
+
+
+def _lists(values: pa.Array, count: np.ndarray) -> pa.ListArray:
     offsets = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
 def first_pass(docs: DataFrame) -> DataFrame:
-    """doc_id, th, n_words, sha of all words, and the anchors: starts and hashes."""
+    """doc_id, th, n_words, sha of all words, and the anchors: starts, hashes and both extensions' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,16 +90,17 @@ def first_pass(docs: DataFrame) -> DataFrame:
                 i, p = s.anchors()
                 p = np.unique(p)
                 count = np.bincount(s.doc[p], minlength=len(texts)) if len(p) else np.zeros(len(texts), int)
-                sha = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in texts]
+                sha = [hashlib.sha256(t).hexdigest() for t in s.texts]
+                starts = pa.array(p - s.first[:-1][s.doc[p]], pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array(np.diff(s.first), pa.int64()), pa.array(sha),
-                        _lists(p - s.first[:-1][s.doc[p]], count, pa.int32()), _lists(s.hash(p, p + START).view(np.int64), count, pa.int64()),
+                        *(_lists(x, count) for x in (starts, pa.array(s.hash(p, p + START).view(np.int64)), s.extended(p, 0), s.extended(p, 1))),
                     ],
-                    ["doc_id", "th", "n_words", "sha", "starts", "hashes"],
+                    ["doc_id", "th", "n_words", "sha", "start", "hash", "right", "left"],
                 )
 
-    return docs.mapInArrow(run, "doc_id bigint, th bigint, n_words bigint, sha string, starts array<int>, hashes array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, th bigint, n_words bigint, sha string, start array<int>, hash array<bigint>, right array<bigint>, left array<bigint>")
 
 
 def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
@@ -90,35 +108,6 @@ def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(*keys, "least")
 
 
-def _by_doc(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("doc_id", "th").agg(F.collect_set("start").alias("starts"))
-
-
-def _extended(rows: DataFrame) -> DataFrame:
-    """From doc_id, th, text, starts: the hashes of each anchor's extensions to 25 words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, texts in slabs(batch.column(2)):
-                s = Slab(texts)
-                kept = batch.column(3).slice(at, len(texts))
-                doc = np.repeat(np.arange(len(texts)), [len(x) for x in kept])
-                p = kept.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                q = p + s.first[:-1][doc]
-                out = []
-                for side, a in ((0, q), (1, q + START - HALF)):
-                    ok = (a >= s.first[:-1][doc]) & (a + HALF <= s.first[1:][doc])
-                    out.append((doc[ok], p[ok], np.full(ok.sum(), side), s.hash(a[ok], a[ok] + HALF).view(np.int64)))
-                doc, p, side, h = (np.concatenate(x) for x in zip(*out, strict=True))
-                take = pa.array(doc)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)).take(take), batch.column(1).slice(at, len(texts)).take(take), pa.array(p, pa.int32()), pa.array(side, pa.int32()), pa.array(h, pa.int64())],
-                    ["doc_id", "th", "start", "side", "hash"],
-                )
-
-    return rows.mapInArrow(run, "doc_id bigint, th bigint, start int, side int, hash bigint")
-
-
 def _runs(rows: DataFrame) -> DataFrame:
     """From doc_id, th, text, starts: runs of 50-word windows with one surviving anchor."""
 
@@ -142,7 +131,7 @@ def _runs(rows: DataFrame) -> DataFrame:
                     [
                         batch.column(0).slice(at, len(texts)).take(take), batch.column(1).slice(at, len(texts)).take(take),
                         pa.array(a - s.first[:-1][d], pa.int32()), pa.array(n, pa.int32()), pa.array(s.hash(anchor, anchor + START).view(np.int64)),
-                        pa.array(s.hash(a, a + n - 1 + WINDOW).view(np.int64)), _lists(s.hash(i, i + WINDOW).view(np.int64), n, pa.int64()),
+                        pa.array(s.digests(a, a + n - 1 + WINDOW)), _lists(pa.array(s.digests(i, i + WINDOW)), n),
                     ],
                     ["doc_id", "th", "start", "n", "anchor", "whole", "hashes"],
                 )
@@ -178,15 +167,16 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     base = stored(first_pass(named))
     # 13 words
-    anchors = base.where("doc_id is not null").select("doc_id", "th", F.explode(F.arrays_zip("starts", "hashes")).alias("x")).select("doc_id", "th", F.col("x.starts").alias("start"), F.col("x.hashes").alias("hash"))
+    lists = ("start", "hash", "right", "left")
+    anchors = base.where("doc_id is not null").select("doc_id", "th", F.explode(F.arrays_zip(*lists)).alias("x")).select("doc_id", "th", *[F.col(f"x.{c}").alias(c) for c in lists])
     twice = stored(_repeated(anchors, "hash"))
-    alive = stored(_by_doc(anchors.join(twice, "hash", "left_semi")))
-    first = stored(named.join(alive, ["doc_id", "th"]).select("doc_id", "th", "text", "starts"))
+    alive = stored(anchors.join(twice, "hash", "left_semi").drop("hash"))
     # 25 words
-    longer = stored(_extended(first))
+    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("hash")) for k, c in enumerate(lists[2:])]))
+    longer = alive.select("doc_id", "th", "start", sides.alias("x")).select("doc_id", "th", "start", "x.side", "x.hash").where("hash is not null")
     twice = stored(_repeated(longer, "side", "hash"))
-    alive = stored(_by_doc(longer.join(twice, ["side", "hash"], "left_semi")))
-    second = stored(first.drop("starts").join(alive, ["doc_id", "th"]).select("doc_id", "th", "text", "starts"))
+    alive = stored(longer.join(twice, ["side", "hash"], "left_semi").groupBy("doc_id", "th").agg(F.collect_set("start").alias("starts")))
+    second = stored(named.join(alive, ["doc_id", "th"]).select("doc_id", "th", "text", "starts").dropDuplicates(["doc_id", "th"]))
     # 50 words
     runs = stored(_runs(second))
     kinds = stored(runs.groupBy("anchor", "whole").agg(F.min("doc_id").alias("least")))
@@ -202,7 +192,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     least = stored(_repeated(windows, "anchor", "hash"))
     single = windows.join(least, ["anchor", "hash"]).where("least < doc_id").select("doc_id", "th", "start", F.lit(1).alias("n"))
     cuts = settled.unionByName(single).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
-    lost = stored(_cut(second.drop("starts").dropDuplicates(["doc_id", "th"]).join(cuts, ["doc_id", "th"]).select("doc_id", "th", "text", "cuts")))
+    lost = stored(_cut(second.drop("starts").join(cuts, ["doc_id", "th"]).select("doc_id", "th", "text", "cuts")))
     return base.select("doc_id", "th", "n_words", "sha"), lost
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Terms, sigmoid, slabs, stored
+from ._common import Terms, prefix_hashes, sigmoid, slabs, stored
 
 SAMPLE, FEATURES = 4000, 4000
 LEAST_DOCS, LEAST_RATIO = 5, 12.0
@@ -48,7 +48,7 @@ class Bags:
         size = self.t.end - self.t.begin
         for n in PREFIXES:
             at = np.flatnonzero(size > n)
-            yield self.t.spans(self.t.begin[at], self.t.begin[at] + n) ^ np.uint64(n), at
+            yield prefix_hashes(self.t.folded, self.t.begin[at], n) ^ np.uint64(n), at
 
 
 class Lexicon:
