@@ -1,19 +1,28 @@
 """SimHash near-dedup by pigeonhole blocks.
 
-A fingerprint's 64 bits are split into r blocks.  Two fingerprints that differ in at most 4 bits agree on r - 4
-whole blocks at least, so a key is made of every choice of r - 4 blocks; fingerprints that share a key meet in
+A fingerprint's first 64 bits are split into r blocks.  Two fingerprints that differ in at most d of them agree on r - d
+whole blocks at least, so a key is made of every choice of r - d blocks; fingerprints that share a key meet in
 one bucket and are verified there by Hamming distance.  A bucket yields a spanning forest of its links, never all its pairs.
-Only distinct fingerprints are blocked, so any number of equal copies is one member.  A bucket of more than ``BUCKET``
-members is blocked again at a finer split, in which close pairs share a key all the same; at the last split a
-bucket has at most 2**16 different members.  No pair within the distance is lost at any size.
+Only distinct fingerprints are blocked, so any number of equal copies is one member.
 
-Defined results: null, empty or blank text has fingerprint zero, linked like any other; rows with equal doc_id are
-rows of their own; a row with null doc_id links but never names a component (null if nothing else is reachable);
-an empty table gives an empty result; other columns are left aside."""
+Two rules of what is linked:
+
+* ``CONTRACT`` (query op5): 64 bits of 4-word shingles, 4 of which may differ.  A bucket of more than ``BUCKET``
+  members is blocked again at a finer split, in which close pairs share a key all the same; at the last split a
+  bucket has at most 2**16 different members.  No pair within the distance is lost at any size.
+* ``NEAR`` (``near_dedup``, the pipeline's stage): 64 bits of 2-word shingles, 7 of which may differ, to meet, and 192 bits of
+  5-word shingles, 36 of which may differ, to be verified: texts whose 5-word shingles are 0.8 alike differ in 29 of these on the
+  average.  A bucket of more than ``BUCKET`` members is dealt into parts by hash; each part's forest leaves one member of each
+  tree, and these meet again.
+
+Defined results: null, empty or blank text has fingerprint zero, linked like any other; a text of fewer words than a
+shingle is one shingle; rows with equal doc_id are rows of their own; a row with null doc_id links but never names a
+component (null if nothing else is reachable); an empty table gives an empty result; other columns are left aside."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations, repeat
 
 import numpy as np
@@ -22,14 +31,32 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slabs, stored
+from ._common import MIX_1, MIX_2, WORD_BASE, Spans, joined, mix, slabs, stored, word_bounds, word_hashes
 from .components import components
 
-DISTANCE, SHINGLE, SEED = 4, 4, 42
-#: Members that one bucket may hold before it is split again; each is 8 bytes.
+SHINGLE, SEED = 4, 42
+#: Members that one bucket may hold before it is split again; each is 8 bytes a word of its fingerprint.
 BUCKET = 20_000
-#: Splits by fineness: number of blocks.  The first is chosen by the number of fingerprints, so that chance meetings stay few.
-SPLITS = ((6, 4_000_000), (7, 250_000_000), (8, None), (12, None), (16, None))
+#: Sizes of buckets whose members are compared all at once before any is linked: by shifts, and as a matrix.
+SHIFTED, SQUARE = 32, 2048
+
+
+@dataclass(frozen=True)
+class Rule:
+    #: Bits of the first 64 that may differ, and number of blocks by number of fingerprints, so that chance meetings stay few.
+    distance: int
+    splits: tuple[tuple[int, int | None], ...]
+    #: Words of 64 bits in a fingerprint, and bits of all but the first that may differ.
+    words: int = 1
+    rest: int = 0
+
+    @property
+    def columns(self) -> list[str]:
+        return [f"p{k}" for k in range(self.words)]
+
+
+CONTRACT = Rule(4, ((6, 4_000_000), (7, 250_000_000), (8, None), (12, None), (16, None)))
+NEAR = Rule(7, ((9, 30_000_000), (10, 1_000_000_000), (11, None), (12, None)), 4, 36)
 
 
 def fingerprint(text: bytes) -> int:
@@ -48,143 +75,249 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * count > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), fp (bigint, the fingerprint's bits)."""
+def wide(texts: list[bytes]) -> np.ndarray:
+    """Fingerprints of 256 bits, a row of four words each: one of 2-word shingles and three of 5-word shingles."""
+    buf, at = joined([t.lower() for t in texts])
+    begin, end = word_bounds(buf)
+    first = np.searchsorted(begin, at)
+    count = np.diff(first)
+    spans = Spans(word_hashes(buf, begin, end), WORD_BASE)
+    out = np.zeros((len(texts), 4), np.uint64)
+    for n, places in ((2, (0,)), (5, (1, 2, 3))):
+        many = np.where(count > 0, np.maximum(count - n + 1, 1), 0)
+        doc = np.repeat(np.arange(len(texts)), many)
+        a = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + first[:-1][doc]
+        h = spans(a, a + np.minimum(n, count)[doc])
+        for k in places:
+            out[:, k] = _majority(mix(h + np.uint64(k * MIX_1 % (1 << 64))) if k else h, doc, many)
+    return out
+
+
+def _majority(h: np.ndarray, doc: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Of each document the bits set in over half of its hashes."""
+    count = np.zeros((len(many), 64), np.int64)
+    for lo in range(0, len(h), 1 << 17):
+        d = doc[lo : lo + (1 << 17)]
+        new = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+        bits = np.unpackbits(h[lo : lo + (1 << 17)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        count[d[new]] += np.add.reduceat(bits, new, axis=0, dtype=np.int32)
+    return np.packbits(2 * count > many[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def nodes(m: np.ndarray) -> np.ndarray:
+    """The number that stands for a fingerprint: itself if it has one word, else a hash."""
+    out = m[:, 0]
+    for k in range(1, m.shape[1]):
+        out = mix(out * np.uint64(MIX_2) + m[:, k])
+    return out
+
+
+def fingerprints(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
+    """doc_id, th (hash of the text), node, and the words of the fingerprint (bigint)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t) for _, part in slabs(b.column(2)) for t in part], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], ["doc_id", "th", "fp"])
+            if rule.words == 1:
+                m = np.array([fingerprint(t) for _, part in slabs(b.column(2)) for t in part], np.uint64).reshape(-1, 1)
+            else:
+                m = np.concatenate([np.zeros((0, rule.words), np.uint64), *(wide(part) for _, part in slabs(b.column(2)))])
+            found = [pa.array(x.view(np.int64)) for x in (nodes(m).copy(), *m.T.copy())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *found], ["doc_id", "th", "node", *rule.columns])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id bigint, th bigint, fp bigint")
+    kinds = "".join(f", {c} bigint" for c in rule.columns)
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id bigint, th bigint, node bigint" + kinds)
 
 
-def masks(blocks: int) -> list[int]:
-    """A mask of every choice of blocks - DISTANCE blocks, as signed 64-bit numbers."""
+def masks(blocks: int, distance: int = CONTRACT.distance) -> list[int]:
+    """A mask of every choice of blocks - distance blocks, as signed 64-bit numbers."""
     edge = [64 * i // blocks for i in range(blocks + 1)]
     block = [((1 << edge[i + 1]) - 1) ^ ((1 << edge[i]) - 1) for i in range(blocks)]
-    sums = [sum(block[i] for i in some) for some in combinations(range(blocks), blocks - DISTANCE)]
+    sums = [sum(block[i] for i in some) for some in combinations(range(blocks), blocks - distance)]
     return [m - (1 << 64) if m >> 63 else m for m in sums]
 
 
-def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hamming distances; of signed numbers numpy would count the bits of the absolute value."""
-    return np.bitwise_count((a ^ b).view(np.uint64))
+def near(a: np.ndarray, b: np.ndarray, rule: Rule) -> np.ndarray:
+    """Whether the fingerprints in the rows of a and b (unsigned: of signed numbers numpy counts the bits of the absolute value) link."""
+    ok = np.bitwise_count(a[..., 0] ^ b[..., 0]) <= rule.distance
+    if rule.words > 1 and ok.any():
+        a, b = np.broadcast_arrays(a, b)
+        ok[ok] = np.bitwise_count(a[ok][:, 1:] ^ b[ok][:, 1:]).sum(axis=1, dtype=np.int64) <= rule.rest
+    return ok
 
 
-def forest(f: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links of a bucket: each member but one of a linked set, with that one."""
-    out, left = [], f
-    while len(left) > 1:
+def forest(m: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of a bucket, each member but one of a linked set with that one, and the members that are left: all by row."""
+    a, b, seeds = [], [], []
+    left = np.arange(len(m))
+    while len(left):
         seed, left, front = left[0], left[1:], [left[0]]
+        seeds.append(seed)
         while front and len(left):
-            near = apart(left, front.pop()) <= DISTANCE
-            if near.any():
-                got, left = left[near], left[~near]
-                out.append((np.full(len(got), seed), got))
+            ok = near(m[left], m[front.pop()], rule)
+            if ok.any():
+                got, left = left[ok], left[~ok]
+                a.append(np.full(len(got), seed))
+                b.append(got)
                 front.extend(got)
-    return out
-
-
-def _links(last: bool):
-    most = None if last else BUCKET
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(a or none), np.concatenate(b or none), np.array(seeds, np.int64)
+
+
+class Found:
+    """Rows (a, b, k, words): links with their ends, and members that go on with their key."""
+
+    def __init__(self, rule: Rule):
+        self.rule, self.a, self.b, self.k, self.on = rule, [], [], [], []
+
+    def link(self, m: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        self.a.append(nodes(m[a]))
+        self.b.append(nodes(m[b]))
+
+    def go_on(self, k: np.ndarray, m: np.ndarray) -> None:
+        self.k.append(k)
+        self.on.append(m)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        a, b = (np.concatenate([np.zeros(0, np.uint64), *x]).view(np.int64) for x in (self.a, self.b))
+        k, on = np.concatenate([np.zeros(0, np.int64), *self.k]), np.concatenate([np.zeros((0, self.rule.words), np.uint64), *self.on]).view(np.int64)
+        pad = lambda x, before, after: pa.array(np.concatenate((np.zeros(before, np.int64), x, np.zeros(after, np.int64))), mask=np.repeat([True, False, True], [before, len(x), after]))
+        if len(a) + len(k):
+            yield pa.RecordBatch.from_arrays([pad(a, 0, len(k)), pad(b, 0, len(k)), pad(k, len(a), 0), *(pad(x, len(a), 0) for x in on.T)], ["a", "b", "k", *self.rule.columns])
+        self.__init__(self.rule)
+
+
+def _links(rule: Rule, most: int | None, in_parts: bool):
+    """Over rows sorted by key.  Buckets over ``most`` go on unlinked; ``in_parts``: rows have the number of their part after
+    the key, parts are linked as buckets, and of each the members left of its forest go on."""
+    lead = 2 if in_parts else 1
+
+    def busy(found_in: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which buckets of up to SHIFTED members hold a link; larger ones are taken to."""
+        size = end - begin
+        some = size > SHIFTED
+        for shift in range(1, SHIFTED):
+            open_ = np.flatnonzero((size > shift) & ~some)
+            if not len(open_):
+                break
+            n = size[open_] - shift
+            i = np.repeat(begin[open_] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            hit = near(found_in[i], found_in[i + shift], rule)
+            some[open_[np.repeat(np.arange(len(n)), n)[hit]]] = True
+        return some
+
+    def close(found: Found, k: np.ndarray, m: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        some = np.ones(len(begin), bool) if in_parts else busy(m, begin, end)
+        for x, y in zip(begin[some], end[some], strict=True):
+            own = m[x:y]
+            if most and y - x > most:
+                found.go_on(k[x:y], own)
+                continue
+            if not in_parts and SHIFTED < y - x <= SQUARE and np.count_nonzero(np.bitwise_count(own[:, None, 0] ^ own[None, :, 0]) <= rule.distance) == y - x:
+                continue  # each is near to itself alone
+            a, b, left = forest(own, rule)
+            found.link(own, a, b)
+            if in_parts:
+                found.go_on(k[x:y][left], own[left])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_c = kept_k = kept_f = None
+        held = None
         over = None  # key of a bucket too large to hold, whose members go on as they come
+        found = Found(rule)
         for b in batches:
-            c, k, f = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if kept_c is not None:
-                c, k, f = np.concatenate((kept_c, c)), np.concatenate((kept_k, k)), np.concatenate((kept_f, f))
-            if not len(c):
+            rows = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(lead + rule.words)], axis=1)
+            if held is not None:
+                rows = np.concatenate((held, rows))
+            if not len(rows):
                 continue
-            new = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (k[1:] != k[:-1]))))
-            if over is not None and over == (c[0], k[0]):
-                stop = new[1] if len(new) > 1 else len(c)
-                yield _rows([], [], f[:stop])
+            k, m = rows[:, 0], rows[:, lead:].view(np.uint64)
+            new = np.flatnonzero(np.concatenate(([True], (rows[1:, :lead] != rows[:-1, :lead]).any(axis=1))))
+            if over is not None and over == k[0]:
+                stop = new[1] if len(new) > 1 else len(k)
+                found.go_on(k[:stop], m[:stop])
                 new = new[1:]
                 if not len(new):
-                    kept_c = None
+                    held = None
+                    yield from found.batches()
                     continue
             over, begin = None, new[-1]
-            if most and len(c) - begin > most:
-                over = (c[begin], k[begin])
-            yield from _closed(f, new[:-1], new[1:], most)
-            if over:
-                yield _rows([], [], f[begin:])
-                kept_c = None
+            close(found, k, m, new[:-1], new[1:])
+            if most and len(k) - begin > most:
+                over, held = k[begin], None
+                found.go_on(k[begin:], m[begin:])
             else:
-                kept_c, kept_k, kept_f = c[begin:], k[begin:], f[begin:]
-        if kept_c is not None:
-            yield from _closed(kept_f, np.array([0]), np.array([len(kept_f)]), most)
+                held = rows[begin:]
+            yield from found.batches()
+        if held is not None:
+            close(found, held[:, 0], held[:, lead:].view(np.uint64), np.array([0]), np.array([len(held)]))
+            yield from found.batches()
 
     return run
 
 
-def _rows(a, b, hot) -> pa.RecordBatch:
-    a, b, hot = (np.asarray(x, np.int64) for x in (a, b, hot))
-    one = pa.array(np.concatenate((a, hot)), pa.int64())
-    two = pa.array(np.concatenate((b, hot)), pa.int64(), mask=np.concatenate((np.zeros(len(b), bool), np.ones(len(hot), bool))))
-    return pa.RecordBatch.from_arrays([one, two], ["a", "b"])
-
-
-def _closed(f, begin, end, most):
-    size = end - begin
-    two = begin[size == 2]
-    near = apart(f[two], f[two + 1]) <= DISTANCE
-    a, b, hot = [f[two[near]]], [f[two[near] + 1]], []
-    for x, y in zip(begin[size > 2], end[size > 2], strict=True):
-        if most and y - x > most:
-            hot.append(f[x:y])
-            continue
-        for p, q in forest(f[x:y]):
-            a.append(p)
-            b.append(q)
-    out = _rows(np.concatenate(a), np.concatenate(b), np.concatenate(hot) if hot else [])
-    if out.num_rows:
-        yield out
-
-
-def links(fps: DataFrame) -> DataFrame:
-    """``fps``: distinct fp.  Returns bigint a, b: edges with the same components as all pairs within the distance."""
+def links(fps: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
+    """``fps``: distinct words of fingerprints.  Returns bigint a, b: edges (by node) with the same components as all linked pairs.
+
+    By ``NEAR``, in buckets over ``BUCKET`` parts are linked through one member of each tree: see above."""
+    cols = rule.columns
     n = fps.count()
-    level = next(i for i, (_, most) in enumerate(SPLITS) if most is None or n <= most)
-    found = None
+    level = next(i for i, (_, most) in enumerate(rule.splits) if most is None or n <= most)
+    final = len(rule.splits) - 1
+
+    def keyed(fps: DataFrame) -> DataFrame:
+        keys = [F.xxhash64(F.lit(i), F.col("p0").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(rule.splits[level][0], rule.distance))]
+        return fps.select(F.explode(F.array(*keys)).alias("k"), *cols)
+
+    def met(rows: DataFrame, most: int | None, parts: int = 0) -> DataFrame:
+        lead = ["k", "part"] if parts else ["k"]
+        if parts:
+            rows = rows.withColumn("part", F.pmod(F.xxhash64(*cols), F.lit(parts)))
+        dealt = rows.select(*lead, *cols).repartition(*lead).sortWithinPartitions(*lead)
+        return stored(dealt.mapInArrow(_links(rule, most, parts > 0), "a bigint, b bigint, k bigint" + "".join(f", {c} bigint" for c in cols)))
+
+    whole = rule.words == 1  # the last split bounds its buckets
+    out = met(keyed(fps), None if whole and level == final else BUCKET)
+    found, was = out.where("b is not null").select("a", "b"), None
     while True:
-        last = level == len(SPLITS) - 1
-        keys = F.explode(F.array(*[F.struct(F.lit(i).cast("smallint").alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks(SPLITS[level][0]))]))
-        dealt = fps.select(keys.alias("x"), "fp").select("x.c", "x.k", "fp").repartition("c", "k").sortWithinPartitions("c", "k")
-        out = stored(dealt.mapInArrow(_links(last), "a bigint, b bigint"))
-        edges = out.where("b is not null")
-        found = edges if found is None else found.unionByName(edges)
-        hot = out.where("b is null")
-        if last or hot.isEmpty():
+        hot = out.where("b is null").select("k", *cols)
+        largest = hot.groupBy("k").count().agg(F.max("count")).first()[0]
+        if not largest:
             return found
-        fps = stored(hot.select(F.col("a").alias("fp")).distinct())
-        level += 1
-
-
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, th, fp, root (a fingerprint of the component), component_id: one row per input row."""
-    docs_fp = stored(fingerprints(docs))
-    fps = stored(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    root = components(links(fps.select("fp")))
-    own = stored(fps.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+        if whole or was and 2 * largest > was and level < final:
+            # crowded by chance: blocked again, more finely
+            level, was = min(level + 1, final), None
+            out = met(keyed(stored(hot.select(*cols).distinct())), None if whole and level == final else BUCKET)
+        elif largest <= BUCKET or was and 2 * largest > was:
+            out = met(hot, None)
+        else:
+            was, out = largest, met(hot, None, -(-2 * largest // BUCKET))
+        found = found.unionByName(out.where("b is not null").select("a", "b"))
+
+
+def classes(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
+    """doc_id, th, node, p0, root (a node of the component), component_id: one row per input row."""
+    docs_fp = stored(fingerprints(docs, rule))
+    # equal nodes are equal fingerprints
+    fps = stored(docs_fp.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in rule.columns]))
+    root = components(links(fps.select(*rule.columns), rule))
+    own = stored(fps.select("node", "least").join(root.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     least = stored(own.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = stored(own.join(least, "root").select("fp", "root", "component_id"))
-    return docs_fp.join(named, "fp").select("doc_id", "th", "fp", "root", "component_id")
+    named = stored(own.join(least, "root").select("node", "root", "component_id"))
+    return docs_fp.join(named, "node").select("doc_id", "th", "node", "p0", "root", "component_id")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest doc_id (of rows equal in it, one); a group without any doc_id keeps one row."""
-    found = stored(classes(docs))
+    """``docs`` with one document of each group by ``NEAR``: that with the smallest doc_id (of rows equal in it, that with the least
+    hash of its text; of rows equal in both, one); a group without any doc_id keeps one row."""
+    found = classes(docs, NEAR)
+    # the row that each group keeps, by doc_id (maybe null) and hash of its text; and whether there are several such rows
+    first = F.min(F.when(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")), F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "th")))
+    kept = found.groupBy("root").agg(first.alias("k")).select("k.doc_id", "k.th")
+    twice = found.groupBy("doc_id", "th").agg((F.count(F.lit(1)) > 1).alias("_twice"))
+    kept = stored(kept.join(twice, kept["doc_id"].eqNullSafe(twice["doc_id"]) & (kept["th"] == twice["th"])).select(kept["doc_id"].alias("_id"), kept["th"].alias("_th"), "_twice"))
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("keep")).distinct()
-    named = packed.join(keep, F.col("id") == F.col("keep"), "left_semi").dropDuplicates(["id"])
-    bare = found.where("component_id is null").groupBy("root").agg(F.min("th").alias("keep")).select("keep").distinct()
-    unnamed = packed.where("id is null").join(bare, F.col("hash") == F.col("keep"), "left_semi").dropDuplicates(["hash"])
-    return named.unionByName(unnamed).select("row.*")
+    left = packed.join(kept, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_th")))
+    return left.where("not _twice").select("row.*").unionByName(left.where("_twice").dropDuplicates(["id", "hash"]).select("row.*"))
 
 
 def op5(docs: DataFrame) -> DataFrame:
-    return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("p0"), 16, "0")).alias("fingerprint"), "component_id")
