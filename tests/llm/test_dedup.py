@@ -81,7 +81,7 @@ def test_blocks_lose_no_pair(spark, monkeypatch):
                 x ^= 1 << int(b)
             fps.append(x)
     fps = sorted({x - (1 << 64) if x >> 63 else x for x in fps})
-    df = spark.createDataFrame([(x,) for x in fps], "fp bigint")
+    df = spark.createDataFrame([(x,) for x in fps], "p0 bigint")
 
     def groups(edges):
         up = {x: x for x in fps}
@@ -105,12 +105,13 @@ def test_blocks_lose_no_pair(spark, monkeypatch):
 
 
 def test_masks_cover_every_close_pair():
-    for blocks, _ in simhash.SPLITS:
-        own = simhash.masks(blocks)
-        r = random.Random(blocks)
-        for _ in range(200):
-            x = sum(1 << b for b in r.sample(range(64), 4))
-            assert any(x & m == 0 for m in own)
+    for rule in (simhash.CONTRACT, simhash.NEAR):
+        for blocks, _ in rule.splits:
+            own = simhash.masks(blocks, rule.distance)
+            r = random.Random(blocks)
+            for _ in range(200):
+                x = sum(1 << b for b in r.sample(range(64), rule.distance))
+                assert any(x & m == 0 for m in own)
 
 
 def test_components(spark):
@@ -118,14 +119,120 @@ def test_components(spark):
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert len({got[i] for i in range(51)}) == 1 and len({got[i] for i in range(100, 130)} | {got[200]}) == 1 and got[0] != got[200]
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    assert components.components(spark.createDataFrame([(None, 1), (2, None), (None, None), (3, 3)], "a bigint, b bigint")).count() == 0
+
+
+def test_components_of_sorted_chains_take_few_rounds(spark, monkeypatch):
+    seeds = []
+    plain = components.contract
+    monkeypatch.setattr(components, "contract", lambda left, seed: seeds.append(seed) or plain(left, seed))
+    n = 2000
+    got = components.components(spark.createDataFrame([(i, i + 1) for i in range(n)], "a bigint, b bigint")).collect()
+    assert len(got) == n + 1 and len({r.root for r in got}) == 1
+    assert len(seeds) <= 2 * n.bit_length()
+
+
+def slow_wide(text):
+    """The 256 bits of one text, from plain loops over the module's word hashes."""
+    w = (text or "").encode().lower().split()
+    if not w:
+        return (0, 0, 0, 0)
+    own = [int(h) for h in simhash.word_hashes(np.frombuffer(b" ".join(w) + b" ", np.uint8), *simhash.word_bounds(np.frombuffer(b" ".join(w) + b" ", np.uint8)))]
+    out = []
+    for n, k in ((2, 0), (5, 1), (5, 2), (5, 3)):
+        votes, total = [0] * 64, 0
+        for i in range(max(1, len(w) - n + 1)):
+            h = simhash.Spans(np.array(own[i : i + n], np.uint64), simhash.WORD_BASE)(np.array([0]), np.array([len(own[i : i + n])]))
+            h = int((simhash.mix(h + np.uint64(k * simhash.MIX_1 % (1 << 64))) if k else h)[0])
+            total += 1
+            for b in range(64):
+                votes[b] += h >> b & 1
+        out.append(sum(1 << b for b in range(64) if 2 * votes[b] > total))
+    return tuple(out)
+
+
+def slow_near(rows):
+    """doc_ids that near_dedup keeps, from all pairs."""
+    fp = [slow_wide(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            apart = [(x ^ y).bit_count() for x, y in zip(fp[i], fp[j], strict=True)]
+            if apart[0] <= simhash.NEAR.distance and sum(apart[1:]) <= simhash.NEAR.rest:
+                up[top(i)] = top(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        k = top(i)
+        if least.get(k) is None or d is not None and d < least[k]:
+            least[k] = d
+    return sorted(least.values(), key=lambda x: (x is None, x))
+
+
+def kept_ids(out):
+    return sorted((r.doc_id for r in out.select("doc_id").collect()), key=lambda x: (x is None, x))
 
 
 def test_near_dedup(odd, empty, clashing):
     assert simhash.op5(empty).count() == 0 and simhash.near_dedup(empty).count() == 0
     kept = simhash.near_dedup(clashing)
     assert kept.columns == clashing.columns
-    ids = sorted((r.doc_id for r in kept.select("doc_id").collect()), key=lambda x: (x is None, x))
+    ids = kept_ids(kept)
     assert ids.count(1) == 1 and 2 not in ids and 4 not in ids and 3 in ids and ids.count(None) == 1
+    assert ids == slow_near([(r.doc_id, r.text) for r in odd.collect()])
+
+
+def test_near_dedup_equals_all_pairs(spark):
+    docs = table(spark, DATA, "documents").select("doc_id", "text")
+    assert kept_ids(simhash.near_dedup(docs)) == slow_near([tuple(r) for r in docs.collect()])
+
+
+def test_near_dedup_finds_what_is_alike(spark):
+    """Of pairs with 0.8 of their 5-word shingles in common at least 0.9 lose one document; no document goes without a like one."""
+    rows = [(r.doc_id, (r.text or "").lower().split()) for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in rows}
+    where = defaultdict(set)
+    for d, s in sets.items():
+        for g in s:
+            where[g].add(d)
+    shared = defaultdict(int)
+    for g in where.values():
+        if len(g) < 200:
+            for a in g:
+                for b in g:
+                    if a < b:
+                        shared[a, b] += 1
+    alike = {p: n / (len(sets[p[0]]) + len(sets[p[1]]) - n) for p, n in shared.items()}
+    kept = set(kept_ids(simhash.near_dedup(table(spark, "/root/testdata/sf0.01", "documents"))))
+    pairs = [p for p, x in alike.items() if x >= 0.8]
+    assert len(pairs) > 50 and np.mean([not (a in kept and b in kept) for a, b in pairs]) >= 0.9
+    close = {d for p, x in alike.items() if x >= 0.5 for d in p}
+    assert {d for d in sets if d not in kept} <= close
+
+
+def test_hot_buckets_of_near_copies(spark, monkeypatch):
+    """Buckets over the bound are linked in parts, to the same groups."""
+    r = random.Random(11)
+    rows = []
+    for g in range(3):
+        base = prose(700 + g, 300).split()
+        for i in range(40):
+            w = list(base)
+            w[r.randrange(300)] = f"edit{i}"
+            rows.append((1000 * g + i, " ".join(w)))
+    rows += [(5000 + i, prose(800 + i, 100)) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = [0, 1000, 2000, *range(5000, 5020)]
+    assert kept_ids(simhash.near_dedup(df)) == want
+    monkeypatch.setattr(simhash, "BUCKET", 8)
+    assert kept_ids(simhash.near_dedup(df)) == want
+    monkeypatch.setattr(simhash, "SHIFTED", 4)
+    assert kept_ids(simhash.near_dedup(df)) == want
 
 
 # ---- substrings ----
@@ -172,6 +279,12 @@ def test_substrings_with_shared_passages(spark):
         if r.random() < 0.3:
             w[r.randrange(len(w))] = "edit"
         rows.append((d, " ".join(w), "en", "a", 1))
+    # texts that differ in one word alone, of the pattern of Thue and Morse, whose polynomial hashes modulo 2**64 are equal
+    thue = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    some = prose(1, 60).split()
+    rows += [(200 + i, " ".join([*some[:30], t, *some[30:]]), "en", "a", 1) for i, t in enumerate((thue, thue.translate(str.maketrans("ab", "ba"))))]
+    # and texts whose words follow that pattern
+    rows += [(300 + i, " ".join("xy"[(k.bit_count() + i) % 2] for k in range(2048)), "en", "a", 1) for i in range(2)]
     rows.append((99, " ".join(["same"] * 200), "en", "a", 1))
     rows.append((98, " ".join(["same"] * 120), "en", "a", 1))
     want = check_substrings(spark.createDataFrame(rows, SCHEMA))
@@ -211,26 +324,26 @@ def slow_scores(items, passage):
 
 
 def test_search_equals_brute_force(spark):
-    items = [tuple(r) for r in table(spark, DATA, "benchmark").select("item_id", "text").collect()] + [(900, None), (901, ""), (902, "short one"), (0, "another item of the same id and of its own words")]
-    index = decontamination.Index(items)
+    items = [tuple(r) for r in table(spark, DATA, "benchmark").select("item_id", "text").collect()] + [(900, None), (901, ""), (902, "too short"), (0, "another item of the same id and of its own words")]
+    index = decontamination.Index([(*x, 1) for x in items])
+    terms_of = lambda t: "".join(c.lower() if c.isascii() and c.isalnum() or not c.isascii() else " " for c in t or "").split()
+    kept = [x for x in items if len(terms_of(x[1])) >= decontamination.SHINGLE]
+    assert index.ids == [i for i, _ in kept] and len(kept) == len(items) - 3
+    numbered = [(k, t) for k, (_, t) in enumerate(kept)]
     stride = max(decontamination.STRIDE, index.longest)
+    texts = [r.text for r in table(spark, DATA, "documents").where("text is not null").orderBy("doc_id").limit(40).collect()] + [t for _, t in kept[:10]] + [f"{kept[0][1]} {prose(5, 80)} {kept[1][1]}"]
     seen = 0
-    for r in table(spark, DATA, "documents").limit(60).collect():
-        terms = decontamination.Terms([r.text.encode()])
-        words = [r.text.encode()[a:b].decode() for a, b in zip(terms.begin, terms.end, strict=True)]
+    for text in texts:
         got = defaultdict(dict)
-        for _, p, i, s, _, _ in index.search([r.text.encode()]):
+        for _, p, i, s, _, _ in index.search([text.encode()]):
             got[p][i] = s
+        words = terms_of(text)
         for p in range(max(1, -(-len(words) // stride) - 1)):
-            want = {}
-            for k, (i, t) in enumerate([x for x in items if (x[1] or "").strip()]):
-                s = slow_scores([y for y in items if (y[1] or "").strip()], " ".join(words[p * stride : (p + 2) * stride]))
-                break
-            s = list(s.values()) if len(s) == len(index.ids) else None
-            if s is not None:
-                want = {k: v for k, v in enumerate(s) if v >= decontamination.THRESHOLD}
-                assert got[p].keys() == want.keys() and all(got[p][k] == pytest.approx(want[k]) for k in want)
-                seen += len(want)
+            scores = slow_scores(numbered, " ".join(words[p * stride : (p + 2) * stride]))
+            want = {k: v for k, v in scores.items() if v >= decontamination.THRESHOLD}
+            assert got[p].keys() == want.keys() and all(got[p][k] == pytest.approx(want[k]) for k in want)
+            seen += len(want)
+    assert seen >= 12
 
 
 def test_all_copies_are_found(spark):
@@ -259,8 +372,20 @@ def test_decontamination_on_odd_input(spark, odd, empty, clashing):
     assert left.columns == clashing.columns and left.count() == clashing.count() - 5
 
 
-def test_shards_agree(spark, monkeypatch):
-    docs, items = table(spark, DATA, "documents"), table(spark, DATA, "benchmark")
-    want = {(r.doc_id, r.item_id) for r in decontamination.op4(docs, items).collect()}
-    monkeypatch.setattr(decontamination, "SHARD_ITEMS", 20)
-    assert {(r.doc_id, r.item_id) for r in decontamination.op4(docs, items).collect()} == want
+def test_short_items_match_nothing(spark):
+    items = spark.createDataFrame([(1, "yes"), (2, "a b - c d")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "he said yes to that, a b - c d and more")], "doc_id bigint, text string")
+    assert decontamination.op4(docs, items).count() == 0 and decontamination.decontaminate(docs, items).count() == 1
+
+
+@pytest.mark.parametrize("bound", ["SHARD_ITEMS", "SHARD_BYTES"])
+def test_shards_agree(spark, monkeypatch, bound):
+    """Scores and passages do not depend on how many shards there are; copies of an item count as items."""
+    docs, items = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "benchmark")
+    items = items.unionByName(items.where("item_id % 3 = 0")).unionByName(items.where("item_id % 5 = 0").withColumn("item_id", items["item_id"] + 1000))
+    rows = lambda: sorted(tuple(r) for r in decontamination.op4(docs, items).collect())
+    want = rows()
+    assert len(want) > 3
+    monkeypatch.setattr(decontamination, bound, {"SHARD_ITEMS": 20, "SHARD_BYTES": 2000}[bound])
+    got = rows()
+    assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3:] for r in got], [r[3:] for r in want], atol=1e-6)

@@ -10,30 +10,33 @@ copied item lies within one passage.  Retrieved pairs are verified: both the ite
 have 0.8 of their 5-word shingles in the passage.  An item's question runs to its last question mark, or else to its last
 sentence, and the answer is the rest; an item that has no such cut with five words on both sides is both as a whole.
 
-Test items are indexed in shards of at most ``SHARD_ITEMS`` items, dealt by hash, so what is sent to executors is
-bounded; each shard is one more pass over the documents.
+Test items are indexed in shards of about ``SHARD_ITEMS`` / 2 items and ``SHARD_BYTES`` of text, dealt by hash, so what is sent to
+executors is bounded; each shard is one more pass over the documents.  Number, mean length, longest and document frequencies
+are those of all items, so scores and passages are the same whatever the number of shards.
 
-Defined results: null or empty texts, as documents or items, match nothing (an item without terms is never
-retrieved); rows that share an id are judged each by its text; copies of an item are items of their own; an empty table on
-either side gives no match; other columns pass through ``decontaminate`` untouched."""
+Defined results: null or empty texts, as documents or items, match nothing; an item of fewer than five words has no shingle to
+verify and is left out of the index and its counts; rows that share an id are judged each by its text; copies of an item
+count as items; an empty table on either side gives no match; other columns pass through ``decontaminate`` untouched."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD_BASE, Spans, Terms, ranges, slabs
+from ._common import WORD_BASE, Spans, Terms, ranges, slabs, stored
 
 K1, B = 1.2, 0.75
 BLOCK = 8
 THRESHOLD, OVERLAP, SHINGLE = 0.5, 0.8, 5
 STRIDE = 64
-SHARD_ITEMS = 20_000
+SHARD_ITEMS, SHARD_BYTES = 20_000, 16_000_000
+_TERM = re.compile("[A-Za-z0-9\x80-\U0010ffff]+")
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
@@ -41,34 +44,53 @@ def question_and_answer(text: str) -> tuple[str, str]:
     ends = [m.end() for m in re.finditer(r"[.!?\n]+(?=\s|$)", text)]
     asked = text.rfind("?") + 1
     for cut in [asked, *reversed(ends)]:
-        if all(len(x.split()) >= SHINGLE for x in (text[:cut], text[cut:])):
+        if all(len(_TERM.findall(x)) >= SHINGLE for x in (text[:cut], text[cut:])):
             return text[:cut], text[cut:]
     return text, text
 
 
-def shingles(spans: Spans, first: int, last: int, n: int) -> np.ndarray:
-    """Hashes of the n-term shingles in [first, last)."""
-    a = np.arange(first, last - n + 1)
-    return np.unique(spans(a, a + n))
+def shingles(spans: Spans, first: int, last: int) -> np.ndarray:
+    """Hashes of the shingles in [first, last)."""
+    a = np.arange(first, last - SHINGLE + 1)
+    return np.unique(spans(a, a + SHINGLE))
+
+
+@dataclass
+class Counts:
+    """Of all items: their number, mean length and longest, and in how many each term is (terms ascending)."""
+
+    n: int
+    mean: float
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+    def of(self, terms: np.ndarray) -> np.ndarray:
+        return self.df[np.searchsorted(self.terms, terms)]
 
 
 class Index:
-    """BM25 impacts of some items by term, with list and block maxima."""
+    """BM25 impacts of some items (id, text, how many copies) by term, with list and block maxima."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        t = Terms([(x or "").encode() for _, x in items])
-        keep = np.flatnonzero(t.count > 0)
+    def __init__(self, items: list[tuple[int, str, int]], counts: Counts | None = None):
+        """``counts``: those of all items, if these are not all."""
+        t = Terms([(x or "").encode() for _, x, _ in items])
+        keep = np.flatnonzero(t.count >= SHINGLE)
         self.ids = [items[i][0] for i in keep]
+        copies = np.array([items[i][2] for i in keep], np.int64)
         number = np.full(len(items), -1)
         number[keep] = np.arange(len(keep))
         n, length = len(keep), t.count[keep]
-        self.longest = int(length.max()) if n else 0
-        self.terms, term = np.unique(t.hash, return_inverse=True)
-        pair, tf = np.unique(term.astype(np.int64) * max(n, 1) + number[t.doc], return_counts=True)
+        own = number[t.doc] >= 0
+        self.terms, term = np.unique(t.hash[own], return_inverse=True)
+        pair, tf = np.unique(term.astype(np.int64) * max(n, 1) + number[t.doc[own]], return_counts=True)
         term, item = pair // max(n, 1), pair % max(n, 1)
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / (length.mean() if n else 1)))
+        if counts is None:
+            df = np.bincount(term, copies[item], len(self.terms)) if n else np.zeros(0)
+            counts = Counts(int(copies.sum()), float((copies * length).sum() / max(1, copies.sum())), int(length.max()) if n else 0, self.terms, df)
+        self.longest, df = counts.longest, counts.of(self.terms)
+        idf = np.log1p((counts.n - df + 0.5) / (df + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / (counts.mean or 1)))
         impact /= np.bincount(item, impact, n)[item] if n else 1
         self.item, self.impact = item, impact
         self.start = np.searchsorted(term, np.arange(len(self.terms) + 1))
@@ -82,8 +104,7 @@ class Index:
         halves = [h for i in keep for h in question_and_answer(items[i][1])]
         h = Terms([x.encode() for x in halves])
         spans = Spans(h.hash, WORD_BASE)
-        size = np.clip(h.count, 1, SHINGLE)
-        self.parts = [(int(size[k]), shingles(spans, h.first[k], h.first[k + 1], size[k])) for k in range(len(halves))]
+        self.parts = [shingles(spans, h.first[k], h.first[k + 1]) for k in range(len(halves))]
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, float, float, float]]:
         """(text, passage, item's number, score, question's and answer's overlap) of all pairs at or above the threshold."""
@@ -135,17 +156,58 @@ class Index:
                 spans = spans or Spans(t.hash, WORD_BASE)
                 begin = t.first[d] + number * stride
                 end = min(begin + 2 * stride, t.first[d + 1])
-                share = [float(np.isin(x, shingles(spans, begin, end, m)).mean()) if len(x) else 0.0 for m, x in self.parts[2 * item : 2 * item + 2]]
+                there = shingles(spans, begin, end)
+                share = [float(np.isin(x, there).mean()) for x in self.parts[2 * item : 2 * item + 2]]
                 found.append((d, int(number), item, s, *share))
         return found
 
 
+def _terms_of(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of item_id, text, copies: (n, copies) for each item, and (hash, copies) for each term of it."""
+
+    def run(each: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                copies = batch.column(1).to_numpy(zero_copy_only=False)
+                for at, texts in slabs(batch.column(0)):
+                    t, c = Terms(texts), copies[at : at + len(texts)]
+                    ok = t.count >= SHINGLE
+                    if each:
+                        doc, n = np.flatnonzero(ok), t.count[ok]
+                    else:
+                        order = np.lexsort((t.hash, t.doc))
+                        h, d = t.hash[order], t.doc[order]
+                        new = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]))) & ok[d] if len(h) else np.zeros(0, bool)
+                        doc, n = d[new], h[new].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(c[doc], pa.int64())], ["value", "copies"])
+
+        return run
+
+    rows = items.select("text", "copies")
+    return rows.mapInArrow(run(True), "value bigint, copies bigint"), rows.mapInArrow(run(False), "value bigint, copies bigint")
+
+
 def indexes(benchmark: DataFrame) -> Iterator[Index]:
     """An index for each shard of the items, one at a time."""
-    items = benchmark.select(F.col("item_id").cast("bigint"), "text")
-    n = max(1, -(-items.count() // (SHARD_ITEMS // 2)))  # dealt by hash: twice the mean is far beyond any shard
+    spark = benchmark.sparkSession
+    items = stored(benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("copies")))
+    total = items.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    n = max(1, -(-total[0] // (SHARD_ITEMS // 2)), -(-(total[1] or 0) // SHARD_BYTES))  # dealt by hash: twice the mean is far beyond any shard
+    if n == 1:
+        yield Index([tuple(r) for r in items.orderBy("item_id", "text").collect()])
+        return
+    sizes, terms = _terms_of(items)
+    every = sizes.agg(F.sum("copies"), F.sum(F.col("copies") * F.col("value")), F.max("value")).first()
+    df = stored(terms.groupBy("value").agg(F.sum("copies").alias("df")))
     for k in range(n):
-        yield Index([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()])
+        rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()]
+        own = np.unique(Terms([(x or "").encode() for _, x, _ in rows]).hash)
+        asked = spark.createDataFrame(pa.table({"value": pa.array(own.view(np.int64))}))
+        got = df.join(asked, "value").toArrow()  # no more terms than the shard's text has
+        found = np.asarray(got.column("value"), np.int64).view(np.uint64)
+        order = np.argsort(found)
+        counts = Counts(every[0] or 0, (every[1] or 0) / max(1, every[0] or 0), every[2] or 0, found[order], np.asarray(got.column("df"), np.float64)[order])
+        yield Index(rows, counts)
 
 
 def verified(question: float, answer: float) -> bool:
@@ -155,9 +217,11 @@ def verified(question: float, answer: float) -> bool:
 def retrieved(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, passage (number in its document), item_id, score, question_overlap, answer_overlap: every pair at or above the threshold."""
     out = None
-    for index in indexes(benchmark):
+    for one in indexes(benchmark):
+        held = docs.sparkSession.sparkContext.broadcast(one)  # of bounded size: a shard's
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            index = held.value
             for batch in batches:
                 ids = batch.column(0)
                 for at, texts in slabs(batch.column(1)):
@@ -185,9 +249,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold an item; rows pass or go where they are read, without a shuffle."""
     at = docs.columns.index("text")
-    for index in indexes(benchmark):
+    for one in indexes(benchmark):
+        held = docs.sparkSession.sparkContext.broadcast(one)
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            index = held.value
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for begin, texts in slabs(batch.column(at)):
@@ -206,12 +272,11 @@ def op4(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 
-
 #: The same scores and shares for every passage and item, without an index.
 SQL = r"""
 WITH raw AS (SELECT row_number() OVER () AS i, item_id, coalesce(text, '') AS text FROM benchmark),
 it AS (SELECT *, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ts FROM raw),
-items AS (SELECT *, len(ts) AS n FROM it WHERE len(ts) > 0),
+items AS (SELECT *, len(ts) AS n FROM it WHERE len(ts) >= 5),
 st AS (SELECT count(*)::DOUBLE AS n, avg(n::DOUBLE) AS mean, greatest(64, max(n)) AS stride FROM items),
 tf AS (SELECT i, n, term, count(*) AS tf FROM (SELECT i, n, unnest(ts) AS term FROM items) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -220,7 +285,7 @@ nm AS (SELECT i, term, w / sum(w) OVER (PARTITION BY i) AS w FROM im),
 cuts AS (SELECT i, text, k, substr(text, k, 1) = '?' AND NOT contains(substr(text, k + 1), '?') AS asked,
                 contains('.!?' || chr(10), substr(text, k, 1)) AND regexp_matches(substr(text, k + 1, 1), '^(\s|$)') AS ends FROM (SELECT i, text, unnest(range(1, length(text) + 1)) AS k FROM items)),
 good AS (SELECT i, max(k) FILTER (WHERE asked) AS a, max(k) FILTER (WHERE ends) AS e FROM cuts
-         WHERE (asked OR ends) AND len(regexp_extract_all(left(text, k), '\S+')) >= 5 AND len(regexp_extract_all(substr(text, k + 1), '\S+')) >= 5 GROUP BY i),
+         WHERE (asked OR ends) AND len(regexp_extract_all(left(text, k), '[a-zA-Z0-9\x{80}-\x{10FFFF}]+')) >= 5 AND len(regexp_extract_all(substr(text, k + 1), '[a-zA-Z0-9\x{80}-\x{10FFFF}]+')) >= 5 GROUP BY i),
 cutat AS (SELECT items.i, items.item_id, items.text, coalesce(a, e) AS k FROM items LEFT JOIN good USING (i)),
 halves AS (SELECT i, 'q' AS part, CASE WHEN k IS NULL THEN text ELSE left(text, k) END AS t FROM cutat UNION ALL SELECT i, 'a', CASE WHEN k IS NULL THEN text ELSE substr(text, k + 1) END FROM cutat),
 ht AS (SELECT i, part, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ts FROM halves),
