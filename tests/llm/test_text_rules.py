@@ -46,6 +46,46 @@ def test_sketches_merge(spark, odd):
     assert sorted(map(str, quality_rules.merge(parts, by).collect())) == sorted(map(str, quality_rules.merge(whole, by).collect()))
 
 
+def test_repeated_windows_do_not_rest_on_hashes(spark):
+    """With hashes that fall together the windows themselves decide."""
+    from pyspark.sql import functions as F
+
+    texts = ["a b c a b c d", "a b c d e f", "a b c x b c a b c", "x x x x", "a b", "q a b c q d b c q a b c"]
+    df = spark.createDataFrame([(t.split(),) for t in texts], "w array<string>")
+
+    def slow(t):
+        w = t.split()
+        at = {}
+        for i in range(len(w) - 2):
+            at.setdefault(tuple(w[i : i + 3]), []).append(i)
+        return len({p + k for x in at.values() if len(x) > 1 for p in x for k in range(3)})
+
+    for hashed in (F.xxhash64, lambda a, b, c: F.lit(0).cast("bigint") + 0 * F.length(a), lambda a, b, c: F.length(F.concat(a, b, c)).cast("bigint") * 65536 + F.ascii(a).cast("bigint") * 4096):
+        assert [r[0] for r in df.select(quality_rules.repeat_words(F.col("w"), hashed)).collect()] == [slow(t) for t in texts]
+
+
+def test_groups_have_their_own_fences(spark):
+    """A group's thresholds move with its own documents, at any size, and its language's draw them less the larger it is."""
+    from pyspark.sql import functions as F
+
+    measured = lambda n, size: [("en", f"s{n}-{size}", size)] * n
+    rows = measured(20_000, 500) + [x for n in (3, 30, 300, 3000) for x in measured(n, 900)]
+    df = spark.createDataFrame(rows, "lang string, source string, b_length bigint").withColumns({"base_failed": F.lit(False), **{f"b_{m}": F.lit(0).cast("bigint") for m in quality_rules.MEASURES if m != "length"}})
+    high = {r._source: r.length_high for r in quality_rules.fences(quality_rules.sketches(df)).collect()}
+    assert high["s20000-500"] < high["s3-900"] < high["s30-900"] < high["s300-900"] < high["s3000-900"] <= 900 + 3 * 400
+    # at sf0.1 most groups' fences are not those of their language
+    m = quality_rules.measures(table(spark, "/root/testdata/sf0.1", "documents"))
+    f = quality_rules.fences(quality_rules.sketches(m)).collect()
+    assert len({(r._lang, r.length_high, r.length_low, r.repeats_high) for r in f}) > 0.9 * len(f)
+
+
+def test_long_words_have_bins(spark):
+    """Of texts without spaces one that is far longer is rejected."""
+    rows = [(i, " ".join(["x" * (60 + i % 7) + str(k) for k in range(60)]), "zz", "s") for i in range(200)] + [(999, " ".join(["y" * 5000 + str(k) for k in range(60)]), "zz", "s")]
+    got = {r.doc_id: r.kept for r in quality_rules.op1(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert not got.pop(999) and all(got.values())
+
+
 def test_classifier_holds_out(spark):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     half = labels.where("doc_id % 2 = 0")
