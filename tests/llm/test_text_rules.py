@@ -104,15 +104,91 @@ def test_classifier_on_odd_input(spark, odd, empty, clashing):
     assert cotraining.keep_good(clashing, none).columns == clashing.columns
 
 
-def test_views_exchange_labels():
-    r = np.random.default_rng(1)
-    n = 600
-    y = r.integers(0, 2, n)
-    a, b = y[:, None] + 0.3 * r.normal(size=(n, 3)), y[:, None] + 0.3 * r.normal(size=(n, 2))
-    known, fold = np.arange(n) < 60, np.arange(60) % 4 == 0
-    m = cotraining.cotrain(a[known], b[known], y[known], fold, a[~known], b[~known])
-    _, _, p = m.score(a[~known], b[~known])
-    assert np.mean((p >= 0.5) == y[~known]) > 0.95
+def _pool(n=3000, sources=40, seed=1):
+    """The text says a little of every document; a source says all of its own, but the labels show few of the sources."""
+    r = np.random.default_rng(seed)
+    of = r.integers(0, sources, n)
+    y = of % 2
+    a = (2 * y - 1 + 1.2 * r.normal(size=n))[:, None].astype(np.float32)
+    known = np.flatnonzero(of < 4)[:160]
+    return a, [("en", f"s{k}", 1000) for k in of], y, known, np.setdiff1d(np.arange(n), known)
+
+
+def _proposer(rid, a, b, calls):
+    def propose(views, taken):
+        calls.append(1)
+        free = np.flatnonzero(~np.isin(rid, taken))
+        return [(v, label, float(z), int(rid[free[i]]), a[free[i]], b[free[i]]) for v, label, zs, at in cotraining.surest(views, rid[free], a[free], [b[i] for i in free]) for z, i in zip(zs, at, strict=True)]
+
+    return propose
+
+
+def test_views_exchange_labels(monkeypatch):
+    """What the text is sure of teaches the metadata sources without a label; without the exchange it cannot."""
+    a, b, y, known, rest = _pool()
+
+    def right():
+        calls = []
+        m = cotraining.cotrain(known, a[known], [b[i] for i in known], y[known], np.arange(len(known)) % 4 == 0, _proposer(rest, a[rest], [b[i] for i in rest], calls))
+        _, q, p = m.score(a[rest], [b[i] for i in rest])
+        return np.mean((p >= 0.5) == y[rest]), np.mean((q >= 0.5) == y[rest]), len(calls)
+
+    with_, meta, calls = right()
+    monkeypatch.setattr(cotraining, "ROUNDS", 0)
+    without, blind, none = right()
+    assert calls > 1 and none == 0
+    assert with_ > 0.93 and with_ > without + 0.08 and meta > blind + 0.2
+
+
+def slow_cotraining(rows, labels, fold):
+    """The same by plain loops over all rows in memory: rows (rid, doc_id, measures, metadata), labels by doc_id, fold: doc_ids kept for calibration."""
+    rows = sorted(rows, key=lambda r: r[0])
+    known = [r for r in rows if r[1] in labels]
+    own = [[(r[2], r[3], labels[r[1]]) for r in known if r[1] not in fold] for _ in range(2)]
+    taken = set()
+    for k in range(cotraining.ROUNDS + 1):
+        text = cotraining.Linear(np.stack([x for x, _, _ in own[0]]), np.array([t for _, _, t in own[0]], float))
+        seen = cotraining.Meta([m for _, m, _ in own[1]], np.array([t for _, _, t in own[1]], float))
+        meta = cotraining.Linear(seen([m for _, m, _ in own[1]]), np.array([t for _, _, t in own[1]], float))
+        odds = lambda r: (float(text.logit(r[2][None])[0]), float(meta.logit(seen([r[3]]))[0]))
+        if k == cotraining.ROUNDS:
+            break
+        free = [(r, odds(r)) for r in rows if r[1] not in labels and r[0] not in taken]
+        given = []
+        for view in (0, 1):
+            for label in (0, 1):
+                sure = sorted((-(z[view] if label else -z[view]), r[0], r) for r, z in free if (z[view] if label else -z[view]) >= np.log(cotraining.CONFIDENT / (1 - cotraining.CONFIDENT)))
+                given += [(view, label, r) for _, _, r in sure[: cotraining.PER_ROUND]]
+        for view, label, r in given:
+            if not any(q[0] == r[0] and x != label for _, x, q in given):
+                own[1 - view].append((r[2], r[3], label))
+        if not given:
+            break
+        taken |= {r[0] for _, _, r in given}
+    held = [r for r in known if r[1] in fold]
+    y = np.array([labels[r[1]] for r in held], float)
+    z = np.array([odds(r) for r in held])
+    scale = [cotraining.Linear(z[:, [k]], y) for k in (0, 1)]
+    both = cotraining.Linear(np.column_stack([scale[k].logit(z[:, [k]]) for k in (0, 1)]), y)
+    out = {}
+    for r in rows:
+        la, lb = (float(scale[k].logit(np.array([[odds(r)[k]]]))[0]) for k in (0, 1))
+        out[r[1]] = 1 / (1 + np.exp(-float(both.logit(np.array([[la, lb]]))[0])))
+    return out
+
+
+def test_classifier_equals_brute_force(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(cotraining, "PER_ROUND", 15)
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents").where("doc_id < 500"), table(spark, "/root/testdata/sf0.01", "labels").where("doc_id < 500")
+    rows = [(r.rid, r.doc_id, np.array(r.a, np.float32), (r.lang, r.source, r.n_chars)) for r in cotraining.measured(docs).collect()]
+    fold = {r.doc_id for r in labels.where(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)) == 0).collect()}
+    want = slow_cotraining(rows, {r.doc_id: r.quality for r in labels.collect()}, fold)
+    got = {r.doc_id: r for r in cotraining.op2(docs, labels).collect()}
+    assert got.keys() == want.keys() and all(got[d].score == pytest.approx(want[d], abs=1e-6) and got[d].kept == (got[d].score >= 0.5) for d in want)
+    kept = {r.doc_id for r in cotraining.keep_good(docs, labels).collect()}
+    assert kept == {d for d, r in got.items() if r.kept}
 
 
 def test_toxicity_holds_out(spark):
