@@ -199,22 +199,97 @@ def test_toxicity_holds_out(spark):
     assert np.mean([bool(t) == (r.predicted == 1) for t, r in held]) > 0.96
 
 
-def _toxic_model(spark):
+def _toxic_rows(n=400):
     words = ["calm", "kind", "plain", "quiet", "soft", "warm", "mild"]
-    docs = [(i, ". ".join(" ".join(words[(i + j + k) % 7] for k in range(5)) for j in range(4)) + (". you vile crook" if i % 3 == 0 else "."), i % 3 == 0) for i in range(400)]
-    d = spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id bigint, text string")
-    return toxicity.train(d, spark.createDataFrame([(i, int(x)) for i, _, x in docs], "doc_id bigint, toxic int"))
+    return [(i, ". ".join(" ".join(words[(i + j + k) % 7] for k in range(5)) for j in range(4)) + (". you vile crook" if i % 3 == 0 else "."), int(i % 3 == 0)) for i in range(n)]
+
+
+def _toxic_model(spark, rows=None):
+    rows = rows or _toxic_rows()
+    return toxicity.train(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int"))
+
+
+def slow_bags(text):
+    """Sentences of a text as sets of features, by plain string work: terms, and their first 2 to 8 bytes."""
+    fold = lambda c: c.lower() if c.isascii() or "À" <= c <= "Þ" and c != "×" else c
+    out = []
+    for sentence in re.split(r"[.!?\n]", text or ""):
+        terms = ["".join(t).encode() for t in re.findall(r"[a-z0-9\x80-\U0010ffff]+", "".join(map(fold, sentence)))]
+        if terms:
+            out.append({t for t in terms} | {(t[:n], n) for t in terms for n in range(2, 9) if len(t) > n})
+    return out
+
+
+def slow_toxicity(rows, score):
+    """Scores of texts from a dense noisy-or model of plain strings; ``rows``: doc_id, text, label."""
+    rows = sorted(r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1)
+    bags, y = [slow_bags(t) for _, t, _ in rows], np.array([r[2] for r in rows])
+    n1, n0 = int(y.sum()), int((1 - y).sum())
+    names = []
+    for f in sorted({f for b in bags for s in b for f in s}, key=repr):
+        a = sum(any(f in s for s in b) for b, t in zip(bags, y, strict=True) if t)
+        c = sum(any(f in s for s in b) for b, t in zip(bags, y, strict=True) if not t)
+        cells = ((a, n1, a + c), (c, n0, a + c), (n1 - a, n1, n1 + n0 - a - c), (n0 - c, n0, n1 + n0 - a - c))
+        ratio = 2 * sum(x * np.log(x * (n1 + n0) / (n * k)) for x, n, k in cells if x)
+        if a + c >= toxicity.LEAST_DOCS and a * n0 > 2 * c * n1 and ratio >= toxicity.LEAST_RATIO:
+            names.append(f)
+    dense = lambda b: np.array([[f in s for f in names] for s in b], float).reshape(len(b), len(names))
+    x = [dense(b) for b in bags]
+    theta, m, v = np.r_[np.zeros(len(names)), -5.0], 0, 0
+    weight = np.where(y == 1, y.mean() / n1, (1 - y.mean()) / n0)
+    for k in range(1, toxicity.ROUNDS + 1):
+        grad = np.r_[toxicity.DECAY / max(1, len(names)) * theta[:-1], 0.0]
+        for d, t, w in zip(x, y, weight, strict=True):
+            s = 1 / (1 + np.exp(-(d @ theta[:-1] + theta[-1])))
+            none = np.prod(1 - s)
+            # d loss / d z = s * d loss / d log(1 - p), negated for the toxic
+            dz = s * w * (-none / max(1 - none, 1e-9) if t else 1.0)
+            grad += np.r_[d.T @ dz, dz.sum()]
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        theta = theta - toxicity.RATE * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9)
+    return [1 - np.prod(1 - 1 / (1 + np.exp(-(dense(b) @ theta[:-1] + theta[-1])))) for b in map(slow_bags, score)]
+
+
+def test_toxicity_equals_brute_force(spark):
+    rows = _toxic_rows(90)
+    rows = [(i, t + (" ÜBEL crooked" if i % 6 == 0 else ""), y) for i, t, y in rows]
+    asked = [t for _, t, _ in rows] + ["", None, "Vile. vile! kind", "vi crooks\nübel", "x × vile×crook"]
+    got = toxicity.op8(spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000 + i, t) for i, t in enumerate(asked[90:])], "doc_id bigint, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int"))
+    by = {r.doc_id: r.score for r in got.collect()}
+    want = slow_toxicity(rows, asked)
+    assert [by[i] for i in range(90)] + [by[1000 + i] for i in range(5)] == pytest.approx(want, abs=1e-6)
+    assert max(want[:90]) > 0.9 and min(want[:90]) < 0.1
 
 
 def test_toxicity_locates_sentences(spark):
     m = _toxic_model(spark)
     text = "Ünder calm kind. Soft vile crook here! Warm."
-    [(a, b, s)] = m.offending(text)
-    assert text[a:b] == "Soft vile crook here" and s >= 0.5
-    _, sentence_scores = None, m.sentences(toxicity.Bags([text.encode()]))
-    assert m.score([text.encode()])[0] == pytest.approx(1 - np.prod(1 - sentence_scores))
-    got = toxicity.located(spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string"), m).collect()
-    assert [(r.doc_id, text[r.begin : r.end]) for r in got] == [(1, "Soft vile crook here")]
+    [s], [[(a, b, one)]] = m.read([text.encode()])
+    assert text[a:b] == "Soft vile crook here" and one >= 0.5
+    assert s == pytest.approx(1 - np.prod(1 - m.sentences(toxicity.Bags([text.encode()]))))
+    long = "é kind. " * 20_000 + text + " You vile crook"
+    got = {r.doc_id: r for r in toxicity.scored(spark.createDataFrame([(1, text), (2, None), (3, long)], "doc_id bigint, text string"), m).collect()}
+    assert [text[x.begin : x.end] for x in got[1].offending] == ["Soft vile crook here"] and got[2].offending == []
+    assert [long[x.begin : x.end] for x in got[3].offending] == ["Soft vile crook here", "You vile crook"]
+
+
+def test_toxicity_query_tells_where(spark):
+    """Of documents called toxic the query names sentences; on rows held out most of these are read from the text alone."""
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    rows = [r for r in toxicity.op8(docs, labels).collect() if r.predicted]
+    assert rows and sum(bool(r.offending) for r in rows) >= 0.9 * len(rows)
+    assert all(0 <= x.begin < x.end <= len(text[r.doc_id]) for r in rows for x in r.offending)
+
+
+def test_toxicity_learns_one_row_of_a_doc_id(spark):
+    rows = _toxic_rows()
+    many = rows + [rows[0]] * 300 + [(rows[0][0], "another text", 0)] * 200
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int")
+    m = toxicity.train(spark.createDataFrame([r[:2] for r in many], "doc_id bigint, text string").repartition(5), labels)
+    one = _toxic_model(spark, rows)
+    t = [b"soft vile crook", b"kind"]
+    assert m.read(t)[0] == pytest.approx(one.read(t)[0], abs=0.02)
 
 
 def test_toxicity_on_odd_input(spark, odd, empty, clashing):

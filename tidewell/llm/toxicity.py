@@ -5,12 +5,14 @@ A document is a bag of sentences.  A sentence's score is logistic in its distinc
 document labels alone, by the gradient through the noisy-or, and then tell which sentences offend.
 
 Labels are learned from a bounded sample of labelled rows: up to ``SAMPLE`` of each label, those with the least hash of
-doc_id, weighted so that both labels count as in all labelled rows.  Weights are given to at most ``FEATURES``
-features: those that tell toxic documents of the sample best (likelihood ratio).  Scores use the text alone.
+doc_id, weighted so that both labels count as in all labelled rows.  Weights are given to the features that tell
+toxic documents of the sample (by likelihood ratio, over ``LEAST_RATIO``).  Scores use the text alone.  The sentences that
+score ``LOCATED`` or more are the offending ones, given by their places in code points.
 
 Defined results: a null, empty or wordless text has no sentence and scores 0; rows that share a doc_id are scored
-each by its text; several labels of a document count as toxic if one is; null labels are left aside; without labels of
-both kinds every score is 0; an empty table gives an empty result; other columns are left aside."""
+each by its text, and if labelled the one with the least hash of its text is learned from; several labels of a document count
+as toxic if one is 1; null labels are left aside; without labels of both kinds every score is 0; an empty table gives an empty
+result; other columns are left aside."""
 
 from __future__ import annotations
 
@@ -23,11 +25,11 @@ from pyspark.sql import functions as F
 
 from ._common import Terms, prefix_hashes, sigmoid, slabs, stored
 
-SAMPLE, FEATURES = 4000, 4000
+SAMPLE = 4000
 LEAST_DOCS, LEAST_RATIO = 5, 12.0
 PREFIXES = range(2, 9)
 ROUNDS, RATE, DECAY = 300, 0.05, 3e-4
-CUT = 0.7
+CUT, LOCATED = 0.7, 0.5
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?\n"]] = True
 
@@ -88,18 +90,21 @@ class Model:
         sentence, number = self.lexicon.find(bags)
         return sigmoid(self.bias + np.bincount(sentence, self.weight[number], len(bags.doc)))
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
+        """The score of each text, and (begin, end, score) of its offending sentences, from first to last term, in code points."""
         bags = Bags(texts)
-        return -np.expm1(np.bincount(bags.doc, np.log1p(-np.minimum(self.sentences(bags), 1 - 1e-12)), len(texts)))
-
-    def offending(self, text: str, least: float = 0.5) -> list[tuple[int, int, float]]:
-        """(begin, end, score) of the sentences at or above ``least``, from first to last term, in code points."""
-        raw = text.encode()
-        bags = Bags([raw])
         s = self.sentences(bags)
-        at = lambda b: len(raw[:b].decode())
-        own = [np.flatnonzero(bags.sentence == k)[[0, -1]] for k in np.flatnonzero(s >= least)]
-        return [(at(bags.t.begin[a]), at(bags.t.end[b]), float(s[bags.sentence[a]])) for a, b in own]
+        scores = -np.expm1(np.bincount(bags.doc, np.log1p(-np.minimum(s, 1 - 1e-12)), len(texts)))
+        found: list[list[tuple[int, int, float]]] = [[] for _ in texts]
+        bad = np.flatnonzero(s >= LOCATED)
+        if len(bad):
+            points = np.concatenate(([0], np.cumsum((bags.t.buf & 0xC0) != 0x80)))
+            first, last = np.searchsorted(bags.sentence, bad), np.searchsorted(bags.sentence, bad, side="right") - 1
+            base = points[bags.t.at[bags.doc[bad]]]
+            begin, end = points[bags.t.begin[first]] - base, points[bags.t.end[last]] - base
+            for d, a, b, x in zip(bags.doc[bad].tolist(), begin.tolist(), end.tolist(), s[bad].tolist(), strict=True):
+                found[d].append((a, b, x))
+        return scores, found
 
 
 def fit(whose: np.ndarray, sentence: np.ndarray, number: np.ndarray, y: np.ndarray, weight_of: np.ndarray, n: int) -> tuple[np.ndarray, float]:
@@ -124,13 +129,16 @@ def held_out():
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """From labelled rows that are not held out."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.where(~held_out())
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+    known = stored(known.where(~held_out()))
     order = F.xxhash64("doc_id")
     sample = known.where("toxic = 1").orderBy(order).limit(SAMPLE).unionByName(known.where("toxic = 0").orderBy(order).limit(SAMPLE))
     sample = stored(sample)  # at most 2 * SAMPLE rows of two numbers
     total = dict(known.groupBy("toxic").count().collect())
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
+    # one row of each doc_id: no more texts than doc_ids are learned from
+    named = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    chosen = stored(named.select("doc_id", "th").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("th").alias("th"), F.min("toxic").alias("toxic")))
+    texts = stored(named.join(F.broadcast(chosen), ["doc_id", "th"]).dropDuplicates(["doc_id"]).select("toxic", "text", "doc_id"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 pos = np.bincount(into, y == 1, len(h))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(pos.astype(np.int64)), pa.array(np.bincount(into, minlength=len(h)) - pos.astype(np.int64))], ["hash", "pos", "neg"])
 
-    n1, n0 = sample.where("toxic = 1").count(), sample.where("toxic = 0").count()
+    n1, n0 = texts.where("toxic = 1").count(), texts.where("toxic = 0").count()
     if not n1 or not n0:
         return Model(Lexicon(np.zeros(0, np.uint64)), np.zeros(0), None)
     a, c = F.col("pos"), F.col("neg")
@@ -155,7 +163,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     ratio = 2 * (part(a, n1, a + c, n1 + n0) + part(c, n0, a + c, n1 + n0) + part(n1 - a, n1, n1 + n0 - a - c, n1 + n0) + part(n0 - c, n0, n1 + n0 - a - c, n1 + n0))
     counts = texts.mapInArrow(counted, "hash bigint, pos bigint, neg bigint").groupBy("hash").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     told = counts.where((a + c >= LEAST_DOCS) & (a * n0 > 2 * c * n1)).select("hash", ratio.alias("ratio")).where(F.col("ratio") >= LEAST_RATIO)
-    lexicon = Lexicon(np.array([r.hash for r in told.orderBy(F.desc("ratio"), "hash").limit(FEATURES).collect()], np.int64).view(np.uint64))
+    # no more than a sample's texts hold
+    lexicon = Lexicon(np.asarray(told.select("hash").toArrow()["hash"], np.int64).view(np.uint64))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,13 +174,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 first = np.searchsorted(bags.doc, np.arange(len(part) + 1))
                 cut = np.searchsorted(bags.doc[sentence], np.arange(len(part) + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x, pa.int32())) for x in (sentence - first[bags.doc[sentence]], number)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(np.diff(first), pa.int32()), *lists], ["toxic", "n", "sentence", "number"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(2).slice(at, len(part)), pa.array(np.diff(first), pa.int32()), *lists], ["toxic", "doc_id", "n", "sentence", "number"])
 
-    got = texts.mapInArrow(found, "toxic int, n int, sentence array<int>, number array<int>").toArrow()
+    got = texts.mapInArrow(found, "toxic int, doc_id bigint, n int, sentence array<int>, number array<int>").toArrow()
+    got = got.sort_by("doc_id").drop_columns("doc_id")  # training must not depend on the order of rows
     y, n = np.asarray(got.column(0), np.int64), np.asarray(got.column(1), np.int64)
     size = np.array([len(x) for x in got.column(2)], np.int64)
     base = np.concatenate(([0], np.cumsum(n)[:-1]))
-    sentence, number = (np.concatenate([np.asarray(x.values, np.int64) for x in got.column(c)] or [np.zeros(0, np.int64)]) for c in (2, 3))
+    sentence, number = (np.asarray(got.column(c).combine_chunks().flatten(), np.int64) for c in (2, 3))
     share = total[1] / (total[0] + total[1])
     weight_of = np.where(y == 1, share / (y == 1).sum(), (1 - share) / (y == 0).sum())
     whose = np.repeat(np.arange(len(y)), n)
@@ -180,27 +190,22 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [model.score(part) for _, part in slabs(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(got) if got else [], pa.float64())], ["doc_id", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double")
-
-
-def located(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """doc_id, begin, end, score: every offending sentence."""
+    """doc_id, score, offending: array of (begin, end, score) of the sentences that offend, in code points."""
+    span = pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, *x) for i, t in enumerate(batch.column(1).to_pylist()) for x in model.offending(t or "", least)]
-            i, a, b, s = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i, pa.int64())), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["doc_id", "begin", "end", "score"])
+            scores, found = [np.zeros(0)], []
+            for _, part in slabs(batch.column(1)):
+                s, spans = model.read(part)
+                scores.append(s)
+                found += spans
+            spans = [[{"begin": a, "end": b, "score": x} for a, b, x in some] for some in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores)), pa.array(spans, pa.list_(span))], ["doc_id", "score", "offending"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, begin bigint, end bigint, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double, offending array<struct<begin:bigint,end:bigint,score:double>>")
 
 
 def op8(docs: DataFrame, labels: DataFrame) -> DataFrame:
     out = scored(docs, train(docs, labels))
-    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "offending")
