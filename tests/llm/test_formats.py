@@ -123,6 +123,15 @@ def test_targets(spark, sizes):
     assert all(got[n] == pytest.approx(want[n]) for n in names)
 
 
+def test_rows_of_one_id_have_keys_of_their_own(spark, monkeypatch):
+    """Null or equal ids do not meet in one bucket."""
+    rows = [(None, prose(i, 20), "en", "a", 1) for i in range(300)]
+    plan = mixing.plan_mix(spark.createDataFrame(rows, SCHEMA))
+    assert plan.select("_mix_hash").distinct().count() == 300 and sum(r.taken for r in plan.collect()) == 300 * 20 * 3 // 2
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    assert len({md5(f"mix:null:{md5(r[1])}")[:12] for r in rows}) == 300
+
+
 def test_mix_takes_the_budget(spark, odd, empty, clashing, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 4)  # many buckets a source
     plan = mixing.op9(odd).collect()
@@ -185,6 +194,13 @@ def test_the_query_reads_its_columns_from_the_examples(spark, monkeypatch):
     assert not any(r.loss_chars for r in chat_format.op10(df).collect())
 
 
+def test_a_conversation_of_many_turns(spark, same_as_sql, tmp_path):
+    rows = [(7, i, ("user", "assistant")[i % 2], f"turn {i}") for i in range(1500)]
+    df = spark.createDataFrame(rows, CHAT)
+    df.write.parquet(str(tmp_path / "c"))
+    same_as_sql(chat_format.op10(df), chat_format.SQL, {"conversations": f"{tmp_path}/c/*.parquet"})
+
+
 def test_chat_on_odd_input(spark):
     df = spark.createDataFrame(HARD, CHAT)
     from pyspark.sql import functions as F
@@ -203,7 +219,7 @@ def test_pipeline_stages(spark):
     from tidewell.llm import cotraining, decontamination, simhash, substring_dedup
     from tidewell.llm._common import stored
 
-    from .test_dedup import slow_classes, slow_substrings
+    from .test_dedup import slow_near, slow_substrings
 
     sf = "/root/testdata/sf0.01"
     docs = table(spark, sf, "documents")
@@ -218,7 +234,7 @@ def test_pipeline_stages(spark):
         if name == "quality_classifier":
             assert ids == kept
         elif name == "simhash_near_dedup":
-            assert ids == {c for _, _, c in slow_classes([(r.doc_id, r.text) for r in before])}
+            assert ids == set(slow_near([(r.doc_id, r.text) for r in before]))
         elif name == "substring_dedup":
             want = {d: s for d, _, _, s in slow_substrings([(r.doc_id, r.text) for r in before])}
             assert {r.doc_id: hashlib.sha256(b" ".join(r.text.encode().split())).hexdigest() for r in after} == want
@@ -235,6 +251,50 @@ def test_pipeline_stages(spark):
     assert simhash and substring_dedup
 
 
+def test_pipeline_stages_on_odd_input(spark, clashing, empty, tmp_path):
+    """Nulls, repeated rows, long and empty texts, columns named as the stages name their own, and empty tables."""
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+    from tidewell.llm._common import stored
+
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0), (100, 0, 0), (None, 0, 1)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, prose(110, 80)), (2, None)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for rows in (clashing.withColumns({"mix_epoch": F.lit("x"), "mix_words": F.lit("x")}), empty):
+        docs = rows
+        for name, stage in corpus_pipeline.STAGES:
+            out = stored(stage(spark, docs, str(tmp_path)))
+            assert name == "source_mixing" or out.dtypes == rows.dtypes
+            docs = out
+        ids = {r.doc_id for r in docs.collect()}
+        assert docs.columns.count("mix_epoch") == 1 and (not ids or 1 in ids and 110 not in ids)
+
+
+def test_pipeline_leaves_only_its_result(spark):
+    import os
+
+    import corpus_pipeline
+    from tidewell.llm import _common
+
+    at, before = _common.shared_dir(spark), _common.mark()
+    had = set(os.listdir(at))
+    out = corpus_pipeline.run(spark, DATA)
+    assert _common.mark() == before + 1 and len(set(os.listdir(at)) - had) == 1 and out.count() > 0
+    _common.release(before)
+    assert set(os.listdir(at)) == had
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error():
+    from types import SimpleNamespace
+
+    from tidewell.llm._common import shared_dir
+
+    session = lambda master: SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(ValueError):
+        shared_dir(session("spark://host:7077"))
+    assert shared_dir(session("local[4]"))
+
+
 def test_pipeline_run(spark):
     import corpus_pipeline
 

@@ -326,6 +326,14 @@ def test_licences_by_hand(spark):
     assert by["r/c/d/w.py"] == ("CC-BY-NC-4.0", "r/c") and by["q/v.py"] == (None, None) and by[None] == (None, None) and by["top.py"] == (None, None)
 
 
+@pytest.mark.parametrize("top", ["", "/"])
+def test_a_licence_at_the_top_is_inherited(spark, top):
+    rows = [(f"{top}LICENSE", MIT), (f"{top}src/a.py", "x"), (f"{top}src/deep/er/b.py", "x"), (f"{top}b.py", "x"), (f"{top}p/COPYING", "Licensed under CC BY 4.0."), (f"{top}p/q/c.py", "x"), (None, "x")]
+    got = {r.path: (r.licence, r.inherited_from) for r in license_scan.inherit(license_scan.scan(spark.createDataFrame(rows, "path string, text string"))).collect()}
+    assert [got[f"{top}{p}"] for p in ("src/a.py", "src/deep/er/b.py", "b.py")] == [("MIT", "")] * 3
+    assert got[f"{top}p/q/c.py"] == ("CC-BY-4.0", f"{top}p") and got[None] == (None, None)
+
+
 MIT = """MIT License
 
 Copyright (c) 2020 Jane Doe

@@ -38,16 +38,30 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends there and a lost executor costs only a re-read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewell-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if not _written:
         atexit.register(release)
     _written.append((spark, path))
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete the tables that ``stored`` wrote; call it once their results are written."""
-    while _written:
+def mark() -> int:
+    """How many tables ``stored`` has written: ``release(mark)`` later deletes those that came after."""
+    return len(_written)
+
+
+def release(since: int = 0, keep: int = 0) -> None:
+    """Delete the tables that ``stored`` wrote after ``mark`` but the last ``keep``; call it once their results are written."""
+    kept = _written[len(_written) - keep :] if keep else []
+    del _written[len(_written) - keep if keep else len(_written) :]
+    try:
+        _delete(since)
+    finally:
+        _written.extend(kept)
+
+
+def _delete(since: int) -> None:
+    while len(_written) > since:
         spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm
@@ -57,6 +71,11 @@ def release() -> None:
             return
 
 
+def sized(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A stored table of rows of fixed width as one side of a join: sent to every executor up to ``rows`` rows, and merged beyond."""
+    return F.broadcast(df) if df.count() <= rows else df.hint("merge")
+
+
 def words(text):
     """Column: array of words; null text gives none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

@@ -13,7 +13,7 @@ turn has no example and empty loss; an empty table gives an empty result; other
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE, BREAK = "<|im_start|>", "<|im_end|>\n", "<|nl|>"
@@ -38,27 +38,18 @@ def _unescape_role(role: Column) -> Column:
 def format_conversations(rows: DataFrame, target_role: str = "assistant") -> DataFrame:
     """conv_id, formatted, spans: array of (begin, end), code points from 0, of each reply's text in ``formatted``.
 
-    A shuffle by conversation gathers its turns: a conversation is one string in the result whatever the plan."""
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("_turns"))
-    part = lambda t: F.struct(
-        F.concat(F.lit(OPEN), _escape_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"), (t["role"] == target_role).alias("learn")
+    A shuffle by conversation gathers its turns: a conversation is one string in the result whatever the plan.  Where turns end is
+    a running sum of their lengths."""
+    turn = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    parts = turn.select(
+        "conv_id", "turn", "role", "text", F.concat(F.lit(OPEN), _escape_role(F.col("role")), F.lit("\n")).alias("_head"), escape(F.col("text")).alias("_body"), (F.col("role") == target_role).alias("_learn")
     )
-    out = turns.select("conv_id", F.transform("_turns", part).alias("_parts"))
-    # one walk over the lengths gives where each text ends
-    lengths = F.transform("_parts", lambda p: F.struct(F.length(p["head"]).cast("bigint").alias("h"), F.length(p["body"]).cast("bigint").alias("b"), p["learn"].alias("learn")))
-    walked = out.withColumn("_lens", lengths)
-    ends = F.aggregate(
-        "_lens", F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("to")),
-        lambda acc, p: F.struct((acc["at"] + p["h"] + p["b"] + len(CLOSE)).alias("at"), F.array_append(acc["to"], acc["at"] + p["h"] + p["b"]).alias("to")),
-        lambda acc: acc["to"],
-    )
-    spans = F.transform(
-        F.filter(F.zip_with("_lens", ends, lambda p, e: F.struct((e - p["b"]).alias("begin"), e.alias("end"), p["learn"].alias("learn"))), lambda s: s["learn"]),
-        lambda s: F.struct(s["begin"], s["end"]),
-    )
-    text = F.array_join(F.transform("_parts", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), "")
-    return walked.select("conv_id", text.alias("formatted"), spans.alias("spans"))
+    up = Window.partitionBy("conv_id").orderBy(*[F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = F.sum((F.length("_head") + F.length("_body") + len(CLOSE)).cast("bigint")).over(up)
+    placed = parts.select("conv_id", ends.alias("_end"), F.concat("_head", "_body", F.lit(CLOSE)).alias("_said"), F.length("_body").alias("_n"), "_learn")
+    gathered = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("_end", "_said", "_n", "_learn"))).alias("_parts"))
+    spans = F.transform(F.filter("_parts", lambda p: p["_learn"]), lambda p: F.struct((p["_end"] - len(CLOSE) - p["_n"]).alias("begin"), (p["_end"] - len(CLOSE)).alias("end")))
+    return gathered.select("conv_id", F.array_join(F.transform("_parts", lambda p: p["_said"]), "").alias("formatted"), spans.alias("spans"))
 
 
 def examples(formatted: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ A file takes the licence of its best unit.  A file without one inherits: directo
 licence are joined with the ancestors of all directories, and each directory takes the nearest, its own first; of several
 licence files in one directory, that with the best score, then the first by path.
 
-Defined results: null or empty text has no unit; a null path is in no directory and inherits nothing; rows that share a path
+Defined results: null or empty text has no unit; a null path is in no directory and inherits nothing; a licence file at the top gives to all
+directories; rows that share a path
 are files of their own; ties between licences go to the first by name; an empty table gives an empty result; other columns
 are left aside."""
 
@@ -28,7 +29,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import let, stored
+from ._common import let, sized, stored
 
 THRESHOLD = 0.75
 
@@ -233,13 +234,12 @@ def scan(files: DataFrame) -> DataFrame:
 
 
 def parent(path: Column) -> Column:
-    """The directory of a path, null at the top."""
-    up = F.regexp_extract(path, "^(.*)/[^/]*$", 1)
-    return F.when(up != "", up)
+    """The directory of a path, empty at the top."""
+    return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 
 
 def inherit(scanned: DataFrame) -> DataFrame:
-    """Adds licence and inherited_from (the directory whose licence file gave it; null for its own)."""
+    """Adds licence and inherited_from (the directory whose licence file gave it, empty for the top; null for its own)."""
     at = scanned.withColumn("_dir", parent(F.col("path"))).withColumn("_file", F.substring_index("path", "/", -1).rlike(FILE_NAME))
     giving = at.where("_file and own_licence is not null and _dir is not null").groupBy(F.col("_dir").alias("_holder")).agg(
         F.min(F.struct((-F.col("own_score")).alias("less"), "path", "own_licence")).alias("_g")
@@ -247,11 +247,11 @@ def inherit(scanned: DataFrame) -> DataFrame:
     giving = stored(giving.select("_holder", F.col("_g.own_licence").alias("_given")))
     dirs = at.where("_dir is not null").select("_dir").distinct()
     depth = F.size(F.split("_dir", "/"))
-    steps = F.transform(F.sequence(F.lit(1), depth), lambda k: F.struct(k.alias("depth"), F.call_function("substring_index", F.col("_dir"), F.lit("/"), k).alias("up")))
+    steps = F.transform(F.sequence(F.lit(0), depth), lambda k: F.struct(k.alias("depth"), F.call_function("substring_index", F.col("_dir"), F.lit("/"), k).alias("up")))
     ups = dirs.select("_dir", F.explode(steps).alias("s")).select("_dir", "s.depth", F.col("s.up").alias("_holder"))
-    nearest = ups.join(giving, "_holder").groupBy("_dir").agg(F.max(F.struct("depth", "_holder", "_given")).alias("_n"))
+    nearest = ups.join(sized(giving), "_holder").groupBy("_dir").agg(F.max(F.struct("depth", "_holder", "_given")).alias("_n"))
     nearest = stored(nearest.select(F.col("_dir").alias("_of"), F.col("_n._holder").alias("_holder"), F.col("_n._given").alias("_given")))
-    out = at.join(nearest, F.col("_dir") == F.col("_of"), "left")
+    out = at.join(sized(nearest), F.col("_dir") == F.col("_of"), "left")
     return out.withColumn("licence", F.coalesce("own_licence", "_given")).withColumn("inherited_from", F.when(F.col("own_licence").isNull(), F.col("_holder"))).drop("_dir", "_file", "_of", "_holder", "_given")
 
 

@@ -1,13 +1,13 @@
 """Mixing sources to target weights.
 
-Every document gets a hash-random key; keys are ranged into buckets within each source, bucket sums give
+Every document gets a key hash-random in its id and text; keys are ranged into buckets within each source, bucket sums give
 each bucket's offset, and a window inside one bucket gives each document's distributed prefix sum.  A source
 is passed over as often as its target asks (epochs); the last pass is cut at the exact budget, inside a
 document if need be.
 
 Defined results: null text has size 0 and is taken 0 times; a null source is a source of its own, last in
-order; repeated rows and rows with equal doc_id are ordered by key, doc_id, size and text hash, so reruns agree
-(rows equal in all of these are interchangeable); an empty table gives an empty result; other columns pass
+order; rows are ordered by key, doc_id, size and text hash, so reruns agree (rows equal in all of these, which alone share a
+bucket whatever their number, are interchangeable); an empty table gives an empty result; other columns pass
 through ``mix`` untouched, and names of ours are prefixed by ``_mix_``."""
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), budget: float = 1.5, mos
 
     Weights repeat over sources by code point, null last.  A target over ``most`` times its source is set to
     that and the excess reshared by weight (targets are given to six places); that is the level at which sum(min(level * weight, cap)) meets
-    the budget, found from prefix sums in order of cap / weight.  One row per source meets in one task here."""
+    the budget, found from prefix sums in order of cap / weight.  One row of five numbers per source meets in one task here, and of a
+    source one row per ``BUCKET_ROWS`` documents in ``plan_mix``; both are sorted with spilling."""
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("_mix_rank") % len(weights) + 1).cast("int"))
     order = Window.orderBy(F.col("_mix_source").isNull(), F.col("_mix_source"))
     every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -50,7 +51,8 @@ def _row_hash(docs, *names):
 
 def plan_mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(3, 1, 2), budget=1.5, most=2.0, seed="mix") -> DataFrame:
     """One row per document: _mix_id, _mix_source, _mix_hash (of its text), size, source_size, target, taken."""
-    key = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("bigint")
+    named = F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    key = F.conv(F.substring(F.md5(named), 1, 12), 16, 10).cast("bigint")
     slim = docs.select(
         F.col(id_col).alias("_mix_id"), F.col(source_col).alias("_mix_source"), _row_hash(docs, id_col, text_col, source_col).alias("_mix_hash"),
         key.alias("_mix_key"), F.size(words(F.col(text_col))).cast("bigint").alias("size"),
@@ -110,7 +112,7 @@ def op9(docs: DataFrame) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, 'null'))[1:12] AS key FROM documents),
+         md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, '')))[1:12] AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS total FROM d GROUP BY source),
 r AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INTEGER] AS w,
              row_number() OVER (ORDER BY source IS NULL, source) AS rk, total * 2.0::DOUBLE AS cap,
