@@ -25,6 +25,24 @@ def test_pages_equal_a_plain_reading(spark):
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want) and got[r.page_id].url == r.url
 
 
+def test_the_element_names_are_not_needed(spark):
+    """With article and main elements renamed the deduced template gives the same texts."""
+    from pyspark.sql import functions as F
+
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    plain = pages.withColumn("html", F.regexp_replace("html", "<(/?)(article|main)", "<$1div"))
+    assert plain.where("html like '%<article%'").count() == 0 < pages.where("html like '%<article%'").count()
+    got = {r.page_id: r.text for r in html_extract.op7(pages).collect()}
+    assert {r.page_id: r.text for r in html_extract.op7(plain).collect()} == got and all(got.values())
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_hosts_of_few_pages_go_by_their_elements(spark, n):
+    page = lambda i: f"<body><nav>Menu</nav><div class=sidebar>Bar</div><article><p>{prose(i, 30)}</p><p>Always the same</p></article><footer>End</footer></body>"
+    got = {r.page_id: r.text for r in html_extract.op7(spark.createDataFrame([(i, "http://few.example/", page(i)) for i in range(n)], "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"{prose(i, 30)}\nAlways the same" for i in range(n)}
+
+
 def test_parts_that_are_no_article():
     page = """<html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><a>Menu</a></nav><div class="cookie-notice">We use</div>
     <main><article><header><h1>A &lt;b&gt; &amp;&nbsp;c</h1></header><p>One <em>two</em>
