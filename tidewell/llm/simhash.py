@@ -315,7 +315,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     twice = found.groupBy("doc_id", "th").agg((F.count(F.lit(1)) > 1).alias("_twice"))
     kept = stored(kept.join(twice, kept["doc_id"].eqNullSafe(twice["doc_id"]) & (kept["th"] == twice["th"])).select(kept["doc_id"].alias("_id"), kept["th"].alias("_th"), "_twice"))
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
-    left = packed.join(kept, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_th")))
+    left = packed.join(kept.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_th")))
     return left.where("not _twice").select("row.*").unionByName(left.where("_twice").dropDuplicates(["id", "hash"]).select("row.*"))
 
 

@@ -144,18 +144,33 @@ def _cut(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, cuts in ((t, c) for at, part in slabs(batch.column(2)) for t, c in zip(part, batch.column(3).slice(at, len(part)).to_pylist(), strict=True)):
-                found = text.split()
-                edge = np.zeros(len(found) + 1, np.int64)
-                begin = np.array([c["start"] for c in cuts])
-                np.add.at(edge, begin, 1)
-                np.add.at(edge, begin + np.array([c["n"] for c in cuts]) - 1 + WINDOW, -1)
+            for at, part in slabs(batch.column(2)):
+                texts = [b" ".join(t.split()) for t in part]
+                buf, base = joined(texts)
+                begin, end = word_bounds(buf)
+                first = np.searchsorted(begin, base)
+                cuts = batch.column(3).slice(at, len(part))
+                doc = np.repeat(np.arange(len(part)), cuts.value_lengths().to_numpy())
+                flat = cuts.flatten()
+                start, n = (flat.field(c).to_numpy().astype(np.int64) for c in ("start", "n"))
+                edge = np.zeros(len(begin) + 1, np.int64)
+                np.add.at(edge, first[:-1][doc] + start, 1)
+                np.add.at(edge, first[:-1][doc] + start + n - 1 + WINDOW, -1)
                 keep = np.cumsum(edge)[:-1] == 0
-                left = b" ".join([w for w, k in zip(found, keep.tolist(), strict=True) if k])
-                out.append((int((~keep).sum()), hashlib.sha256(left).hexdigest(), left.decode()))
-            n, sha, left = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(left, pa.string())], ["doc_id", "th", "n_removed", "kept_sha", "kept_text"])
+                of = np.repeat(np.arange(len(part)), np.diff(first))
+                new = np.flatnonzero(keep & np.concatenate(([True], ~keep[:-1] | (of[1:] != of[:-1]))))
+                last = np.flatnonzero(keep & np.concatenate((~keep[1:] | (of[1:] != of[:-1]), [True])))
+                stretches = [buf[a:b].tobytes() for a, b in zip(begin[new].tolist(), end[last].tolist(), strict=True)]
+                mine = np.searchsorted(of[new], np.arange(len(part) + 1)).tolist()
+                left = [b" ".join(stretches[a:b]) for a, b in zip(mine[:-1], mine[1:], strict=True)]
+                gone = np.bincount(of, ~keep, len(part)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), pa.array(gone), pa.array([hashlib.sha256(t).hexdigest() for t in left], pa.string()),
+                        pa.array(left, pa.binary()).cast(pa.string()),
+                    ],
+                    ["doc_id", "th", "n_removed", "kept_sha", "kept_text"],
+                )
 
     return rows.mapInArrow(run, "doc_id bigint, th bigint, n_removed bigint, kept_sha string, kept_text string")
 
@@ -176,23 +191,23 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     longer = alive.select("doc_id", "th", "start", sides.alias("x")).select("doc_id", "th", "start", "x.side", "x.hash").where("hash is not null")
     twice = stored(_repeated(longer, "side", "hash"))
     alive = stored(longer.join(twice, ["side", "hash"], "left_semi").groupBy("doc_id", "th").agg(F.collect_set("start").alias("starts")))
-    second = stored(named.join(alive, ["doc_id", "th"]).select("doc_id", "th", "text", "starts").dropDuplicates(["doc_id", "th"]))
+    # texts are joined by exchanges at any size, so plans and costs are alike at all
+    second = stored(named.join(alive.hint("merge"), ["doc_id", "th"]).select("doc_id", "th", "text", "starts").dropDuplicates(["doc_id", "th"]))
     # 50 words
     runs = stored(_runs(second))
-    kinds = stored(runs.groupBy("anchor", "whole").agg(F.min("doc_id").alias("least")))
+    # runs of a kind have the same words, so any one's windows are those of all
+    kinds = stored(runs.groupBy("anchor", "whole").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("hashes").alias("hashes")))
+    runs = runs.drop("hashes")
+    settled = runs.join(kinds.where("least < most").select("anchor", "whole", "least"), ["anchor", "whole"]).where("least < doc_id").select("doc_id", "th", "start", "n")
     # written first: a join of two plain exchanges is split where an anchor is hot
-    mixed = stored(kinds.groupBy("anchor").agg((F.min("whole") != F.max("whole")).alias("mixed")))
-    kinds = stored(kinds.join(mixed, "anchor"))
-    # one row per run: its kind's least doc_id, and its windows if it is the first of a kind to be opened
-    first_of = (F.col("least") == F.col("doc_id")) & F.col("mixed")
-    told = stored(runs.join(kinds, ["anchor", "whole"]).select("doc_id", "th", "start", "n", "anchor", "least", F.when(first_of, F.col("hashes")).alias("hashes")))
-    settled = told.where("least < doc_id").select("doc_id", "th", "start", "n")
-    opened = told.where("hashes is not null")
-    windows = stored(opened.select("doc_id", "th", "anchor", "start", F.posexplode("hashes").alias("o", "hash")).select("doc_id", "th", "anchor", "hash", (F.col("start") + F.col("o")).alias("start")))
+    mixed = stored(kinds.groupBy("anchor").agg((F.min("whole") != F.max("whole")).alias("mixed")).where("mixed").select("anchor"))
+    opened = kinds.join(mixed, "anchor").select("anchor", "whole", F.col("least").alias("doc_id"), F.posexplode("hashes").alias("o", "hash"))
+    windows = stored(opened)
     least = stored(_repeated(windows, "anchor", "hash"))
-    single = windows.join(least, ["anchor", "hash"]).where("least < doc_id").select("doc_id", "th", "start", F.lit(1).alias("n"))
+    single = windows.join(least, ["anchor", "hash"]).where("least < doc_id").groupBy("anchor", "whole", "doc_id").agg(F.collect_set("o").alias("os"))
+    single = runs.join(stored(single), ["anchor", "whole", "doc_id"]).select("doc_id", "th", F.explode(F.transform("os", lambda o: F.col("start") + o)).alias("start"), F.lit(1).alias("n"))
     cuts = settled.unionByName(single).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
-    lost = stored(_cut(second.drop("starts").join(cuts, ["doc_id", "th"]).select("doc_id", "th", "text", "cuts")))
+    lost = stored(_cut(second.drop("starts").join(cuts.hint("merge"), ["doc_id", "th"]).select("doc_id", "th", "text", "cuts")))
     return base.select("doc_id", "th", "n_words", "sha"), lost
 
 
@@ -208,7 +223,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     _, lost = repeats(docs)
     lost = lost.select(F.col("doc_id").alias("lost_id"), F.col("th").alias("lost_th"), "kept_text")
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
-    out = packed.join(lost, (F.col("id") == F.col("lost_id")) & (F.col("hash") == F.col("lost_th")), "left")
+    out = packed.join(lost.hint("merge"), (F.col("id") == F.col("lost_id")) & (F.col("hash") == F.col("lost_th")), "left")
     return out.select(F.col("row").withField("text", F.coalesce("kept_text", "row.text")).alias("row")).select("row.*")
 
 
