@@ -114,7 +114,7 @@ def test_stored_postings(spark, tmp_path, monkeypatch):
     want = sorted(R.sparse_route(chunks, queries).collect())
     found = postings.search(spark, str(tmp_path / "p"), queries)
     assert want and sorted(found.collect()) == want
-    plan = postings.postings(spark, str(tmp_path / "p"), spark.createDataFrame([("w1",)], "term string"))._jdf.queryExecution().toString()
+    plan = postings.Stored(spark, str(tmp_path / "p")).scores(spark.createDataFrame([(1, "w1")], "query_id bigint, query string"))._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters:")[1][:60]
     assert "EqualTo(term,w1)" in plan or "In(term" in plan
     monkeypatch.setattr(postings, "PUSHED", 1)

@@ -49,6 +49,48 @@ def test_routes_and_ledger(spark, index):
             search.ask(index, "lock", spark, **bad)
 
 
+def test_failures_degrade(spark, index):
+    """What fails while embedding or reading leaves the route out, and is told."""
+    def broken(q):
+        raise RuntimeError("service down")
+
+    late = lambda q: q.select("query_id", F.raise_error(F.lit("down")).cast("array<float>").alias("vector"))
+    for f in (broken, late):
+        out, ledger = search.ask(index, "lock session", spark, retriever="hybrid", embed_query=f)
+        assert ledger.degraded == "dense_unavailable" and {r.source for r in out.collect()} == {"sparse"}
+    gone = index.withColumn("text", F.raise_error(F.lit("gone")))
+    out, ledger = search.ask(gone, "lock session", spark)
+    assert out is None and ledger.degraded == "index_unavailable" and not ledger.ok
+
+
+@pytest.mark.parametrize("options", [{}, {"mode": "MySQL"}, {"include_index": True}, {"version": "4.2"}])
+def test_a_stored_index_gives_the_same_entries(spark, index, tmp_path, options):
+    """Counts are those of the whole index with either; filters only tell which rows may be hits."""
+    from tidewell.operators import postings
+
+    postings.build(index, str(tmp_path / "p"), buckets=4)
+    stored = postings.Stored(spark, str(tmp_path / "p"))
+    for question in ("lock session", "backup", "the lock view", "nothing of it"):
+        q = spark.createDataFrame([(0, question)], "query_id bigint, query string")
+        want, got = (search.search(index, q, postings=p, **options)[0].orderBy("position").collect() for p in (None, stored))
+        assert got == want
+
+
+def test_questions_without_spaces(spark, tmp_path):
+    """Chinese questions find pages by pairs of characters, not by whole clauses."""
+    from tidewell.functions import text as T
+    from tidewell.operators import postings
+
+    terms = lambda s: spark.range(1).select(T.tokens(F.lit(s)).alias("t")).first().t
+    assert terms("执行计划，索引x2") == ["执行", "行计", "计划", "索引", "x2"] and terms("锁 Lock") == ["锁", "lock"] and terms("") == [] and terms("plain 4.2") == ["plain", "4", "2"]
+    rows = chunks.payloads(spark.createDataFrame([("a.md", "## 说明\n数据库的执行计划缓存可以被清除。"), ("b.md", "## 说明\n备份与恢复需要足够的磁盘空间。"), ("c.md", "## 说明\n租户资源隔离。")], "path string, text string"))
+    postings.build(rows, str(tmp_path / "p"), buckets=2)
+    for p in (None, postings.Stored(spark, str(tmp_path / "p"))):
+        for question, path in (("如何查看执行计划？", "a.md"), ("磁盘空间不足时怎样备份", "b.md")):
+            out, _ = search.ask(rows, question, spark, postings=p)
+            assert paths(out)[0] == path
+
+
 def test_filters_of_a_question(spark, index):
     out, ledger = search.ask(index, "mysql 模式 lock", spark)
     assert "mode.md" in paths(out) and not ledger.relaxed

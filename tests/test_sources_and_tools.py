@@ -146,6 +146,8 @@ def test_settings(tmp_path):
 
 # ---- calls ----
 class Local:
+    local = True
+
     def __init__(self, spark):
         self.spark = spark
 
@@ -240,3 +242,72 @@ def test_errors():
 def test_hints(spark):
     df = spark.createDataFrame([("index_missing",), (None,), ("other",)], "degraded string")
     assert [bool(r.hint) for r in errors.with_hints(df).orderBy(F.col("degraded").desc_nulls_last()).collect()] == [False, True, False]
+
+
+class Timed(Local):
+    """Rows with times, clusters and tenants; statements are asked of the tenant."""
+
+    local = False
+
+    def __init__(self, spark):
+        super().__init__(spark)
+        self.asked = []
+
+    def _at(self, rows):
+        return self._df([r | {"clusterId": 5, "tenantId": 1} for r in rows]).withColumn("ts", F.to_timestamp("ts"))
+
+    def sql_text(self):
+        return self._at([{"sqlId": "s1", "fulltext": f"select {h}", "dbName": "d", "tables": ["t"], "ts": f"2024-01-01 {h:02}:00:00"} for h in (1, 5)])
+
+    def top_plans(self):
+        return self._at([{"sqlId": "s1", "uid": f"p{h}", "avgElapsedTime": 1.0, "firstLoadTime": f"2024-01-01 {h:02}", "ts": f"2024-01-01 {h:02}:00:00"} for h in (1, 5)])
+
+    def plans(self):
+        return self._at([{"uid": u, "payload": json.dumps(p), "ts": t} for u, p, t in (("u1", BEFORE, "2024-01-01 01:00:00"), ("u2", AFTER, "2024-01-01 05:00:00"))])
+
+    def tenants(self):
+        return self.spark.range(tools.MOST + 3).select("id", F.lit(5).alias("clusterId"), F.lit("n").alias("name"))
+
+    def sql(self, tenant, cluster, database, kind, statement):
+        self.asked.append((tenant, kind, statement))
+        return bounded.Result(["c"], [["x"]])
+
+
+def test_windows_narrow_every_call(spark):
+    own = tools.Tools(spark, Timed(spark))
+    where = {"cluster_id": 5, "tenant_id": 1}
+    late = {"start_time": "2024-01-01 03:00:00", "end_time": "2024-01-01 09:00:00"}
+    assert [x["sqlText"] for x in ask(own, "get_full_sql_text", sql_id="s1", **where)["items"]] == ["select 1", "select 5"]
+    assert [x["sqlText"] for x in ask(own, "get_full_sql_text", sql_id="s1", **where, **late)["items"]] == ["select 5"]
+    assert [x["uid"] for x in ask(own, "get_sql_top_plan", sql_id="s1", **where, **late)["items"]] == ["p5"]
+    assert ask(own, "get_sql_explain", uid="u1", **where)["ok"] and ask(own, "get_sql_explain", uid="u1", **where, **late)["error_kind"] == "not_found"
+    assert ask(own, "get_sql_explain", uid="u1", cluster_id=6, tenant_id=1)["error_kind"] == "not_found"
+    both = {"uid_before": "u1", "uid_after": "u2"} | where
+    assert ask(own, "compare_plans", **both)["ok"] and not ask(own, "compare_plans", **both, **late)["ok"]
+    assert ask(own, "compare_plans", **both, **late, start_time_before="2024-01-01 00:00:00", end_time_before="2024-01-01 02:00:00")["ok"]
+    got = ask(own, "list_tenants")
+    assert len(got["items"]) == tools.MOST and got["truncated"] and [x["tenantId"] for x in got["items"][:3]] == [0, 1, 2]
+
+
+def test_definitions_are_asked_of_the_tenant(spark):
+    source = Timed(spark)
+    own = tools.Tools(spark, source)
+    where = {"tenant_name": "t", "cluster_name": "c", "db_name": "d"}
+    assert ask(own, "get_table_ddl", table_name="s.one", tenant_type="MYSQL", **where)["row_count"] == 1
+    assert ask(own, "get_table_ddl", table_name="s.one", tenant_type="ORACLE", **where)["ok"]
+    assert source.asked[0] == ("t", "MYSQL", "SHOW CREATE TABLE `s`.`one`") and "all_tab_columns WHERE table_name = 'ONE' AND owner = 'S'" in source.asked[1][2]
+    for bad in ({"table_name": "x; drop table y", "tenant_type": "MYSQL"}, {"table_name": "x", "tenant_type": "OTHER"}):
+        assert not ask(own, "get_table_ddl", **bad, **where)["ok"]
+    assert len(source.asked) == 2
+
+
+def test_the_pointer_moves_in_one_step(spark, tmp_path):
+    from tidewell.operators.pointer import Pointer
+
+    p = Pointer(spark, str(tmp_path / "x"))
+    assert p.read() is None
+    p.move("v1")
+    (tmp_path / "x" / "CURRENT.next").write_text("half")  # what a crash may leave
+    assert p.read() == "v1"
+    p.move("v2")
+    assert p.read() == "v2" and not (tmp_path / "x" / "CURRENT.next").exists()

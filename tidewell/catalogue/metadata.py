@@ -27,7 +27,8 @@ def tenant_list(spark, d):
 
 
 def tenant_detail(spark, d):
-    return M.tenant(tenants(spark, d), 1, 2)
+    own = table(spark, d, "nation").where("n_nationkey = 2").first()
+    return M.tenant(tenants(spark, d), own.n_regionkey, own.n_nationkey)
 
 
 def cluster_list(spark, d):
@@ -125,7 +126,7 @@ _FIELDS = '"sqlId", "avgElapsedTime", "dbName", executions, "failCount", "userNa
 
 SQL = {
     "tenant_list": f"""WITH {_TENANTS} SELECT id AS "tenantId", "clusterId", "clusterName", mode, name, CASE mode WHEN 'MYSQL' THEN 'MySQL tenant' ELSE 'Oracle tenant' END AS label FROM t""",
-    "tenant_detail": f"""WITH {_TENANTS} SELECT id AS "tenantId", "clusterId", "clusterName", mode, name, 'x' AS secret FROM t WHERE "clusterId" = 1 AND id = 2""",
+    "tenant_detail": f"""WITH {_TENANTS} SELECT id AS "tenantId", "clusterId", "clusterName", mode, name, 'x' AS secret FROM t WHERE id = 2""",
     "cluster_list": """SELECT r_regionkey AS "clusterId", r_name AS name, 'RUNNING' AS status, c AS "serverCount" FROM region
         LEFT JOIN (SELECT n_regionkey AS k, count(*) AS c FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1) ON k = r_regionkey WHERE r_regionkey IN (SELECT n_regionkey FROM nation)""",
     "water_level": """SELECT *, CASE WHEN "cpuTotal" <> 0 THEN round_even("cpuAssigned" * 100.0::DOUBLE / "cpuTotal", 2) END AS "cpuAssignedPct",

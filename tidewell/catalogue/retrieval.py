@@ -9,6 +9,7 @@ from ..operators import evaluation as E
 from ..operators import filters
 from ..operators import rerank as X
 from ..operators import retrieval as R
+from ..operators.search import with_fields
 from ..sources.tables import table
 
 QUESTION = "the thing and that eronha inwhly of"
@@ -63,7 +64,7 @@ def hybrid_rrf(spark, d):
 
 
 def _hits(spark, d, pool=50):
-    return R.sparse_route(chunks(spark, d), question(spark), pool).drop("rank").join(chunks(spark, d), "pk")
+    return with_fields(R.sparse_route(chunks(spark, d), question(spark), pool).drop("rank"), chunks(spark, d), pool)
 
 
 def route_rank_adjusted(spark, d):
@@ -72,9 +73,8 @@ def route_rank_adjusted(spark, d):
 
 
 def scalar_filtered_search(spark, d):
-    c = chunks(spark, d)
-    own = c.where(filters.scalar(F.col("kind"), F.col("mode"), F.col("version"), mode="MySQL", version="4.1"))
-    return R.sparse_route(own, question(spark), 20).select("pk", "score", "rank")
+    kept = filters.scalar(F.col("kind"), F.col("mode"), F.col("version"), mode="MySQL", version="4.1")
+    return R.sparse_route(chunks(spark, d), question(spark), 20, kept=kept).select("pk", "score", "rank")
 
 
 def filter_relaxation(spark, d):
@@ -100,7 +100,8 @@ def _length_scorer(query, passages):
 
 
 def rerank_reorder(spark, d):
-    hits = R.sparse_route(chunks(spark, d), question(spark), 40).withColumnRenamed("rank", "fused_rank").join(chunks(spark, d), "pk").withColumn("query", F.lit(QUESTION))
+    hits = R.sparse_route(chunks(spark, d), question(spark), 40).withColumnRenamed("rank", "fused_rank")
+    hits = with_fields(hits, chunks(spark, d), 40).withColumn("query", F.lit(QUESTION))
     return X.apply(hits, _length_scorer, top_n=30, passage_chars=500).select("pk", "fused_rank", "position", "rerank_rank", "degraded")
 
 
@@ -132,7 +133,7 @@ def eval_by_tag(spark, d):
 
 
 def latency_percentiles(spark, d):
-    return E.latency(table(spark, d, "events").where("event_type = 'error'"), "value")
+    return E.latency(table(spark, d, "events"), "value")
 
 
 def value_percentiles(spark, d):
@@ -153,8 +154,8 @@ QUERIES = {
 }
 
 
-def _bm25(name: str, docs: str, queries: str) -> str:
-    """CTEs that end in ``name``: query_id, pk, score, rank."""
+def _bm25(name: str, docs: str, queries: str, kept: str = "true") -> str:
+    """CTEs that end in ``name``: query_id, pk, score, rank; counts are over ``docs``, hits those whose pk is ``kept``."""
     n = name
     return rf"""{n}_t AS (SELECT pk, list_filter_(x) AS ts FROM (SELECT pk, regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+') AS x FROM {docs})),
 {n}_s AS (SELECT count(*)::DOUBLE AS n, avg(len(ts)::DOUBLE) AS m FROM {n}_t),
@@ -162,7 +163,7 @@ def _bm25(name: str, docs: str, queries: str) -> str:
 {n}_f AS (SELECT pk, len, term, count(*) AS tf FROM (SELECT pk, len(ts) AS len, unnest(ts) AS term FROM {n}_t) WHERE term IN (SELECT term FROM {n}_q) GROUP BY ALL),
 {n}_d AS (SELECT term, count(*) AS df FROM {n}_f GROUP BY term),
 {n}_r AS (SELECT query_id, pk, round(sum(ln(1.0::DOUBLE + (s.n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / s.m))), 6) AS score
-  FROM {n}_q JOIN {n}_d USING (term) JOIN {n}_f USING (term), {n}_s s GROUP BY query_id, pk),
+  FROM {n}_q JOIN {n}_d USING (term) JOIN {n}_f USING (term), {n}_s s WHERE {kept} GROUP BY query_id, pk),
 {n} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pk) AS rank FROM {n}_r)""".replace("list_filter_(x)", "[y FOR y IN x IF y <> '']")
 
 
@@ -199,7 +200,7 @@ SQL = {
         FROM s QUALIFY fused_rank <= 20""",
     "route_rank_adjusted": f"""WITH {_C}, {_Q}, {_bm25("r", "c", "q")}, {_ADJ}, z AS (SELECT pk, round(x + CASE WHEN version <> '' THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END {_NAV}, 6) AS base, overlap FROM o),
         y AS (SELECT pk, base, round(0.5::DOUBLE * base + 0.5::DOUBLE * overlap, 6) AS final FROM z) SELECT *, row_number() OVER (ORDER BY final DESC, base DESC, pk) AS rank FROM y""",
-    "scalar_filtered_search": f"""WITH {_C}, {_Q}, f AS (SELECT * FROM c WHERE kind = 'doc' AND mode IN ('MySQL', '') AND (version = '' OR starts_with(version, '4.1'))), {_bm25("r", "f", "q")} SELECT pk, score, rank FROM r WHERE rank <= 20""",
+    "scalar_filtered_search": f"""WITH {_C}, {_Q}, f AS (SELECT * FROM c WHERE kind = 'doc' AND mode IN ('MySQL', '') AND (version = '' OR starts_with(version, '4.1'))), {_bm25("r", "c", "q", "pk IN (SELECT pk FROM f)")} SELECT pk, score, rank FROM r WHERE rank <= 20""",
     "filter_relaxation": f"WITH {_C}, {_Q}, {_bm25('r', 'c', 'q')} SELECT pk, rank FROM r WHERE rank <= 10",
     "synonym_expansion": """WITH a AS (SELECT item_id, text, list_concat(list_concat(CASE WHEN contains(text, 'tion') THEN ['ACTION', 'motion'] ELSE [] END, CASE WHEN contains(text, 'here') THEN ['There', 'where'] ELSE [] END),
           CASE WHEN contains(text, 'the') THEN ['THERE', 'article'] ELSE [] END) AS w FROM benchmark),
@@ -214,7 +215,7 @@ SQL = {
     "eval_hits": f"WITH {_EVAL} SELECT * FROM fh",
     "eval_hit_mrr": f"WITH {_EVAL} SELECT {_METRICS} FROM fh",
     "eval_by_tag": f"WITH {_EVAL} SELECT tag, {_METRICS} FROM fh WHERE tag <> '' GROUP BY tag",
-    "latency_percentiles": """WITH s AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE event_type = 'error')
+    "latency_percentiles": """WITH s AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL)
         SELECT round(avg(value), 1) AS mean, max(value) FILTER (WHERE i = round_even((n - 1) * 0.5::DOUBLE, 0)) AS p50, max(value) FILTER (WHERE i = round_even((n - 1) * 0.95::DOUBLE, 0)) AS p95 FROM s""",
     "value_percentiles": """WITH s AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL)
         SELECT q, value FROM s, (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) x(q) WHERE i = round_even((n - 1) * q, 0)""",
@@ -233,7 +234,7 @@ def hybrid_search(spark, d):
 
 
 QUERIES["hybrid_search"] = hybrid_search
-_FULL = f"""{_C}, k AS (SELECT pk, 'head | ' || text AS text, title, keywords, section, body, kind, path, version FROM c WHERE kind = 'doc'), {_B}, {_bm25("r", "k", "b")},
+_FULL = f"""{_C}, ck AS (SELECT pk, 'head | ' || text AS text, title, keywords, section, body, kind, path, version FROM c), k AS (SELECT * FROM ck WHERE kind = 'doc'), {_B}, {_bm25("r", "ck", "b", "pk IN (SELECT pk FROM k)")},
 sh AS (SELECT r.query_id, r.score, k.* EXCLUDE (text) FROM r JOIN k USING (pk) WHERE r.rank <= 50),
 sn AS (SELECT *, round((score - min(score) OVER w) / CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE max(score) OVER w - min(score) OVER w END - CASE WHEN section LIKE '%相关文档' THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END, 6) AS base FROM sh WINDOW w AS (PARTITION BY query_id)),
 qt AS (SELECT DISTINCT query_id, term AS t FROM r_q WHERE NOT regexp_matches(term, '^[\\x00-\\x7F]$')),

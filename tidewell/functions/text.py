@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 BLANKS = r"(?U)\s+"
 NOT_TOKEN = r"[^\p{L}\p{N}]+"
+#: Scripts that are written without spaces between words.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
 
 
 def collapse(c: Column) -> Column:
@@ -171,8 +173,14 @@ def chunk_key(path: Column, section: Column, seq: Column) -> Column:
 
 # ---- queries ----
 def tokens(c: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), NOT_TOKEN), lambda x: x != "")
+    """Lower-cased runs of letters and digits; runs of Han, Hiragana and Katakana as overlapping pairs of characters (one alone as itself)."""
+    text = F.lower(F.coalesce(c, F.lit("")))
+    plain = F.filter(F.split(text, NOT_TOKEN), lambda x: x != "")
+    runs = F.flatten(F.transform(plain, lambda x: F.regexp_extract_all(x, F.lit(f"[{UNSPACED}]+|[^{UNSPACED}]+"), F.lit(0))))
+    pairs = lambda x: F.when(
+        x.rlike(f"^[{UNSPACED}]") & (F.length(x) > 1), F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(2)))
+    ).otherwise(F.array(x))
+    return F.when(text.rlike(f"[{UNSPACED}]"), F.flatten(F.transform(runs, pairs))).otherwise(plain)
 
 
 def query_terms(c: Column) -> Column:

@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import nearest_rank
 from ..functions.text import nav_file
+from ..sources.scratch import written
 
 
 def first_hits(results: DataFrame, cases: DataFrame) -> DataFrame:
@@ -41,15 +41,19 @@ def metrics(hits: DataFrame, k: int = 5, deep: int = 10, by: str | None = None)
 
 
 def latency(times: DataFrame, column: str = "ms") -> DataFrame:
-    """mean, p50, p95 by nearest rank.  The values of one evaluation are gathered: a case set is small."""
-    values = F.collect_list(column)
-    return times.agg(F.round(F.avg(column), 1).alias("mean"), nearest_rank(values, 0.5).alias("p50"), nearest_rank(values, 0.95).alias("p95"))
+    """mean, p50, p95 by nearest rank, over any number of rows."""
+    ranks = percentiles(times, column).agg(*[F.max(F.when(F.col("q") == q, F.col("value"))).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95))])
+    return times.agg(F.round(F.avg(column), 1).alias("mean")).join(F.broadcast(ranks))  # one row each
 
 
 def percentiles(times: DataFrame, column: str, qs: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """The same ranks over any number of rows: q, value; counted by value, then prefix sums over the counts."""
+    """Nearest ranks over any number of rows: q, value.  Rows are counted by value and ranged; sums of the ranges give where each begins."""
     counts = times.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    up = counts.withColumn("c", F.sum("n").over(Window.orderBy("value"))).withColumn("t", F.sum("n").over(Window.partitionBy()))
+    parts = max(1, int(times.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = written(counts.repartitionByRange(parts, "value").withColumn("part", F.spark_partition_id()), "percentiles")
+    sums = ranged.groupBy("part").agg(F.sum("n").alias("s"))  # a row per range
+    before = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("b"), F.sum("s").over(Window.partitionBy()).alias("t"))
+    up = ranged.join(F.broadcast(before), "part").withColumn("c", F.col("b") + F.sum("n").over(Window.partitionBy("part").orderBy("value")))
     asked = F.explode(F.array(*[F.lit(q) for q in qs]))
     return up.select("value", "n", "c", "t", asked.alias("q")).where((F.col("c") > F.bround((F.col("t") - 1) * F.col("q"))) & (F.col("c") - F.col("n") <= F.bround((F.col("t") - 1) * F.col("q")))).select("q", "value")
 
@@ -61,6 +65,14 @@ def expired(cases: DataFrame, paths: DataFrame) -> DataFrame:
     return asked.join(found, ["case_id", "expect"], "left_anti")
 
 
+def worst(hits: DataFrame, k: int = 5, show: int = 20) -> DataFrame:
+    """Cases for a report's details: those without a hit first, then the latest hits beyond ``k``; at most ``show`` of each kind."""
+    kind = F.when(F.col("hit_rank").isNull(), "miss").when(F.col("hit_rank") > k, "late")
+    some = hits.withColumn("kind", kind).where("kind is not null")
+    pick = lambda name, *order: some.where(F.col("kind") == name).orderBy(*order).limit(show)
+    return pick("miss", "case_id").unionByName(pick("late", F.desc("hit_rank"), "case_id")).select("case_id", "kind", "hit_rank", "top1_path")
+
+
 def source_label(c):
     return F.when(F.size(c) > 0, F.array_join(F.array_sort(c), "+")).otherwise("none")
 

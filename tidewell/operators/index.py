@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import IndexMismatch, IndexMissing
+from .pointer import Pointer
 
 SCHEMA_VERSION = "2"
 COLUMNS = "pk bigint, content_hash string, text string, kind string, path string, section string, title string, keywords string, mode string, version string, vector array<float>"
@@ -79,12 +80,10 @@ class Store:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
         self.fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._path = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{p}")
+        self.pointer = Pointer(spark, self.root)
 
     def live(self) -> str | None:
-        at = self._path("CURRENT")
-        if not self.fs.exists(at):
-            return None
-        return self.spark.read.text(f"{self.root}/CURRENT").first()[0].strip()
+        return self.pointer.read()
 
     def read(self) -> DataFrame:
         if (v := self.live()) is None:
@@ -104,12 +103,7 @@ class Store:
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self.root}/{name}/rows")
         merged = self.meta() | {k: str(v) for k, v in meta.items()}
         self.spark.createDataFrame(sorted(merged.items()), "key string, value string").coalesce(1).write.parquet(f"{self.root}/{name}/meta")
-        draft = self._path("CURRENT.next")
-        out = self.fs.create(draft, True)
-        out.write(bytearray(name.encode()))
-        out.close()
-        self.fs.delete(self._path("CURRENT"), False)
-        self.fs.rename(draft, self._path("CURRENT"))
+        self.pointer.move(name)
         if before:
             self.fs.delete(self._path(before), True)
         return name

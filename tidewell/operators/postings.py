@@ -34,21 +34,34 @@ def build(chunks: DataFrame, path: str, text: str = "text", buckets: int = BUCKE
     sizes.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("length").cast("double")).alias("mean_length")).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/stats")
 
 
-def postings(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
-    """The postings of ``terms`` (distinct terms of a query set)."""
-    buckets = spark.read.parquet(f"{path}/stats").first().buckets
-    all_ = spark.read.schema(SCHEMA).parquet(f"{path}/postings")
-    asked = [r.term for r in terms.limit(PUSHED + 1).collect()]
-    if len(asked) <= PUSHED:
-        own = {b.b for b in terms.select(bucket(F.col("term"), buckets).alias("b")).distinct().collect()}
-        return all_.where(F.col("bucket").isin(*own) & F.col("term").isin(*asked)) if asked else all_.where("false")
-    return all_.join(terms.withColumn("bucket", bucket(F.col("term"), buckets)), ["bucket", "term"], "left_semi")
+class Stored:
+    """An index opened once: its statistics are read when it is opened, each search reads postings alone."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        row = spark.read.parquet(f"{path}/stats").first()
+        self.stats, self.buckets = R.Bm25Stats(row.n, row.mean_length or 1.0), row.buckets
+        self.all = spark.read.schema(SCHEMA).parquet(f"{path}/postings")
+
+    def scores(self, queries: DataFrame, expand: bool = False, kept: DataFrame | None = None) -> DataFrame:
+        """query_id, pk, score; ``kept``: pk of the chunks that may be hits (counts stay those of all)."""
+        wanted = R.query_terms(queries, expand).withColumn("bucket", bucket(F.col("term"), self.buckets))
+        asked = wanted.limit(R.QUERY_TERMS + 1).collect()
+        terms = self.spark.createDataFrame([(r.query_id, r.term) for r in asked], wanted.select("query_id", "term").schema) if len(asked) <= R.QUERY_TERMS else wanted.drop("bucket")
+        spelt = {r.term for r in asked}
+        if len(spelt) <= PUSHED:
+            tf = self.all.where(F.col("bucket").isin(*{r.bucket for r in asked}) & F.col("term").isin(*spelt)) if spelt else self.all.where("false")
+        else:
+            tf = self.all.join(wanted.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
+        tf = tf.select("pk", "length", "term", "tf")
+        df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        own = tf if kept is None else tf.join(kept.select("pk"), "pk", "left_semi")
+        return R.bm25(own, terms, len(asked), self.stats, df)
+
+    def search(self, queries: DataFrame, pool: int | None = R.POOL, **options) -> DataFrame:
+        return R.ranked(self.scores(queries, **options), pool)
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, pool: int | None = R.POOL) -> DataFrame:
     """query_id, pk, score, rank, as ``retrieval.sparse_route`` gives them over the same chunks."""
-    stats = spark.read.parquet(f"{path}/stats").first()
-    terms = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
-    rows = terms.count()
-    tf = postings(spark, path, terms.select("term").distinct())
-    return R.ranked(R.bm25(tf.select("pk", "length", "term", "tf"), terms, rows, R.Bm25Stats(stats.n, stats.mean_length or 1.0)), pool)
+    return Stored(spark, path).search(queries, pool)

@@ -67,6 +67,12 @@ def reordered(fused: DataFrame, scores: DataFrame, top_n: int = TOP_N) -> DataFr
     return out.withColumn("rerank_rank", F.when(F.col("_group") == 0, F.col("position"))).drop("_group")
 
 
+def counters(applied: DataFrame) -> DataFrame:
+    """From the rows of ``apply``: one row, queries, reranked (with a scored hit), degraded (with none) and moved (whose first hit changed)."""
+    each = applied.groupBy("query_id").agg(F.max("degraded").alias("degraded"), F.max((F.col("position") == 1) & (F.col("fused_rank") != 1)).alias("moved"))
+    return each.agg(F.count(F.lit(1)).alias("queries"), F.count_if(~F.col("degraded")).alias("reranked"), F.count_if("degraded").alias("degraded"), F.count_if("moved").alias("moved"))
+
+
 def apply(fused: DataFrame, scorer: Scorer, top_n: int = TOP_N, passage_chars: int = PASSAGE_CHARS) -> DataFrame:
     """``fused`` with query, title, section, body: in its new order; degraded is true for a query none of whose head was scored."""
     passage = T.passage(F.col("title"), F.col("section"), F.col("body"), passage_chars)

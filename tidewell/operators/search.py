@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import text as T
+from ..sources.scratch import written
 from . import filters, rerank
 from . import retrieval as R
+from .errors import IndexMissing
+from .postings import Stored
 
 RETRIEVERS = ("sparse", "dense", "hybrid")
 
@@ -42,6 +45,19 @@ def detected(text: str, spark) -> tuple[str, str]:
     return r.m, r.v
 
 
+def embedded(embed_query: Callable[[DataFrame], DataFrame], queries: DataFrame) -> DataFrame | None:
+    """The vectors of the query set, made now; none if that fails in any way."""
+    try:
+        return written(embed_query(queries).select("query_id", "vector"), "query-vectors")
+    except Exception:
+        return None
+
+
+def with_fields(hits: DataFrame, chunk: DataFrame, most: int) -> DataFrame:
+    """``hits`` (at most ``most``) with the columns of their chunks: few hits go to where the chunks are read."""
+    return chunk.join(R.small(hits, most), "pk")
+
+
 def search(
     index: DataFrame | None,
     queries: DataFrame,
@@ -56,8 +72,10 @@ def search(
     embed_query: Callable[[DataFrame], DataFrame] | None = None,
     scorer: rerank.Scorer | None = None,
     rerank_mode: str = "",
+    postings: Stored | None = None,
 ) -> tuple[DataFrame | None, Ledger]:
-    """``index``: index rows; ``queries``: query_id, query; ``embed_query``: (query_id, query) to (query_id, vector).
+    """``index``: index rows; ``queries``: query_id, query; ``embed_query``: (query_id, query) to (query_id, vector);
+    ``postings``: a stored inverted index of the same rows, without which terms are counted from their texts.
 
     Returns the entries (query_id, position, pk, path, section, title, kind, mode, version, source, score, sparse_rank,
     dense_rank, rerank_rank, rerank_score, snippet) and the ledger; without an index there are no entries.  A route that
@@ -78,15 +96,19 @@ def search(
     terms = queries.select("query_id", "query", T.query_terms(F.col("query")).alias("_terms"))
     fields = [c for c in ("path", "section", "title", "keywords", "kind", "mode", "version", "body") if c in index.columns]
     chunk = kept.select("pk", *fields)
+    n = queries.count()
     routes = []
     if retriever in ("sparse", "hybrid"):
-        hits = R.sparse_route(kept, queries, s.pool_k, expand=True).drop("rank").join(chunk, "pk").join(F.broadcast(terms), "query_id")
+        may = filters.scalar(F.col("kind"), F.col("mode"), F.col("version"), mode, version, include_index)
+        found = R.ranked(postings.scores(queries, expand=True, kept=kept) if postings is not None else R.sparse_scores(index, queries, expand=True, kept=may), s.pool_k)
+        hits = with_fields(found.drop("rank"), chunk, n * s.pool_k).join(R.small(terms, n), "query_id")
         routes.append(("sparse", s.weight_sparse, R.adjusted(hits, version, include_index, F.col("_terms"))))
     if retriever in ("dense", "hybrid"):
         ready = embed_query is not None and (meta is None or has_vectors(meta)) and "vector" in index.columns
-        if ready:
+        asked_vectors = embedded(embed_query, queries) if ready else None
+        if asked_vectors is not None:
             own = kept.where("kind = 'doc'").select("pk", "vector")
-            hits = R.dense_route(own, embed_query(queries), s.pool_k).drop("rank").join(chunk, "pk")
+            hits = with_fields(R.dense_route(own, asked_vectors, s.pool_k).drop("rank"), chunk, n * s.pool_k)
             routes.append(("dense", s.weight_dense, R.adjusted(hits, version, include_index)))
         else:
             ledger.degraded = "dense_unavailable"
@@ -96,7 +118,7 @@ def search(
     for name in ("sparse_rank", "dense_rank"):
         if name not in fused.columns:
             fused = fused.withColumn(name, F.lit(None).cast("bigint"))
-    hits = fused.join(chunk, "pk").join(F.broadcast(terms), "query_id")
+    hits = with_fields(fused, chunk, n * s.pool_k * len(routes)).join(R.small(terms, n), "query_id")
     order = "fused_rank"
     if scorer is not None and used != "off":
         hits, order = rerank.apply(hits, scorer, s.rerank_top_n, s.rerank_passage_chars).withColumnRenamed("position", "_place"), "_place"
@@ -114,15 +136,26 @@ def ask(index: DataFrame | None, query: str, spark, *, mode: str | None = None,
     q = spark.createDataFrame([(0, query)], "query_id bigint, query string")
     explicit = bool(mode or version)
     m, v = (mode or "", version or "") if explicit else detected(query, spark)
-    out, ledger = search(index, q, mode=m, version=v, **options)
-    if out is not None and not explicit and (m or v) and out.isEmpty():
-        again, ledger = search(index, q, **options)
-        ledger.relaxed = True
-        if not again.isEmpty():
-            out = again
+    try:
+        out, ledger = _answer(search(index, q, mode=m, version=v, **options))
+        if out is not None and not explicit and (m or v) and out.isEmpty():
+            again, ledger = _answer(search(index, q, **options))
+            ledger.relaxed = True
+            if not again.isEmpty():
+                out = again
+    except ValueError:  # a wrong retriever or re-ranking mode
+        raise
+    except Exception as e:
+        return None, Ledger(options.get("retriever") or (options.get("settings") or Settings()).default_retriever, "index_missing" if isinstance(e, IndexMissing) else "index_unavailable")
     return out, ledger
 
 
+def _answer(found: tuple[DataFrame | None, Ledger]) -> tuple[DataFrame | None, Ledger]:
+    """The entries of one question, made now: at most twenty rows."""
+    out, ledger = found
+    return (out if out is None else written(out, "answer")), ledger
+
+
 def evaluate(index: DataFrame, cases: DataFrame, *, k: int = 5, deep: int = 10, **options):
     """All cases in one job: (hits per case, metrics, metrics by tag, metrics by source)."""
     from . import evaluation as E

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import history
+from .pointer import Pointer
 
 MESSAGES = "id bigint, thread_id string, role string, content string, created_at timestamp"
 AUDIT = "id bigint, thread_id string, tool string, args string, ok boolean, error string, rows bigint, truncated boolean, approved boolean, duration_ms bigint, created_at timestamp"
@@ -20,19 +21,16 @@ class Log:
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
         self._at = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{p}")
         self.fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.pointer = Pointer(spark, self.root)
 
     def _version(self) -> str:
-        if not self.fs.exists(self._at("CURRENT")):
-            self._point("first")
-        return self.spark.read.text(f"{self.root}/CURRENT").first()[0].strip()
+        if (now := self.pointer.read()) is None:
+            self._point(now := "first")
+        return now
 
     def _point(self, name: str) -> None:
         self.fs.mkdirs(self._at(name))
-        out = self.fs.create(self._at("CURRENT.next"), True)
-        out.write(bytearray(name.encode()))
-        out.close()
-        self.fs.delete(self._at("CURRENT"), False)
-        self.fs.rename(self._at("CURRENT.next"), self._at("CURRENT"))
+        self.pointer.move(name)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.root}/{self._version()}")

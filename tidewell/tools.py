@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Settings
-from .operators import bounded, chunks, ddl, errors, rerank, search
+from .operators import bounded, chunks, ddl, dialects, errors, rerank, search
 from .operators import metadata as M
 from .operators.errors import DocumentError, failed, fail, ok
 from .plans import diff, normalise
@@ -60,6 +60,9 @@ class Provider(Protocol):
     def files(self) -> DataFrame: ...
     def sql(self, tenant: str, cluster: str, database: str, kind: str, statement: str) -> bounded.Result: ...
 
+    #: True for a provider whose statements run on Spark's own catalogue.
+    local: bool = False
+
 
 def window(now: dt.datetime | None = None) -> tuple[str, str]:
     """The last half hour, at the time of the call."""
@@ -67,10 +70,20 @@ def window(now: dt.datetime | None = None) -> tuple[str, str]:
     return (now - WINDOW).isoformat(timespec="seconds"), now.isoformat(timespec="seconds")
 
 
-def items(df: DataFrame, most: int = 500) -> list[dict]:
+MOST, DIRECTORY = 500, 1000
+
+
+def items(df: DataFrame, most: int = MOST) -> list[dict]:
     return [{k: v for k, v in r.asDict(True).items() if v is not None} for r in df.limit(most).collect()]
 
 
+def listed(df: DataFrame, *order: str) -> dict:
+    """The first ``MOST`` items in a stated order, and whether there are more."""
+    by = [F.col(c) for c in order if c in df.columns] or [F.col(c) for c, t in df.dtypes if not t.startswith(("map", "variant"))]
+    got = items(df.orderBy(*by), MOST + 1)
+    return {"items": got[:MOST], "truncated": len(got) > MOST}
+
+
 class Tools:
     def __init__(self, spark: SparkSession, provider: Provider, settings: Settings | None = None, scorer: rerank.Scorer | None = None, embed_query: Callable[[DataFrame], DataFrame] | None = None):
         self.spark, self.provider, self.settings, self.scorer, self.embed_query = spark, provider, settings or Settings(), scorer, embed_query
@@ -91,20 +104,20 @@ class Tools:
 
     # ---- metadata ----
     def list_tenants(self) -> str:
-        return ok(items=items(M.tenants(self.provider.tenants())))
+        return ok(**listed(M.tenants(self.provider.tenants()), "clusterId", "tenantId"))
 
     def get_tenant_info(self, cluster_id: int, tenant_id: int) -> str:
         got = items(M.tenant(self.provider.tenants(), cluster_id, tenant_id), 1)
         return ok(**got[0]) if got else fail("no such tenant", "not_found")
 
     def get_cluster_list(self) -> str:
-        got = items(M.clusters(self.provider.clusters()))
-        return ok(items=got) if got else fail("no cluster", "not_found")
+        got = listed(M.clusters(self.provider.clusters()), "clusterId")
+        return ok(**got) if got["items"] else fail("no cluster", "not_found")
 
     def _stats(self, df: DataFrame, fields: list[str], cluster_id: int) -> str:
         key = "clusterId" if "clusterId" in df.columns else "id"
-        got = items(M.water_levels(df.where(F.col(key).cast("string") == str(cluster_id)), fields))
-        return ok(items=got) if got else fail("no such cluster", "not_found")
+        got = listed(M.water_levels(df.where(F.col(key).cast("string") == str(cluster_id)), fields), "ip", "port")
+        return ok(**got) if got["items"] else fail("no such cluster", "not_found")
 
     def get_cluster_resource_stats(self, cluster_id: int) -> str:
         return self._stats(self.provider.cluster_stats(), M.CLUSTER_STATS, cluster_id)
@@ -118,6 +131,14 @@ class Tools:
                 df = df.where(F.col(name).cast("string") == str(value))
         return df
 
+    def _during(self, df: DataFrame, start: str | None, end: str | None, *columns: str) -> DataFrame:
+        """Rows of a window by the first of ``columns`` that is there; an open side is open, and rows without a time stay."""
+        at = next((F.col(c) for c in columns if c in df.columns), None)
+        for bound, test in ((start, lambda c, t: c >= t), (end, lambda c, t: c <= t)):
+            if bound and at is not None:
+                df = df.where(at.isNull() | test(at, F.to_timestamp(F.lit(bound))))
+        return df
+
     def get_slow_sql(self, cluster_id: int, tenant_id: int, start_time: str | None = None, end_time: str | None = None, server_id: int | None = None, inner: bool = False, sql_text: str | None = None, filter_expression: str | None = None, limit: int = 5, sql_text_length: int = 100) -> str:
         df = self._own(self.provider.slow_sql(), cluster_id, tenant_id)
         if server_id is not None and "serverId" in df.columns:
@@ -129,19 +150,22 @@ class Tools:
         return ok(items=items(M.slow_sql(df, inner=inner, text=sql_text, expression=filter_expression, limit=limit, text_length=sql_text_length, **span)))
 
     def get_full_sql_text(self, cluster_id: int, tenant_id: int, sql_id: str, start_time: str | None = None, end_time: str | None = None) -> str:
-        got = items(M.sql_text(self._own(self.provider.sql_text(), cluster_id, tenant_id), sql_id))
-        return ok(items=got) if got else fail("no such statement", "not_found")
+        texts = self._during(self._own(self.provider.sql_text(), cluster_id, tenant_id), start_time, end_time, "ts")
+        got = listed(M.sql_text(texts, sql_id), "dbName", "sqlText")
+        return ok(**got) if got["items"] else fail("no such statement", "not_found")
 
     def get_sql_top_plan(self, cluster_id: int, tenant_id: int, sql_id: str, start_time: str | None = None, end_time: str | None = None) -> str:
-        got = items(M.top_plans(self._own(self.provider.top_plans(), cluster_id, tenant_id), sql_id))
-        return ok(items=got) if got else fail("no plan of this statement", "not_found")
+        plans = M.top_plans(self._during(self._own(self.provider.top_plans(), cluster_id, tenant_id), start_time, end_time, "ts"), sql_id)
+        got = items(plans, MOST + 1)
+        return ok(items=got[:MOST], truncated=len(got) > MOST) if got else fail("no plan of this statement", "not_found")
 
-    def _plan(self, uid: str) -> dict | None:
-        row = self.provider.plans().where(F.col("uid") == uid).select("payload").first()
+    def _plan(self, uid: str, cluster_id=None, tenant_id=None, start: str | None = None, end: str | None = None) -> dict | None:
+        plans = self._during(self._own(M.plan_of(self.provider.plans(), uid), cluster_id, tenant_id), start, end, "ts")
+        row = plans.select("payload").first()
         return {"uid": uid} | json.loads(row.payload) if row else None
 
     def get_sql_explain(self, cluster_id: int, tenant_id: int, uid: str, start_time: str | None = None, end_time: str | None = None) -> str:
-        p = self._plan(uid)
+        p = self._plan(uid, cluster_id, tenant_id, start_time, end_time)
         if p is None:
             return fail("no such plan", "not_found")
         get = lambda *n: normalise.field(p, *n)
@@ -150,7 +174,8 @@ class Tools:
     def compare_plans(self, cluster_id: int, tenant_id: int, uid_before: str, uid_after: str, start_time: str | None = None, end_time: str | None = None, start_time_before: str | None = None, end_time_before: str | None = None, start_time_after: str | None = None, end_time_after: str | None = None) -> str:
         if uid_before == uid_after:
             return fail("the two plans are one")
-        a, b = self._plan(uid_before), self._plan(uid_after)
+        spans = ((start_time_before or start_time, end_time_before or end_time), (start_time_after or start_time, end_time_after or end_time))
+        a, b = (self._plan(uid, cluster_id, tenant_id, *span) for uid, span in zip((uid_before, uid_after), spans, strict=True))
         if a is None or b is None:
             return fail("no such plan", "not_found")
         return ok(**diff.compare(normalise.view(a, True) or {}, normalise.view(b, True) or {}))
@@ -164,7 +189,9 @@ class Tools:
         return self._result(self.provider.sql(tenant_name, cluster_name, db_name, tenant_type, sql))
 
     def get_table_ddl(self, tenant_name: str, cluster_name: str, db_name: str, tenant_type: str, table_name: str) -> str:
-        return self._result(ddl.show_create(self.spark, table_name))
+        if getattr(self.provider, "local", False):  # its tables are Spark's own
+            return self._result(ddl.show_create(self.spark, table_name))
+        return self._result(dialects.table_ddl(lambda s: self.provider.sql(tenant_name, cluster_name, db_name, tenant_type, s), tenant_type, db_name, table_name))
 
     # ---- documents ----
     def search_docs(self, query: str, limit: int = 5, mode: str | None = None, version: str | None = None, include_index: bool = False) -> str:
@@ -193,7 +220,8 @@ class Tools:
     def list_directory(self, dir_path: str = ".") -> str:
         base = "" if dir_path in ("", ".") else safe_path(dir_path).rstrip("/") + "/"
         names = self.provider.files().where(F.startswith(F.col("path"), F.lit(base))).select(F.substring_index(F.substring("path", len(base) + 1, 1 << 20), "/", 1).alias("n")).distinct().orderBy("n")
-        return "\n".join(r.n for r in names.collect()) or f"No files found in directory {dir_path}"
+        got = [r.n for r in names.limit(DIRECTORY + 1).collect()]
+        return "\n".join([*got[:DIRECTORY], "…"][: len(got)]) or f"No files found in directory {dir_path}"
 
 
 def registered(tools: Tools) -> dict[str, Callable[..., str]]:
