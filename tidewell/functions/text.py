@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 BLANKS = r"(?U)\s+"
 NOT_TOKEN = r"[^\p{L}\p{N}]+"
-#: Scripts that are written without spaces between words.
-UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
+#: Scripts that are written without spaces between words, by their ranges: Kana, Han.
+UNSPACED = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
 
 
 def collapse(c: Column) -> Column:
@@ -180,7 +180,8 @@ def tokens(c: Column) -> Column:
     pairs = lambda x: F.when(
         x.rlike(f"^[{UNSPACED}]") & (F.length(x) > 1), F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(2)))
     ).otherwise(F.array(x))
-    return F.when(text.rlike(f"[{UNSPACED}]"), F.flatten(F.transform(runs, pairs))).otherwise(plain)
+    # such a character has three bytes at least
+    return F.when((F.octet_length(text) >= F.length(text) + 2) & text.rlike(f"[{UNSPACED}]"), F.flatten(F.transform(runs, pairs))).otherwise(plain)
 
 
 def query_terms(c: Column) -> Column:

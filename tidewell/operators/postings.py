@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import written
 from . import retrieval as R
 
 BUCKETS = 256
 #: Terms that are spelt out in a pushed filter; beyond it, pruning is by bucket and the rest is a join.
 PUSHED = 500
-SCHEMA = "term string, pk bigint, tf bigint, length int, bucket int"
+SCHEMA = "term string, pk bigint, tf bigint, length int, df bigint, bucket int"
 
 
 def bucket(term, buckets: int):
@@ -27,10 +28,13 @@ def build(chunks: DataFrame, path: str, text: str = "text", buckets: int = BUCKE
     tokens = chunks.select("pk", T.tokens(F.col(text)).alias("t"))
     sizes = tokens.select("pk", F.size("t").alias("length"), "t")
     counted = sizes.select("pk", "length", F.explode("t").alias("term")).groupBy("pk", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    dealt = counted.withColumn("bucket", bucket(F.col("term"), buckets))
+    counted = written(counted, "counted")
+    # written first: a join of two plain exchanges is split where a term is in most chunks
+    df = written(counted.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
+    dealt = counted.join(df, "term").withColumn("bucket", bucket(F.col("term"), buckets))
     # a frequent term is dealt over several files of its folder by chunk, so no task holds a whole list
     spread = F.pmod(F.xxhash64("pk"), F.lit(8))
-    dealt.repartition("bucket", spread).sortWithinPartitions("bucket", "term", "pk").select("term", "pk", "tf", "length", "bucket").write.partitionBy("bucket").parquet(f"{path}/postings")
+    dealt.repartition("bucket", spread).sortWithinPartitions("bucket", "term", "pk").select("term", "pk", "tf", "length", "df", "bucket").write.partitionBy("bucket").parquet(f"{path}/postings")
     sizes.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("length").cast("double")).alias("mean_length")).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/stats")
 
 
@@ -47,16 +51,18 @@ class Stored:
         """query_id, pk, score; ``kept``: pk of the chunks that may be hits (counts stay those of all)."""
         wanted = R.query_terms(queries, expand).withColumn("bucket", bucket(F.col("term"), self.buckets))
         asked = wanted.limit(R.QUERY_TERMS + 1).collect()
-        terms = self.spark.createDataFrame([(r.query_id, r.term) for r in asked], wanted.select("query_id", "term").schema) if len(asked) <= R.QUERY_TERMS else wanted.drop("bucket")
         spelt = {r.term for r in asked}
         if len(spelt) <= PUSHED:
             tf = self.all.where(F.col("bucket").isin(*{r.bucket for r in asked}) & F.col("term").isin(*spelt)) if spelt else self.all.where("false")
         else:
             tf = self.all.join(wanted.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
-        tf = tf.select("pk", "length", "term", "tf")
-        df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         own = tf if kept is None else tf.join(kept.select("pk"), "pk", "left_semi")
-        return R.bm25(own, terms, len(asked), self.stats, df)
+        if len(asked) <= R.SPELT:  # spelt out in the plan: nothing is sent or joined
+            pairs = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), F.lit(r.term).alias("term")) for r in asked]) if asked else None
+            met = own.withColumn("_q", F.explode(F.filter(pairs, lambda p: p["term"] == F.col("term")))).withColumn("query_id", F.col("_q.query_id")) if asked else own.withColumn("query_id", F.lit(None).cast(wanted.schema["query_id"].dataType))
+        else:
+            met = own.join(R.small(wanted.drop("bucket"), len(asked)), "term")
+        return met.groupBy("query_id", "pk").agg(F.round(F.sum(R.impact(self.stats)), R.DIGITS).alias("score"))
 
     def search(self, queries: DataFrame, pool: int | None = R.POOL, **options) -> DataFrame:
         return R.ranked(self.scores(queries, **options), pool)

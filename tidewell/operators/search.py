@@ -133,7 +133,7 @@ def search(
 
 def ask(index: DataFrame | None, query: str, spark, *, mode: str | None = None, version: str | None = None, **options) -> tuple[DataFrame | None, Ledger]:
     """One question: mode and version are taken from its words unless given, and given up if they leave nothing."""
-    q = spark.createDataFrame([(0, query)], "query_id bigint, query string")
+    q = spark.range(1).select(F.col("id").alias("query_id"), F.lit(query).alias("query"))
     explicit = bool(mode or version)
     m, v = (mode or "", version or "") if explicit else detected(query, spark)
     try:
