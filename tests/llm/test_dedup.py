@@ -104,6 +104,47 @@ def test_blocks_lose_no_pair(spark, monkeypatch):
     assert groups([tuple(x) for x in simhash.links(df).collect()]) == want
 
 
+def test_links_of_wide_fingerprints_are_exact(spark, monkeypatch):
+    """Chains of members that only meet their neighbours, in buckets far over the bound."""
+    r = np.random.default_rng(5)
+    rows = []
+    for _ in range(4):
+        x = [int(v) for v in r.integers(0, 1 << 63, 4, dtype=np.uint64)]
+        for _ in range(60):
+            for k, most in ((0, 7), (1, 12), (2, 12), (3, 12)):
+                for b in r.choice(24 if k == 0 else 64, r.integers(1, most + 1), replace=False):
+                    x[k] ^= 1 << int(b)
+            rows.append(tuple(x))
+    rows = sorted(set(rows))
+    node = [int(v) for v in simhash.nodes(np.array(rows, np.uint64)).view(np.int64)]
+    df = spark.createDataFrame([tuple(v - (1 << 64) if v >> 63 else v for v in x) for x in rows], "p0 bigint, p1 bigint, p2 bigint, p3 bigint").repartition(3)
+
+    def groups(edges):
+        up = {x: x for x in node}
+
+        def top(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in edges:
+            up[top(a)] = top(b)
+        out = defaultdict(set)
+        for x in node:
+            out[top(x)].add(x)
+        return sorted(map(sorted, out.values()))
+
+    def close(x, y):
+        apart = [(a ^ b).bit_count() for a, b in zip(x, y, strict=True)]
+        return apart[0] <= simhash.NEAR.distance and sum(apart[1:]) <= simhash.NEAR.rest
+
+    want = groups([(node[i], node[j]) for i in range(len(rows)) for j in range(i) if close(rows[i], rows[j])])
+    assert 4 <= len(want) < len(rows) / 2
+    for bucket in (20_000, 24, 4):
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        assert groups([tuple(x) for x in simhash.links(df, simhash.NEAR).collect()]) == want
+
+
 def test_masks_cover_every_close_pair():
     for rule in (simhash.CONTRACT, simhash.NEAR):
         for blocks, _ in rule.splits:

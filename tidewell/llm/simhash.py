@@ -13,7 +13,8 @@ Two rules of what is linked:
 * ``NEAR`` (``near_dedup``, the pipeline's stage): 64 bits of 2-word shingles, 7 of which may differ, to meet, and 192 bits of
   5-word shingles, 36 of which may differ, to be verified: texts whose 5-word shingles are 0.8 alike differ in 29 of these on the
   average.  A bucket of more than ``BUCKET`` members is dealt into parts by hash; each part's forest leaves one member of each
-  tree, and these meet again.
+  tree, and these meet again.  Members that are then not in the bucket's largest component are compared with every part, so no
+  pair within the bounds is lost at any size; what is sent grows with the number of such members alone.
 
 Defined results: null, empty or blank text has fingerprint zero, linked like any other; a text of fewer words than a
 shingle is one shingle; rows with equal doc_id are rows of their own; a row with null doc_id links but never names a
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -254,43 +256,83 @@ def _links(rule: Rule, most: int | None, in_parts: bool):
     return run
 
 
-def links(fps: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
-    """``fps``: distinct words of fingerprints.  Returns bigint a, b: edges (by node) with the same components as all linked pairs.
+def named(rows: DataFrame, rule: Rule) -> DataFrame:
+    """``rows`` (k and the words of a fingerprint) with the node of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = np.stack([b.column(i + 1).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(rule.words)], axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes(m).view(np.int64))], ["k", *rule.columns, "node"])
+
+    return rows.mapInArrow(run, "k bigint" + "".join(f", {c} bigint" for c in rule.columns) + ", node bigint")
+
+
+def met(rows: DataFrame, rule: Rule, most: int | None, parts: int = 0) -> DataFrame:
+    """``rows`` (k and the words of a fingerprint) dealt by k, or by k and part, and linked: see ``_links``."""
+    lead = ["k", "part"] if parts else ["k"]
+    if parts:
+        rows = rows.withColumn("part", F.pmod(F.xxhash64(*rule.columns), F.lit(parts)))
+    dealt = rows.select(*lead, *rule.columns).repartition(*lead).sortWithinPartitions(*lead)
+    return stored(dealt.mapInArrow(_links(rule, most, parts > 0), "a bigint, b bigint, k bigint" + "".join(f", {c} bigint" for c in rule.columns)))
+
 
-    By ``NEAR``, in buckets over ``BUCKET`` parts are linked through one member of each tree: see above."""
-    cols = rule.columns
+def trees(hot: DataFrame, rule: Rule) -> DataFrame:
+    """Links of the parts of large buckets, and of one member of each part's trees, as long as these grow fewer."""
+    found, was = [], None
+    while True:
+        largest = hot.groupBy("k").count().agg(F.max("count")).first()[0] or 0
+        if largest <= 1 or was and 2 * largest > was:
+            break
+        out = met(hot, rule, None, -(-2 * largest // BUCKET))
+        found.append(out.where("b is not null").select("a", "b"))
+        hot, was = out.where("b is null").select("k", *rule.columns), largest
+    return reduce(DataFrame.unionByName, found)
+
+
+def loose(hot: DataFrame, found: DataFrame, rule: Rule, last: bool) -> tuple[DataFrame, DataFrame | None]:
+    """What ``found`` leaves open in large buckets.  A pair of the largest component of a bucket is settled; each other member is
+    compared with every part of the bucket.  Returns these links, and the members of buckets with more than ``BUCKET`` others
+    (unless ``last``), which are to be blocked more finely instead; None if there are none."""
+    root = components(found)
+    own = stored(named(hot, rule).join(root, "node", "left").select("k", *rule.columns, F.coalesce("root", "node").alias("root")))
+    of = own.groupBy("k", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("k")
+    main = stored(of.agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0"))
+    crowded = F.lit(False) if last else F.col("others") > BUCKET
+    rows = own.join(main.where(~crowded), "k")
+    i, j = (F.greatest(F.lit(1), F.ceil(F.col(c) * 2 / BUCKET)) for c in ("size", "others"))
+    part, block = (F.pmod(F.xxhash64(F.lit(s), *rule.columns), n) for s, n in ((1, i), (2, j)))
+    met_by = F.transform(F.sequence(F.lit(0).cast("bigint"), j - 1), lambda x: F.xxhash64("k", part, x))
+    asks = F.transform(F.sequence(F.lit(0).cast("bigint"), i - 1), lambda x: F.xxhash64("k", x, block))
+    keys = F.when(F.col("root") == F.col("main"), met_by).otherwise(F.array_union(met_by, asks))
+    out = met(rows.select(F.explode(keys).alias("k"), *rule.columns), rule, None).where("b is not null").select("a", "b")
+    finer = None if last or main.where(crowded).isEmpty() else own.join(main.where(crowded), "k", "left_semi").select(*rule.columns).distinct()
+    return out, finer
+
+
+def links(fps: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
+    """``fps``: distinct words of fingerprints.  Returns bigint a, b: edges (by node) with the same components as all linked pairs."""
     n = fps.count()
     level = next(i for i, (_, most) in enumerate(rule.splits) if most is None or n <= most)
     final = len(rule.splits) - 1
-
-    def keyed(fps: DataFrame) -> DataFrame:
-        keys = [F.xxhash64(F.lit(i), F.col("p0").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(rule.splits[level][0], rule.distance))]
-        return fps.select(F.explode(F.array(*keys)).alias("k"), *cols)
-
-    def met(rows: DataFrame, most: int | None, parts: int = 0) -> DataFrame:
-        lead = ["k", "part"] if parts else ["k"]
-        if parts:
-            rows = rows.withColumn("part", F.pmod(F.xxhash64(*cols), F.lit(parts)))
-        dealt = rows.select(*lead, *cols).repartition(*lead).sortWithinPartitions(*lead)
-        return stored(dealt.mapInArrow(_links(rule, most, parts > 0), "a bigint, b bigint, k bigint" + "".join(f", {c} bigint" for c in cols)))
-
-    whole = rule.words == 1  # the last split bounds its buckets
-    out = met(keyed(fps), None if whole and level == final else BUCKET)
-    found, was = out.where("b is not null").select("a", "b"), None
+    bounded = rule.words == 1  # the last split bounds its buckets
+    found, left = None, fps
     while True:
-        hot = out.where("b is null").select("k", *cols)
-        largest = hot.groupBy("k").count().agg(F.max("count")).first()[0]
-        if not largest:
+        keys = [F.xxhash64(F.lit(i), F.col("p0").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(rule.splits[level][0], rule.distance))]
+        out = met(left.select(F.explode(F.array(*keys)).alias("k"), *rule.columns), rule, None if bounded and level == final else BUCKET)
+        own = out.where("b is not null").select("a", "b")
+        found = own if found is None else found.unionByName(own)
+        hot = out.where("b is null").select("k", *rule.columns)
+        if hot.isEmpty():
             return found
-        if whole or was and 2 * largest > was and level < final:
-            # crowded by chance: blocked again, more finely
-            level, was = min(level + 1, final), None
-            out = met(keyed(stored(hot.select(*cols).distinct())), None if whole and level == final else BUCKET)
-        elif largest <= BUCKET or was and 2 * largest > was:
-            out = met(hot, None)
+        if bounded:
+            left = hot.select(*rule.columns).distinct()
         else:
-            was, out = largest, met(hot, None, -(-2 * largest // BUCKET))
-        found = found.unionByName(out.where("b is not null").select("a", "b"))
+            found = found.unionByName(trees(hot, rule))
+            more, left = loose(hot, found, rule, level == final)
+            found = found.unionByName(more)
+            if left is None:
+                return found
+        left, level = stored(left), min(level + 1, final)
 
 
 def classes(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
