@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, cotraining, decontamination, html_extract, license_scan, mixing, quality_rules, simhash, substring_dedup, toxicity
+from . import chat_format, cotraining, decontamination, filter_audit, html_extract, license_scan, mixing, quality_rules, simhash, substring_dedup, toxicity
 from ._common import table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_toxicity": lambda spark, d: toxicity.op8(table(spark, d, "documents"), table(spark, d, "labels")),
     "op9_source_mixing": lambda spark, d: mixing.op9(table(spark, d, "documents")),
     "op10_chat_formatting": lambda spark, d: chat_format.op10(table(spark, d, "conversations")),
+    "op11_filter_audit": lambda spark, d: filter_audit.op11(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
 SQL = {
@@ -26,4 +27,5 @@ SQL = {
     "op7_html_extraction": html_extract.SQL,
     "op9_source_mixing": mixing.SQL,
     "op10_chat_formatting": chat_format.SQL,
+    "op11_filter_audit": filter_audit.SQL,
 }
