@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, cotraining, decontamination, filter_audit, html_extract, license_scan, mixing, quality_rules, simhash, substring_dedup, toxicity
+from . import chat_format, cotraining, decontamination, filter_audit, html_extract, license_scan, line_dedup, mixing, quality_rules, simhash, substring_dedup, toxicity
 from ._common import table
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_source_mixing": lambda spark, d: mixing.op9(table(spark, d, "documents")),
     "op10_chat_formatting": lambda spark, d: chat_format.op10(table(spark, d, "conversations")),
     "op11_filter_audit": lambda spark, d: filter_audit.op11(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op12_line_dedup": lambda spark, d: line_dedup.op12(table(spark, d, "documents")),
 }
 
 SQL = {
@@ -28,4 +29,5 @@ SQL = {
     "op9_source_mixing": mixing.SQL,
     "op10_chat_formatting": chat_format.SQL,
     "op11_filter_audit": filter_audit.SQL,
+    "op12_line_dedup": line_dedup.SQL,
 }
