@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, cotraining, decontamination, filter_audit, html_extract, license_scan, line_dedup, mixing, quality_rules, simhash, substring_dedup, toxicity
+from . import chat_format, cotraining, decontamination, filter_audit, html_extract, license_scan, line_dedup, mixing, quality_rules, simhash, substring_dedup, token_align, toxicity
 from ._common import table
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_chat_formatting": lambda spark, d: chat_format.op10(table(spark, d, "conversations")),
     "op11_filter_audit": lambda spark, d: filter_audit.op11(table(spark, d, "documents"), table(spark, d, "labels")),
     "op12_line_dedup": lambda spark, d: line_dedup.op12(table(spark, d, "documents")),
+    "op13_token_alignment": lambda spark, d: token_align.op13(table(spark, d, "documents")),
 }
 
 SQL = {
