@@ -55,7 +55,7 @@ def main(argv: list[str] | None = None) -> int:
     dims = int(meta.get("embedding_model", "hashed-0").rpartition("-")[2] or 0)
     embed = (lambda q: remote.hashed_vectors(dims)(q.selectExpr("query_id as pk", "query as canonical")).withColumnRenamed("pk", "query_id")) if dims else None
     broken = evaluation.expired(cases, corpus.paths(rows)).select("case_id").distinct().count()
-    hits, whole, by_tag, by_source, ledger = search.evaluate(rows, cases, k=a.k, retriever=a.retriever, meta=meta, embed_query=embed)
+    hits, whole, by_tag, by_source, ledger = search.evaluate(rows, cases, k=a.k, retriever=a.retriever, meta=meta, embed_query=embed, postings=store.postings())
     hits = hits.cache()
     row = whole.first().asDict()
     code, why = evaluation.verdict(row, evaluation.Gates(a.min_recall, a.min_mrr), nav_top1=hits.where("nav_top1").count(), broken_cases=broken)

@@ -265,3 +265,61 @@ def sparse_topk_stored(spark, d):
 
 QUERIES["sparse_topk_stored"] = sparse_topk_stored
 SQL["sparse_topk_stored"] = SQL["sparse_topk_batch"]
+
+
+# ---- stored postings and segments ----
+def _stored(spark, d):
+    from ..operators import postings
+    from ..sources.scratch import scratch
+
+    path = scratch(spark, "postings")
+    postings.build(chunks(spark, d), path)
+    return postings.Stored(spark, path)
+
+
+def blockmax_topk(spark, d):
+    """The best fifty of every question from blocks that can hold them."""
+    return _stored(spark, d).search(questions(spark, d), 50)
+
+
+def blockmax_reads(spark, d):
+    """For the question and its best 1, 10 and 50: the postings of its terms, and whether no more are read than for more hits."""
+    index, rows = _stored(spark, d), []
+    for k in (50, 10, 1):
+        found = index.search(question(spark), k).count()
+        fewer = index.reads.read <= min([index.reads.postings, *[r[-1] for r in rows]])
+        rows.append((k, found, index.reads.postings, fewer, index.reads.read))
+    return spark.createDataFrame([r[:-1] for r in rows], "k int, hits int, postings bigint, fewer boolean").selectExpr("k", "cast(hits as bigint) as hits", "postings", "fewer")
+
+
+def _edited(spark, d):
+    """An index of documents and two later changes: some pages come late, some are edited, some go."""
+    from ..operators.segments import NAMES, Store
+    from ..sources.scratch import scratch
+
+    rows = chunks(spark, d).withColumns({"content_hash": F.sha2("text", 256), "vector": F.lit(None).cast("array<float>")}).select(*NAMES)
+    k = F.col("pk")
+    store = Store(spark, scratch(spark, "segments"))
+    store.publish(rows.where(k % 9 != 0), {})
+    store.apply(rows.where(k % 9 == 0), rows.where(k % 13 == 5).select("pk"))
+    store.apply(rows.where((k % 11 == 3) & (k % 13 != 5)).withColumn("text", F.concat(F.lit("edited "), "text")), rows.where((k % 9 == 0) & (k % 13 == 5)).select("pk"))
+    return store
+
+
+def segment_rows(spark, d):
+    return _edited(spark, d).read().select("pk", F.md5("text").alias("digest"), "kind")
+
+
+def segment_topk(spark, d):
+    """Lists and counts over three segments, with what was replaced left out."""
+    return _edited(spark, d).postings().search(questions(spark, d), 5)
+
+
+_E = """e AS (SELECT doc_id AS pk, CASE WHEN doc_id % 11 = 3 THEN 'edited ' || text ELSE text END AS text, CASE WHEN doc_id % 40 = 1 THEN 'nav' ELSE 'doc' END AS kind FROM documents WHERE doc_id % 13 <> 5)"""
+QUERIES |= {f.__name__: f for f in (blockmax_topk, blockmax_reads, segment_rows, segment_topk)}
+SQL |= {
+    "blockmax_topk": f"WITH {_C}, {_B}, {_bm25('r', 'c', 'b')} SELECT query_id, pk, score, rank FROM r WHERE rank <= 50",
+    "blockmax_reads": f"WITH {_C}, {_Q}, {_bm25('r', 'c', 'q')} SELECT k::INT AS k, least(k, (SELECT count(*) FROM r)) AS hits, (SELECT sum(df) FROM r_d)::BIGINT AS postings, true AS fewer FROM (VALUES (1), (10), (50)) x(k)",
+    "segment_rows": f"WITH {_E} SELECT pk, md5(text) AS digest, kind FROM e",
+    "segment_topk": f"WITH {_E}, {_B}, {_bm25('r', 'e', 'b')} SELECT query_id, pk, score, rank FROM r WHERE rank <= 5",
+}

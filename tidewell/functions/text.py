@@ -184,6 +184,17 @@ def tokens(c: Column) -> Column:
     return F.when((F.octet_length(text) >= F.length(text) + 2) & text.rlike(f"[{UNSPACED}]"), F.flatten(F.transform(runs, pairs))).otherwise(plain)
 
 
+def counts(tokens: Column) -> Column:
+    """The distinct tokens and how often each stands in the array: an array of (term, tf)."""
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+
+    def runs(s):
+        new = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(new, lambda b: F.transform(b, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(b, k + 1), F.size(s)) - i).alias("tf"))))
+
+    return let(F.sort_array(tokens), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(F.array().cast("array<struct<term:string,tf:int>>")))
+
+
 def query_terms(c: Column) -> Column:
     """Distinct tokens, without single ASCII characters."""
     return F.array_distinct(F.filter(tokens(c), lambda x: ~x.rlike(r"^[\x00-\x7F]$")))

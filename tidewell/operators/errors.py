@@ -52,6 +52,10 @@ class IndexMismatch(IndexUnavailable):
     """The index was built with other settings."""
 
 
+class VersionConflict(RuntimeError):
+    """Another writer has published the version after the one that was read."""
+
+
 def kind_of(origin: Column, message: Column) -> Column:
     """Kind of an error by where it came from (guard, sql, source, payload) and what it says."""
     low = F.lower(F.coalesce(message, F.lit("")))

@@ -1,7 +1,4 @@
-"""Document index: classify what changed, reuse vectors, prune, and publish as a new version of a folder.
-
-Parquet has no updates, so a build writes a whole new version beside the old one and then moves a one-line pointer; readers
-follow the pointer, a failed build leaves it where it was, and older versions are deleted once it has moved."""
+"""Document index: classify what changed, reuse vectors, prune, and publish the changes as a segment of the index folder."""
 
 from __future__ import annotations
 
@@ -9,14 +6,16 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .errors import IndexMismatch, IndexMissing
-from .pointer import Pointer
+from ..sources.scratch import written
+from .errors import IndexMismatch
+from .segments import COLUMNS, Store
 
 SCHEMA_VERSION = "2"
-COLUMNS = "pk bigint, content_hash string, text string, kind string, path string, section string, title string, keywords string, mode string, version string, vector array<float>"
+#: Versions of an index that a build leaves to be gone back to, and to readers that have opened them.
+VERSIONS = 3
 
 
 # ---- what changed ----
@@ -71,60 +70,6 @@ def statistics(index: DataFrame) -> DataFrame:
     return index.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("kind") == "doc").alias("doc_rows"), F.count_if(F.col("kind") == "nav").alias("nav_rows"), F.count("vector").alias("vectors"))
 
 
-# ---- storage ----
-class Store:
-    """Versions of an index under one folder, and the pointer to the live one."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        self.fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._path = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{p}")
-        self.pointer = Pointer(spark, self.root)
-
-    def live(self) -> str | None:
-        return self.pointer.read()
-
-    def read(self) -> DataFrame:
-        if (v := self.live()) is None:
-            raise IndexMissing(f"no index under {self.root}")
-        return self.spark.read.schema(COLUMNS).parquet(f"{self.root}/{v}/rows")
-
-    def meta(self) -> dict[str, str]:
-        v = self.live()
-        return {} if v is None else dict(self.spark.read.parquet(f"{self.root}/{v}/meta").where("key <> ''").limit(64).collect())
-
-    def publish(self, rows: DataFrame, meta: dict[str, str], partition_by: str | None = "kind") -> str:
-        """Write a new version, then move the pointer; the version before is deleted last."""
-        before = self.live()
-        name = f"v{int(before[1:]) + 1:08d}" if before else "v00000001"
-        self.fs.delete(self._path(name), True)
-        writer = rows.select(*[c.split()[0] for c in COLUMNS.split(", ")]).write
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self.root}/{name}/rows")
-        merged = self.meta() | {k: str(v) for k, v in meta.items()}
-        self.spark.createDataFrame(sorted(merged.items()), "key string, value string").coalesce(1).write.parquet(f"{self.root}/{name}/meta")
-        self.pointer.move(name)
-        if before:
-            self.fs.delete(self._path(before), True)
-        return name
-
-    def check(self, want: dict[str, str]) -> None:
-        """The index was built with these settings; a setting that it does not know is let pass."""
-        have = self.meta()
-        if not have:
-            raise IndexMismatch("the index has no metadata")
-        wrong = {k: (have[k], str(v)) for k, v in want.items() if k in have and have[k] != str(v)}
-        if wrong:
-            raise IndexMismatch(f"built with other settings: {wrong}")
-
-    def health(self) -> dict:
-        v = self.live()
-        if v is None:
-            return {"ok": False, "reason": "index_missing"}
-        size = self.fs.getContentSummary(self._path(v)).getLength() / 1e6
-        return {"ok": True, "version": v, "size_mb": round(size, 1), "meta": self.meta()} | statistics(self.read()).first().asDict()
-
-
 # ---- building ----
 @dataclass
 class Report:
@@ -154,9 +99,20 @@ def build(store: Store, files: DataFrame, payloads: DataFrame, embed: Callable[[
     rows = with_vectors(classified(payloads, old), old)
     if embed is None:
         rows = rows.withColumn("embed", F.lit(False))
-    counts = counters(rows, pruned(old, payloads)).first().asDict()
+    rows = written(rows, "classified")
+    gone = written(pruned(old, payloads).select("pk"), "gone")
+    counts = counters(rows, gone).first().asDict()
+    settings = {"schema_version": SCHEMA_VERSION, "embedding_model": model if embed is not None else "", "fingerprint": mark, "counts": json.dumps(counts)}
+    # a rebuild writes all rows anew, and so does what drops the vectors that are there
+    change = mode == "incremental" and live and fits and had.get("embedding_model", "") == settings["embedding_model"]
+    if change:
+        rows = rows.where("status <> 'same' or embed")
     if embed is not None:
         fresh = embed(rows.where("embed").select("pk", "canonical")).select("pk", F.col("vector").cast("array<float>").alias("_new"))
         rows = rows.join(fresh, "pk", "left").withColumn("vector", F.coalesce("_new", "vector")).drop("_new")
-    store.publish(rows, {"schema_version": SCHEMA_VERSION, "embedding_model": model if embed is not None else "", "fingerprint": mark, "counts": json.dumps(counts)})
+    if change:
+        store.apply(rows, gone, settings)
+    else:
+        store.publish(rows, settings)
+    store.vacuum(VERSIONS)
     return Report(mode, False, counts)

@@ -1,71 +1,359 @@
-"""A stored inverted index: built once, then searched by reading only the postings of the terms asked for.
+"""A stored inverted index with block maxima: a search reads only the blocks that can hold one of its best hits.
 
-Postings lie in one folder per bucket of terms and, inside a file, in order of term: a query reads the folders of its terms
-(partition pruning) and in them the row groups that can hold them (the term filter is pushed to the scan).  What a search
-costs follows the postings of its terms, not the corpus."""
+Chunks are put in order of length and cut into windows of ``WINDOW``; the postings of a term in a window are one block.  A block's head
+tells how many postings it has, the greatest frequency and the least length among them, from which the most that it adds to a score
+follows under any counts of the corpus.  Heads lie in columns of their own, so they are read without the postings, and blocks are
+written in order of term and window, in folders by bucket of terms, so the terms and windows asked for select folders, row groups and pages.
+
+A search adds up the heads of its terms by window, scores the windows of highest bound, takes the score of the last of the best hits found
+there as a threshold, and then scores the windows whose bound reaches it.  All others cannot hold a hit, so results equal the full
+sum.  For a few questions whose heads are few the driver holds the heads and adds up the postings of the chosen windows, so that a search
+is two or three scans without a shuffle; beyond ``HEADS`` and ``HELD_POSTINGS`` the same steps are joins.
+
+An index is made of segments (one, if it was written by ``build``); counts are sums over segments, and postings that a later
+segment has replaced are left out where they are read."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections import defaultdict
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.scratch import written
 from . import retrieval as R
 
-BUCKETS = 256
-#: Terms that are spelt out in a pushed filter; beyond it, pruning is by bucket and the rest is a join.
-PUSHED = 500
-SCHEMA = "term string, pk bigint, tf bigint, length int, df bigint, bucket int"
+#: Chunks of a window, as a power of two; rows of blocks in a bucket and in a file, about.
+WINDOW_BITS = 6
+BUCKET_POSTINGS, FILE_POSTINGS, BUCKETS = 16_000_000, 4_000_000, 4096
+#: Chunks whose windows one task cuts.
+ROWS_PER_PART = 4096
+#: Pairs of a question and a term that the driver holds and spells out in filters, and windows that are spelt out.
+PUSHED, WINDOWS_SPELT = 2000, 2000
+#: Heads of blocks, and postings of the windows to be scored, that the driver holds for a search; replaced keys that it holds for an index.
+HEADS, HELD_POSTINGS, HELD_DEAD = 500_000, 500_000, 200_000
+#: Windows that are scored for the threshold, at least, and how many chunks they hold for each hit wanted.
+SEEDS, SEED_CHUNKS = 3, 2
+#: Scores are rounded; a window is left out only if its bound is below the threshold by more than this.
+SLACK = 2e-6
+#: Columns of a chunk that are kept with its postings, for filters.
+CARRIED = ("kind", "mode", "version")
+HEAD = "term string, window bigint, n int, most_tf int, least_length int"
+SCHEMA = f"{HEAD}, pks array<bigint>, tfs array<int>, lengths array<int>, kinds array<string>, modes array<string>, versions array<string>, bucket int"
 
 
 def bucket(term, buckets: int):
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def build(chunks: DataFrame, path: str, text: str = "text", buckets: int = BUCKETS) -> None:
-    """Write postings and corpus statistics under ``path``.  A chunk's rows are in one task, so the partial count before the shuffle leaves one row per distinct term."""
-    tokens = chunks.select("pk", T.tokens(F.col(text)).alias("t"))
-    sizes = tokens.select("pk", F.size("t").alias("length"), "t")
-    counted = sizes.select("pk", "length", F.explode("t").alias("term")).groupBy("pk", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    counted = written(counted, "counted")
-    # written first: a join of two plain exchanges is split where a term is in most chunks
-    df = written(counted.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
-    dealt = counted.join(df, "term").withColumn("bucket", bucket(F.col("term"), buckets))
-    # a frequent term is dealt over several files of its folder by chunk, so no task holds a whole list
-    spread = F.pmod(F.xxhash64("pk"), F.lit(8))
-    dealt.repartition("bucket", spread).sortWithinPartitions("bucket", "term", "pk").select("term", "pk", "tf", "length", "df", "bucket").write.partitionBy("bucket").parquet(f"{path}/postings")
-    sizes.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("length").cast("double")).alias("mean_length")).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/stats")
+def among(column: str, values: list) -> Column:
+    """One of the values; as equalities where these are few, since the reader takes a long list for the range that it spans."""
+    shown = [f"'{v.translate(ESCAPES)}'" if isinstance(v, str) else str(v) for v in values]
+    if 10 < len(shown) <= 200:
+        return F.expr(" or ".join(f"{column} = {v}" for v in shown))
+    return F.expr(f"{column} in ({', '.join(shown)})")
+
+
+#: In a literal of a statement.
+ESCAPES = str.maketrans({"\\": "\\\\", "'": "\\'"})
+
+
+@dataclass
+class Written:
+    """What a segment holds: chunks, the sum of their lengths, postings, windows at most, and buckets."""
+
+    chunks: int
+    length: int
+    postings: int
+    windows: int
+    buckets: int
+
+
+def counted(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """pk, length, terms (term, tf) and what is carried: one row per chunk, counted within the row."""
+    carried = [F.col(c) if c in chunks.columns else F.lit(None).cast("string").alias(c) for c in CARRIED]
+    return chunks.select("pk", *carried, T.tokens(F.col(text)).alias("t")).select("pk", *CARRIED, F.size("t").alias("length"), T.counts(F.col("t")).alias("terms"))
+
+
+def write(chunks: DataFrame, path: str, text: str = "text", buckets: int | None = None, terms: DataFrame | None = None, lost: DataFrame | None = None) -> Written:
+    """Write the blocks of ``chunks`` and the counts of their terms; the counts are less ``lost`` (term, df), or ``terms`` (term, df) instead."""
+    rows = written(counted(chunks, text), "counted")
+    one = rows.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("postings")).first()
+    buckets = buckets or min(BUCKETS, max(1, -(-one.postings // BUCKET_POSTINGS)))
+    files = max(1, -(-one.postings // FILE_POSTINGS))
+    parts = max(1, -(-one.chunks // ROWS_PER_PART))
+    # rows of a part are consecutive, so windows are runs of rows of like length
+    placed = rows.repartitionByRange(parts, "length", "pk").sortWithinPartitions("length", "pk").withColumn("window", F.shiftright(F.monotonically_increasing_id(), WINDOW_BITS))
+    posting = F.struct("x.term", "window", F.struct("pk", "x.tf", "length", *CARRIED).alias("p"))
+    listed = placed.select("pk", "length", "window", *CARRIED, F.explode("terms").alias("x")).select(posting.alias("y")).select("y.*")
+    # a window lies in one task, so the lists are whole before they are shuffled
+    blocks = listed.groupBy("term", "window").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    blocks = blocks.select(
+        "term", "window", F.size("p").alias("n"), F.array_max("p.tf").alias("most_tf"), F.array_min("p.length").alias("least_length"), F.col("p.pk").alias("pks"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"),
+        *[F.col(f"p.{c}").alias(f"{c}s") for c in CARRIED], bucket(F.col("term"), buckets).alias("bucket"),
+    )
+    blocks = written(blocks, "blocks")
+    order = ("bucket", "term", "window")
+    blocks.repartitionByRange(files, *order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/blocks")
+    if terms is None:
+        terms = blocks.groupBy("term").agg(F.sum("n").alias("df"))
+        if lost is not None:
+            terms = terms.unionByName(lost.select("term", (-F.col("df")).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+    terms.select("term", F.col("df").cast("bigint").alias("df")).repartitionByRange(files, "term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    return Written(one.chunks, one.length, one.postings, -(-one.chunks >> WINDOW_BITS) + parts, buckets)
+
+
+def build(chunks: DataFrame, path: str, text: str = "text", buckets: int | None = None) -> None:
+    """An index of one segment under ``path``."""
+    w = write(chunks, path, text, buckets)
+    chunks.sparkSession.createDataFrame([(w.chunks, w.length, w.postings, w.windows, w.buckets)], "chunks bigint, length bigint, postings bigint, windows bigint, buckets int").coalesce(1).write.parquet(f"{path}/stats")
+
+
+@dataclass
+class Segment:
+    path: str
+    seq: int
+    windows: int
+    buckets: int
+
+
+@dataclass
+class Reads:
+    """Postings of the terms asked for, and those that were read."""
+
+    postings: int = 0
+    read: int = 0
 
 
 class Stored:
-    """An index opened once: its statistics are read when it is opened, each search reads postings alone."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        row = spark.read.parquet(f"{path}/stats").first()
-        self.stats, self.buckets = R.Bm25Stats(row.n, row.mean_length or 1.0), row.buckets
-        self.all = spark.read.schema(SCHEMA).parquet(f"{path}/postings")
-
-    def scores(self, queries: DataFrame, expand: bool = False, kept: DataFrame | None = None) -> DataFrame:
-        """query_id, pk, score; ``kept``: pk of the chunks that may be hits (counts stay those of all)."""
-        wanted = R.query_terms(queries, expand).withColumn("bucket", bucket(F.col("term"), self.buckets))
-        asked = wanted.limit(R.QUERY_TERMS + 1).collect()
-        spelt = {r.term for r in asked}
-        if len(spelt) <= PUSHED:
-            tf = self.all.where(F.col("bucket").isin(*{r.bucket for r in asked}) & F.col("term").isin(*spelt)) if spelt else self.all.where("false")
-        else:
-            tf = self.all.join(wanted.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
-        own = tf if kept is None else tf.join(kept.select("pk"), "pk", "left_semi")
-        if len(asked) <= R.SPELT:  # spelt out in the plan: nothing is sent or joined
-            pairs = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), F.lit(r.term).alias("term")) for r in asked]) if asked else None
-            met = own.withColumn("_q", F.explode(F.filter(pairs, lambda p: p["term"] == F.col("term")))).withColumn("query_id", F.col("_q.query_id")) if asked else own.withColumn("query_id", F.lit(None).cast(wanted.schema["query_id"].dataType))
-        else:
-            met = own.join(R.small(wanted.drop("bucket"), len(asked)), "term")
+    """An index opened once: what was current then stays what is searched.  ``dead``: pk, seq of postings replaced by a segment of that number."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, segments: list[Segment] | None = None, stats: R.Bm25Stats | None = None, dead: DataFrame | None = None, dead_rows: int = 0):
+        self.spark, self.dead, self.dead_rows = spark, dead, dead_rows
+        if segments is None:
+            row = spark.read.parquet(f"{path}/stats").first()
+            segments, stats = [Segment(path, 0, row.windows, row.buckets)], R.Bm25Stats(row.chunks, row.length / row.chunks if row.length else 1.0)
+        self.segments, self.stats = segments, stats
+        self.reads = Reads()
+        self._gone: tuple[np.ndarray, np.ndarray] | None = None
+        self._tables: dict[tuple[str, str], DataFrame] = {}
+
+    def _alive(self, pk: np.ndarray, seq: np.ndarray) -> np.ndarray:
+        """Which postings no later segment has replaced."""
+        if self.dead is None:
+            return np.ones(len(pk), bool)
+        if self._gone is None:
+            got = self.dead.orderBy("pk").toArrow()
+            self._gone = got.column("pk").to_numpy(), got.column("seq").to_numpy()
+        keys, last = self._gone
+        at = np.minimum(np.searchsorted(keys, pk), len(keys) - 1)
+        return ~((keys[at] == pk) & (seq < last[at]))
+
+    def _opened(self, path: str, schema: str) -> DataFrame:
+        """A table of the index, whose files are listed once."""
+        if (path, schema) not in self._tables:
+            self._tables[path, schema] = self.spark.read.schema(schema).parquet(path)
+        return self._tables[path, schema]
+
+    # ---- parts of a search, as plans ----
+    def _blocks(self, terms: list[str] | DataFrame, schema: str = SCHEMA, windows: dict[int, list[int]] | None = None) -> DataFrame:
+        """Blocks of the terms, with the number of their segment; of some windows of each segment, if these are given."""
+        parts = []
+        for s in self.segments:
+            if windows is not None and not windows.get(s.seq):
+                continue
+            df = self._opened(f"{s.path}/blocks", schema if "bucket" in schema else f"{schema}, bucket int")
+            if isinstance(terms, list):
+                of = self._buckets(terms, s.buckets)
+                df = df.where(among("bucket", of) & among("term", terms)) if terms else df.where("false")
+            else:
+                df = df.join(terms.select("term", bucket(F.col("term"), s.buckets).alias("bucket")), ["bucket", "term"], "left_semi")
+            if windows is not None and len(windows[s.seq]) <= WINDOWS_SPELT:
+                df = df.where(among("window", windows[s.seq]))
+            parts.append(df.drop("bucket").withColumn("seq", F.lit(s.seq)))
+        empty = self.spark.createDataFrame([], f"{schema.removesuffix(', bucket int')}, seq int")
+        return reduce(DataFrame.unionByName, parts) if parts else empty
+
+    def _buckets(self, terms: list[str], buckets: int) -> list[int]:
+        if buckets == 1 or not terms:
+            return [0]
+        hashed = F.array_distinct(F.transform(F.array(*map(F.lit, terms)), lambda t: bucket(t, buckets)))
+        return self.spark.range(1).select(hashed.alias("b")).first().b
+
+    def _df(self, terms: list[str] | DataFrame) -> DataFrame:
+        """term, df over all segments."""
+        parts = [self._opened(f"{s.path}/terms", "term string, df bigint") for s in self.segments]
+        every = reduce(DataFrame.unionByName, parts)
+        every = every.where(among("term", terms)) if isinstance(terms, list) else every.join(terms.select("term"), "term", "left_semi")
+        return every.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+
+    def _postings(self, blocks: DataFrame, keep: Column | None, live: bool = True) -> DataFrame:
+        """term, seq, window, pk, tf, length of postings, by default of live ones; ``keep`` looks at kind, mode and version."""
+        names = ["pks", "tfs", "lengths", *(f"{c}s" for c in CARRIED if keep is not None)]
+        out = blocks.select("term", "seq", "window", F.explode(F.arrays_zip(*names)).alias("x")).select("term", "seq", "window", *[F.col(f"x.{c}").alias(c[:-1]) for c in names])
+        if keep is not None:
+            out = out.where(keep)
+        if live and self.dead is not None:
+            gone = self.dead.select(F.col("pk").alias("_pk"), F.col("seq").alias("_seq"))
+            out = out.join(R.small(gone, self.dead_rows), (F.col("pk") == F.col("_pk")) & (F.col("seq") < F.col("_seq")), "left_anti")
+        return out
+
+    def _scores(self, postings: DataFrame, asked: DataFrame, rows: int, wanted: DataFrame | None = None) -> DataFrame:
+        """``asked``: query_id, term, df; ``wanted``: query_id, seq, window, if not all are.  query_id, pk, score."""
+        met = postings.join(R.small(asked, rows), "term")
+        if wanted is not None:
+            met = met.join(wanted, ["query_id", "seq", "window"], "left_semi")
         return met.groupBy("query_id", "pk").agg(F.round(F.sum(R.impact(self.stats)), R.DIGITS).alias("score"))
 
-    def search(self, queries: DataFrame, pool: int | None = R.POOL, **options) -> DataFrame:
-        return R.ranked(self.scores(queries, **options), pool)
+    # ---- searches ----
+    def scores(self, queries: DataFrame, expand: bool = False, keep: Column | None = None) -> DataFrame:
+        """query_id, pk, score of every chunk with a term of the query: the full sum."""
+        wanted = R.query_terms(queries, expand)
+        held = wanted.limit(PUSHED + 1).collect()
+        if len(held) > PUSHED:
+            rows = wanted.count()
+            terms = wanted.select("term").distinct()
+            return self._scores(self._postings(self._blocks(terms), keep), wanted.join(self._df(terms), "term"), rows)
+        terms = sorted({r.term for r in held})
+        return self._scores(self._postings(self._blocks(terms), keep), wanted.join(F.broadcast(self._df(terms)), "term"), len(held))
+
+    def search(self, queries: DataFrame, pool: int | None = R.POOL, expand: bool = False, keep: Column | None = None) -> DataFrame:
+        """query_id, pk, score, rank: the best ``pool`` of each query, as ``retrieval.sparse_route`` gives them over the same chunks."""
+        if pool is None:
+            return R.ranked(self.scores(queries, expand, keep), None)
+        wanted = R.query_terms(queries, expand)
+        held = wanted.limit(PUSHED + 1).collect()
+        terms = sorted({r.term for r in held})
+        if len(held) > PUSHED or len(terms) * sum(s.windows for s in self.segments) > HEADS:
+            return self._joined(wanted, pool, keep)
+        return self._held(held, terms, wanted.schema["query_id"].dataType, pool, keep)
+
+    def _held(self, held: list, terms: list[str], kind, pool: int, keep: Column | None) -> DataFrame:
+        """With the heads of the blocks on the driver."""
+        empty = self.spark.createDataFrame([], "query_id bigint, pk bigint, score double, rank bigint").withColumn("query_id", F.col("query_id").cast(kind))
+        if not terms:
+            return empty
+        heads = self._blocks(terms, HEAD).select("term", "seq", "window", "n", "most_tf", "least_length").toArrow()
+        one = len(self.segments) == 1 and self.dead is None
+        col = {c: heads.column(c).to_numpy(zero_copy_only=False) for c in heads.schema.names}
+        at = {t: i for i, t in enumerate(terms)}
+        term = np.array([at[t] for t in col["term"].tolist()], np.int64)
+        df = np.bincount(term, col["n"], len(terms)).astype(np.int64)
+        if not one:
+            df = np.zeros(len(terms), np.int64)
+            for r in self._df(terms).collect():
+                df[at[r.term]] = r.df
+        if not df.any():
+            return empty
+        idf = np.log(1.0 + (self.stats.n - df + 0.5) / (df + 0.5))
+        tf, length = col["most_tf"].astype(float), col["least_length"].astype(float)
+        bound = idf[term] * tf * (R.K1 + 1.0) / (tf + R.K1 * (1.0 - R.B + R.B * length / self.stats.mean_length))
+        place, where = np.unique(np.stack([col["seq"].astype(np.int64), col["window"]]), axis=1, return_inverse=True)
+        where = where.reshape(-1)
+        held = [r for r in held if df[at[r.term]] > 0]
+        ids = sorted({r.query_id for r in held}, key=repr)
+        asks = defaultdict(list)
+        for r in held:
+            asks[r.query_id].append(at[r.term])
+        by_term = np.argsort(term, kind="stable")
+        first = np.searchsorted(term[by_term], np.arange(len(terms) + 1))
+        tops, chunks = {}, np.zeros(place.shape[1])
+        np.maximum.at(chunks, where, col["n"])
+        for q in ids:
+            own = np.concatenate([by_term[first[t] : first[t + 1]] for t in asks[q]])
+            tops[q] = np.bincount(where[own], bound[own], place.shape[1])
+        used = np.zeros(len(term), bool)
+
+        def scored(picks: dict) -> list[tuple]:
+            """query_id, pk, score of the best hits of each query in its windows."""
+            every = np.unique(np.concatenate(list(picks.values())))
+            windows = defaultdict(list)
+            for k in every.tolist():
+                windows[int(place[0, k])].append(int(place[1, k]))
+            blocks = self._blocks(terms, windows=windows)
+            postings = 0
+            for q, own in picks.items():
+                mask = np.zeros(place.shape[1], bool)
+                mask[own] = True
+                for t in asks[q]:
+                    rows = by_term[first[t] : first[t + 1]]
+                    rows = rows[mask[where[rows]]]
+                    used[rows] = True
+                    postings += int(col["n"][rows].sum())
+            if postings <= HELD_POSTINGS and len(every) * len(terms) <= HEADS and len(picks) <= 20 and (self.dead is None or self.dead_rows <= HELD_DEAD):
+                return self._added_up(self._postings(blocks, keep, live=False), {q: ([terms[t] for t in asks[q]], place[:, own]) for q, own in picks.items()}, dict(zip(terms, idf.tolist(), strict=True)), pool)
+            rows = [(q, int(place[0, k]), int(place[1, k])) for q, own in picks.items() for k in own.tolist()]
+            pairs = R.small(self.spark.createDataFrame(rows, f"query_id {kind.simpleString()}, seq int, window bigint"), len(rows))
+            asked = self.spark.createDataFrame([(r.query_id, r.term, int(df[at[r.term]])) for r in held], f"query_id {kind.simpleString()}, term string, df bigint")
+            return [(r.query_id, r.pk, r.score) for r in R.ranked(self._scores(self._postings(blocks, keep), asked, len(held), pairs), pool).collect()]
+
+        seeds = {}
+        for q in ids:
+            order = np.argsort(-tops[q], kind="stable")
+            enough = int(np.searchsorted(np.cumsum(chunks[order]), SEED_CHUNKS * pool)) + 1
+            order = order[: max(SEEDS, enough)]
+            seeds[q] = order[tops[q][order] > 0]
+        found = defaultdict(list)
+        for q, pk, score in scored(seeds):
+            found[q].append((-score, pk))
+        rest = {}
+        for q in ids:
+            least = -max(s for s, _ in found[q]) if len(found[q]) >= pool else 0.0
+            more = np.flatnonzero((tops[q] > 0) & (tops[q] >= least - SLACK))
+            more = np.setdiff1d(more, seeds[q])
+            if len(more):
+                rest[q] = more
+        if rest:
+            for q, pk, score in scored(rest):
+                found[q].append((-score, pk))
+        self.reads = Reads(int(col["n"].sum()), int(col["n"][used].sum()))
+        rows = [(q, pk, -s, k) for q, v in found.items() for k, (s, pk) in enumerate(sorted(v)[:pool], 1)]
+        return self.spark.createDataFrame(rows, f"query_id {kind.simpleString()}, pk bigint, score double, rank bigint") if rows else empty
+
+    def _added_up(self, postings: DataFrame, picks: dict, idf: dict[str, float], pool: int) -> list[tuple]:
+        """The scores of few postings, on the driver.  ``picks``: the terms of each query, and the (seq, window) columns that it looks at."""
+        got = postings.select("term", "seq", "window", "pk", "tf", "length").toArrow()
+        term = np.array(got.column("term").to_pylist(), object)
+        seq, window, pk, tf, length = (got.column(c).to_numpy() for c in ("seq", "window", "pk", "tf", "length"))
+        live = self._alive(pk, seq)
+        norm = tf + R.K1 * (1.0 - R.B + R.B * length / self.stats.mean_length)
+        out = []
+        for q, (own, places) in picks.items():
+            wanted = {(int(a), int(b)) for a, b in places.T.tolist()}
+            rows = np.flatnonzero(live & np.array([t in own for t in term.tolist()], bool) & np.array([p in wanted for p in zip(seq.tolist(), window.tolist(), strict=True)], bool))
+            impact = np.array([idf[t] for t in term[rows].tolist()]) * tf[rows] * (R.K1 + 1.0) / norm[rows]
+            keys, which = np.unique(pk[rows], return_inverse=True)
+            score = np.floor(np.bincount(which, impact, len(keys)) * 10**R.DIGITS + 0.5) / 10**R.DIGITS
+            best = np.lexsort((keys, -score))[:pool]
+            out += [(q, int(keys[k]), float(score[k])) for k in best]
+        return out
+
+    def _joined(self, wanted: DataFrame, pool: int, keep: Column | None) -> DataFrame:
+        """With the heads of the blocks in a table."""
+        wanted = written(wanted, "asked")
+        rows = wanted.count()
+        terms = wanted.select("term").distinct()
+        asked = written(wanted.join(self._df(terms), "term").select("query_id", "term", "df"), "asked")
+        heads = self._blocks(terms, HEAD).select("term", "seq", "window", "n", F.col("most_tf").alias("tf"), F.col("least_length").alias("length"))
+        tops = heads.join(R.small(asked, rows), "term").groupBy("query_id", "seq", "window").agg(F.sum(R.impact(self.stats)).alias("top"), F.max("n").alias("chunks"))
+        tops = written(tops, "bounds")
+        by = Window.partitionBy("query_id").orderBy(F.desc("top"), "seq", "window")
+        placed = tops.withColumn("no", F.row_number().over(by)).withColumn("before", F.sum("chunks").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("chunks"))
+        first = written(placed.where((F.col("no") <= SEEDS) | (F.col("before") < SEED_CHUNKS * pool)).select("query_id", "seq", "window"), "seeds")
+        postings = lambda some: self._postings(self._blocks(terms).join(some.select("seq", "window").distinct(), ["seq", "window"], "left_semi"), keep)
+        found = written(R.ranked(self._scores(postings(first), asked, rows, first), pool), "found")
+        least = found.where(F.col("rank") == pool).select("query_id", F.col("score").alias("least"))
+        more = tops.join(first, ["query_id", "seq", "window"], "left_anti").join(least, "query_id", "left").where(F.col("top") >= F.coalesce("least", F.lit(0.0)) - SLACK)
+        more = written(more.select("query_id", "seq", "window"), "rest")
+        own = heads.join(R.small(asked, rows), "term").select("query_id", "term", "seq", "window", "n")
+        read = own.join(first.unionByName(more), ["query_id", "seq", "window"], "left_semi").select("term", "seq", "window", "n").distinct().agg(F.sum("n")).first()[0]
+        self.reads = Reads(int(heads.agg(F.sum("n")).first()[0] or 0), int(read or 0))
+        late = self._scores(postings(more), asked, rows, more)
+        return R.ranked(found.select("query_id", "pk", "score").unionByName(late), pool)
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, pool: int | None = R.POOL) -> DataFrame:

@@ -18,6 +18,7 @@ from .config import Settings
 from .operators import bounded, chunks, ddl, dialects, errors, rerank, search
 from .operators import metadata as M
 from .operators.errors import DocumentError, failed, fail, ok
+from .operators.postings import Stored
 from .plans import diff, normalise
 from .sources.corpus import safe_path
 
@@ -57,6 +58,7 @@ class Provider(Protocol):
     def top_plans(self) -> DataFrame: ...
     def plans(self) -> DataFrame: ...
     def chunks(self) -> DataFrame | None: ...
+    def postings(self) -> Stored | None: ...
     def files(self) -> DataFrame: ...
     def sql(self, tenant: str, cluster: str, database: str, kind: str, statement: str) -> bounded.Result: ...
 
@@ -199,6 +201,7 @@ class Tools:
             return fail("a query is needed")
         out, ledger = search.ask(
             self.provider.chunks(), query, self.spark, mode=mode, version=version, limit=limit, include_index=include_index, settings=self.settings, scorer=self.scorer, embed_query=self.embed_query,
+            postings=self.provider.postings() if hasattr(self.provider, "postings") else None,
         )
         hits = [] if out is None else items(out.orderBy("position").drop("query_id", "pk", "kind"))
         more = {"degraded": ledger.degraded, "hint": dict(errors.HINTS)[ledger.degraded]} if ledger.degraded else {}
