@@ -51,6 +51,28 @@ def test_parts_that_are_no_article():
     assert html_extract.article(page) == "A <b> & c\nOne two three\nFour\nx\ny\n1\n2"
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<h2 id="related-work">Kept</h2>', '<h2 id="share-prices">Kept</h2>', '<p class="notice">Kept</p>', '<div class="social-history"><p>Kept</p></div>', '<div id="banner-of-st-george"><p>Kept</p></div>', '<section id="comments-on-the-law"><p>Kept</p></section>',
+        '<ul><li id="menu">Kept</li></ul>', '<table><tr><td class="ad">Kept</td></tr></table>',
+    ],
+)
+def test_names_made_from_text_take_nothing_away(part):
+    assert html_extract.article(f"<body><nav>Menu</nav><article><p>First</p>{part}<p>Last</p></article></body>") == "First\nKept\nLast"
+
+
+@pytest.mark.parametrize("part", ['<div class="ad">x</div>', '<div id="related-posts">x</div>', '<div class="y sidebar-left">x</div>', '<section id="comments">x</section>', '<div class="share_buttons">x</div>', '<div class="Cookie-Notice"><p>x</p></div>', "<form>x</form>"])
+def test_names_of_parts_take_them_away(part):
+    assert html_extract.article(f"<body><article><p>First</p>{part}<p>Last of all words</p></article></body>") == "First\nLast of all words"
+
+
+def test_a_form_around_a_page_is_the_page():
+    page = "<body><a>Skip</a><form id=f><nav>Menu</nav><div class=x><article><h1>T</h1><p>All of the text</p></article></div><footer>End</footer></form></body>"
+    assert html_extract.article(page) == "T\nAll of the text"
+    assert html_extract.article(page.replace("article", "div")).endswith("T\nAll of the text")
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<p>x", "</p></div>x", "<article><p>x", "<div><article>x</article>", "<p class='a>x</p>", "&amp", "<!-- x", "<script>x", "<a href=\"<b>\">x</a>", "<![CDATA[x]]>x"])
 def test_broken_pages_do_not_fail(page):
     assert isinstance(html_extract.article(page), str)

@@ -10,7 +10,7 @@ Text of valid classes is the template's own and is dropped wherever it stands; w
 is its slots, and what they hold is their text without the template's.
 Equal pages of a host count once, and a token counts only if it stands on ``PAGES`` pages, so copies of one page are no template.
 Slots inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments, told by their elements'
-names, classes and roles, are none of the article.  A page's article and main elements are one slot, set against the host's
+names and roles and by classes and ids that are made of words for such parts alone, are none of the article; a form that holds most of a page is the page.  A page's article and main elements are one slot, set against the host's
 others: if, over the pages that have them, one template element beside them holds more than they do, that element is the
 article (the innermost with ``MASS`` of the largest), else they are.  A page without any of these
 takes that template element which holds most of the host's free text (at least ``MASS`` of it, the innermost), or else all of its slots.  A host of fewer than ``PAGES`` pages has no vectors to compare and gives its elements alone.
@@ -56,6 +56,11 @@ WORDS = frozenset(
     comment comments commentlist disqus respond reply replies notice notices cookie cookies consent gdpr alert popup modal overlay
     newsletter subscribe subscription signup login share sharing social related recommended widget pagination pager toolbar""".split()
 )
+#: What may stand beside these words in a class or id that is still a part's name and not a title's.
+LAYOUT = frozenset(
+    """area bar block body bottom box button buttons col column container fixed form global group header holder inline inner item items left link links list
+    main module outer page panel post posts primary right row secondary section site slot sticky text title top unit wrap wrapper zone""".split()
+)
 
 
 class Block:
@@ -65,19 +70,35 @@ class Block:
         self.text, self.path, self.named, self.own, self.free, self.place = text, path, named, own, free, place
 
 
-def _away(name: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is none of the article by its name, class, id or role."""
+#: Whether an element is none of the article: a form may be (pages lie in one as a whole), another part is not.
+FREE, FORM, AWAY = 0, 1, 2
+
+
+def _part(value: str) -> bool:
+    """Whether a class or id has a name made of words for a part of a page alone; `related-work` or `social-history` are of a text."""
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if any(w in WORDS for w in words) and all(w in WORDS or w in LAYOUT for w in words):
+            return True
+    return False
+
+
+def _away(name: str, attrs: str, inside: bool) -> int:
+    """Whether an element is none of the article by its name, role, class or id; classes and ids of headings, paragraphs and cells, often made
+    from their text, say nothing."""
+    if name == "form":
+        return FORM
     if name in NOT_ARTICLE or name == "header" and not inside:
-        return True
+        return AWAY
     if not attrs:
-        return False
+        return FREE
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "role" and value in ROLES or key in ("hidden", "aria-hidden") and value == "true":
-            return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and not WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+            return AWAY
+        if key in ("class", "id") and name not in LEAF and name not in ("html", "body", "article", "main") and _part(value):
+            return AWAY
+    return FREE
 
 
 def parse(page: str) -> tuple[list[Block], dict[str, list[int]]]:
@@ -89,7 +110,7 @@ def parse(page: str) -> tuple[list[Block], dict[str, list[int]]]:
     paths: dict[str, list[int]] = defaultdict(list)
     place = 0
     # open elements: name, path, away, section, inline
-    stack: list[tuple[str, str, bool, int, bool]] = [("", "", False, -1, False)]
+    stack: list[tuple[str, str, int, int, bool]] = [("", "", FREE, -1, False)]
     held: list[str] = []
     sections, end, at = 0, len(page), 0
 
@@ -101,7 +122,7 @@ def parse(page: str) -> tuple[list[Block], dict[str, list[int]]]:
             if text:
                 around = [p for _, p, _, _, inline in stack if not inline]
                 _, path, away, own, _ = stack[-1]
-                blocks.append(Block(text, path, around, own, not away, place))
+                blocks.append(Block(text, path, around, own, away, place))
                 place += 1
 
     while at < end:
@@ -141,17 +162,21 @@ def parse(page: str) -> tuple[list[Block], dict[str, list[int]]]:
                     break
         _, path, away, own, _ = stack[-1]
         if inline:
-            stack.append((name, path, away or bool(attrs) and _away(name, attrs, own >= 0), own, True))
+            stack.append((name, path, max(away, _away(name, attrs, own >= 0)) if attrs else away, own, True))
             continue
         marks = ".".join(sorted(v.strip("\"'") for k, v in _ATTR.findall(attrs) if k.lower() in ("class", "id"))) if attrs and "=" in attrs else ""
         path = f"{path}/{name}.{marks}" if marks else f"{path}/{name}"
-        if name in SECTION and not away:
+        if name in SECTION and away < AWAY:
             sections += 1
             own = sections if own < 0 or name == "article" else own
         paths[path].append(place)
         place += 1
-        stack.append((name, path, away or _away(name, attrs, own >= 0), own, False))
+        stack.append((name, path, max(away, _away(name, attrs, own >= 0)), own, False))
     flush()
+    # a form that holds most of what is left of a page is the page, not a part of it
+    mass = [sum(len(b.text) for b in blocks if b.free == k) for k in (FREE, FORM)]
+    for b in blocks:
+        b.free = b.free == FREE or b.free == FORM and mass[FORM] > mass[FREE]
     return blocks, paths
 
 
