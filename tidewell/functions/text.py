@@ -242,12 +242,16 @@ def sse_frame(payload: Column) -> Column:
     return F.concat(F.lit("data: "), payload, F.lit("\n\n"))
 
 
+def frame_payload(frame: Column) -> Column:
+    """Payload of one frame: its data lines joined by line breaks; comments are left out, and without data it is null."""
+    data = F.filter(F.split(frame, "\n"), lambda s: F.startswith(s, F.lit("data:")))
+    return F.when(F.size(data) > 0, F.array_join(F.transform(data, lambda s: F.regexp_replace(s, "^data: ?", "")), "\n"))
+
+
 def sse_events(stream: Column) -> Column:
-    """Payloads of the whole frames of a text: data lines of a frame are joined by line breaks, comments are left out."""
+    """Payloads of the frames of a text."""
     frames = F.split(F.regexp_replace(stream, r"\r\n", "\n"), "\n\n")
-    data = lambda f: F.filter(F.split(f, "\n"), lambda s: F.startswith(s, F.lit("data:")))
-    text = lambda f: F.array_join(F.transform(data(f), lambda s: F.regexp_replace(s, "^data: ?", "")), "\n")
-    return F.transform(F.filter(frames, lambda f: F.size(data(f)) > 0), text)
+    return F.filter(F.transform(frames, frame_payload), lambda p: p.isNotNull())
 
 
 def thousands(c: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Event streams: pairing of tool starts and ends, approvals with a time limit, classification, incremental chunks.
+"""Event streams: pairing of tool starts and ends, approvals with a time limit, classification, frames from pieces, logs, incremental chunks.
 
 ``pair`` and ``approvals`` come in two forms with one result: a batch form (windows or joins, for replay and for checking) and a
 streaming form with keyed state and event-time timers."""
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.numbers import duration_ms
+from ..functions.text import frame_payload
 
 PAIR = "run_id string, tool string, args string, started timestamp, ended timestamp, duration_ms bigint"
 APPROVAL = "request_id string, outcome string, requested timestamp, settled timestamp"
@@ -88,6 +89,8 @@ def _approve(seconds: int):
         began = state.get[0] if state.exists else None
         if state.hasTimedOut:
             state.remove()
+            if began < 0:  # settled long ago: no event that could meet it gets past the watermark now
+                return
             at = pd.Timestamp(began, unit="us")
             yield pd.DataFrame([(key[0], "timeout", at, at + pd.Timedelta(seconds=seconds))], columns=names)
             return
@@ -103,7 +106,7 @@ def _approve(seconds: int):
         if len(answers):
             first = answers.iloc[0]
             state.update((-1,))
-            state.setTimeoutTimestamp(1 << 60)
+            state.setTimeoutTimestamp(max(int(until.value // 1_000_000), state.getCurrentWatermarkMs()) + 1)
             got = (key[0], words[first["type"]], at, first["ts"]) if first["ts"] <= until else (key[0], "timeout", at, until)
             yield pd.DataFrame([got], columns=names)
             return
@@ -114,17 +117,68 @@ def _approve(seconds: int):
 
 
 def approvals(events: DataFrame, seconds: int = APPROVAL_SECONDS, late: str = "0 seconds") -> DataFrame:
-    """The same over a stream: a request without an answer times out once the watermark has passed its limit."""
+    """The same over a stream: a request without an answer times out once the watermark has passed its limit.
+
+    A settled request is remembered until the watermark has passed its limit, so that no second answer settles it again, and then forgotten:
+    state is that of the requests of the last ``seconds`` of event time.  A request_id asked again after that is a new request."""
     own = events.withWatermark("ts", late).groupBy("request_id")
     return own.applyInPandasWithState(_approve(seconds), APPROVAL, "began bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+# ---- frames in pieces ----
+DECODED = "stream_id string, number bigint, payload string"
+_BUFFER = "buffer binary, cr boolean, next bigint, number bigint, early_at array<bigint>, early array<binary>"
+
+
+def _reframe(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Whole frames of a stream of bytes: what is left of the last piece waits in the state, and so do pieces that come before their turn."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    buffer, cr, turn, number, at, early = state.get if state.exists else (b"", False, 0, 0, [], [])
+    waiting = {int(k): bytes(v) for k, v in zip(at, early, strict=True)}
+    last = 0
+    for f in frames:
+        for r in f.itertuples():
+            last = max(last, int(r.ts.value // 1_000_000))
+            if r.seq >= turn:  # else it has been read before
+                waiting.setdefault(int(r.seq), bytes(r.piece))
+    found, buffer = [], bytes(buffer)
+    while turn in waiting:
+        data = (b"\r" if cr else b"") + waiting.pop(turn)
+        cr = data.endswith(b"\r")  # perhaps half of a line break
+        *whole, buffer = (buffer + data[: len(data) - cr].replace(b"\r\n", b"\n")).split(b"\n\n")
+        found += [(key[0], number + k, x.decode("utf-8", "replace")) for k, x in enumerate(whole)]
+        number += len(whole)
+        turn += 1
+    order = sorted(waiting)
+    state.update((buffer, cr, turn, number, order, [waiting[k] for k in order]))
+    state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 3_600_000)
+    yield pd.DataFrame(found, columns=["stream_id", "number", "frame"])
+
+
+def decoded(pieces: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """``pieces``: stream_id, seq (from 0), piece (binary), ts; in append mode, stream_id, number, payload of every whole frame.
+
+    Pieces may be cut anywhere, in a frame, a line break or a character, come in any order and more than once.  What an hour of event time
+    beyond the watermark has not completed is forgotten.  Frames without data are numbered and give nothing."""
+    own = pieces.withWatermark("ts", late).groupBy("stream_id")
+    whole = own.applyInPandasWithState(_reframe, "stream_id string, number bigint, frame string", _BUFFER, "append", GroupStateTimeout.EventTimeTimeout)
+    return whole.select("stream_id", "number", frame_payload(F.col("frame")).alias("payload")).where("payload is not null")
+
+
 # ---- sinks ----
 def frames(events: DataFrame) -> DataFrame:
     """Server-sent frames of events."""
     return events.select(F.concat(F.lit("data: "), F.to_json(F.struct(*events.columns)), F.lit("\n\n")).alias("frame"))
 
 
+def into_log(events: DataFrame, log, writer: str, checkpoint: str, shape=lambda rows: rows):
+    """A stream into a log of ``operators.stores``: each micro-batch is recorded under ``writer`` and its number with its rows, so one that is
+    replayed adds nothing.  Returns the running query."""
+    return events.writeStream.foreachBatch(lambda batch, n: log.append(shape(batch), f"{writer}-{n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def incremental_chunks(files: DataFrame, update, checkpoint: str):
     """A stream of files (path, text) into an index: ``update`` takes each batch's chunks.  Returns the running query."""
     from ..operators.chunks import payloads
