@@ -110,6 +110,9 @@ def build(store: Store, files: DataFrame, payloads: DataFrame, embed: Callable[[
     if embed is not None:
         fresh = embed(rows.where("embed").select("pk", "canonical")).select("pk", F.col("vector").cast("array<float>").alias("_new"))
         rows = rows.join(fresh, "pk", "left").withColumn("vector", F.coalesce("_new", "vector")).drop("_new")
+        rows = written(rows, "embedded")  # the service is asked once
+        counts |= getattr(embed, "report", {})
+        settings["counts"] = json.dumps(counts)
     if change:
         store.apply(rows, gone, settings)
     else:

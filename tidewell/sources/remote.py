@@ -128,11 +128,16 @@ RETRY_STATUS, WAITS, BATCH = (403, 429), (5, 20, 60, 120), 20
 
 def post(url: str, payload: dict, key: str = "", timeout: float = 30.0, waits: tuple[int, ...] = ()) -> dict:
     """A JSON call; throttling and server errors are tried again after ``waits`` or the server's own Retry-After."""
+    return tried(url, payload, key, timeout, waits)[0]
+
+
+def tried(url: str, payload: dict, key: str = "", timeout: float = 30.0, waits: tuple[int, ...] = ()) -> tuple[dict, int]:
+    """The answer of a JSON call, and how often it was tried again."""
     header = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
-    for wait in (*waits, None):
+    for again, wait in enumerate((*waits, None)):
         try:
             with urllib.request.urlopen(urllib.request.Request(url, json.dumps(payload).encode(), header), timeout=timeout) as r:
-                return json.loads(r.read())
+                return json.loads(r.read()), again
         except urllib.error.HTTPError as e:
             if wait is None or e.code not in RETRY_STATUS and e.code < 500:
                 raise SourceError(f"status {e.code}") from e
@@ -151,8 +156,8 @@ def vectors_of(answer: dict, n: int, dims: int) -> list[list[float]]:
     return out
 
 
-def embedder(url: str, model: str, dims: int, key: str = "", batch: int = BATCH):
-    """A function from (pk, canonical) to (pk, vector), in batches where the rows are."""
+def embedder(url: str, model: str, dims: int, key: str = "", batch: int = BATCH, waits: tuple[int, ...] = WAITS):
+    """A function from (pk, canonical) to (pk, vector, requests, retries), in batches where the rows are; a batch's first row tells what it took."""
 
     def embed(rows: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,10 +165,11 @@ def embedder(url: str, model: str, dims: int, key: str = "", batch: int = BATCH)
                 for at in range(0, b.num_rows, min(batch, BATCH)):
                     part = b.slice(at, min(batch, BATCH))
                     texts = part.column(1).to_pylist()
-                    got = vectors_of(post(url, {"model": model, "input": texts, "dimensions": dims}, key, waits=WAITS), len(texts), dims)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.list_(pa.float32()))], ["pk", "vector"])
+                    answer, again = tried(url, {"model": model, "input": texts, "dimensions": dims}, key, waits=waits)
+                    got, rest = vectors_of(answer, len(texts), dims), [0] * (len(texts) - 1)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.list_(pa.float32())), pa.array([1, *rest], pa.int32()), pa.array([again, *rest], pa.int32())], ["pk", "vector", "requests", "retries"])
 
-        return rows.select("pk", "canonical").mapInArrow(run, "pk bigint, vector array<float>")
+        return rows.select("pk", "canonical").mapInArrow(run, "pk bigint, vector array<float>, requests int, retries int")
 
     return embed
 
