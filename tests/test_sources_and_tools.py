@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewell import config, tools
 from tidewell.catalogue.plans import AFTER, BEFORE
-from tidewell.operators import bounded, chunks, errors
+from tidewell.operators import bounded, chunks, dialects, errors
 from tidewell.sources import corpus, fixtures, remote
 
 
@@ -295,12 +295,36 @@ def test_definitions_are_asked_of_the_tenant(spark):
     where = {"tenant_name": "t", "cluster_name": "c", "db_name": "d"}
     assert ask(own, "get_table_ddl", table_name="s.one", tenant_type="MYSQL", **where)["row_count"] == 1
     assert ask(own, "get_table_ddl", table_name="s.one", tenant_type="ORACLE", **where)["ok"]
-    assert source.asked[0] == ("t", "MYSQL", "SHOW CREATE TABLE `s`.`one`") and "all_tab_columns WHERE table_name = 'ONE' AND owner = 'S'" in source.asked[1][2]
+    assert source.asked[0] == ("t", "MYSQL", "SHOW CREATE TABLE `s`.`one`") and source.asked[1][2] == "SELECT dbms_metadata.get_ddl('TABLE', 'ONE', 'D') AS ddl FROM dual"
     for bad in ({"table_name": "x; drop table y", "tenant_type": "MYSQL"}, {"table_name": "x", "tenant_type": "OTHER"}):
         assert not ask(own, "get_table_ddl", **bad, **where)["ok"]
     assert len(source.asked) == 2
 
 
+def test_definitions_fall_back_to_columns():
+    """Where the package is closed the columns are asked for; a connection that fails is not asked twice."""
+    asked = []
+
+    def run(closed, error=RuntimeError):
+        def one(statement):
+            asked.append(statement)
+            if any(c in statement for c in closed):
+                raise error("ORA-00904: closed")
+            return bounded.Result(["c"], [["x"]])
+
+        return one
+
+    assert dialects.table_ddl(run(["dbms_metadata"]), "ORACLE", "own", "other.t1").rows == [["x"]]
+    assert asked[1] == "SELECT column_name, data_type, data_length, data_precision, data_scale, nullable FROM all_tab_columns WHERE owner = 'OWN' AND table_name = 'T1' ORDER BY column_id"
+    with pytest.raises(errors.SqlError, match="neither"):
+        dialects.table_ddl(run(["dbms_metadata", "all_tab"]), "ORACLE", "own", "t1")
+    asked.clear()
+    for kind, error in (("ORACLE", errors.SourceError), ("ORACLE", errors.SqlError), ("MYSQL", RuntimeError)):
+        with pytest.raises((errors.SourceError, errors.SqlError)):
+            dialects.table_ddl(run(["t1", "T1"], error), kind, "own", "t1")
+    assert len(asked) == 3
+
+
 def test_the_pointer_moves_in_one_step(spark, tmp_path):
     from tidewell.operators.pointer import Pointer
 

@@ -96,6 +96,14 @@ def test_a_dense_index_finds_what_is_near(spark, tmp_path):
     assert "PartitionFilters: [cell" in plan
 
 
+def test_large_query_sets_are_asked_in_blocks(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)], "pk bigint, vector array<float>")
+    q = vectors.selectExpr("pk as query_id", "vector")
+    want = sorted(R.dense_route(vectors, q, 4).collect())
+    monkeypatch.setattr(R, "QUERY_FLOATS", 400)
+    assert sorted(R.dense_route(vectors, q, 4).collect()) == want and len(want) == 240
+
+
 def test_few_rows_are_one_cell(spark, tmp_path):
     vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "pk bigint, vector array<float>")
     assert V.build(vectors, str(tmp_path / "d")) == 1

@@ -100,7 +100,7 @@ def jdbc_routes(spark, d):
 
 def tenant_statements(spark, d):
     """What a tenant of each kind is asked for a table's definition and for a plan."""
-    ask = lambda s: (lambda k, t: f"{dialects.dialect(k).definition('db', t)} | {dialects.dialect(k).plan('select 1')}")(*s.split("|"))
+    ask = lambda s: (lambda k, t: f"{' ; '.join(dialects.dialect(k).definitions('db', t))} | {dialects.dialect(k).plan('select 1')}")(*s.split("|"))
     said = F.concat(F.when(F.col("n_nationkey") % 2 == 0, "MYSQL").otherwise("ORACLE"), F.lit("|"), F.when(F.col("n_nationkey") % 3 == 0, "s.").otherwise(""), F.lit("t"), F.col("n_nationkey").cast("string"))
     return table(spark, d, "nation").select("n_nationkey", told(ask)(said).alias("statement"))
 
@@ -404,8 +404,8 @@ SQL = {
     "jdbc_routes": f"""SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 2 OR n_nationkey >= 20 THEN '!ValueError' ELSE CASE WHEN n_nationkey % 3 = 0 THEN 'jdbc:mysql://' ELSE 'jdbc:oracle:thin:@//' END || 'h' || n_nationkey
         || CASE WHEN n_nationkey % 2 = 1 THEN ':2883' ELSE ':99' END || '/db u@t#' || n_nationkey END AS route FROM nation""",
     "tenant_statements": f"""SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'SHOW CREATE TABLE ' || CASE WHEN n_nationkey % 3 = 0 THEN '`s`.' ELSE '' END || '`t' || {_NK} || '` | EXPLAIN EXTENDED select 1'
-        ELSE 'SELECT column_name, data_type, data_length, nullable FROM ' || CASE WHEN n_nationkey % 3 = 0 THEN 'all' ELSE 'user' END || '_tab_columns WHERE table_name = ''T' || {_NK} || '''' || CASE WHEN n_nationkey % 3 = 0 THEN ' AND owner = ''S''' ELSE '' END
-        || ' ORDER BY column_id | EXPLAIN select 1' END AS statement FROM nation""",
+        ELSE 'SELECT dbms_metadata.get_ddl(''TABLE'', ''T' || {_NK} || ''', ''DB'') AS ddl FROM dual ; SELECT column_name, data_type, data_length, data_precision, data_scale, nullable FROM all_tab_columns WHERE owner = ''DB'' AND table_name = ''T'
+        || {_NK} || ''' ORDER BY column_id | EXPLAIN select 1' END AS statement FROM nation""",
     "truth_values": "SELECT n_nationkey, ['True', 'True', 'False', 'False', '!ValueError'][n_nationkey % 5 + 1] AS value FROM nation",
     "value_kinds": "SELECT event_id, ['timestamp_ntz', 'date', 'string', 'timestamp_ntz'][event_id % 4 + 1] AS kind FROM events",
     "keyword_lists": "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_mktsegment || ' ' || c_name || ' x' END AS keywords FROM customer",

@@ -323,3 +323,41 @@ SQL |= {
     "segment_rows": f"WITH {_E} SELECT pk, md5(text) AS digest, kind FROM e",
     "segment_topk": f"WITH {_E}, {_B}, {_bm25('r', 'e', 'b')} SELECT query_id, pk, score, rank FROM r WHERE rank <= 5",
 }
+
+
+# ---- vectors by content ----
+def dense_index_recall(spark, d):
+    """Every fiftieth vector asked of a dense index of all of them: how many were asked, how many lie in its cells, and whether nine of ten exact hits are found."""
+    from ..operators import vectors as V
+    from ..sources.scratch import scratch, written
+
+    path, every = scratch(spark, "dense"), written(vectors(spark, d), "vectors")
+    V.build(every, path)
+    asked = written(every.where("pk % 50 = 0").selectExpr("pk as query_id", "vector"), "asked")
+    row = V.recall(V.Dense(spark, path).search(asked), R.dense_route(every, asked))
+    indexed = spark.read.parquet(f"{path}/vectors").agg(F.count(F.lit(1)).alias("indexed"))
+    return row.join(F.broadcast(indexed)).select("queries", "indexed", (F.col("recall") >= 0.9).alias("enough"))
+
+
+def vector_cache(spark, d):
+    """Texts of half of the documents, then of all, then of all again: what was there, and what was sent."""
+    from ..operators import vectors as V
+    from ..sources.remote import hashed_vectors
+    from ..sources.scratch import scratch
+
+    embed, rows, before = V.Cached(spark, scratch(spark, "cache"), "hashed", hashed_vectors(2)), [], V.Served()
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("pk"), F.col("text").alias("canonical"))
+    for k, part in enumerate((docs.where("pk % 2 = 0"), docs, docs)):
+        n, now = embed(part).count(), embed.served
+        rows.append((k, n, now.hits - before.hits, now.sent - before.sent))
+        before = V.Served(now.texts, now.hits, now.sent)
+    return spark.createDataFrame(rows, "pass int, vectors bigint, hits bigint, sent bigint")
+
+
+QUERIES |= {"dense_index_recall": dense_index_recall, "vector_cache": vector_cache}
+SQL |= {
+    "dense_index_recall": "SELECT count(*) FILTER (WHERE vec_id % 50 = 0) AS queries, count(*) AS indexed, true AS enough FROM embeddings",
+    "vector_cache": """WITH h AS (SELECT count(*) AS n, count(DISTINCT text) AS k FROM documents WHERE doc_id % 2 = 0), a AS (SELECT count(*) AS n, count(DISTINCT text) AS k FROM documents),
+        s AS (SELECT count(*) AS n FROM documents WHERE text IN (SELECT text FROM documents WHERE doc_id % 2 = 0))
+        SELECT 0::INT AS pass, n AS vectors, 0::BIGINT AS hits, k AS sent FROM h UNION ALL SELECT 1, a.n, s.n, a.k - h.k FROM a, h, s UNION ALL SELECT 2, n, n, 0 FROM a""",
+}

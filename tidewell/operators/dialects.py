@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from . import sqlguard
 from .bounded import Result
+from .errors import SourceError, SqlError
 
 
 class Dialect:
@@ -15,7 +16,8 @@ class Dialect:
 
     kind = ""
 
-    def definition(self, database: str, table: str) -> str:
+    def definitions(self, database: str, table: str) -> list[str]:
+        """Statements for a table's definition, each for where the one before fails."""
         raise NotImplementedError
 
     def plan(self, statement: str) -> str:
@@ -25,8 +27,8 @@ class Dialect:
 class MySQL(Dialect):
     kind = "MYSQL"
 
-    def definition(self, database: str, table: str) -> str:
-        return "SHOW CREATE TABLE " + ".".join(f"`{x}`" for x in table.split("."))
+    def definitions(self, database: str, table: str) -> list[str]:
+        return ["SHOW CREATE TABLE " + ".".join(f"`{x}`" for x in table.split("."))]
 
     def plan(self, statement: str) -> str:
         return f"EXPLAIN EXTENDED {statement}"
@@ -35,10 +37,15 @@ class MySQL(Dialect):
 class Oracle(Dialect):
     kind = "ORACLE"
 
-    def definition(self, database: str, table: str) -> str:
-        owner, _, name = table.upper().rpartition(".")
-        where = f"table_name = '{name}'" + (f" AND owner = '{owner}'" if owner else "")
-        return f"SELECT column_name, data_type, data_length, nullable FROM {'all' if owner else 'user'}_tab_columns WHERE {where} ORDER BY column_id"
+    def definitions(self, database: str, table: str) -> list[str]:
+        """The whole definition, or the columns where that package is closed to the user.  The owner is the schema that the connection is for, whatever
+        stands before the name; names without quotes are kept in capitals."""
+        name, owner = table.rpartition(".")[2].upper(), sqlguard.safe_name(database).upper()
+        columns = "column_name, data_type, data_length, data_precision, data_scale, nullable"
+        return [
+            f"SELECT dbms_metadata.get_ddl('TABLE', '{name}', '{owner}') AS ddl FROM dual",
+            f"SELECT {columns} FROM all_tab_columns WHERE owner = '{owner}' AND table_name = '{name}' ORDER BY column_id",
+        ]
 
     def plan(self, statement: str) -> str:
         return f"EXPLAIN {statement}"
@@ -54,8 +61,18 @@ def dialect(kind: str) -> Dialect:
 
 
 def table_ddl(run: Callable[[str], Result], kind: str, database: str, table: str) -> Result:
-    """The definition of a table of a tenant, asked of that tenant."""
-    return run(sqlguard.check(dialect(kind).definition(database, sqlguard.safe_name(table))))
+    """The definition of a table of a tenant, asked of that tenant.  What no other statement would mend (a refused one, no way to the tenant) is not asked again."""
+    failed: list[str] = []
+    for statement in dialect(kind).definitions(database, sqlguard.safe_name(table)):
+        try:
+            return run(sqlguard.check(statement))
+        except (SqlError, SourceError):
+            raise
+        except Exception as e:
+            failed.append(str(e))
+    if len(failed) == 1:
+        raise SqlError(failed[0])
+    raise SqlError(f"neither the definition nor the columns could be read: {'; '.join(failed)}")
 
 
 def explain(run: Callable[[str], Result], kind: str, statement: str) -> Result:
