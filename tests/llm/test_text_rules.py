@@ -384,6 +384,29 @@ def test_a_full_licence_text_is_a_licence_file(spark):
     assert got[1].path == "a/en/0/LICENSE.1" and got[1].licence == "MIT" and (got[70].licence, got[70].inherited_from) == ("MIT", "a/en/0")
 
 
+BSD_2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation."""
+BSD_3 = BSD_2 + """
+3. Neither the name of the copyright holder nor the names of its contributors
+may be used to endorse or promote products derived from this software."""
+
+
+def test_like_licences_are_told_apart(spark):
+    commented = lambda s: "\n".join(f" * {x}" for x in s.splitlines())
+    want = {
+        "a/two.c": (commented(BSD_2) + "\nint x;", "BSD-2-Clause"), "a/three.c": (commented(BSD_3) + "\nint x;", "BSD-3-Clause"), "a/open.c": ("// " + BSD_2.split(":")[0].replace("\n", " ") + ":", "BSD-3-Clause"),
+        "b/app.min.js": ("/*! " + MIT.replace("\n", " ") + " */\n!function(){}()", "MIT"), "c/UNLICENSE": ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy", "Unlicense"), "c/x.py": ("pass", "Unlicense"),
+        "d/MIT-LICENSE.txt": (MIT, "MIT"), "d/x/y.py": ("pass", "MIT"), "e/b.hpp": ("//  Distributed under the Boost Software License, Version 1.0. (See\n//  accompanying file LICENSE_1_0.txt or copy at\n//  http://www.boost.org/LICENSE_1_0.txt)", "BSL-1.0"),
+        "f/E.java": ("/*\n * This program and the accompanying materials are made\n * available under the terms of the Eclipse Public License 2.0\n * which is available at https://www.eclipse.org/legal/epl-2.0/\n */", "EPL-2.0"), "g/licensed.py": ("pass", None), "h/relicense.md": ("text", None), "h/k.py": ("pass", None),
+    }
+    got = {r.path: r.licence for r in license_scan.inherit(license_scan.scan(spark.createDataFrame([(p, t) for p, (t, _) in want.items()], "path string, text string"))).collect()}
+    assert got == {p: l for p, (_, l) in want.items()}
+
+
 def test_licences_on_odd_input(empty, clashing, odd):
     assert license_scan.op6(empty).count() == 0
     assert license_scan.op6(clashing).count() == odd.count()

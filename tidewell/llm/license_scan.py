@@ -1,14 +1,14 @@
 r"""Licence scans, in DataFrame functions only.
 
 Every line of a text is a possible header, and so is every run of 2 to ``LINES`` adjacent lines that are made of the notices' words,
-as headers are wrapped (comment marks are no terms).  The whole text of a licence file (named LICENSE, LICENCE, COPYING, COPYRIGHT or
-NOTICE) is one unit more.  A unit is compared with the notices of known licences by the cosine of TF-IDF vectors (terms are
+as headers are wrapped (comment marks are no terms).  The whole text of a licence file (with LICENSE, LICENCE, UNLICENSE, COPYING, COPYRIGHT
+or NOTICE in its name) is one unit more.  A unit is compared with the notices of known licences by the cosine of TF-IDF vectors (terms are
 runs of ASCII letters and digits, case folded; inverse frequencies are counted over ``NOTICES``, and a term that none of them
-has weighs as one found in none).  The whole of a licence file is compared with the full texts of licences too, with inverse
+has weighs as one found in none).  The whole of a licence file, and a line of over ``LONG`` characters, is compared with the full texts of licences too, with inverse
 frequencies counted over these; their terms are kept in licence_texts.json.  Lines that hold none of a notice's essential terms cannot reach the threshold, so only
 the others are scored: a notice's terms that are not essential have, together, less than the threshold of its length.
 
-A file takes the licence of its best unit.  A file without one inherits: directories that hold a licence file with a known
+A file takes the licence of its best unit; a BSD licence with its second clause and without the third is BSD-2-Clause.  A file without one inherits: directories that hold a licence file with a known
 licence are joined with the ancestors of all directories, and each directory takes the nearest, its own first; of several
 licence files in one directory, that with the best score, then the first by path.
 
@@ -64,8 +64,14 @@ FURTHER = [
     ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-only"),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    ("BSL-1.0", "SPDX-License-Identifier: BSL-1.0"),
     ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."),
     ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    ("EPL-1.0", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL-2.0", "SPDX-License-Identifier: EPL-2.0"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
@@ -75,6 +81,8 @@ FURTHER = [
     ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-only"),
     ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-only"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "SPDX-License-Identifier: Unlicense"),
 ]
 
 #: A wrapped header has at most so many lines and, in all, characters: over three times the longest notice, which a run that long
@@ -87,7 +95,14 @@ SPEAKS = "(?i)licen[sc]|permission|permitted|warrant"
 #: Words that prose has everywhere: taken as essential last of all.
 COMMON = frozenset("the a an and or of to in on is it that this these by for with not are be may only any as at under either without from you no use sa la le de un une et en el mit der die das und".split())
 
-FILE_NAME = r"(?i)^(licen[sc]e|copying|copyright|notice)([._-].*)?$"
+#: The word may stand anywhere in the name of a licence file, by itself: LICENSE, MIT-LICENSE.txt, COPYING.LESSER.
+FILE_NAME = r"(?i)^(.*[._ -])?(un)?(licen[sc]es?|copying|copyright|notice)([._ -].*)?$"
+
+#: Lines of more characters are compared with the full texts of licences too, of which none is shorter: minified sources hold them so.
+LONG = 400
+
+# The sentence of BSD licences above is that of both; what only the second clause has, and what only the third.
+BSD_SECOND, BSD_THIRD = "redistributions in binary form must reproduce", "(endorse or promote products|neither the name)"
 
 
 def _terms(text: str) -> list[str]:
@@ -226,11 +241,15 @@ def scan(files: DataFrame) -> DataFrame:
     def tops(d):
         # the wrapped headers inside a full licence text are its own
         units = F.concat(F.filter(d["lines"], lambda s: s.rlike(_hint())), F.when(d["full"]["score"] >= THRESHOLD, none).otherwise(wrapped(d["lines"])), F.when(d["named"], F.array(d["text"])).otherwise(none))
-        return F.concat(near(units), F.when(d["full"]["score"] >= THRESHOLD, F.array(order(d["full"]))).otherwise(F.array().cast("array<struct<less:double,licence:string>>")))
+        long = F.transform(F.filter(d["lines"], lambda s: (F.length(s) > LONG) & s.rlike(SPEAKS)), lambda s: nearest(s, *full_texts()))
+        full_lines = F.transform(F.filter(long, lambda b: b["score"] >= THRESHOLD), order)
+        return F.concat(near(units), full_lines, F.when(d["full"]["score"] >= THRESHOLD, F.array(order(d["full"]))).otherwise(F.array().cast("array<struct<less:double,licence:string>>")))
 
     parts = F.struct(text.alias("text"), F.split(text, "\n", -1).alias("lines"), F.coalesce(named, F.lit(False)).alias("named"), F.when(named, whole(text)).alias("full"))
     out = files.withColumn("_top", F.array_min(let(parts, tops)))
-    return out.withColumn("own_licence", F.col("_top.licence")).withColumn("own_score", -F.col("_top.less")).drop("_top")
+    words = F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")
+    two = (F.col("_top.licence") == "BSD-3-Clause") & words.rlike(BSD_SECOND) & ~words.rlike(BSD_THIRD)
+    return out.withColumn("own_licence", F.when(two, "BSD-2-Clause").otherwise(F.col("_top.licence"))).withColumn("own_score", -F.col("_top.less")).drop("_top")
 
 
 def parent(path: Column) -> Column:
