@@ -87,3 +87,28 @@ def test_frames(spark):
     assert diff.access_changes(found).count() == 1 and diff.regressions(found, worse=False).count() == 0
     rows = normalise.plan_rows(normalise.nodes(normalise.views(spark.createDataFrame([(0, json.dumps(BEFORE))], "plan_id bigint, payload string")))).orderBy("position").collect()
     assert [r.label for r in rows] == ["HASH JOIN", "  TABLE GET(t1)", "  TABLE SCAN(t2)"] and [r.hottest for r in rows] == [True, False, False]
+
+
+FLAT = {"uid": "u3", "data": [{"Id": "a", "Operator": " SORT", "ObjectName": "NULL", "Rows": "3.7", "Cost": 9, "children": ["b", "c"]}, {"Id": "b", "Operator": "TABLE SCAN", "ObjectName": "t", "Rows": 3, "Cost": 4, "children": ["a"]}, {"Operator": "VALUES"}], "planOperationSummery": [{"operator": "TABLE SCAN"}, {"operator": "SORT", "cost": 1}]}
+
+
+def test_whole_plans(spark):
+    """Nested and flat plans, a ring of children, a plan that is none; differences both ways with their notes."""
+    from tidewell.plans import normalise
+
+    rows = [(i, json.dumps(p)) for i, p in enumerate((BEFORE, AFTER, FLAT))] + [(3, "no plan")]
+    views = normalise.views(spark.createDataFrame(rows, "plan_id bigint, payload string"))
+    nodes = {(r.plan_id, r.position): (r.id, r.depth, r.operator, r.name, r.rows, r.cost) for r in normalise.nodes(views).collect()}
+    assert [nodes[2, k] for k in range(3)] == [("node-2", 0, "VALUES", "", None, None), ("a", 0, "SORT", "", 3, 9), ("b", 1, "TABLE SCAN", "t", 3, 4)] and len(nodes) == 10
+    assert [nodes[1, k][2:] for k in range(4)] == [("HASH JOIN", "", 10, 960), ("TABLE GET", "t1", 5, 20), ("TABLE SCAN", "t2", 9000, 920), ("LIMIT", "", None, None)]
+    told = views.where("plan_id = 2").selectExpr("inline(summary)").collect()
+    assert [(s.operator, s["count"], s["rows"], s.cost) for s in told] == [("TABLE SCAN", 1, 3, 4), ("SORT", 1, 3, 1)]
+    pairs = [(0, BEFORE, AFTER), (1, AFTER, BEFORE), (2, FLAT, FLAT)]
+    found = diff.diffs(spark.createDataFrame([(i, json.dumps(a), json.dumps(b)) for i, a, b in pairs], "pair_id bigint, before string, after string"))
+    notes = {(r.pair_id, r.path): (r.status, "; ".join(r.notes)) for r in found.collect()}
+    assert notes[0, "HASH JOIN > TABLE SCAN(t2)"] == ("changed", "行数估计 10 → 9000; 自身代价 60 → 920; 可用索引 [i1, i2] → 无; 索引不可用，已退化为全表扫描; 扫描行数 10 → 9000")
+    assert notes[1, "HASH JOIN > TABLE SCAN(t2)"] == ("changed", "行数估计 9000 → 10; 自身代价 920 → 60; 可用索引 无 → [i1, i2]; 扫描行数 9000 → 10")
+    assert notes[0, "HASH JOIN > LIMIT"] == ("added", "新增算子") and notes[1, "HASH JOIN > LIMIT"] == ("removed", "该算子在新计划中消失") and notes[2, "SORT > TABLE SCAN(t)"] == ("same", "")
+    words = {r.pair_id: (r.verdict, r.cost_ratio) for r in diff.verdicts(found).collect()}
+    assert words == {0: ("regressed", 9.6), 1: ("improved", 0.104), 2: ("unchanged", 1.0)}
+    assert [(r.name, r.delta) for r in diff.regressions(found).collect()] == [("t2", 860)]

@@ -327,6 +327,41 @@ def order_plan_regressions(spark, d):
     return D.regressions(_order_diffs(spark, d), limit=2).select("pair_id", "name", "delta")
 
 
+def _access_payload(spark, d, after: bool):
+    """A plan per order: a sort over scans with properties; afterwards, by the line's supplier, its index is gone and it reads twice the rows, it goes back to the
+    table, or it has another index.  Orders of odd keys get a limit on top of the scans."""
+    one = F.min(F.struct(F.col("l_quantity").cast("bigint").alias("q"), "l_partkey", "l_suppkey")).alias("x")
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(one).select("l_orderkey", "l_linenumber", "x.*")
+    case = F.col("l_suppkey") % 4
+    index = F.concat(F.lit("i"), (F.col("l_suppkey") % 3).cast("string"), F.lit(", p"))
+    rows, back = F.col("q"), F.lit(0)
+    if after:
+        index = F.when(case == 1, "").when(case == 3, "i9").otherwise(index)
+        rows, back = F.when(case == 1, rows * 2).otherwise(rows), F.when(case == 2, 1).otherwise(0)
+    said = F.concat(F.lit("available_index_name["), index, F.lit("], physical_range_rows:"), rows.cast("string"), F.lit(" is_index_back:"), back.cast("string"), F.lit(" access(a, b)"))
+    own = F.struct(F.col("l_linenumber").alias("id"), F.lit("TABLE SCAN").alias("operator"), F.concat(F.lit("t"), F.col("l_linenumber").cast("string")).alias("name"), F.lit(1).alias("rows"), F.lit("7").alias("cost"), said.alias("property"))
+    per = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(own)).alias("children"))
+    inner = F.struct(F.lit(100).alias("id"), F.lit("SORT").alias("operator"), F.lit(1).alias("rows"), F.lit("99").alias("cost"), F.col("children"))
+    extra = F.struct(F.lit(101).alias("id"), F.lit("LIMIT").alias("operator"), F.lit(1).alias("rows"), F.lit("0").alias("cost"), F.array().cast(per.schema["children"].dataType).alias("children"))
+    kids = F.when((F.col("l_orderkey") % 2 == 1) & F.lit(after), F.array(inner, extra)).otherwise(F.array(inner))
+    root = F.struct(F.lit(0).alias("id"), F.lit("HASH JOIN").alias("operator"), F.lit(1).alias("rows"), F.lit("99").alias("cost"), kids.alias("children"))
+    return per.select(F.col("l_orderkey").alias("pair_id"), F.to_json(F.struct(F.array(root).alias("rootOperations"))).alias("after" if after else "before"))
+
+
+def _access_diffs(spark, d):
+    return D.diffs(_access_payload(spark, d, False).join(_access_payload(spark, d, True), "pair_id"))
+
+
+def order_plan_notes(spark, d):
+    """What the properties of scans and added nodes say, deep in a plan."""
+    found = _access_diffs(spark, d).where("status <> 'same'")
+    return found.select("pair_id", "status", "operator", "name", "path", F.array_join("notes", "; ").alias("notes"))
+
+
+def order_plan_access(spark, d):
+    return D.access_changes(_access_diffs(spark, d)).select("pair_id", "name")
+
+
 def plan_listing(spark, d):
     from .plans import _lines
 
@@ -381,13 +416,15 @@ QUERIES = {
     for f in (
         guard_verdicts, safe_names, thread_ids, corpus_paths, logins, jdbc_routes, tenant_statements, truth_values, value_kinds, keyword_lists, question_terms, unspaced_terms, column_overlap, known_servers, counted_rows,
         withheld_rows, repeated_keys, event_windows, plan_lookup, tool_labels, statement_audit, degraded_hints, envelopes, vector_answers, rerank_answers, canned_plans, json_rows, payload_rows, corpus_files, case_rows,
-        index_builds, index_health, index_pages, section_read, order_plan_nodes, order_plan_entries, order_plan_verdicts, order_plan_regressions, plan_listing, fused_first, search_entries, rerank_counters, eval_worst,
+        index_builds, index_health, index_pages, section_read, order_plan_nodes, order_plan_entries, order_plan_verdicts, order_plan_regressions, order_plan_notes, order_plan_access, plan_listing, fused_first, search_entries, rerank_counters, eval_worst,
         eval_by_source, eval_gates, source_labels,
     )
 }
 
 _CK = "c_custkey::VARCHAR"
 _NK = "n_nationkey::VARCHAR"
+_SCANS = """l0 AS (SELECT l_orderkey AS pair_id, l_linenumber, min(struct_pack(q := l_quantity::BIGINT, p := l_partkey, s := l_suppkey)) AS x FROM lineitem GROUP BY 1, 2),
+sc AS (SELECT pair_id, 't' || l_linenumber AS name, x.q AS q, x.s AS s, x.s % 4 AS c FROM l0)"""
 _PLAN = """l0 AS (SELECT l_orderkey, l_linenumber, min(struct_pack(q := l_quantity::BIGINT, p := l_partkey, s := l_suppkey)) AS x FROM lineitem GROUP BY 1, 2),
 li AS (SELECT l_orderkey, l_linenumber, x.q AS q, x.p + 10 AS c1, CASE WHEN x.s % 2 = 1 THEN (x.p + 10) * 3 + 100 ELSE x.p + 10 END AS c2 FROM l0),
 a AS (SELECT l_orderkey, sum(c1)::BIGINT AS s1 FROM li GROUP BY 1), b AS (SELECT l_orderkey, sum(c2)::BIGINT AS s2 FROM li WHERE l_linenumber < 6 GROUP BY 1),
@@ -446,6 +483,10 @@ SQL = {
         v AS (SELECT pair_id, s1 + 50 AS old_cost, s2 + 50 AS new_cost, removed, moved, (s2 + 50) / (s1 + 50)::DOUBLE AS share FROM n JOIN a ON a.l_orderkey = pair_id JOIN b ON b.l_orderkey = pair_id)
         SELECT pair_id, old_cost, new_cost, removed, 0::BIGINT AS added, CASE WHEN moved = 0 THEN 'unchanged' WHEN share >= {D.VERDICT} THEN 'regressed' WHEN share <= 1 / {D.VERDICT}::DOUBLE THEN 'improved' ELSE 'changed' END AS verdict, round(share, 3) AS cost_ratio FROM v""",
     "order_plan_regressions": f"""WITH {_PLAN} SELECT pair_id, name, c2 - c1 AS delta FROM en WHERE c2 > c1 QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY c2 - c1 DESC, k) <= 2""",
+    "order_plan_notes": f"""WITH {_SCANS} SELECT pair_id, 'changed' AS status, 'TABLE SCAN' AS operator, name, 'HASH JOIN > SORT > TABLE SCAN(' || name || ')' AS path,
+        CASE c WHEN 1 THEN '可用索引 [i' || s % 3 || ', p] → 无; 索引不可用，已退化为全表扫描; 扫描行数 ' || q || ' → ' || 2 * q WHEN 2 THEN 'index_back 0 → 1' ELSE '可用索引 [i' || s % 3 || ', p] → [i9]' END AS notes FROM sc WHERE c > 0
+        UNION ALL SELECT DISTINCT pair_id, 'added', 'LIMIT', '', 'HASH JOIN > LIMIT', '新增算子' FROM sc WHERE pair_id % 2 = 1""",
+    "order_plan_access": f"WITH {_SCANS} SELECT pair_id, name FROM sc WHERE c IN (1, 3)",
     "plan_listing": """WITH n AS (SELECT l_returnflag AS plan_id, l_orderkey || '-' || l_linenumber AS id, l_linestatus AS label, l_orderkey * 10 + l_linenumber AS pos, CASE WHEN l_linenumber <> 3 THEN l_partkey END AS cost FROM lineitem),
         t AS (SELECT plan_id, sum(cost) AS total, max(cost) AS top FROM n GROUP BY 1), f AS (SELECT n.plan_id, arg_min(id, pos) AS hot FROM n JOIN t ON n.plan_id = t.plan_id AND n.cost = t.top GROUP BY 1)
         SELECT plan_id, id, label, round(cost / total::DOUBLE, 4) AS share, id = hot AS hottest FROM n JOIN t USING (plan_id) JOIN f USING (plan_id)""",

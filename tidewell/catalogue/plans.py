@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from ..plans import diff as D
@@ -18,37 +16,6 @@ def _node(i, op, rows, cost, name="", prop="", kids=()):
 #: One join over two scans; after the change the second scan has lost its index.
 BEFORE = {"uid": "u1", "sqlId": "s1", "rootOperations": [_node(0, "HASH JOIN", 10, 100, kids=[_node(1, "TABLE GET", 5, 20, "t1"), _node(2, "TABLE SCAN", 10, 60, "t2", "available_index_name[i1, i2] physical_range_rows:10 access(a, b)")])]}
 AFTER = {"uid": "u2", "sqlId": "s1", "rootOperations": [_node(0, "HASH JOIN", 10, 960, kids=[_node(1, "TABLE GET", 5, 20, "t1"), _node(2, "TABLE SCAN", 9000, 920, "t2", "available_index_name[] physical_range_rows:9000 access(a, b)"), _node(3, "LIMIT", "NULL", None)])]}
-FLAT = {"uid": "u3", "data": [{"Id": "a", "Operator": " SORT", "ObjectName": "NULL", "Rows": "3.7", "Cost": 9, "children": ["b", "c"]}, {"Id": "b", "Operator": "TABLE SCAN", "ObjectName": "t", "Rows": 3, "Cost": 4, "children": ["a"]}, {"Operator": "VALUES"}], "planOperationSummery": [{"operator": "TABLE SCAN"}, {"operator": "SORT", "cost": 1}]}
-
-
-def payloads(spark):
-    return spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate((BEFORE, AFTER, FLAT))] + [(3, "no plan")], "plan_id bigint, payload string")
-
-
-def pairs(spark):
-    return spark.createDataFrame([(0, json.dumps(BEFORE), json.dumps(AFTER)), (1, json.dumps(AFTER), json.dumps(BEFORE)), (2, json.dumps(FLAT), json.dumps(FLAT))], "pair_id bigint, before string, after string")
-
-
-def plan_view(spark, d):
-    return N.nodes(N.views(payloads(spark))).select("plan_id", F.col("position").cast("bigint").alias("position"), "id", F.col("depth").cast("bigint").alias("depth"), "operator", "name", "rows", "cost")
-
-
-def plan_summary(spark, d):
-    s = N.views(payloads(spark)).select("plan_id", F.explode("summary").alias("s"))
-    return s.select("plan_id", "s.operator", "s.count", "s.rows", "s.cost")
-
-
-def plan_diff(spark, d):
-    found = D.diffs(pairs(spark))
-    return found.select("pair_id", "status", "path", "self_cost_before", "self_cost_after", F.array_join("notes", "; ").alias("notes"))
-
-
-def plan_verdicts(spark, d):
-    return D.verdicts(D.diffs(pairs(spark)))
-
-
-def plan_regressions(spark, d):
-    return D.regressions(D.diffs(pairs(spark))).select("pair_id", "operator", "name", "delta")
 
 
 def _lines(spark, d):
@@ -87,21 +54,9 @@ def property_fields(spark, d):
     return o.select("o_orderkey", p["table_rows"].alias("table_rows"), p["output_rows"].alias("output_rows"), p["use_das"].alias("use_das"), F.array_join(index_list(text), "+").alias("indexes"))
 
 
-QUERIES = {f.__name__: f for f in (plan_view, plan_summary, plan_diff, plan_verdicts, plan_regressions, operator_summary, plan_stats, plan_self_cost, property_fields)}
+QUERIES = {f.__name__: f for f in (operator_summary, plan_stats, plan_self_cost, property_fields)}
 
 SQL = {
-    "plan_view": """SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, '0', 0::BIGINT, 'HASH JOIN', '', 10::BIGINT, 100::BIGINT), (0, 1, '1', 1, 'TABLE GET', 't1', 5, 20), (0, 2, '2', 1, 'TABLE SCAN', 't2', 10, 60),
-        (1, 0, '0', 0, 'HASH JOIN', '', 10, 960), (1, 1, '1', 1, 'TABLE GET', 't1', 5, 20), (1, 2, '2', 1, 'TABLE SCAN', 't2', 9000, 920), (1, 3, '3', 1, 'LIMIT', '', NULL, NULL),
-        (2, 0, 'node-2', 0, 'VALUES', '', NULL, NULL), (2, 1, 'a', 0, 'SORT', '', 3, 9), (2, 2, 'b', 1, 'TABLE SCAN', 't', 3, 4)) t(plan_id, position, id, depth, operator, name, rows, cost)""",
-    "plan_summary": "SELECT * FROM (VALUES (2::BIGINT, 'TABLE SCAN', 1::BIGINT, 3::BIGINT, 4::BIGINT), (2, 'SORT', 1, 3, 1)) t(plan_id, operator, count, rows, cost)",
-    "plan_diff": """SELECT * FROM (VALUES (0::BIGINT, 'changed', 'HASH JOIN', 20::BIGINT, 20::BIGINT, NULL), (0, 'same', 'HASH JOIN > TABLE GET(t1)', 20, 20, ''), (0, 'added', 'HASH JOIN > LIMIT', NULL, NULL, '新增算子'),
-        (0, 'changed', 'HASH JOIN > TABLE SCAN(t2)', 60, 920, '行数估计 10 → 9000; 自身代价 60 → 920; 可用索引 [i1, i2] → 无; 索引不可用，已退化为全表扫描; 扫描行数 10 → 9000'),
-        (1, 'same', 'HASH JOIN', 20, 20, ''), (1, 'same', 'HASH JOIN > TABLE GET(t1)', 20, 20, ''), (1, 'removed', 'HASH JOIN > LIMIT', NULL, NULL, '该算子在新计划中消失'),
-        (1, 'changed', 'HASH JOIN > TABLE SCAN(t2)', 920, 60, '行数估计 9000 → 10; 自身代价 920 → 60; 可用索引 无 → [i1, i2]; 扫描行数 9000 → 10'),
-        (2, 'same', 'VALUES', NULL, NULL, ''), (2, 'same', 'SORT', 5, 5, ''), (2, 'same', 'SORT > TABLE SCAN(t)', 4, 4, '')) t(pair_id, status, path, self_cost_before, self_cost_after, notes)""".replace("(0::BIGINT, 'changed', 'HASH JOIN', 20::BIGINT, 20::BIGINT, NULL)", "(0::BIGINT, 'same', 'HASH JOIN', 20::BIGINT, 20::BIGINT, '')"),
-    "plan_verdicts": """SELECT * FROM (VALUES (0::BIGINT, 100::BIGINT, 960::BIGINT, 1::BIGINT, 1::BIGINT, 0::BIGINT, 2::BIGINT, 'regressed', 9.6::DOUBLE), (1, 960, 100, 1, 0, 1, 2, 'improved', 0.104), (2, 9, 9, 0, 0, 0, 3, 'unchanged', 1.0))
-        t(pair_id, old_cost, new_cost, changed, added, removed, same, verdict, cost_ratio)""",
-    "plan_regressions": "SELECT * FROM (VALUES (0::BIGINT, 'TABLE SCAN', 't2', 860::BIGINT)) t(pair_id, operator, name, delta)",
     "operator_summary": """SELECT l_returnflag AS plan_id, l_linestatus AS operator, count(*) AS count, sum(l_quantity::BIGINT)::BIGINT AS rows, sum(CASE WHEN l_linenumber <> 3 THEN l_partkey ELSE 0 END)::BIGINT AS cost FROM lineitem GROUP BY 1, 2""",
     "plan_stats": """WITH n AS (SELECT l_returnflag AS plan_id, l_orderkey || '-' || l_linenumber AS id, l_orderkey * 10 + l_linenumber AS pos, l_quantity::BIGINT AS rows, CASE WHEN l_linenumber <> 3 THEN l_partkey END AS cost FROM lineitem),
         t AS (SELECT plan_id, sum(cost)::BIGINT AS total_cost, max(rows) AS max_rows, max(cost) AS top FROM n GROUP BY 1), f AS (SELECT n.plan_id, arg_min(id, pos) AS hottest_id FROM n JOIN t ON n.plan_id = t.plan_id AND n.cost = t.top GROUP BY 1)
