@@ -111,6 +111,54 @@ def test_control_plane(spark, server):
         remote.contents({"contents": {}})
 
 
+@pytest.fixture()
+def statements():
+    """A slow-statement service that answers by its parameters and keeps what it was asked."""
+    import datetime as dt
+    from urllib.parse import parse_qs, urlsplit
+
+    asked = []
+    rows = [(c, t, dt.datetime(2024, 1, 1, h, tzinfo=dt.UTC)) for c in (1, 2) for t in (10, 20) for h in range(24)]
+
+    def aware(s):
+        x = dt.datetime.fromisoformat(s)
+        return x if x.tzinfo else x.replace(tzinfo=dt.UTC)
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            u = urlsplit(self.path)
+            q = {k: v[0] for k, v in parse_qs(u.query).items()}
+            asked.append((u.path, q))
+            c, t = (int(u.path.split("/")[k]) for k in (5, 7))
+            got = [{"sqlId": f"{c}-{t}-{at.hour}", "requestTime": at.isoformat()} for a, b, at in rows if (a, b) == (c, t) and ("startTime" not in q or aware(q["startTime"]) <= at) and ("endTime" not in q or at <= aware(q["endTime"]))]
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"successful": True, "data": {"contents": got}}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    s = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}", asked
+    s.shutdown()
+
+
+def test_filters_arrive_at_the_server(spark, statements):
+    url, asked = statements
+    tenants = [(c, t) for c in (1, 2) for t in (10, 20)]
+    every = remote.windowed(spark, url, "slow_sql", tenants, windows=3)
+    assert every.count() == 96 and len(asked) == 4 and all(not q for _, q in asked)
+    asked.clear()
+    # ids choose the calls, bounds go into the address in three parts, and what the server cannot know is tested here
+    some = every.where("cluster_id = 2 and tenant_id in (20, 30) and at >= timestamp'2024-01-01 03:00:00' and at < timestamp'2024-01-01 09:00:00' and payload not like '%-5%'")
+    assert sorted(r["at"].hour for r in some.selectExpr("at").collect()) == [3, 4, 6, 7, 8]
+    assert {p for p, _ in asked} == {"/api/v2/ob/clusters/2/tenants/20/slowSql"} and sorted(q["startTime"][11:16] for _, q in asked) == ["03:00", "05:00", "07:00"] and sorted(q["endTime"][11:16] for _, q in asked) == ["05:00", "07:00", "09:00"]
+    asked.clear()
+    assert every.where("cluster_id = 9").count() == 0 and every.where("at > timestamp'2024-01-02' and at < timestamp'2024-01-01'").count() == 0 and not asked
+    assert every.where("at = timestamp'2024-01-01 07:00:00'").count() == 4
+
+
 def test_services(spark, server):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "pk bigint, canonical string").coalesce(1)
     assert {r.pk: r.vector for r in remote.embedder(server + "/vec", "m", 2)(rows).collect()} == {1: [1.0, 0.0], 2: [0.0, 1.0]}

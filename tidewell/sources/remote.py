@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..operators.errors import SourceError
 
@@ -90,6 +92,98 @@ CALLS = {
 }
 
 
+@dataclass
+class Span(InputPartition):
+    """What one task asks for: a tenant of a cluster, over a part of the time asked for."""
+
+    cluster_id: int
+    tenant_id: int
+    begin: dt.datetime | None
+    end: dt.datetime | None
+
+
+class Windowed(DataSource):
+    """format("tidewell_window"): a call for each of several tenants, in parallel, over a span of time.
+
+    Options: base, call (a name of ``CALLS`` with both ids), tenants (JSON list of [cluster_id, tenant_id]), time_field (of an item), windows (parts of a span with two
+    ends), header.  Columns: cluster_id, tenant_id, at, payload.  Filters on the ids choose the tasks; the latest lower and the earliest upper bound on ``at``
+    go to the server as startTime and endTime, and are tested again here, as the server rounds."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tidewell_window"
+
+    def schema(self) -> str:
+        return "cluster_id bigint, tenant_id bigint, at timestamp, payload string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _WindowedReader(dict(self.options))
+
+
+class _WindowedReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.options = options
+        self.ids: dict[str, set] = {}
+        self.begin: dt.datetime | None = None
+        self.end: dt.datetime | None = None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            column = f.attribute[0] if isinstance(f, EqualTo | In | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual) and len(f.attribute) == 1 else None
+            if column in ("cluster_id", "tenant_id") and isinstance(f, EqualTo | In):
+                values = set(f.value) if isinstance(f, In) else {f.value}
+                self.ids[column] = self.ids[column] & values if column in self.ids else values
+                continue
+            if column == "at" and isinstance(f, GreaterThan | GreaterThanOrEqual | EqualTo):
+                self.begin = f.value if self.begin is None else max(self.begin, f.value)
+            if column == "at" and isinstance(f, LessThan | LessThanOrEqual | EqualTo):
+                self.end = f.value if self.end is None else min(self.end, f.value)
+            yield f
+
+    def partitions(self) -> list[InputPartition]:
+        pairs = [(c, t) for c, t in json.loads(self.options["tenants"]) if c in self.ids.get("cluster_id", {c}) and t in self.ids.get("tenant_id", {t})]
+        cuts: list[tuple] = [(self.begin, self.end)]
+        if self.begin is not None and self.end is not None:
+            n = max(1, int(self.options.get("windows", "1"))) if self.begin < self.end else 1
+            step = (self.end - self.begin) / n
+            edges = [self.begin + k * step for k in range(n)] + [self.end]
+            cuts = list(zip(edges, edges[1:], strict=False)) if self.begin <= self.end else []
+        return [Span(c, t, a, b) for c, t in pairs for a, b in cuts]
+
+    def read(self, span: Span) -> Iterator[tuple]:
+        if not isinstance(span, Span):  # no partition is left: Spark asks once all the same
+            return
+        o = self.options
+        path, many = CALLS[o["call"]]
+        shown = lambda x: None if x is None else x.isoformat(timespec="milliseconds")
+        data = fetch(
+            o["base"].rstrip("/") + path.format(cluster_id=span.cluster_id, tenant_id=span.tenant_id), json.loads(o.get("params", "{}")) | {"startTime": shown(span.begin), "endTime": shown(span.end)},
+            json.loads(o.get("header", "{}")), float(o.get("timeout", "30")),
+        )
+        last = span.end is None or span.end == self.end
+        for item in contents(data) if many else [data]:
+            at = item.get(o.get("time_field", "requestTime"))
+            at = dt.datetime.fromisoformat(at) if isinstance(at, str) else None
+            if at is not None and at.tzinfo is None:
+                at = at.replace(tzinfo=dt.UTC)
+            # an item on the edge of two parts is of the later
+            if at is not None and not last and span.end is not None and at >= _aware(span.end):
+                continue
+            yield (span.cluster_id, span.tenant_id, at, json.dumps(item, ensure_ascii=False))
+
+
+def _aware(t: dt.datetime) -> dt.datetime:
+    return t if t.tzinfo is not None else t.astimezone()
+
+
+def windowed(spark: SparkSession, base: str, name: str, tenants: list[tuple[int, int]], windows: int = 1, time_field: str = "requestTime", header: dict | None = None) -> DataFrame:
+    """A call of the control plane for several tenants: filters on cluster_id, tenant_id and at decide what is asked of the server."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(Windowed)
+    reader = spark.read.format("tidewell_window").option("base", base).option("call", name).option("tenants", json.dumps([list(t) for t in tenants]))
+    return reader.option("windows", str(windows)).option("time_field", time_field).option("header", json.dumps(header or {})).load()
+
+
 def call(spark: SparkSession, base: str, name: str, ids: dict | None = None, params: dict | None = None, header: dict | None = None) -> DataFrame:
     """One call of the control plane as a DataFrame of payloads."""
     spark.dataSource.register(ControlPlane)
