@@ -172,11 +172,17 @@ def chunk_key(path: Column, section: Column, seq: Column) -> Column:
 
 
 # ---- queries ----
+def plain_tokens(c: Column) -> Column:
+    """Lower-cased runs of letters and digits, cut where Han, Hiragana or Katakana begin or end."""
+    plain = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), NOT_TOKEN), lambda x: x != "")
+    return F.flatten(F.transform(plain, lambda x: F.regexp_extract_all(x, F.lit(f"[{UNSPACED}]+|[^{UNSPACED}]+"), F.lit(0))))
+
+
 def tokens(c: Column) -> Column:
     """Lower-cased runs of letters and digits; runs of Han, Hiragana and Katakana as overlapping pairs of characters (one alone as itself)."""
     text = F.lower(F.coalesce(c, F.lit("")))
     plain = F.filter(F.split(text, NOT_TOKEN), lambda x: x != "")
-    runs = F.flatten(F.transform(plain, lambda x: F.regexp_extract_all(x, F.lit(f"[{UNSPACED}]+|[^{UNSPACED}]+"), F.lit(0))))
+    runs = plain_tokens(c)
     pairs = lambda x: F.when(
         x.rlike(f"^[{UNSPACED}]") & (F.length(x) > 1), F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(2)))
     ).otherwise(F.array(x))

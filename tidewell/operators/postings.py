@@ -16,6 +16,7 @@ segment has replaced are left out where they are read."""
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -42,6 +43,7 @@ SEEDS, SEED_CHUNKS = 3, 2
 SLACK = 2e-6
 #: Columns of a chunk that are kept with its postings, for filters.
 CARRIED = ("kind", "mode", "version")
+Tokens = Callable[[Column], Column]
 HEAD = "term string, window bigint, n int, most_tf int, least_length int"
 SCHEMA = f"{HEAD}, pks array<bigint>, tfs array<int>, lengths array<int>, kinds array<string>, modes array<string>, versions array<string>, bucket int"
 
@@ -73,15 +75,15 @@ class Written:
     buckets: int
 
 
-def counted(chunks: DataFrame, text: str = "text") -> DataFrame:
+def counted(chunks: DataFrame, text: str = "text", tokens: Tokens = T.tokens) -> DataFrame:
     """pk, length, terms (term, tf) and what is carried: one row per chunk, counted within the row."""
     carried = [F.col(c) if c in chunks.columns else F.lit(None).cast("string").alias(c) for c in CARRIED]
-    return chunks.select("pk", *carried, T.tokens(F.col(text)).alias("t")).select("pk", *CARRIED, F.size("t").alias("length"), T.counts(F.col("t")).alias("terms"))
+    return chunks.select("pk", *carried, tokens(F.col(text)).alias("t")).select("pk", *CARRIED, F.size("t").alias("length"), T.counts(F.col("t")).alias("terms"))
 
 
-def write(chunks: DataFrame, path: str, text: str = "text", buckets: int | None = None, terms: DataFrame | None = None, lost: DataFrame | None = None) -> Written:
+def write(chunks: DataFrame, path: str, text: str = "text", buckets: int | None = None, terms: DataFrame | None = None, lost: DataFrame | None = None, tokens: Tokens = T.tokens) -> Written:
     """Write the blocks of ``chunks`` and the counts of their terms; the counts are less ``lost`` (term, df), or ``terms`` (term, df) instead."""
-    rows = written(counted(chunks, text), "counted")
+    rows = written(counted(chunks, text, tokens), "counted")
     one = rows.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("postings")).first()
     buckets = buckets or min(BUCKETS, max(1, -(-one.postings // BUCKET_POSTINGS)))
     files = max(1, -(-one.postings // FILE_POSTINGS))
@@ -107,9 +109,9 @@ def write(chunks: DataFrame, path: str, text: str = "text", buckets: int | None
     return Written(one.chunks, one.length, one.postings, -(-one.chunks >> WINDOW_BITS) + parts, buckets)
 
 
-def build(chunks: DataFrame, path: str, text: str = "text", buckets: int | None = None) -> None:
-    """An index of one segment under ``path``."""
-    w = write(chunks, path, text, buckets)
+def build(chunks: DataFrame, path: str, text: str = "text", buckets: int | None = None, tokens: Tokens = T.tokens) -> None:
+    """An index of one segment under ``path``; it is to be opened with the same ``tokens``."""
+    w = write(chunks, path, text, buckets, tokens=tokens)
     chunks.sparkSession.createDataFrame([(w.chunks, w.length, w.postings, w.windows, w.buckets)], "chunks bigint, length bigint, postings bigint, windows bigint, buckets int").coalesce(1).write.parquet(f"{path}/stats")
 
 
@@ -132,7 +134,8 @@ class Reads:
 class Stored:
     """An index opened once: what was current then stays what is searched.  ``dead``: pk, seq of postings replaced by a segment of that number."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, segments: list[Segment] | None = None, stats: R.Bm25Stats | None = None, dead: DataFrame | None = None, dead_rows: int = 0):
+    def __init__(self, spark: SparkSession, path: str | None = None, segments: list[Segment] | None = None, stats: R.Bm25Stats | None = None, dead: DataFrame | None = None, dead_rows: int = 0, tokens: Tokens = T.tokens):
+        self.tokens = tokens
         self.spark, self.dead, self.dead_rows = spark, dead, dead_rows
         if segments is None:
             row = spark.read.parquet(f"{path}/stats").first()
@@ -212,7 +215,7 @@ class Stored:
     # ---- searches ----
     def scores(self, queries: DataFrame, expand: bool = False, keep: Column | None = None) -> DataFrame:
         """query_id, pk, score of every chunk with a term of the query: the full sum."""
-        wanted = R.query_terms(queries, expand)
+        wanted = R.query_terms(queries, expand, self.tokens)
         held = wanted.limit(PUSHED + 1).collect()
         if len(held) > PUSHED:
             rows = wanted.count()
@@ -225,7 +228,7 @@ class Stored:
         """query_id, pk, score, rank: the best ``pool`` of each query, as ``retrieval.sparse_route`` gives them over the same chunks."""
         if pool is None:
             return R.ranked(self.scores(queries, expand, keep), None)
-        wanted = R.query_terms(queries, expand)
+        wanted = R.query_terms(queries, expand, self.tokens)
         held = wanted.limit(PUSHED + 1).collect()
         terms = sorted({r.term for r in held})
         if len(held) > PUSHED or len(terms) * sum(s.windows for s in self.segments) > HEADS:
