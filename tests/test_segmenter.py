@@ -46,7 +46,7 @@ def test_search_by_words_and_by_pairs(spark, tmp_path):
     """A question whose pairs of characters stand across words of another page: pairs find that page too, words do not."""
     r = random.Random(3)
     pages = [(k, "".join(r.choice(WORDS) for _ in range(40))) for k in range(60)]
-    special = [(100, "库备" * 3 + "份恢" * 3 + "复执" * 3), (101, "数据库备份恢复执行计划")]
+    special = [(100, "库备、份恢、复执、" * 3), (101, "数据库备份恢复执行计划")]
     chunks = spark.createDataFrame(pages + special, "pk bigint, text string")
     one = S.Segmenter.counted(chunks.where("pk < 100"))
     q = spark.createDataFrame([(0, "数据库备份恢复执行计划")], "query_id bigint, query string")
