@@ -19,6 +19,7 @@ from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -123,6 +124,11 @@ class Segment:
     buckets: int
 
 
+class Asked(NamedTuple):
+    query_id: object
+    term: str
+
+
 @dataclass
 class Reads:
     """Postings of the terms asked for, and those that were read."""
@@ -212,11 +218,17 @@ class Stored:
             met = met.join(wanted, ["query_id", "seq", "window"], "left_semi")
         return met.groupBy("query_id", "pk").agg(F.round(F.sum(R.impact(self.stats)), R.DIGITS).alias("score"))
 
+    def _asked(self, queries: DataFrame, expand: bool) -> list[Asked]:
+        """The query terms of a few queries, more than ``PUSHED`` of them if there are more; of a local table Spark answers this without a job."""
+        own = queries.withColumn("query", R.expanded(F.col("query"))) if expand else queries
+        rows = own.select("query_id", F.array_distinct(self.tokens(F.col("query"))).alias("terms")).limit(PUSHED + 1).collect()
+        return [Asked(r.query_id, t) for r in rows for t in r.terms] if len(rows) <= PUSHED else [Asked(None, "")] * (PUSHED + 1)
+
     # ---- searches ----
     def scores(self, queries: DataFrame, expand: bool = False, keep: Column | None = None) -> DataFrame:
         """query_id, pk, score of every chunk with a term of the query: the full sum."""
         wanted = R.query_terms(queries, expand, self.tokens)
-        held = wanted.limit(PUSHED + 1).collect()
+        held = self._asked(queries, expand)
         if len(held) > PUSHED:
             rows = wanted.count()
             terms = wanted.select("term").distinct()
@@ -229,7 +241,7 @@ class Stored:
         if pool is None:
             return R.ranked(self.scores(queries, expand, keep), None)
         wanted = R.query_terms(queries, expand, self.tokens)
-        held = wanted.limit(PUSHED + 1).collect()
+        held = self._asked(queries, expand)
         terms = sorted({r.term for r in held})
         if len(held) > PUSHED or len(terms) * sum(s.windows for s in self.segments) > HEADS:
             return self._joined(wanted, pool, keep)
