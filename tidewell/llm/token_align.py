@@ -24,6 +24,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,16 +57,30 @@ def byte_level() -> dict[str, int]:
 
 
 class Vocabulary:
-    """Sizes in bytes and decimal digits of a tokenizer's ids."""
+    """Bytes and decimal digits of a tokenizer's ids."""
 
     def __init__(self, tokens: list[bytes]):
         self.tokens = tokens
         self.size = np.array([len(t) for t in tokens], np.int64)
+        self.flat, self.at = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(self.size) - self.size
         width = len(str(len(tokens)))
         self.digits = np.frombuffer("".join(str(i).ljust(width) for i in range(len(tokens))).encode(), np.uint8).reshape(-1, width)
         self.places = np.array([len(str(i)) for i in range(len(tokens))], np.int64)
 
 
+    def spells(self, ids: np.ndarray, many: np.ndarray, text: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether each run of ``many`` ids gives its ``size`` bytes of ``text``, both laid end to end."""
+        of = np.repeat(np.arange(len(many)), many)
+        right = np.bincount(of, self.size[ids], len(many)).astype(np.int64) == size
+        if not right.all():
+            keep = np.repeat(right, size)
+            text, ids, of = text[keep], ids[right[of]], of[right[of]]
+        got = self.flat[ranges(self.at[ids], self.size[ids])] if len(ids) else np.zeros(0, np.uint8)
+        wrong = np.flatnonzero(got != text)
+        right[np.repeat(of, self.size[ids])[wrong]] = False
+        return right
+
+
 class Aligner:
     def __init__(self, a_file: bytes, b_file: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -106,15 +121,21 @@ class Aligner:
 
     def learn(self, parts: list[str]) -> None:
         """Tokens of parts that are not in the table."""
-        coded = self.a.encode_batch([" " + p for p in parts], add_special_tokens=False), self.b.encode(parts, num_threads=1)
-        for p, of_a, b in zip(parts, *coded, strict=True):
-            a, want = of_a.ids, b" " + p.encode()
-            self.ids[p] = len(self.sound)
-            self.sound.append(b"".join(map(self.of_a.tokens.__getitem__, a)) == want == b"".join(map(self.of_b.tokens.__getitem__, b)))
-            self.edged.append(not p or p[0].isspace() or p[-1].isspace())
-            for pool, start, got in zip(self.pool, self.start, (a, b), strict=True):
-                pool.extend(got)
-                start.append(len(pool))
+        spaced = [" " + p for p in parts]
+        coded = [e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)], self.b.encode(parts, num_threads=1)
+        raw = [p.encode() for p in spaced]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        text, sound = np.frombuffer(b"".join(raw), np.uint8), np.ones(len(parts), bool)
+        for pool, start, vocabulary, lists in zip(self.pool, self.start, (self.of_a, self.of_b), coded, strict=True):
+            many = np.fromiter(map(len, lists), np.int64, len(lists))
+            ids = np.fromiter(chain.from_iterable(lists), np.int32, int(many.sum()))
+            sound &= vocabulary.spells(ids, many, text, size)
+            start.frombytes((start[-1] + np.cumsum(many)).tobytes())
+            pool.frombytes(ids.tobytes())
+        self.ids.update(zip(parts, range(len(self.sound), len(self.sound) + len(parts)), strict=True))
+        self.sound.frombytes(sound.astype(np.int8).tobytes())
+        # strip() gives the text itself where no white space is at its ends
+        self.edged.extend([not p or p.strip() is not p for p in parts])
 
     def looked_up(self, parts: list[str]) -> np.ndarray:
         get = self.ids.get
