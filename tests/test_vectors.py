@@ -87,7 +87,7 @@ def test_a_dense_index_finds_what_is_near(spark, tmp_path):
     index = V.Dense(spark, str(tmp_path / "d"))
     found = index.search(queries).cache()
     row = V.recall(found, exact).first()
-    assert row.queries == 60 and row.recall >= 0.9
+    assert row.queries == 60 and row.recall >= 0.9 and index.take < 27
     # a hit has its exact score; with all cells the lists are exact; every row is in one cell
     assert found.join(exact, ["query_id", "pk", "score"]).count() == round(row.recall * 3000)
     assert sorted(index.search(queries, probed=1.0).collect()) == sorted(exact.collect())
@@ -96,6 +96,16 @@ def test_a_dense_index_finds_what_is_near(spark, tmp_path):
     assert "PartitionFilters: [cell" in plan
 
 
+def test_vectors_without_clusters_read_more_cells(spark, tmp_path):
+    """The index tells by itself how many cells nine of ten hits need."""
+    r = np.random.default_rng(2)
+    vectors = spark.createDataFrame([(i, r.normal(size=12).tolist()) for i in range(2000)], "pk bigint, vector array<float>").cache()
+    queries = vectors.where("pk % 50 = 0").selectExpr("pk as query_id", "vector")
+    V.build(vectors, str(tmp_path / "d"))
+    index = V.Dense(spark, str(tmp_path / "d"))
+    assert index.take > 11 and V.recall(index.search(queries), R.dense_route(vectors, queries)).first().recall >= 0.9
+
+
 def test_large_query_sets_are_asked_in_blocks(spark, monkeypatch):
     vectors = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)], "pk bigint, vector array<float>")
     q = vectors.selectExpr("pk as query_id", "vector")

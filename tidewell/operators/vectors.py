@@ -5,7 +5,8 @@ there, and what it gave is appended as one named batch, so a second build, or a
 retries) travels with its rows and is summed from the table that was committed, so tasks that ran twice count once.
 
 Dense index: a coarse quantiser (k-means by cosine, fitted on at most ``SAMPLE_PER_CELL`` vectors for each cell, those of least hash) covers
-every row; vectors lie in one folder per cell, and a search reads the folders of the cells nearest to its queries.  Below ``LEAST_PER_CELL`` rows
+every row; vectors lie in one folder per cell, and a search reads the folders of the cells nearest to its queries: as many as hold ``TARGET`` of the
+exact hits of ``CALIBRATED`` of the vectors, asked when the index is built.  Below ``LEAST_PER_CELL`` rows
 for each cell the index keeps one cell and is exact."""
 
 from __future__ import annotations
@@ -79,8 +80,8 @@ class Cached:
 
 # ---- dense index ----
 SAMPLE_PER_CELL, LEAST_PER_CELL, MOST_CELLS = 256, 39, 4096
-#: The share of cells that a search reads.
-PROBED = 0.25
+#: Vectors that are asked of a new index, and the share of their exact hits that the cells read by a search must hold.
+CALIBRATED, TARGET = 64, 0.95
 CELLS = "cell int, centre array<double>"
 
 
@@ -99,6 +100,7 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, seed: int = 1
     if cells == 1:
         rows.withColumn("cell", F.lit(0)).write.partitionBy("cell").parquet(f"{path}/vectors")
         spark.createDataFrame([(0, [0.0])], CELLS).coalesce(1).write.parquet(f"{path}/cells")
+        spark.createDataFrame([(1,)], "take int").coalesce(1).write.parquet(f"{path}/probes")
         return 1
     plain = rows.withColumn("features", array_to_vector(F.transform("vector", lambda x: x.cast("double"))))
     sample = written(rows.orderBy(F.xxhash64("pk"), "pk").limit(SAMPLE_PER_CELL * cells), "sample").withColumn("features", array_to_vector(F.transform("vector", lambda x: x.cast("double"))))
@@ -106,19 +108,35 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, seed: int = 1
     model.transform(plain).select("pk", "vector", "cell").repartition("cell", F.pmod(F.xxhash64("pk"), F.lit(max(1, n // (cells * 1_000_000))))).write.partitionBy("cell").parquet(f"{path}/vectors")
     centres = [(k, [float(x) for x in c]) for k, c in enumerate(model.clusterCenters())]
     spark.createDataFrame(centres, CELLS).coalesce(1).write.parquet(f"{path}/cells")
+    asked = written(sample.orderBy(F.xxhash64("pk"), "pk").limit(CALIBRATED).selectExpr("pk as query_id", "vector"), "asked")
+    take = _enough(rows, asked, spark.read.schema("pk bigint, cell int").parquet(f"{path}/vectors"), dict(centres))
+    spark.createDataFrame([(take,)], "take int").coalesce(1).write.parquet(f"{path}/probes")
     return len(centres)
 
 
+def _enough(rows: DataFrame, asked: DataFrame, placed: DataFrame, centres: dict[int, list[float]]) -> int:
+    """Of how many nearest cells the exact hits of ``asked`` are found in, but for the share that may be missed."""
+    exact = R.dense_route(rows, asked).select("query_id", "pk")
+    hits = placed.join(F.broadcast(exact), "pk").select("query_id", "cell").collect()  # of few vectors
+    names, points = list(centres), np.array(list(centres.values()))
+    points = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
+    order = {r.query_id: np.argsort(-(points @ np.array(r.vector)), kind="stable") for r in asked.collect()}
+    rank = {q: {names[c]: k for k, c in enumerate(o)} for q, o in order.items()}
+    needed = np.sort([rank[h.query_id][h.cell] for h in hits])
+    return int(needed[max(0, int(np.ceil(TARGET * len(needed))) - 1)]) + 1 if len(needed) else len(names)
+
+
 class Dense:
     """A dense index opened once; its centres, at most ``MOST_CELLS``, are held."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self.cells = {r.cell: np.array(r.centre) for r in spark.read.schema(CELLS).parquet(f"{path}/cells").collect()}
+        self.take = spark.read.schema("take int").parquet(f"{path}/probes").first().take
 
-    def probes(self, queries: DataFrame, probed: float = PROBED) -> DataFrame:
-        """query_id, vector, cell: each query with its nearest cells, at least one."""
-        take = max(1, round(probed * len(self.cells)))
+    def probes(self, queries: DataFrame, probed: float | None = None) -> DataFrame:
+        """query_id, vector, cell: each query with its nearest cells, as many as the index was built to read, or a share of all."""
+        take = self.take if probed is None else max(1, round(probed * len(self.cells)))
         if take >= len(self.cells):
             return queries.select("query_id", "vector", F.explode(F.array(*[F.lit(c) for c in self.cells])).alias("cell"))
         centres = F.broadcast(self.spark.createDataFrame([(k, c.tolist()) for k, c in self.cells.items()], CELLS))
@@ -126,7 +144,7 @@ class Dense:
         w = Window.partitionBy("query_id").orderBy(F.desc("_s"), "cell")
         return near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= take).select("query_id", "vector", "cell")
 
-    def search(self, queries: DataFrame, pool: int = R.POOL, probed: float = PROBED) -> DataFrame:
+    def search(self, queries: DataFrame, pool: int = R.POOL, probed: float | None = None) -> DataFrame:
         """``queries``: query_id, vector.  query_id, pk, score, rank, as ``retrieval.dense_route`` gives them over the cells that are read."""
         asked = written(self.probes(queries, probed), "probes")
         wanted = [r.cell for r in asked.select("cell").distinct().collect()]  # of the cells there are
