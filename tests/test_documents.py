@@ -118,3 +118,17 @@ def test_rewrite_keeps_vector(spark):
     old = spark.createDataFrame([(1, "a" * 16 + "c" * 16, [1.0])], "pk bigint, content_hash string, vector array<float>")
     r = I.with_vectors(I.classified(new, old), old).first()
     assert (r.status, r.vector, r.embed) == ("rewrite", [1.0], False)
+
+
+def test_fingerprint_of_many_files(spark):
+    """The sum of 48-bit hashes outgrows 64 bits at some 65,000 files."""
+    import hashlib
+
+    from tidewell.operators import index
+
+    n = 100_000
+    files = spark.range(n).selectExpr("cast(id as string) as path", "concat('t', id) as text")
+    total = sum(int(hashlib.sha256(f"{i}#t{i}".encode()).hexdigest()[:12], 16) for i in range(n))
+    row = index.fingerprint(files).first()
+    assert total > 2**63 and row.fingerprint == f"{n}:{row.bytes}:{total}"
+    assert index.fingerprint(files.where("false")).first().fingerprint == "0:0:0"
