@@ -7,7 +7,9 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tidewell.functions import numbers as N
 from tidewell.operators import index as I
 from tidewell.operators import retrieval as R
 from tidewell.operators import vectors as V
@@ -120,3 +122,18 @@ def test_few_rows_are_one_cell(spark, tmp_path):
     q = vectors.limit(3).selectExpr("pk as query_id", "vector")
     assert sorted(V.Dense(spark, str(tmp_path / "d")).search(q, 5).collect()) == sorted(R.dense_route(vectors, q, 5).collect())
     assert V.build(vectors.where("false"), str(tmp_path / "e")) == 1 and V.Dense(spark, str(tmp_path / "e")).search(q, 5).count() == 0
+
+
+def test_a_task_gives_on_the_best_alone(spark):
+    """However many vectors a task reads, and of however many equal ones, it gives on as many rows as are wanted of each query."""
+    rng = np.random.default_rng(3)
+    some = rng.normal(size=(300, 8)).astype(np.float32)
+    rows = [(k, [float(x) for x in some[0 if k % 3 == 0 else k % 300]]) for k in range(3000)] + [(9000, None), (9001, [0.0] * 8), (9002, [1.0] * 7)]
+    vectors = spark.createDataFrame(rows, "pk bigint, vector array<float>").coalesce(1)
+    asked = vectors.where("pk < 40 or pk > 8999").selectExpr("pk as query_id", "vector")
+    given = R._cosines(vectors, asked, 5)
+    assert given.count() == 40 * 5 + 1
+    cosine = F.round(N.cosine(F.col("vector"), F.col("_q")), 6)
+    pairs = vectors.where("vector is not null").crossJoin(asked.where("vector is not null").withColumnRenamed("vector", "_q"))
+    every = R.ranked(pairs.select("query_id", "pk", cosine.alias("score")).where("score is not null"), 5)
+    assert sorted(R.dense_route(vectors, asked, 5).collect()) == sorted(every.collect())
