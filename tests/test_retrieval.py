@@ -119,3 +119,20 @@ def test_stored_postings(spark, tmp_path, monkeypatch):
     assert "EqualTo(term,w1)" in plan or "In(term" in plan
     monkeypatch.setattr(postings, "PUSHED", 1)
     assert sorted(postings.search(spark, str(tmp_path / "p"), queries).collect()) == want
+
+
+@pytest.mark.parametrize("kept", [False, True])
+def test_many_terms_meet_chunks_where_they_are_counted(spark, monkeypatch, kept):
+    """The lists are those of the full sum, equal texts and empty ones among the chunks; a task gives on only what can be in them."""
+    rows = [(k, " ".join(f"w{(k * j) % (7 + j)}" for j in range(1 + k % 23)) if k % 10 else "w1 w2 w2") for k in range(600)] + [(600, ""), (601, None)]
+    chunks = spark.createDataFrame(rows, "pk bigint, text string").coalesce(2)
+    queries = spark.createDataFrame([(str(q), " ".join(f"w{(q * j) % 31}" for j in range(9)) + " nowhere") for q in range(40)] + [("none", ""), ("null", None)], "query_id string, query string")
+    may = F.col("pk") % 3 != 1 if kept else None
+    want = sorted(R.ranked(R.sparse_scores(chunks, queries, kept=may), 4).collect())
+    monkeypatch.setattr(R, "SPELT", 0)
+    seen, best = [], R._best
+    monkeypatch.setattr(R, "_best", lambda *a: (seen.append(best(*a)), seen[-1])[1])
+    assert sorted(R.sparse_route(chunks, queries, 4, kept=may).collect()) == want
+    assert seen[0].count() <= 2 * 40 * 4
+    monkeypatch.setattr("tidewell.operators.best.CELLS", 50)
+    assert sorted(R.sparse_route(chunks, queries, 4, kept=may).collect()) == want
