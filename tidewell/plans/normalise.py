@@ -20,6 +20,10 @@ VIEW = f"uid string, sql_id string, roots array<string>, nodes array<struct<{NOD
 
 def number(value) -> int | None:
     """Lenient: numbers and numeric strings, cut towards zero."""
+    if type(value) is int:
+        return value
+    if type(value) is str and len(value) <= 15 and value.isascii() and value.isdigit():
+        return int(value)
     if isinstance(value, bool) or value is None:
         return None
     try:
@@ -30,7 +34,10 @@ def number(value) -> int | None:
 
 
 def field(item: dict, *names: str):
-    return next((item[n] for n in names if item.get(n) is not None), None)
+    for n in names:
+        if (v := item.get(n)) is not None:
+            return v
+    return None
 
 
 def cut(value, limit: int = TEXT) -> str:
@@ -40,8 +47,12 @@ def cut(value, limit: int = TEXT) -> str:
 
 def shown(item: dict, *names: str, limit: int = TEXT) -> str:
     """First field with content; the word NULL is none."""
-    texts = (str(item[n]) for n in names if item.get(n) is not None)
-    return next((cut(t, limit).strip() for t in texts if t.strip() and t.strip().upper() != "NULL"), "")
+    for n in names:
+        if (v := item.get(n)) is not None:
+            t = v if type(v) is str else str(v)
+            if (s := t.strip()) and s.upper() != "NULL":
+                return s if len(t) <= limit else cut(t, limit).strip()
+    return ""
 
 
 class Graph:
@@ -111,8 +122,8 @@ def summary(raw, nodes: list[dict]) -> list[dict]:
     return out
 
 
-def view(payload, whole_property: bool = False) -> dict | None:
-    """The view of one payload; None if it has no plan.  ``whole_property`` leaves properties uncut, for comparing."""
+def _read(payload, whole_property: bool) -> tuple[Graph, list[str], list[tuple[str, int]], list[dict]] | None:
+    """The graph of a payload, its roots, all keys in preorder with depth, and the nodes of a view."""
     if not isinstance(payload, dict):
         return None
     declared = field(payload, "rootOperations", "root_operations")
@@ -136,6 +147,20 @@ def view(payload, whole_property: bool = False) -> dict | None:
                 "cost": number(field(n, "cost", "Cost")), "property": shown(n, "property", "Property", limit=limit),
             }
         )
+    return g, roots, order, nodes
+
+
+def plan_nodes(payload) -> list[dict]:
+    """The nodes of a payload's view with whole properties; none if it has no plan."""
+    read = _read(payload, True)
+    return read[3] if read else []
+
+
+def view(payload, whole_property: bool = False) -> dict | None:
+    """The view of one payload; None if it has no plan.  ``whole_property`` leaves properties uncut, for comparing."""
+    if (read := _read(payload, whole_property)) is None:
+        return None
+    g, roots, order, nodes = read
     return {
         "uid": cut(payload.get("uid")), "sql_id": cut(field(payload, "sqlId", "sql_id")), "roots": roots, "nodes": nodes,
         "summary": summary(field(payload, "planOperationSummery", "plan_operation_summery"), list(g.nodes.values())), "node_count": len(order), "truncated": len(order) > NODES,
