@@ -170,3 +170,15 @@ def test_a_build_goes_on_from_the_live_version(spark, tmp_path):
     build(texts, None, model="")
     assert store.manifest().how == "full" and store.meta()["embedding_model"] == ""
     assert len(store.versions()) <= I.VERSIONS
+
+
+def test_many_questions_meet_windows_where_their_postings_are(spark, tmp_path, monkeypatch):
+    """Blocks made a few rows at a time, and searched for many questions at once, give the lists of the full sum; no pairs of a question and a row are shuffled."""
+    chunks = spark.createDataFrame([(k, " ".join(f"w{(k * j) % (5 + j)}" for j in range(k % 19))) for k in range(500)], "pk bigint, text string")
+    queries = spark.createDataFrame([(q, f"w{q} w{q * 3 % 11} w1") for q in range(12)], "query_id bigint, query string")
+    monkeypatch.setattr(postings, "ROWS_CUT", 70)
+    monkeypatch.setattr(postings, "HEADS", 0)
+    postings.build(chunks, str(tmp_path / "p"), buckets=2)
+    out = postings.search(spark, str(tmp_path / "p"), queries, 4)
+    assert sorted(out.collect()) == sorted(R.ranked(R.sparse_scores(chunks, queries), 4).collect())
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
