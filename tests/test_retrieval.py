@@ -136,3 +136,17 @@ def test_many_terms_meet_chunks_where_they_are_counted(spark, monkeypatch, kept)
     assert seen[0].count() <= 2 * 40 * 4
     monkeypatch.setattr("tidewell.operators.best.CELLS", 50)
     assert sorted(R.sparse_route(chunks, queries, 4, kept=may).collect()) == want
+
+
+@pytest.mark.parametrize("bound", ["QUERY_TERMS", "WANTED"])
+def test_large_query_sets_meet_chunks_in_blocks(spark, monkeypatch, bound):
+    """No pair of a query and a chunk is shuffled for a query set of any size, few as its distinct terms may be: the lists are those of the full sum, and a task holds a block's hits alone."""
+    chunks = spark.createDataFrame([(k, " ".join(f"w{(k * j) % (7 + j)}" for j in range(1 + k % 23))) for k in range(300)], "pk bigint, text string").coalesce(2)
+    queries = spark.createDataFrame([(str(q), " ".join(f"w{(q * j) % 31}" for j in range(9))) for q in range(40)] + [("none", "")], "query_id string, query string")
+    want = sorted(R.ranked(R.sparse_scores(chunks, queries), 4).collect())
+    monkeypatch.setattr(R, bound, 100)
+    monkeypatch.setattr(R, "sparse_scores", lambda *a: pytest.fail("all pairs are shuffled"))
+    asked, best = [], R._best
+    monkeypatch.setattr(R, "_best", lambda rows, questions, *a: (asked.append(questions), best(rows, questions, *a))[1])
+    assert sorted(R.sparse_route(chunks, queries, 4).collect()) == want
+    assert len(asked) > 2 and sum(len(q.ids) for q in asked) == 40 and all(len(q.ids) * 4 <= 100 for q in asked)
