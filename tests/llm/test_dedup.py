@@ -332,6 +332,26 @@ def test_substrings_with_shared_passages(spark):
     assert sum(n > 0 for _, _, n, _ in want) > 30
 
 
+def test_substrings_meet_others_once_a_document(spark):
+    """Texts that repeat a word or a sentence: as many rows as other texts of their kind, however often they repeat it."""
+    from pyspark.sql import functions as F
+
+    made = []
+    for times in (4, 24):
+        said = prose(5, 31).split()
+        texts = [["same"] * 60 * times, ["same"] * 50 * times + ["end"], said * 2 * times, [*prose(6, 20).split(), *said * times], ["a", "b"] * 40 * times, ["b", "a"] * 30 * times]
+        docs = spark.createDataFrame([(i, " ".join(t), "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)
+        assert sum(n > 0 for _, _, n, _ in check_substrings(docs)) == 3
+        named = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+        anchors = {r.doc_id: r.hash for r in substring_dedup.first_pass(named).collect()}
+        assert all(len(h) == len(set(h)) for h in anchors.values())
+        alive = named.withColumn("starts", F.sequence(F.lit(0), F.size(F.split("text", " ")) - 50))
+        runs = [(r.doc_id, r.anchor, r.whole) for r in substring_dedup._runs(alive).collect()]
+        assert len(runs) == len(set(runs))
+        made.append((sum(map(len, anchors.values())), len(runs)))
+    assert made[0] == made[1]
+
+
 def test_substrings_sql(spark, same_as_sql):
     same_as_sql(substring_dedup.op3(table(spark, DATA, "documents")), substring_dedup.SQL)
 

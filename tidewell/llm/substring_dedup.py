@@ -11,6 +11,9 @@ levels are 13, 25 and 50 words (50 halved, rounded up).
   settled together by their least doc_id.  Where one anchor has different runs, one run of each kind is opened into
   its 50-word windows, which are settled each by its own least doc_id.
 
+At each level a document has one row for a value, with all places where it stands: a text that repeats a word or a
+sentence names an anchor or a run at nearly every word, but meets others once for each.
+
 The hashes of the levels 13 and 25 only choose what is looked at: values that fall together by chance or design add
 candidates and take none away.  What is removed is settled by XXH3 digests of the words themselves, of 64 bits, among windows
 of one anchor.
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD_BASE, Spans, joined, slabs, stored, word_bounds, word_hashes
+from ._common import WORD_BASE, Spans, joined, ranges, slabs, stored, word_bounds, word_hashes
 
 WINDOW = 50
 HALF, START = 25, 13
@@ -61,12 +64,11 @@ class Slab:
         offset = np.concatenate([view[i[k : k + 32768]].argmin(axis=1) for k in range(0, len(i), 32768)])
         return i, i + offset
 
-    def extended(self, p: np.ndarray, side: int) -> pa.Array:
-        """Hashes of the 25 words from each anchor's start (side 0) or up to its end (side 1); null where the document has none."""
+    def extended(self, p: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+        """Anchors that have 25 words from their start (side 0) or up to their end (side 1), and the hashes of these words."""
         a = p if side == 0 else p + START - HALF
         ok = (a >= self.first[:-1][self.doc[p]]) & (a + HALF <= self.stop[p])
-        a = np.where(ok, a, 0)
-        return pa.array(self.hash(a, np.minimum(a + HALF, len(self.begin))).view(np.int64), mask=~ok)
+        return p[ok], self.hash(a[ok], a[ok] + HALF)
 
     def digests(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """XXH3 of the words [a, b) themselves."""
@@ -80,27 +82,46 @@ def _lists(values: pa.Array, count: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
+def _groups(*keys: np.ndarray) -> np.ndarray:
+    """Where a new group begins in rows sorted by ``keys``."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
+
+
+def _sizes(begin: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.concatenate((begin, [n])))
+
+
 def first_pass(docs: DataFrame) -> DataFrame:
-    """doc_id, th, n_words, sha of all words, and the anchors: starts, hashes and both extensions' hashes."""
+    """doc_id, th, n_words, sha of all words, and the distinct anchors: hashes, and of each the distinct extensions to each side with their anchors' starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in slabs(batch.column(2)):
                 s = Slab(texts)
-                i, p = s.anchors()
+                _, p = s.anchors()
                 p = np.unique(p)
-                count = np.bincount(s.doc[p], minlength=len(texts)) if len(p) else np.zeros(len(texts), int)
+                (right, to_right), (left, to_left) = s.extended(p, 0), s.extended(p, 1)
+                own, longer, side = np.concatenate((right, left)), np.concatenate((to_right, to_left)), np.repeat([0, 1], [len(right), len(left)])
+                doc, short = s.doc[own], s.hash(own, own + START)
+                order = np.lexsort((own, longer, side, short, doc))
+                own, longer, side, doc, short = (x[order] for x in (own, longer, side, doc, short))
+                g = _groups(doc, short, side, longer)
+                starts = _lists(pa.array(own - s.first[:-1][doc], pa.int32()), _sizes(g, len(own)))
+                sides = pa.StructArray.from_arrays([pa.array(side[g], pa.int32()), pa.array(longer[g].view(np.int64)), starts], ["side", "hash", "starts"])
+                k = _groups(doc[g], short[g])
+                sides, count = _lists(sides, _sizes(k, len(g))), np.bincount(doc[g[k]], minlength=len(texts))
                 sha = [hashlib.sha256(t).hexdigest() for t in s.texts]
-                starts = pa.array(p - s.first[:-1][s.doc[p]], pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array(np.diff(s.first), pa.int64()), pa.array(sha),
-                        *(_lists(x, count) for x in (starts, pa.array(s.hash(p, p + START).view(np.int64)), s.extended(p, 0), s.extended(p, 1))),
+                        _lists(pa.array(short[g[k]].view(np.int64)), count), _lists(sides, count),
                     ],
-                    ["doc_id", "th", "n_words", "sha", "start", "hash", "right", "left"],
+                    ["doc_id", "th", "n_words", "sha", "hash", "sides"],
                 )
 
-    return docs.mapInArrow(run, "doc_id bigint, th bigint, n_words bigint, sha string, start array<int>, hash array<bigint>, right array<bigint>, left array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, th bigint, n_words bigint, sha string, hash array<bigint>, sides array<array<struct<side:int,hash:bigint,starts:array<int>>>>")
 
 
 def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
@@ -109,7 +130,7 @@ def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def _runs(rows: DataFrame) -> DataFrame:
-    """From doc_id, th, text, starts: runs of 50-word windows with one surviving anchor."""
+    """From doc_id, th, text, starts: the distinct runs of 50-word windows with one surviving anchor, and where each starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,19 +145,23 @@ def _runs(rows: DataFrame) -> DataFrame:
                 if not len(i):
                     continue
                 new = np.flatnonzero(np.concatenate(([True], (np.diff(p) != 0) | (np.diff(i) != 1))))
-                n = np.diff(np.concatenate((new, [len(i)])))
-                a, anchor, d = i[new], p[new], s.doc[i[new]]
-                take = pa.array(d)
+                n = _sizes(new, len(i))
+                a, d = i[new], s.doc[i[new]]
+                anchor, whole = s.hash(p[new], p[new] + START), s.digests(a, a + n - 1 + WINDOW)
+                order = np.lexsort((a, n, whole, anchor, d))
+                new, n, a, d, anchor, whole = (x[order] for x in (new, n, a, d, anchor, whole))
+                g = _groups(d, anchor, whole, n)
+                take, windows = pa.array(d[g]), i[ranges(new[g], n[g])]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(texts)).take(take), batch.column(1).slice(at, len(texts)).take(take),
-                        pa.array(a - s.first[:-1][d], pa.int32()), pa.array(n, pa.int32()), pa.array(s.hash(anchor, anchor + START).view(np.int64)),
-                        pa.array(s.digests(a, a + n - 1 + WINDOW)), _lists(pa.array(s.digests(i, i + WINDOW)), n),
+                        _lists(pa.array(a - s.first[:-1][d], pa.int32()), _sizes(g, len(a))), pa.array(n[g], pa.int32()), pa.array(anchor[g].view(np.int64)),
+                        pa.array(whole[g]), _lists(pa.array(s.digests(windows, windows + WINDOW)), n[g]),
                     ],
-                    ["doc_id", "th", "start", "n", "anchor", "whole", "hashes"],
+                    ["doc_id", "th", "starts", "n", "anchor", "whole", "hashes"],
                 )
 
-    return rows.mapInArrow(run, "doc_id bigint, th bigint, start int, n int, anchor bigint, whole bigint, hashes array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, th bigint, starts array<int>, n int, anchor bigint, whole bigint, hashes array<bigint>")
 
 
 def _cut(rows: DataFrame) -> DataFrame:
@@ -182,15 +207,14 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     base = stored(first_pass(named))
     # 13 words
-    lists = ("start", "hash", "right", "left")
-    anchors = base.where("doc_id is not null").select("doc_id", "th", F.explode(F.arrays_zip(*lists)).alias("x")).select("doc_id", "th", *[F.col(f"x.{c}").alias(c) for c in lists])
-    twice = stored(_repeated(anchors, "hash"))
+    lists = base.where("doc_id is not null")
+    twice = stored(_repeated(lists.select("doc_id", F.explode("hash").alias("hash")), "hash"))
+    anchors = lists.select("doc_id", "th", F.explode(F.arrays_zip("hash", "sides")).alias("x")).select("doc_id", "th", "x.hash", "x.sides")
     alive = stored(anchors.join(twice, "hash", "left_semi").drop("hash"))
     # 25 words
-    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("hash")) for k, c in enumerate(lists[2:])]))
-    longer = alive.select("doc_id", "th", "start", sides.alias("x")).select("doc_id", "th", "start", "x.side", "x.hash").where("hash is not null")
+    longer = alive.select("doc_id", "th", F.explode("sides").alias("x")).select("doc_id", "th", "x.side", "x.hash", "x.starts")
     twice = stored(_repeated(longer, "side", "hash"))
-    alive = stored(longer.join(twice, ["side", "hash"], "left_semi").groupBy("doc_id", "th").agg(F.collect_set("start").alias("starts")))
+    alive = stored(longer.join(twice, ["side", "hash"], "left_semi").groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")))
     # texts are joined by exchanges at any size, so plans and costs are alike at all
     second = stored(named.join(alive.hint("merge"), ["doc_id", "th"]).select("doc_id", "th", "text", "starts").dropDuplicates(["doc_id", "th"]))
     # 50 words
@@ -198,15 +222,16 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # runs of a kind have the same words, so any one's windows are those of all
     kinds = stored(runs.groupBy("anchor", "whole").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("hashes").alias("hashes")))
     runs = runs.drop("hashes")
-    settled = runs.join(kinds.where("least < most").select("anchor", "whole", "least"), ["anchor", "whole"]).where("least < doc_id").select("doc_id", "th", "start", "n")
+    settled = runs.join(kinds.where("least < most").select("anchor", "whole", "least"), ["anchor", "whole"]).where("least < doc_id").select("doc_id", "th", F.transform("starts", lambda s: F.struct(s.alias("start"), "n")).alias("cuts"))
     # written first: a join of two plain exchanges is split where an anchor is hot
     mixed = stored(kinds.groupBy("anchor").agg((F.min("whole") != F.max("whole")).alias("mixed")).where("mixed").select("anchor"))
     opened = kinds.join(mixed, "anchor").select("anchor", "whole", F.col("least").alias("doc_id"), F.posexplode("hashes").alias("o", "hash"))
     windows = stored(opened)
     least = stored(_repeated(windows, "anchor", "hash"))
     single = windows.join(least, ["anchor", "hash"]).where("least < doc_id").groupBy("anchor", "whole", "doc_id").agg(F.collect_set("o").alias("os"))
-    single = runs.join(stored(single), ["anchor", "whole", "doc_id"]).select("doc_id", "th", F.explode(F.transform("os", lambda o: F.col("start") + o)).alias("start"), F.lit(1).alias("n"))
-    cuts = settled.unionByName(single).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
+    each = F.transform("starts", lambda s: F.transform("os", lambda o: F.struct((s + o).alias("start"), F.lit(1).alias("n"))))
+    single = runs.join(stored(single), ["anchor", "whole", "doc_id"]).select("doc_id", "th", F.flatten(each).alias("cuts"))
+    cuts = settled.unionByName(single).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
     lost = stored(_cut(second.drop("starts").join(cuts.hint("merge"), ["doc_id", "th"]).select("doc_id", "th", "text", "cuts")))
     return base.select("doc_id", "th", "n_words", "sha"), lost
 
