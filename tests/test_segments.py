@@ -182,3 +182,18 @@ def test_many_questions_meet_windows_where_their_postings_are(spark, tmp_path, m
     out = postings.search(spark, str(tmp_path / "p"), queries, 4)
     assert sorted(out.collect()) == sorted(R.ranked(R.sparse_scores(chunks, queries), 4).collect())
     assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_index_is_written_in_one_pass(spark, tmp_path, monkeypatch):
+    """Neither counts nor postings are written or shuffled on the way to the index."""
+    copies = []
+    monkeypatch.setattr(postings, "written", lambda df, name, f=postings.written: copies.append(name) or f(df, name))
+    monkeypatch.setattr(postings, "PART_BYTES", 2000)
+    r = random.Random(4)
+    chunks = rows_of(spark, {k: page(r) for k in range(300)}).select("pk", "text")
+    postings.build(chunks, str(tmp_path / "p"), buckets=3)
+    assert copies == []
+    want = sorted(R.ranked(R.sparse_scores(chunks, questions(spark)), 5).collect())
+    for heads in (postings.HEADS, 0):
+        monkeypatch.setattr(postings, "HEADS", heads)
+        assert sorted(postings.search(spark, str(tmp_path / "p"), questions(spark), 5).collect()) == want
