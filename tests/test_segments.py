@@ -197,3 +197,30 @@ def test_an_index_is_written_in_one_pass(spark, tmp_path, monkeypatch):
     for heads in (postings.HEADS, 0):
         monkeypatch.setattr(postings, "HEADS", heads)
         assert sorted(postings.search(spark, str(tmp_path / "p"), questions(spark), 5).collect()) == want
+
+
+def test_rows_of_a_segment_are_written_once(spark, tmp_path, monkeypatch):
+    """Rows and lists are those of a rebuild, and no texts or postings are shuffled for the keys that were replaced, unless these are very many."""
+    copies = []
+    monkeypatch.setattr(segments, "written", lambda df, name, f=segments.written: copies.append(name) or f(df, name))
+    monkeypatch.setattr(R, "QUERY_TERMS", 20)
+    r = random.Random(5)
+    state = {k: page(r) for k in range(300)}
+    store = segments.Store(spark, str(tmp_path / "i"))
+    store.publish(rows_of(spark, state), {})
+    assert copies == []
+    new = {k: page(r) for k in r.sample(range(320), 40)}
+    store.apply(rows_of(spark, new), spark.createDataFrame([(7,)], "pk bigint"))
+    state = {k: t for k, t in state.items() if k != 7} | new
+    monkeypatch.setattr(R, "QUERY_TERMS", 200_000)
+    want = sorted(R.ranked(R.sparse_scores(rows_of(spark, state).select("pk", "text"), questions(spark)), 5).collect())
+    monkeypatch.setattr(R, "QUERY_TERMS", 20)
+    monkeypatch.setattr(segments.F, "broadcast", lambda df, f=F.broadcast: copies.append("sent") or f(df))
+    copies.clear()
+    store.read()
+    assert copies == ["sent"]
+    for heads, dead in ((postings.HEADS, postings.SENT_DEAD), (0, postings.SENT_DEAD), (0, 0)):
+        monkeypatch.setattr(postings, "HEADS", heads)
+        monkeypatch.setattr(postings, "SENT_DEAD", dead)
+        assert sorted(store.postings().search(questions(spark), 5).collect()) == want
+        assert {x.pk: x.text for x in store.read().collect()} == state
