@@ -150,3 +150,14 @@ def test_large_query_sets_meet_chunks_in_blocks(spark, monkeypatch, bound):
     monkeypatch.setattr(R, "_best", lambda rows, questions, *a: (asked.append(questions), best(rows, questions, *a))[1])
     assert sorted(R.sparse_route(chunks, queries, 4).collect()) == want
     assert len(asked) > 2 and sum(len(q.ids) for q in asked) == 40 and all(len(q.ids) * 4 <= 100 for q in asked)
+
+
+def test_fused_first_searches_expanded_questions(spark, sf):
+    """Both routes are searched and fused: a chunk that only other words find is found, and the query names both routes."""
+    from tidewell.catalogue.inputs import QUERIES
+
+    chunks = spark.createDataFrame([(1, "motion"), (2, "tion tion"), (3, "x")], "pk bigint, text string")
+    asked = spark.createDataFrame([(0, "tion")], "query_id bigint, query string")
+    assert {r.pk for r in R.sparse_route(chunks, asked).collect()} == {2}
+    assert {r.pk for r in R.sparse_route(chunks, asked, expand={"tion": ["ACTION", "motion"]}).collect()} == {1, 2}
+    assert {r.source for r in QUERIES["fused_first"](spark, sf).collect()} & {"expanded", "expanded+sparse"}
