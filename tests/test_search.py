@@ -147,3 +147,27 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["eval", at, str(tmp_path / "d.jsonl")]) == 3 and main(["eval", str(tmp_path / "no"), str(tmp_path / "c.jsonl")]) == 3
     (tmp_path / "e.jsonl").write_text('{"id": "a", "query": "restore", "expect": "lock.md"}')
     assert main(["eval", at, str(tmp_path / "e.jsonl")]) == 2
+
+
+def test_a_failure_is_no_result(spark, sf, index, monkeypatch):
+    """What failed is told; a query that needs every route fails with it and does not return the hits of one."""
+    from tidewell.catalogue.retrieval import QUERIES
+    from tidewell.operators.errors import SearchDegraded
+
+    def broken(q):
+        raise RuntimeError("service down")
+
+    out, ledger = search.ask(index, "lock session", spark, retriever="hybrid", embed_query=broken)
+    assert ledger.degraded == "dense_unavailable" and ledger.failure == "RuntimeError: service down"
+    with pytest.raises(SearchDegraded, match="service down"):
+        ledger.whole()
+    search.ask(index, "lock session", spark, retriever="hybrid", embed_query=embed)[1].whole()
+
+    def full(df, name, f=search.written):
+        if name == "query-vectors":
+            raise OSError("no space left")
+        return f(df, name)
+
+    monkeypatch.setattr(search, "written", full)
+    with pytest.raises(SearchDegraded, match="no space left"):
+        QUERIES["hybrid_search"](spark, sf)
